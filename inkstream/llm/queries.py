@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstream.llm import bpe, tokens
+from inkstream.llm import bpe, quality, tokens, urls
 from inkstream.session import table
 
 
@@ -28,5 +28,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_token_counts": op2_token_counts}
-ORACLE_SQL: dict[str, str] = {}
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), urls.RULES)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.measure(documents(spark, sf_dir)).drop("rejected_by")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_token_counts": op2_token_counts, "op8_url_filters": op8_url_filters, "op9_quality": op9_quality}
+ORACLE_SQL: dict[str, str] = {"op8_url_filters": urls.SQL, "op9_quality": quality.SQL}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from inkstream.llm import kernels
 
-#: Bytes in a batch and pieces in the worker's cache, at most (a longer text makes a batch of its own).
+#: Bytes in a batch (a longer text makes a batch of its own), and pieces in each generation of the worker's cache.
 BATCH_BYTES, CACHED = 1 << 20, 250_000
 _LEADING = re.compile(rb"(?<=[^\x09-\x0D\x20-\x2F\x80-\xFF])(?= [A-Za-z])")
 
@@ -40,13 +40,28 @@ def boundary(path: str) -> str | None:
     return None
 
 
+class Memo(dict):
+    """What the last pieces became, bounded: when this generation is full it becomes the old one, which is dropped."""
+
+    old: dict = {}
+
+    def missing(self, here: set[bytes]) -> set[bytes]:
+        """Pieces that neither generation has; those of the old one move over."""
+        if len(self) > CACHED:
+            self.old = dict(self)
+            self.clear()
+        new = here.difference(self)
+        kept = new.intersection(self.old)
+        self.update((p, self.old[p]) for p in kept)
+        return new.difference(kept)
+
+
 class Encoder:
     """One tokenizer in one worker."""
 
     def __init__(self, path: str):
         self.split_at = boundary(path)
-        self.ids: dict[bytes, bytes] = {}
-        self.counts: dict[bytes, int] = {}
+        self.ids, self.counts = Memo(), Memo()
         if path.endswith(".model"):
             import sentencepiece
 
@@ -75,21 +90,10 @@ class Encoder:
             part = rest[at : at + 4096]
             yield from zip(part, self.batch([p.decode() for p in part]), strict=True)
 
-    def _new(self, known: dict, texts: list[list[bytes]]) -> set[bytes]:
-        """Pieces that must be encoded now. ``known`` stays bounded: beyond the bound it starts anew."""
-        here = set()
-        for pieces in texts:
-            here.update(pieces)
-        new = here.difference(known)
-        if len(known) + len(new) > CACHED:
-            known.clear()
-            return here
-        return new
-
     def lengths(self, texts: list[bytes]) -> list[int]:
         """The number of tokens of each text."""
         split = [self.pieces(t) for t in texts]
-        for piece, ids in self.encoded(self._new(self.counts, split)):
+        for piece, ids in self.encoded(self.counts.missing(set().union(*split))):
             self.counts[piece] = len(ids)
         get = self.counts.__getitem__
         return [sum(map(get, pieces)) for pieces in split]
@@ -97,7 +101,7 @@ class Encoder:
     def all_ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         split = [self.pieces(t) for t in texts]
-        for piece, ids in self.encoded(self._new(self.ids, split)):
+        for piece, ids in self.encoded(self.ids.missing(set().union(*split))):
             self.ids[piece] = np.array(ids, "<u4").tobytes()
         get = self.ids.__getitem__
         return [b"".join(map(get, pieces)) for pieces in split]
