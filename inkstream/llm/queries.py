@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkstream.llm import bpe, quality, tokens, urls
+from inkstream.llm import bpe, langid, quality, tokens, topk, urls
 from inkstream.session import table
 
 
@@ -28,6 +29,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(topk.usable("embedding")).select("vec_id", topk.scaled("embedding", 256).alias("vector"))
+    return topk.search(rows, F.col("vec_id") % 50 == 0, 5)
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.RULES)
 
@@ -36,5 +42,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(documents(spark, sf_dir)).drop("rejected_by")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_token_counts": op2_token_counts, "op8_url_filters": op8_url_filters, "op9_quality": op9_quality}
-ORACLE_SQL: dict[str, str] = {"op8_url_filters": urls.SQL, "op9_quality": quality.SQL}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op7_top_k, op8_url_filters, op9_quality, op10_language)}
+ORACLE_SQL: dict[str, str] = {"op7_top_k": topk.SQL, "op8_url_filters": urls.SQL, "op9_quality": quality.SQL}
