@@ -26,6 +26,7 @@ from inkstream.session import partitions
 
 #: Bytes of text in a chunk, on average, and of questions in a bucket.
 CHUNK_BYTES, BUCKET_BYTES = 3 << 20, 6 << 20
+CHUNK = "__chunk"
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -34,9 +35,9 @@ def text_bytes(docs: DataFrame) -> int:
 
 
 def chunked(docs: DataFrame, size: int) -> DataFrame:
-    """``docs`` with a column ``chunk``, a function of the id and the text."""
+    """``docs`` with a column ``__chunk``, a function of the id and the text."""
     n = max(4 * partitions(docs.sparkSession), math.ceil(size / CHUNK_BYTES))
-    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    return docs.withColumn(CHUNK, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
 
 def bucket_bits(docs: DataFrame, size: int) -> int:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.llm import bpe, langid, packing, quality, tokens, topk, urls
+from inkstream.llm import bpe, brown, langid, packing, quality, substrings, tokens, topk, urls
 from inkstream.session import table
 
 
@@ -29,10 +29,19 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.dedup(documents(spark, sf_dir).select("doc_id", "text"), 35, digest=True)
+    return rows.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(documents(spark, sf_dir))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").where(topk.usable("embedding")).select("vec_id", topk.scaled("embedding", 256).alias("vector"))
     return topk.search(rows, F.col("vec_id") % 50 == 0, 5)
@@ -50,5 +59,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op4_packing, op7_top_k, op8_url_filters, op9_quality, op10_language)}
-ORACLE_SQL: dict[str, str] = {"op7_top_k": topk.SQL, "op8_url_filters": urls.SQL, "op9_quality": quality.SQL}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_substrings, op4_packing, op6_language_model, op7_top_k, op8_url_filters, op9_quality, op10_language)}
+ORACLE_SQL: dict[str, str] = {"op3_substrings": substrings.SQL, "op7_top_k": topk.SQL, "op8_url_filters": urls.SQL, "op9_quality": quality.SQL}
