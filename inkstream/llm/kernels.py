@@ -95,9 +95,9 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of every word."""
-    out = tuple(np.empty(len(starts), np.uint64) for _ in _BASES)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: int = 2) -> tuple[np.ndarray, ...]:
+    """Two 64-bit hashes of every word (or only the first)."""
+    out = tuple(np.empty(len(starts), np.uint64) for _ in _BASES[:hashes])
     first = 0
     while first < len(starts):
         at = int(starts[first])
@@ -106,7 +106,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
         if stop - at <= SPAN:
             piece = data[at:stop].astype(np.uint64) + np.uint64(1)
             s, e = starts[first:last] - at, ends[first:last] - at
-            for k, base in enumerate(_BASES):
+            for k, base in enumerate(_BASES[:hashes]):
                 power, inverse = _tables(base, SPAN)
                 total = np.empty(len(piece) + 1, np.uint64)
                 total[0] = 0
@@ -115,7 +115,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
         first = last
     for i in np.flatnonzero(ends - starts > LONG_WORD):
         digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
-        for k in range(2):
+        for k in range(hashes):
             out[k][i] = int.from_bytes(digest[8 * k : 8 * k + 8], "little")
     return out
 

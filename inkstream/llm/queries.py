@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.llm import bpe, brown, langid, packing, quality, substrings, tokens, topk, urls
+from inkstream.llm import bpe, brown, jaccard, langid, packing, quality, substrings, tokens, topk, urls
 from inkstream.session import table
 
 
@@ -38,6 +38,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(documents(spark, sf_dir))
 
@@ -59,5 +63,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_substrings, op4_packing, op6_language_model, op7_top_k, op8_url_filters, op9_quality, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_substrings, op4_packing, op5_jaccard_join, op6_language_model, op7_top_k, op8_url_filters, op9_quality, op10_language)}
 ORACLE_SQL: dict[str, str] = {"op3_substrings": substrings.SQL, "op7_top_k": topk.SQL, "op8_url_filters": urls.SQL, "op9_quality": quality.SQL}
