@@ -46,7 +46,8 @@ def staged(docs: DataFrame, text: str = "text") -> DataFrame:
     docs = docs.withColumn(f"{_W}words", words)
     last = f"size({_W}words) - 3"
     windows = f"CASE WHEN {last} >= 0 THEN transform(sequence(0, {last}), i -> xxhash64({_W}words[i], {_W}words[i + 1], {_W}words[i + 2])) ELSE cast(array() AS array<bigint>) END"
-    return docs.withColumn(f"{_W}windows", F.expr(windows))
+    # the row number keeps filters above these columns: below them, every use would split the text again
+    return docs.withColumns({f"{_W}windows": F.expr(windows), f"{_W}row": F.monotonically_increasing_id()})
 
 
 def n_words() -> Column:
@@ -132,7 +133,7 @@ def screen(docs: DataFrame, limits: Limits | None = None, text: str = "text") ->
     """The documents that pass every rule, with their own columns."""
     limits = limits or Limits()
     ordered = order(estimate(docs, limits, text))
-    return staged(docs, text).where(verdict(limits, ordered, text).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return staged(docs, text).where(verdict(limits, ordered, text).isNull() & (F.col(f"{_W}row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def measure(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
