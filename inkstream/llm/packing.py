@@ -44,19 +44,20 @@ def pieces(docs: DataFrame, path: str, capacity: int, end: int) -> DataFrame:
 
     def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = tokens.load(path), TaskContext.get().partitionId()
-        last = np.array([end], "<u4").tobytes()
         before = np.zeros(capacity + 1, np.int64)
         for table in tables:
-            for part, texts in tokens.balanced(table):
+            for part, data, offsets in tokens.balanced(table):
                 row, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(encoder.all_ids(texts)):
-                    ids += last
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        some = ids[at : at + 4 * capacity]
+                ids, edges = encoder.all_ids(data, offsets)
+                ids = np.insert(ids, edges[1:], end).astype("<u4")
+                edges = edges + np.arange(len(edges))
+                for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                    for k, at in enumerate(range(a, b, capacity)):
+                        some = ids[at : min(b, at + capacity)]
                         row.append(i)
                         piece.append(k)
-                        start.append(at // 4)
-                        length.append(len(some) // 4)
+                        start.append(at - a)
+                        length.append(len(some))
                         crc.append(zlib.crc32(some))
                 sizes = np.array(length, np.int64)
                 order = np.argsort(sizes, kind="stable")

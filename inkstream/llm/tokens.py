@@ -9,6 +9,7 @@ Tokenizers without such a boundary get whole texts.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -21,9 +22,9 @@ from pyspark.sql import DataFrame
 
 from inkstream.llm import kernels
 
-#: Bytes in a batch (a longer text makes a batch of its own), and pieces in each generation of the worker's cache.
-BATCH_BYTES, CACHED = 1 << 20, 250_000
-_LEADING = re.compile(rb"(?<=[^\x09-\x0D\x20-\x2F\x80-\xFF])(?= [A-Za-z])")
+#: Bytes in a batch (a longer text makes a batch of its own); slots of the worker's cache, and how many may be used.
+BATCH_BYTES, SLOTS, FULL = 1 << 20, 1 << 21, 1_300_000
+_LEADING = re.compile(rb"(?<=[A-Za-z0-9]) (?=[A-Za-z])")
 
 
 def boundary(path: str) -> str | None:
@@ -40,20 +41,54 @@ def boundary(path: str) -> str | None:
     return None
 
 
-class Memo(dict):
-    """What the last pieces became, bounded: when this generation is full it becomes the old one, which is dropped."""
+class Memo:
+    """The ids of pieces that were encoded lately: an open-addressing table over two hashes of a piece, in arrays.
 
-    old: dict = {}
+    When it is ``FULL`` it starts anew, so its memory is bounded: about 26 bytes a slot and the ids themselves.
+    """
 
-    def missing(self, here: set[bytes]) -> set[bytes]:
-        """Pieces that neither generation has; those of the old one move over."""
-        if len(self) > CACHED:
-            self.old = dict(self)
-            self.clear()
-        new = here.difference(self)
-        kept = new.intersection(self.old)
-        self.update((p, self.old[p]) for p in kept)
-        return new.difference(kept)
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.used, self.filled = 0, 0
+        self.one, self.two = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
+        self.start, self.length = np.zeros(SLOTS, np.uint32), np.full(SLOTS, -1, np.int32)
+        self.ids = np.zeros(1 << 16, np.uint32)
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Each piece's slot, or -1."""
+        slot = (one & np.uint64(SLOTS - 1)).astype(np.int64)
+        out = np.full(len(one), -1, np.int64)
+        rest = np.arange(len(one))
+        while len(rest):
+            s = slot[rest]
+            there = self.length[s] >= 0
+            hit = there & (self.one[s] == one[rest]) & (self.two[s] == two[rest])
+            out[rest[hit]] = s[hit]
+            rest = rest[there & ~hit]
+            slot[rest] = (slot[rest] + 1) & (SLOTS - 1)
+        return out
+
+    def add(self, one: np.ndarray, two: np.ndarray, ids: list[list[int]]) -> None:
+        """Enter distinct pieces that are not there."""
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(lengths.sum())
+        while self.used + total > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros(len(self.ids), np.uint32))
+        self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
+        start = (self.used + np.cumsum(lengths) - lengths).astype(np.uint32)
+        self.used += total
+        self.filled += len(ids)
+        rest, slot = np.arange(len(ids)), (one & np.uint64(SLOTS - 1)).astype(np.int64)
+        while len(rest):
+            s = slot[rest]
+            free = np.flatnonzero(self.length[s] < 0)
+            first = free[np.unique(s[free], return_index=True)[1]]
+            won, at = rest[first], s[first]
+            self.one[at], self.two[at], self.start[at], self.length[at] = one[won], two[won], start[won], lengths[won]
+            rest = np.delete(rest, first)
+            slot[rest] = (slot[rest] + 1) & (SLOTS - 1)
 
 
 class Encoder:
@@ -61,7 +96,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.split_at = boundary(path)
-        self.ids, self.counts = Memo(), Memo()
+        self.memo = Memo()
         if path.endswith(".model"):
             import sentencepiece
 
@@ -76,35 +111,57 @@ class Encoder:
             model.no_padding()
             self.batch = lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, text: bytes) -> list[bytes]:
+    def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the pieces of some texts, and each text's first piece (and the end)."""
         if self.split_at == "dropped":
-            return text.split()
+            return kernels.spans(data, offsets)
+        starts = offsets[:-1]
         if self.split_at == "leading":
-            return _LEADING.split(text)
-        return [text]
-
-    def encoded(self, some: set[bytes]) -> Iterator[tuple[bytes, list[int]]]:
-        """Ids of distinct pieces, in calls of bounded size."""
-        rest = list(some)
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            yield from zip(part, self.batch([p.decode() for p in part]), strict=True)
-
-    def lengths(self, texts: list[bytes]) -> list[int]:
+            raw = data.tobytes()
+            cuts = np.array([m.start() for m in _LEADING.finditer(raw)], np.int64)
+            starts = np.union1d(starts, cuts)
+        ends = np.append(starts[1:], len(data))
+        starts, ends = starts[ends > starts], ends[ends > starts]
+        return starts, ends, np.searchsorted(starts, offsets)
+
+    def slots(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of each piece of some texts, after encoding those that are new; and each text's first piece."""
+        starts, ends, first = self.pieces(data, offsets)
+        one, two = kernels.word_hashes(data, starts, ends)
+        slot = self.memo.find(one, two)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            a, b, at = self._distinct(one, two, new)
+            if self.memo.filled + len(at) > FULL:
+                self.memo.clear()
+                a, b, at = self._distinct(one, two, np.arange(len(one)))
+                new = np.arange(len(one))
+            for k in range(0, len(at), 4096):
+                some = at[k : k + 4096]
+                self.memo.add(a[k : k + 4096], b[k : k + 4096], self.batch([data[starts[i] : ends[i]].tobytes().decode() for i in some.tolist()]))
+            slot[new] = self.memo.find(one[new], two[new])
+        return slot, first
+
+    @staticmethod
+    def _distinct(one: np.ndarray, two: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, _, inverse = kernels.distinct(one[some], two[some])
+        at = np.empty(len(a), np.int64)
+        at[inverse] = some
+        return a, b, at
+
+    def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The number of tokens of each text."""
-        split = [self.pieces(t) for t in texts]
-        for piece, ids in self.encoded(self.counts.missing(set().union(*split))):
-            self.counts[piece] = len(ids)
-        get = self.counts.__getitem__
-        return [sum(map(get, pieces)) for pieces in split]
+        slot, first = self.slots(data, offsets)
+        total = np.append(0, np.cumsum(self.memo.length[slot], dtype=np.int64))
+        return np.diff(total[first])
 
-    def all_ids(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        split = [self.pieces(t) for t in texts]
-        for piece, ids in self.encoded(self.ids.missing(set().union(*split))):
-            self.ids[piece] = np.array(ids, "<u4").tobytes()
-        get = self.ids.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+    def all_ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and the offsets of the texts in it."""
+        slot, first = self.slots(data, offsets)
+        n = self.memo.length[slot].astype(np.int64)
+        ends = np.append(0, np.cumsum(n))
+        ids = self.memo.ids[np.repeat(self.memo.start[slot].astype(np.int64) - ends[:-1], n) + np.arange(ends[-1])]
+        return ids, ends[first]
 
 
 @cache
@@ -112,12 +169,11 @@ def load(path: str) -> Encoder:
     return Encoder(path)
 
 
-def balanced(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of a batch with a like number of bytes, and their texts (null: empty)."""
+def balanced(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of a batch with a like number of bytes; their texts' bytes and offsets (null: empty)."""
     data, offsets = kernels.utf8(batch.column("text"))
-    raw = memoryview(np.ascontiguousarray(data))
     for a, b in kernels.slices(offsets, BATCH_BYTES):
-        yield batch.slice(a, b - a), [bytes(raw[offsets[i] : offsets[i + 1]]) for i in range(a, b)]
+        yield batch.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
@@ -130,9 +186,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(path)
         for table in tables:
-            for part, texts in balanced(table):
-                n = np.array(encoder.lengths(texts), np.int64)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "n_tokens": pa.array(n), "over_limit": pa.array(n > limit)})
+            for part, data, offsets in balanced(table):
+                n = encoder.lengths(data, offsets)
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_bytes": pa.array(np.diff(offsets)), "n_tokens": pa.array(n), "over_limit": pa.array(n > limit)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
