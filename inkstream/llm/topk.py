@@ -2,7 +2,7 @@
 
 Vectors of integers are dealt to blocks; every block of queries meets every block of candidates. In a block, each
 dimension has a list of the candidates sorted by that component; a query reads each list from the end where its own
-component makes the product largest. All lists are read sequentially, in slabs of growing depth. What was read of a
+component makes the product largest. All lists are read sequentially, in a few steps of growing depth. What was read of a
 candidate is a partial sum; with the last product read (the most that an unread one can add) and the list's final
 product (the least) it gives an upper and a lower bound. Reading stops when the k-th best lower bound leaves few
 candidates whose upper bound reaches it; their scores are resolved exactly. Blocks' winners are merged for each query.
@@ -20,55 +20,67 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Candidates and queries in a block; products stay exact below ``EXACT``.
+#: Candidates and queries in a block; products stay exact below ``EXACT``; how deep lists are read, step by step.
 CANDIDATES, QUERIES, EXACT = 4096, 8192, 1 << 52
+DEPTHS = (0.125, 0.5, 0.75)
 
 
 class Lists:
-    """A block of candidates, and its lists sorted by each dimension."""
+    """A block of candidates, and its lists sorted by each dimension.
+
+    How far a list was read is the same for all queries that read it from the same end, so the bounds of a whole block
+    of queries come from products of matrices. Where a query's component q is positive, the list is read from the top,
+    and what was not read is v at most, v being the last value read: the upper bound takes max(x, v) for every
+    candidate, the lower bound x where it was read and the least value of the list elsewhere. Negative components
+    mirror this. All numbers are integers below 2**53, so the products are exact.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
-        self.rising = np.ascontiguousarray(np.argsort(self.vectors, axis=0, kind="stable").T)
-        self.most = int(np.abs(self.vectors).max(initial=0))
-
-    def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best, best first."""
+        self.ids, self.vectors = ids[order], vectors[order].astype(float)
+        self.whole = vectors[order]
+        self.sorted = np.sort(self.vectors, axis=0)
+        self.most = float(np.abs(self.vectors).max(initial=0))
+
+    def best(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and scores of each query's k best, best first."""
+        if self.most * float(np.abs(queries).max(initial=0)) * max(1, queries.shape[1]) >= EXACT:
+            return [self._first(np.flatnonzero(self.ids != o), [sum(int(a) * int(b) for a, b in zip(v, q, strict=True)) for v in self.whole], k) for q, o in zip(queries, own, strict=True)]
+        out = []
+        for at in range(0, len(queries), 128):
+            out += self._some(queries[at : at + 128].astype(float), own[at : at + 128], k)
+        return out
+
+    def _some(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         n = len(self.ids)
-        if self.most * int(np.abs(query).max(initial=0)) * max(1, len(query)) >= EXACT:
-            exact = np.array([sum(int(a) * int(b) for a, b in zip(v, query, strict=True)) for v in self.vectors], object)
-            return self._first(np.flatnonzero(self.ids != own), exact, k)
-        dims = np.flatnonzero(query)
-        other = self.ids != own
-        rest = np.flatnonzero(other)
-        q = query[dims]
-        lists = np.where((q > 0)[:, None], self.rising[dims, ::-1], self.rising[dims])
-        partial, seen = np.zeros(n), np.zeros((n, len(dims)), np.float32)
-        least = (q * self.vectors[lists[:, -1], dims]).astype(float) if n else np.zeros(len(dims))
-        at, step = 0, 64
-        while at < n and len(rest) > max(4 * k, n // 32):
-            to = min(n, at + step)
-            read = lists[:, at:to]
-            column = np.repeat(np.arange(len(dims)), to - at)
-            flat = read.reshape(-1)
-            partial += np.bincount(flat, (q[column] * self.vectors[flat, dims[column]]).astype(float), n)
-            seen[flat, column] = 1
-            last = (q * self.vectors[lists[:, to - 1], dims]).astype(float)
-            missing = 1 - seen[rest].astype(float)
-            lower, upper = partial[rest] + missing @ least, partial[rest] + missing @ last
-            if len(rest) > k:
-                bar = np.partition(lower, len(rest) - k)[len(rest) - k]
-                rest = rest[upper >= bar]
-            at, step = to, 2 * step
-        scores = np.zeros(n, np.int64)
-        scores[rest] = self.vectors[rest] @ query
-        return self._first(rest, scores, k)
-
-    def _first(self, rest: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        order = sorted(rest.tolist(), key=lambda i: (-scores[i], self.ids[i]))[:k] if scores.dtype == object else rest[np.lexsort((self.ids[rest], -scores[rest]))][:k]
-        clip = lambda s: max(-(1 << 63), min((1 << 63) - 1, int(s)))
-        return self.ids[order], np.array([clip(scores[i]) for i in order], np.int64)
+        rest = self.ids[None, :] != own[:, None]
+        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+        few = max(4 * k, n // 32)
+        for share in DEPTHS:
+            depth = int(n * share)
+            if depth < 1 or n <= 2 * few:
+                break
+            top, bottom, x = self.sorted[n - depth], self.sorted[depth - 1], self.vectors
+            upper = up @ np.maximum(x, top).T + down @ np.minimum(x, bottom).T
+            lower = up @ np.where(x >= top, x, self.sorted[0]).T + down @ np.where(x <= bottom, x, self.sorted[-1]).T
+            lower[~rest] = -np.inf
+            bar = np.partition(lower, n - k, axis=1)[:, n - k]
+            rest &= upper >= bar[:, None]
+            if rest.sum(axis=1).max() <= few:
+                break
+        out = []
+        for q, left in zip(queries, rest, strict=True):
+            at = np.flatnonzero(left)
+            out.append(self._first(at, self.vectors[at] @ q, k))
+        return out
+
+    def _first(self, rest: np.ndarray, scores, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of some candidates with their resolved scores."""
+        if isinstance(scores, list):
+            at = sorted(rest.tolist(), key=lambda i: (-scores[i], self.ids[i]))[:k]
+            return self.ids[at], np.array([max(-(1 << 63), min((1 << 63) - 1, scores[i])) for i in at], np.int64)
+        at = np.lexsort((self.ids[rest], -scores))[:k]
+        return self.ids[rest[at]], scores[at].astype(np.int64)
 
 
 def usable(column: str) -> Column:
@@ -103,8 +115,8 @@ def search(vectors: DataFrame, queries: Column, k: int, vec_id: str = "vec_id",
         out: tuple[list, list, list] = ([], [], [])
         if left.num_rows and right.num_rows:
             lists = Lists(*matrix(right))
-            for own, query in zip(*matrix(left), strict=True):
-                ids, scores = lists.best(query, int(own), k)
+            asking, wanted = matrix(left)
+            for own, (ids, scores) in zip(asking, lists.best(wanted, asking, k), strict=True):
                 out[0].append(np.full(len(ids), own))
                 out[1].append(ids)
                 out[2].append(scores)
