@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +45,21 @@ def partitions(spark: SparkSession) -> int:
 
 def package_root() -> str:
     return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def ship(spark: SparkSession) -> None:
+    """Let executors import this package: a zip of it goes out once a session, unless their path has it already."""
+    root = package_root()
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.path.samefile(os.getcwd(), root) or not os.path.isdir(root):
+        return
+    if spark.conf.get("spark.inkstream.shipped", None):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="inkstream-zip-"), "inkstream.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "inkstream")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(path)
+    spark.conf.set("spark.inkstream.shipped", "true")
