@@ -36,14 +36,13 @@ def text_bytes(docs: DataFrame) -> int:
 
 def chunked(docs: DataFrame, size: int) -> DataFrame:
     """``docs`` with a column ``__chunk``, a function of the id and the text."""
-    n = max(4 * partitions(docs.sparkSession), math.ceil(size / CHUNK_BYTES))
+    n = max(partitions(docs.sparkSession), math.ceil(size / CHUNK_BYTES))
     return docs.withColumn(CHUNK, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
 
 def bucket_bits(docs: DataFrame, size: int) -> int:
     """The number of buckets, as a power of two; at one item for about five bytes, of ten bytes each."""
-    least = 2 * partitions(docs.sparkSession)
-    return max(1, math.ceil(math.log2(max(least, 2 * size / BUCKET_BYTES))))
+    return max(1, math.ceil(math.log2(max(partitions(docs.sparkSession), 2 * size / BUCKET_BYTES))))
 
 
 def questions(chunk: int, h1: np.ndarray, h2: np.ndarray, bits: int, extra: np.ndarray | None = None) -> pa.Table:
