@@ -37,7 +37,7 @@ def upsert(known: DataFrame, new: DataFrame, key: str, filled: list[str]) -> Dat
 
     Adds ``action`` (added, updated, kept). ``new`` may repeat a key: its first row in column ``pos`` counts.
     """
-    new = first_wins(new, [key], ["pos"])
+    new, known = first_wins(new, [key], ["pos"]), known.drop("action")
     k, n = known.alias("k"), new.alias("n")
     joined = k.join(n, F.col(f"k.{key}") == F.col(f"n.{key}"), "full_outer")
     is_new = F.col(f"k.{key}").isNull()
