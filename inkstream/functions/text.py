@@ -34,37 +34,46 @@ def strip(x: str | Column) -> Column:
     return F.btrim(c(x), F.lit(" \t\n\r\f\x0b"))
 
 
+def bound(x: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` refers to it."""
+    return F.transform(F.array(x), use)[0]
+
+
+def _found(low: Column, markers: list[str]) -> Column:
+    """The markers that are substrings of a lower-cased text."""
+    return F.filter(F.array(*[F.lit(m.lower()) for m in markers]), lambda m: low.contains(m))
+
+
 def contains_any(x: str | Column, markers: list[str], word_boundary: bool = False) -> Column:
     """some marker is a substring, whatever the case; ``word_boundary`` asks for whole words instead."""
-    low = F.lower(c(x))
     if word_boundary:
-        return low.rlike("|".join(whole(m.lower()) for m in markers))
-    out = F.lit(False)
-    for m in markers:
-        out = out | low.contains(m.lower())
-    return out
+        return F.lower(c(x)).rlike("|".join(whole(m.lower()) for m in markers))
+    listed = F.array(*[F.lit(m.lower()) for m in markers])
+    return bound(F.lower(c(x)), lambda low: F.exists(listed, lambda m: low.contains(m)))
 
 
-def has_keyword(low: Column, keyword: str) -> Column:
-    """One keyword in a lower-cased text: whole word up to three characters, else substring."""
-    k = keyword.lower()
-    return low.rlike(whole(k)) if len(k) <= 3 else low.contains(k)
+def _short(keywords: list[str]) -> tuple[list[str], list[str]]:
+    """Keywords of up to three characters, which count as whole words only, and the others."""
+    low = [k.lower() for k in keywords]
+    return [k for k in low if len(k) <= 3], [k for k in low if len(k) > 3]
 
 
 def keyword_any(x: str | Column, keywords: list[str]) -> Column:
-    """F23."""
-    low, out = F.lower(c(x)), F.lit(False)
-    for k in keywords:
-        out = out | has_keyword(low, k)
-    return out
+    """some keyword occurs."""
+    return keyword_count(x, keywords) > 0
 
 
 def keyword_count(x: str | Column, keywords: list[str]) -> Column:
-    """how many of the keywords occur."""
-    low, out = F.lower(c(x)), F.lit(0)
-    for k in keywords:
-        out = out + has_keyword(low, k).cast("int")
-    return out
+    """how many of the keywords occur: whole words up to three characters, else substrings."""
+    short, long = _short(keywords)
+
+    def count(low: Column) -> Column:
+        out = F.size(_found(low, long)) if long else F.lit(0)
+        for k in short:
+            out = out + low.rlike(whole(k)).cast("int")
+        return out
+
+    return bound(F.lower(c(x)), count)
 
 
 def truncate(x: str | Column, most: int, kept: int | None = None, suffix: str = "") -> Column:

@@ -14,12 +14,17 @@ DEFAULT = "Ecommerce_Retail_Tech"
 
 def scored(x: Column, keywords: dict[str, list[str]] | None = None, fallback: Column | None = None) -> Column:
     """The keyword part of C01: a topic with two hits or more, else one with a hit, in the topics' order."""
-    counts = {t: text.keyword_count(x, ks) for t, ks in (keywords or KEYWORDS).items()}
-    out = None
-    for least in (2, 1):
-        for t, n in counts.items():
-            out = F.when(n >= least, t) if out is None else out.when(n >= least, t)
-    return out.otherwise(F.lit(DEFAULT) if fallback is None else fallback)
+    keywords = keywords or KEYWORDS
+    hits = F.struct(*[text.keyword_count(x, ks).alias(t) for t, ks in keywords.items()])
+
+    def choose(n: Column) -> Column:
+        out = None
+        for least in (2, 1):
+            for t in keywords:
+                out = F.when(n[t] >= least, t) if out is None else out.when(n[t] >= least, t)
+        return out
+
+    return F.coalesce(text.bound(hits, choose), F.lit(DEFAULT) if fallback is None else fallback)
 
 
 def topic(title: Column, source: Column, keywords: dict[str, list[str]] | None = None) -> Column:
