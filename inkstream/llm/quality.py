@@ -142,7 +142,9 @@ def measure(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     limits = limits or Limits()
     ordered = order(estimate(docs, limits))
     rows = staged(docs.select("doc_id", "text"))
-    rows = rows.select("doc_id", "text", n_words().alias("n_words"), word_chars().alias("word_chars"), n_symbols().alias("n_symbols"), n_dup_lines().alias("n_dup_lines"), n_repeat_words().alias("n_repeat_words"))
+    features = {"n_words": n_words(), "word_chars": word_chars(), "n_symbols": n_symbols(), "n_dup_lines": n_dup_lines(), "n_repeat_words": n_repeat_words()}
+    here = F.col(f"{_W}row") >= 0  # always; it keeps a caller's filters above the shared words
+    rows = rows.select("doc_id", "text", *[F.when(here, x).alias(name) for name, x in features.items()])
     base = rules(limits, known=True)
     rows = rows.withColumn("base_failed", base["too_few_words"] | base["repeated_windows"]).withColumn("rejected_by", verdict(limits, ordered, known=True))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"), "rejected_by")
