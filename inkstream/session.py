@@ -30,14 +30,32 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_written: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    Results may still read these tables, so they stay until ``release``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete all tables that ``materialise`` wrote for this program; call it once their results are written."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in _written:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    n = len(_written)
+    _written.clear()
+    return n
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

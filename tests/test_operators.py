@@ -200,3 +200,18 @@ def test_llm_answers(spark):
     got = [r["v"] for r in spark.createDataFrame([(json.dumps({"category": "A"}),), ('```json\n{"category": "B"}\n```',), ("{}",), (None,)], "x string").select(text.fenced_json("x", "category string", "category")["category"].alias("v")).collect()]
     assert got == ["A", "B", None, None]
     assert [gates.shown_n(n) for n in (3, 7, 2, 99)] == [3, 7, 7, 7]
+
+
+def test_released_tables(spark):
+    from inkstream import session
+
+    kept = session._written[:]
+    session._written.clear()
+    df = session.materialise(spark.range(3).toDF("x"), "released")
+    assert df.count() == 3 and session.release(spark) == 1
+    spark.catalog.clearCache()
+    try:
+        assert df.count() == -1
+    except Exception as e:
+        assert "FILE_NOT_EXIST" in str(e) or "does not exist" in str(e)
+    session._written.extend(kept)
