@@ -44,13 +44,13 @@ def _windows(texts: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([none, *one]), np.concatenate([none, *two]), np.concatenate([np.zeros(0, np.int64), *at]), np.concatenate(rows)
 
 
-def dedup(docs: DataFrame, width: int = 35, digest: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, width: int = 35, digest: bool = False, prefix: str = "") -> DataFrame:
     """Every row of ``docs`` with n_words, n_removed, removed (array of [first word, end) intervals) and kept.
 
     ``kept`` is the text that is left, or with ``digest`` its SHA-256 (and ``text`` itself is left out). Columns of ``docs`` with these names are
-    replaced.
+    replaced; ``prefix`` goes before the new names.
     """
-    made = ("n_words", "n_removed", "removed", "kept")
+    made = tuple(prefix + name for name in ("n_words", "n_removed", "removed", "kept"))
     size = exchange.text_bytes(docs)
     bits = exchange.bucket_bits(docs, size)
     rows = exchange.chunked(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in made]), size)
@@ -90,8 +90,8 @@ def dedup(docs: DataFrame, width: int = 35, digest: bool = False) -> DataFrame:
             left = b" ".join(words)
             kept.append(hashlib.sha256(left).hexdigest() if digest else left.decode())
         table = table.select(own)
-        new = {"n_words": pa.array(np.diff(first)), "n_removed": pa.array(lost), "removed": pa.array(cuts, pa.list_(pa.list_(pa.int64()))), "kept": pa.array(kept, pa.string())}
-        for name, column in new.items():
+        new = (pa.array(np.diff(first)), pa.array(lost), pa.array(cuts, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.string()))
+        for name, column in zip(made, new, strict=True):
             table = table.append_column(name, column)
         return table
 

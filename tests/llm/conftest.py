@@ -2,7 +2,7 @@
 
 import pytest
 
-DOC = "doc_id long, text string, lang string, source string, n_chars long, chunk string, task int"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, chunk string, task int, kept string, lang_pred string, score int, n_words string"
 #: Nulls, empty and blank texts, ties, repeated rows, a very long text, and columns whose names operators use inside.
 ODD = [
     (1, None, "en", "a", None, "x", 1), (2, "", "en", None, 0, None, None), (3, " \t\n ", None, "a", 4, "x", 1), (4, "one", "en", "a", 3, "x", 1), (5, "one", "en", "a", 3, "x", 1), (5, "one", "en", "a", 3, "x", 1),
@@ -12,7 +12,7 @@ ODD = [
 
 @pytest.fixture(scope="session")
 def odd(spark):
-    return spark.createDataFrame(ODD, DOC)
+    return spark.createDataFrame([(*row, "k", "l", 7, "n") for row in ODD], DOC)
 
 
 @pytest.fixture(scope="session")

@@ -172,6 +172,8 @@ def test_pipeline_odd_rows(spark, odd, none):
         for k, (_, stage) in enumerate(p.STAGES):
             got = stage(spark, docs, "")
             assert got.count() >= 0 and (k == 4 or got.columns == docs.columns)
+    assert {tuple(r) for r in p.substring_dedup(spark, odd, "").select("kept", "lang_pred", "score", "n_words").collect()} == {("k", "l", 7, "n")}
+    assert sorted(r["doc_id"] or 0 for r in p.near_duplicates(spark, odd, "").collect()) == [0, 1, 2, 3, 4, 6, 7, 8, 9]
 
 
 def test_nothing_else_imports_this_package():

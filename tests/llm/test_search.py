@@ -48,7 +48,7 @@ def test_op3_small(spark, odd, none, width):
     from tests.llm.conftest import ODD
 
     out = substrings.dedup(odd, width)
-    assert {"chunk", "task", "lang"} <= set(out.columns)
+    assert {"chunk", "task", "lang", "kept"} <= set(out.columns)
     got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"], r["kept"]) for r in out.collect())
     assert got == sorted((x[0] or 0, *b) for x, b in zip(ODD, brute_removed([x[1] for x in ODD], width), strict=True))
     assert substrings.dedup(none, width).count() == 0
