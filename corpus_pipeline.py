@@ -28,10 +28,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that link by their 5-word shingles, the one with the least doc_id."""
+    """Of each group of documents that link by their 5-word shingles, the one with the least doc_id.
+
+    Rows without a doc_id stay, and so do rows that repeat one doc_id.
+    """
     prepare(spark)
     kept = jaccard.join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left").where(F.col("__kept").isNotNull() | F.col("doc_id").isNull())
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +44,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A text without such a passage stays as it is; of the others, the words that are left are joined by one space.
     """
     prepare(spark)
-    rows = substrings.dedup(docs, 35)
-    changed = F.col("n_removed") > 0
-    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text"))}
+    rows = substrings.dedup(docs, 35, prefix="__")
+    changed = F.col("__n_removed") > 0
+    new = {"text": F.when(changed, F.col("__kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(changed, F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return rows.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
