@@ -34,8 +34,9 @@ from inkstream.llm import exchange, kernels
 from inkstream.llm.components import Forest, components
 from inkstream.session import materialise
 
-#: Classes in a block of step 2, and in a part of a block of step 3, about; words of 64 bits in a bitmap; children.
-BLOCK, PART, WIDTH, FANOUT = 256, 1024, 16, 8
+#: Classes and bytes of shingles in a block of step 2, and classes in a part of a block of step 3, about; words of 64
+#: bits in a bitmap; children of a node.
+BLOCK, BLOCK_BYTES, PART, WIDTH, FANOUT = 256, 16 << 20, 1024, 16, 8
 _SEEDS = (0x452821E638D01377, 0xBE5466CF34E90C6C)
 
 
@@ -307,10 +308,12 @@ def join(docs: DataFrame, width: int = 5) -> DataFrame:
 
 def _first_links(some: DataFrame) -> DataFrame:
     """Step 2."""
-    dealt = some.select("doc_id", "n", "tokens", F.posexplode(F.array("key0", "key1")).alias("seed", "key"))
-    large = some.select(F.posexplode(F.array("key0", "key1")).alias("seed", "key")).groupBy("seed", "key").count().where(f"count > {BLOCK}")
+    keys = F.posexplode(F.array("key0", "key1")).alias("seed", "key")
+    dealt = some.select("doc_id", "n", "tokens", keys)
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("long")
+    large = some.select(F.octet_length("tokens").alias("bytes"), keys).groupBy("seed", "key").agg(parts.alias("parts")).where("parts > 1")
     dealt = dealt.join(large, ["seed", "key"], "left")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id", "seed"), F.ceil(F.coalesce("count", F.lit(1)) / BLOCK).cast("long")))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id", "seed"), F.coalesce("parts", F.lit(1))))
     return dealt.select("seed", "key", "part", "doc_id", "n", "tokens").groupBy("seed", "key", "part").applyInArrow(_block, "a long, b long")
 
 

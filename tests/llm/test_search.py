@@ -81,10 +81,11 @@ def test_op5_whole_table(spark, sf, texts):
     assert got == brute_components([x[:2] for x in texts])
 
 
-@pytest.mark.parametrize("block,part", [(256, 1024), (4, 3)])
-def test_op5_chains_and_blocks(spark, monkeypatch, block, part):
+@pytest.mark.parametrize("block,size,part", [(256, 1 << 24, 1024), (4, 1 << 24, 3), (256, 1500, 1024)])
+def test_op5_chains_and_blocks(spark, monkeypatch, block, size, part):
     """Chains of copies that link only to their neighbours, in blocks so small that hot groups are split."""
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", size)
     monkeypatch.setattr(jaccard, "PART", part)
     rng = random.Random(9)
     rows = []
