@@ -8,7 +8,8 @@ product (the least) it gives an upper and a lower bound. Reading stops when the
 candidates whose upper bound reaches it; their scores are resolved exactly. Blocks' winners are merged for each query.
 
 Results: k best for each query, ties to the smaller id; all if there are fewer. Null vectors, and vectors with null or
-non-finite components, take no part; vectors of another dimension than the query's are no candidates.
+non-finite components, take no part; vectors of another dimension than the query's are no candidates. Repeated rows
+stay repeated, as in ``SQL``: each copy of a candidate takes a rank, and each copy of a query meets all candidates.
 """
 
 from __future__ import annotations
@@ -126,7 +127,7 @@ def search(vectors: DataFrame, queries: Column, k: int, vec_id: str = "vec_id",
     keys = ("width", "block", "part")
     found = asking.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: The query for DuckDB: all scores of the queries, then the five best.

@@ -202,6 +202,19 @@ def test_op7_blocks_and_ties(spark, monkeypatch):
             assert got.get(q, []) == [(i, clip(-s)) for s, i in scores]
 
 
+@pytest.mark.parametrize("size", [4096, 20])
+def test_op7_repeated_rows(spark, duck, monkeypatch, size):
+    """Copies of candidates and of queries, against the SQL."""
+    monkeypatch.setattr(topk, "CANDIDATES", size)
+    rows = [(i, [float(i % 7), float(i % 5) - 2]) for i in range(60)]
+    rows += [(7, [90.0, -90.0])] * 5 + [(8, [80.0, -80.0])] * 3 + [(50, rows[50][1])] * 2 + [(50, [-1.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("vec_id", topk.scaled("embedding", 256).alias("vector"))
+    got = sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0, 5).collect())
+    values = ", ".join(f"({i}, {v}::FLOAT[])" for i, v in rows)
+    want = sorted(duck.execute(topk.SQL.replace("FROM embeddings", f"FROM (VALUES {values}) t(vec_id, embedding)")).fetchall())
+    assert got == want and [r[2] for r in got if r[0] == 0] == [7] * 5
+
+
 def test_op7_unusable(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 0.0]), (5, [-0.001, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").where(topk.usable("embedding")).select("vec_id", topk.scaled("embedding", 256).alias("vector"))
