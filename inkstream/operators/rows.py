@@ -179,17 +179,25 @@ def jaccard(a: Column, b: Column) -> Column:
 def near_titles(df: DataFrame, key: str, id_: str, title: str, least: float = 0.8) -> DataFrame:
     """J14 as a join: pairs of one group that share over ``least`` of their words, by way of shared words.
 
-    A word of a title's rarest fifth must be shared, so only these are joined on.
+    The overlap counts the first title's repeated words each. With n words of k kinds, e = n - k of them repeat others, so
+    both titles share over least * n - e kinds, n being either's length and e the first's. Of the words by rarity, the
+    rarest shared one stands within the first k - floor(least * n) + e of either; only such words are joined on. Bitmaps of
+    the titles' words drop most pairs in the join: a bit of the first that the second has not is a word not shared.
     """
     rows = df.select(key, F.col(id_).alias("id"), text.words(F.col(title)).alias("w"))
-    each = rows.select(key, "id", F.size("w").alias("n"), F.explode(F.array_distinct("w")).alias("word"))
+    codes = F.transform(F.array_distinct("w"), lambda x: F.xxhash64(x))
+    kinds = rows.select(key, "id", F.size("w").alias("n"), codes.alias("codes"))
+    bits = [F.expr(f"aggregate(codes, 0L, (s, x) -> s | if((x & 64) = {half}, shiftleft(1L, cast(x & 63 AS int)), 0L))").alias(f"bits{half}") for half in (0, 64)]
+    each = kinds.select(key, "id", "n", F.size("codes").alias("kinds"), *bits, F.explode("codes").alias("word"))
     seen = each.groupBy(key, "word").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy(key, "id").orderBy("df", "word")
     each = each.join(seen, [key, "word"]).withColumn("r", F.row_number().over(order))
-    kinds = rows.select(key, "id", F.size(F.array_distinct("w")).alias("kinds"))
-    rare = each.join(kinds, [key, "id"]).where(F.col("r") <= F.col("kinds") - F.floor(F.col("kinds") * least).cast("int") + 1)
-    a, b = rare.select(key, "word", F.col("id").alias("a")), rare.select(key, "word", F.col("id").alias("b"))
-    pairs = a.join(b, [key, "word"]).where("a < b").select(key, "a", "b").distinct()
+    each = each.withColumns({"e": F.col("n") - F.col("kinds"), "late": F.col("r") - F.col("kinds") + F.floor(F.col("n") * least).cast("int")})
+    side = lambda x: each.select(key, "word", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "e", "late", "bits0", "bits64")])
+    gone = sum(F.bit_count(F.col(f"{c}_a").bitwiseAND(F.bitwise_not(F.col(f"{c}_b")))) for c in ("bits0", "bits64"))
+    spare = F.col("n_a") - F.floor(F.greatest("n_a", "n_b") * least)
+    near = (F.col("id_a") < F.col("id_b")) & (F.col("late_a") <= F.col("e_a")) & (F.col("late_b") <= F.col("e_a")) & (gone < spare)
+    pairs = side("a").join(side("b"), [key, "word"]).where(near).select(key, F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     full = rows.select("id", "w")
     pairs = pairs.join(full.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(full.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
     shared = F.size(F.filter("wa", lambda x: F.array_contains("wb", x)))

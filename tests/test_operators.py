@@ -64,6 +64,21 @@ def test_select_ranked(spark):
     assert worst["u0"] is None and worst["u2"] == 1
 
 
+def test_near_titles_with_repeated_words(spark):
+    """Against all pairs; first the example of a pair whose rarest words differ."""
+    rng = random.Random(7)
+    shared = [f"s{i}" for i in range(1, 7)]
+    titles = [("g", 0, ["the"] * 3 + shared + ["n1", "n2"]), ("g", 1, ["the", *shared, "m1", "m2", "m3", "m4"]), *[("g", i, ["the", *shared]) for i in range(2, 5)]]
+    for i in range(5, 300):
+        words = [rng.choice("abcdefgh") for _ in range(rng.randint(1, 12))]
+        titles.append((f"g{i % 3}", i, words))
+    want = {(g, i, j): sum(w in y for w in x) / max(len(x), len(y)) for g, i, x in titles for h, j, y in titles if g == h and i < j}
+    want = {k: v for k, v in want.items() if v > 0.8}
+    df = spark.createDataFrame([(g, i, " ".join(w)) for g, i, w in titles], "g string, id long, title string")
+    got = {(r["g"], r["a"], r["b"]): r["overlap"] for r in rows.near_titles(df, "g", "id", "title").collect()}
+    assert ("g", 0, 1) in want and got == want
+
+
 def test_newest_wins_twice_changes_nothing(spark):
     df = spark.createDataFrame([("a", None, 1), ("a", dt.datetime(2024, 1, 2), 2), ("a", dt.datetime(2024, 1, 2), 3), ("b", None, 4)], "k string, at timestamp, pos int")
     once = rows.newest_wins(df, ["k"], "at", "pos")
