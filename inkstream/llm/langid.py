@@ -7,9 +7,11 @@ it contributes its escape probability D / (T + D), and bytes seen there are excl
 are equally likely. Since the statistics are frozen, code lengths of all (context, byte) pairs are worked out once, and
 scoring a text of any length is a sum of looked-up lengths. The language with the shortest code wins.
 
-Statistics come from every training row; their size is bounded by the number of byte triples and of languages. The
-table that goes to the executors stays below ``TABLE_BYTES``: the rarest bytes share one symbol, and at most
-``LANGUAGES`` values of ``lang`` (those with most rows) are learned.
+Statistics come from every training row and cover every value of ``lang``; their size is bounded by the number of byte
+triples and of languages. Code lengths stand in tables with a row for each context that some language of the table has
+seen, and a column for each byte (one for all that none has seen, which are equally likely). Languages are dealt to as
+many tables as keep each of them below ``TABLE_BYTES`` (or at one language); workers hold one table at a time and take
+texts in batches of ``BATCH_BYTES`` if there are more. How languages are dealt changes no code length.
 
 Results: a null text, or one without a letter, gets ``und`` and score 0; so does every text if nothing was learned.
 Ties go to the first language by name. The score is the posterior probability of the winner under equal priors.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from inkstream.llm import kernels
 
-TABLE_BYTES, LANGUAGES = 64 << 20, 64
+TABLE_BYTES, BATCH_BYTES = 64 << 20, 16 << 20
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -59,60 +61,108 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(keys), pa.string()), "triple": pa.array(keys.astype(np.int32)), "n": pa.array(n)})
 
 
-class Model:
-    """Code lengths of all (context, symbol) pairs of every language, in bits."""
+class Table:
+    """Code lengths of the (context, byte) pairs of some languages, in bits."""
+
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
+        seen = [np.unique(np.concatenate([keys >> shift & mask for keys, _ in counts])) for shift, mask in ((0, 0xFF), (8, 0xFF), (8, 0xFFFF))]
+        self.bytes, self.ones, self.twos = seen
+        self.column = np.zeros(256, np.int32)
+        self.column[self.bytes] = np.arange(1, len(self.bytes) + 1)
+        self.size = len(self.bytes) + 1
+        one = np.full(256, len(self.twos) + len(self.ones), np.int32)
+        one[self.ones] = len(self.twos) + np.arange(len(self.ones))
+        self.row = np.tile(one, 256)
+        self.row[self.twos] = np.arange(len(self.twos))
+        self.lengths = np.empty((len(self.twos) + len(self.ones) + 1, self.size, len(counts)), np.float32)
+        for i, (keys, n) in enumerate(counts):
+            order = np.argsort(keys)
+            self._fill(self.lengths[:, :, i], keys[order], n[order])
+        self.lengths = self.lengths.reshape(-1, len(counts))
 
-    def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
-        self.langs = langs
-        seen = np.zeros(256, np.int64)
-        for keys, n in counts:
-            seen += np.bincount(keys & 255, n, 256).astype(np.int64)
-        size = min(128, int((TABLE_BYTES / 4 / max(1, len(langs))) ** (1 / 3)))
-        chosen = np.sort(np.argsort(-seen, kind="stable")[: size - 1])
-        chosen = chosen[seen[chosen] > 0]
-        self.symbol = np.zeros(256, np.int32)
-        self.symbol[chosen] = np.arange(1, len(chosen) + 1)
-        self.size = len(chosen) + 1
-        self.rest = float(np.log2(max(1, 256 - len(chosen))))
-        self.table = np.stack([self._lengths(*c) for c in counts], axis=-1) if langs else np.zeros((self.size**3, 0), np.float32)
-
-    def _lengths(self, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-        s, symbol = self.size, self.symbol.astype(np.int64)
-        at = (symbol[keys >> 16] * s + symbol[keys >> 8 & 255]) * s + symbol[keys & 255]
-        count = np.bincount(at, n, s**3).reshape(s, s, s)
-        below = np.full(s, 1.0 / s)
-        for seen in (count.sum(axis=(0, 1)), count.sum(axis=0), count):
-            below = self._order(seen, below)
-        out = -np.log2(below)
-        out[:, :, 0] += self.rest
-        return out.reshape(-1).astype(np.float32)
+    @staticmethod
+    def cells(contexts: np.ndarray) -> int:
+        """Entries a language of a table, from which triples were seen by byte, by one and by two bytes of context."""
+        seen = [np.count_nonzero(contexts[a:b]) for a, b in ((0, 256), (256, 512), (512, 512 + 65536))]
+        return (seen[0] + 1) * (seen[1] + seen[2] + 1)
+
+    def _fill(self, out: np.ndarray, keys: np.ndarray, n: np.ndarray) -> None:
+        s, twos, ones, column = self.size, self.twos, self.ones, self.column[keys & 255]
+        weight = np.ones(s)
+        weight[0] = 257 - s
+        none = self._order(np.bincount(column, n, s), np.full(s, 1 / 256), weight)
+        place = np.searchsorted(ones, keys >> 8 & 255)
+        one = self._order(np.bincount(place * s + column, n, len(ones) * s).reshape(-1, s), none, weight)
+        below = np.searchsorted(ones, twos & 255)
+        place = np.searchsorted(twos, keys >> 8)
+        with np.errstate(divide="ignore"):  # the first column, where no byte is unseen
+            out[-1], out[len(twos) : -1] = -np.log2(none), -np.log2(one)
+            for at in range(0, len(twos), 4096):
+                to = min(at + 4096, len(twos))
+                a, b = np.searchsorted(place, (at, to))
+                count = np.bincount((place[a:b] - at) * s + column[a:b], n[a:b], (to - at) * s).reshape(-1, s)
+                out[at:to] = -np.log2(self._order(count, one[below[at:to]], weight))
 
     @staticmethod
-    def _order(seen: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """Probabilities with one more byte of context, given those with one less (by the last axes)."""
+    def _order(seen: np.ndarray, below: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Probabilities with one more byte of context, given those with one less; ``weight``: the bytes of a column."""
         total, kinds = seen.sum(axis=-1, keepdims=True), (seen > 0).sum(axis=-1, keepdims=True)
         unseen = np.where(seen > 0, 0.0, below)
-        left = unseen.sum(axis=-1, keepdims=True)
+        left = (unseen * weight).sum(axis=-1, keepdims=True)
         whole = np.maximum(total + kinds, 1)
         escaped = np.divide(unseen * (kinds / whole), left, out=np.zeros_like(unseen), where=left > 0)
         return np.where(total > 0, np.where(seen > 0, seen / whole, escaped), below)
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The code length of each row in each language."""
-        out = np.zeros((len(offsets) - 1, len(self.langs)))
-        for a, b in kernels.slices(offsets, 1 << 18):
-            for at in range(int(offsets[a]), int(offsets[b]), 1 << 20):  # a long row in steps that know the bytes before
-                to = min(at + (1 << 20), int(offsets[b]))
+        out = np.zeros((len(offsets) - 1, self.lengths.shape[1]))
+        for a, b in kernels.slices(offsets, max(1 << 14, (1 << 20) // self.lengths.shape[1])):
+            step = max(1 << 14, (1 << 22) // self.lengths.shape[1])
+            for at in range(int(offsets[a]), int(offsets[b]), step):  # a long row in steps that know the bytes before
+                to = min(at + step, int(offsets[b]))
                 back = min(2, at - int(offsets[a])) if b == a + 1 else 0
                 edges = np.clip(offsets[a : b + 1], at - back, to) - (at - back)
                 t = _triples(data[at - back : to], edges)[back:]
-                index = (self.symbol[t >> 16] * self.size + self.symbol[t >> 8 & 255]) * self.size + self.symbol[t & 255]
+                index = self.row[t >> 8] * np.int64(self.size) + self.column[t & 255]
                 rows = np.flatnonzero(np.diff(np.maximum(edges - back, 0)) > 0)
                 if len(rows):
-                    out[a + rows] += np.add.reduceat(self.table[index], np.maximum(edges[rows] - back, 0), axis=0, dtype=np.float64)
+                    out[a + rows] += np.add.reduceat(self.lengths[index], np.maximum(edges[rows] - back, 0), axis=0, dtype=np.float64)
         return out
 
 
+class Model:
+    """The counts of all languages, and how these are dealt to tables."""
+
+    def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
+        self.langs, self.counts, self.size = langs, counts, 256
+        self.groups: list[tuple[int, int]] = []
+        self._table: tuple[int, Table] | None = None
+        first, union = 0, np.zeros(512 + 65536, bool)
+        for i, (keys, _) in enumerate(counts):
+            own = np.zeros_like(union)
+            own[keys & 255] = own[256 + (keys >> 8 & 255)] = own[512 + (keys >> 8)] = True
+            if i > first and Table.cells(union | own) * (i + 1 - first) * 4 > TABLE_BYTES:
+                self.groups.append((first, i))
+                first, union = i, own
+            else:
+                union |= own
+        if langs:
+            self.groups.append((first, len(langs)))
+
+    def table(self, group: int) -> Table:
+        """The last one stays, for the next batch."""
+        if self._table is None or self._table[0] != group:
+            self._table = None
+            a, b = self.groups[group]
+            self._table = group, Table(self.counts[a:b])
+        return self._table[1]
+
+    def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The code length of each row in each language."""
+        parts = [self.table(g).bits(data, offsets) for g in range(len(self.groups))]
+        return np.concatenate(parts, axis=1) if parts else np.zeros((len(offsets) - 1, 0))
+
+
 def held_out() -> Column:
     """True for rows that training must not see."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
@@ -121,14 +171,29 @@ def held_out() -> Column:
 def train(docs: DataFrame) -> Model:
     """Learn from text and lang of all rows that are not held out."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = sorted(r["lang"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
-    rows = rows.where(F.col("lang").isin(chosen)).select("lang", "text")
+    rows = rows.select("lang", "text")
     summed = rows.mapInArrow(_counts, "lang string, triple int, n long").groupBy("lang", "triple").agg(F.sum("n").alias("n"))
     table = summed.toArrow()
-    langs = np.array(table.column("lang").to_pylist(), object)
-    keys, n = table.column("triple").to_numpy().astype(np.int64), table.column("n").to_numpy()
-    learned = [x for x in chosen if (langs == x).any()]
-    return Model(learned, [(keys[langs == x], n[langs == x]) for x in learned])
+    coded = table.column("lang").combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    code, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    order = np.argsort(code, kind="stable")
+    keys, n = table.column("triple").to_numpy().astype(np.int64)[order], table.column("n").to_numpy()[order]
+    edges = np.searchsorted(code[order], np.arange(len(names) + 1))
+    learned = sorted(range(len(names)), key=names.__getitem__)
+    return Model([names[i] for i in learned], [(keys[edges[i] : edges[i + 1]], n[edges[i] : edges[i + 1]]) for i in learned])
+
+
+def _joined(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``BATCH_BYTES`` each."""
+    held: list[pa.RecordBatch] = []
+    for batch in tables:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= BATCH_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 def predict(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
@@ -137,7 +202,7 @@ def predict(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
 
     def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in tables:
+        for batch in _joined(tables) if len(model.groups) > 1 else tables:
             data, offsets = kernels.utf8(batch.column("__text"))
             bits = model.bits(data, offsets)
             found, score = ["und"] * len(bits), np.zeros(len(bits))

@@ -125,6 +125,20 @@ def test_op10_code_lengths_equal_the_tree(spark):
     assert got == pytest.approx(want, rel=1e-5)
 
 
+def test_op10_learns_every_language(spark, monkeypatch):
+    """Seventy languages, each with letters and bytes of its own; tables of one or of all give the same lengths."""
+    rows = [(k * 100 + i, "".join(chr(0x4E00 + 40 * k + (i + j * j) % 30) for j in range(40)), f"l{k:02}") for k in range(70) for i in range(1 + 8 * (k < 69), 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lang = {d: x for d, _, x in rows}
+    got = []
+    for size in (1 << 30, 1):
+        monkeypatch.setattr(langid, "TABLE_BYTES", size)
+        model = langid.train(docs)
+        assert model.langs == sorted(set(lang.values())) and len(model.groups) == (1 if size > 1 else 70)
+        got.append({r["doc_id"]: (r["lang_pred"], round(r["score"], 6)) for r in langid.predict(docs, model, ["doc_id"]).withColumnsRenamed({"__lang_pred": "lang_pred", "__score": "score"}).collect()})
+    assert got[0] == got[1] and sum(got[0][d][0] == lang[d] for d in lang) >= 0.97 * len(lang)
+
+
 def test_op10_odd_rows(spark, odd, none):
     rows = {r["doc_id"]: r for r in langid.identify(odd).collect()}
     assert len(rows) == len({r["doc_id"] for r in odd.collect()})
