@@ -7,7 +7,7 @@ the next one's documents. All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkstream.llm import jaccard, langid, packing, quality, substrings
@@ -30,12 +30,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that link by their 5-word shingles, the one with the least doc_id.
 
-    Rows without a doc_id stay, and so do rows that repeat one doc_id.
+    Rows without a doc_id take part under a number made from their text, beyond ids below 2**62. Of rows that repeat one
+    doc_id, one of each set of shingles stays (of each text, if it has no words).
     """
     prepare(spark)
-    kept = jaccard.join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left").where(F.col("__kept").isNotNull() | F.col("doc_id").isNull())
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    made = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 62))
+    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), made))
+    found = jaccard.join(rows.select(F.col("__id").alias("doc_id"), "text")).where("doc_id = component_id")
+    kept = materialise(found.groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__rows")), "kept")
+    once = rows.join(kept.where("__rows = 1"), F.col("__id") == F.col("__kept")).select(*names)
+    again = rows.join(kept.where("__rows > 1"), F.col("__id") == F.col("__kept")).withColumn("__set", jaccard.set_hash("text"))
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() not in ("array", "map", "struct", "variant")]
+    order = Window.partitionBy("__id", "__set").orderBy("text", *plain)
+    return once.union(again.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*names))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,13 +22,16 @@ the one shingle. Rows with one doc_id count as one node; a null doc_id keeps a n
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from inkstream.llm import exchange, kernels
 from inkstream.llm.components import Forest, components
@@ -59,6 +62,14 @@ def sets(texts: pa.ChunkedArray, width: int) -> list[np.ndarray]:
     return out
 
 
+@F.pandas_udf(StringType())
+def set_hash(texts: pd.Series) -> pd.Series:
+    """A hash of each text's set of shingles, or of the text if it has none."""
+    found = sets(pa.chunked_array([pa.array(texts, pa.string())]), 5)
+    bodies = [s.tobytes() if len(s) else repr(t).encode() for s, t in zip(found, texts, strict=True)]
+    return pd.Series([hashlib.sha256(b).hexdigest() for b in bodies])
+
+
 def needed(n: np.ndarray) -> np.ndarray:
     """The least overlap with any partner: 0.8 of the own size, rounded up."""
     return (4 * n + 4) // 5

@@ -190,6 +190,19 @@ def test_pipeline_odd_rows(spark, odd, none):
     assert sorted(r["doc_id"] or 0 for r in p.near_duplicates(spark, odd, "").collect()) == [0, 1, 2, 3, 4, 6, 7, 8, 9]
 
 
+def test_pipeline_repeated_rows(spark):
+    """One whole copy stays of rows that repeat, with and without an id; other texts of one id stay too."""
+    import corpus_pipeline as p
+
+    a, b, c, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abce")
+    rows = [(1, a), (1, a), (1, a.upper()), (None, b), (None, b), (2, c), (None, c), (2, c), (3, e), (3, "another text under the same id"), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(i, t, {"k": 1}) for i, t in rows], "doc_id long, text string, more map<string, int>")
+    kept = p.near_duplicates(spark, docs, "")
+    whole = [(r["doc_id"], r["text"].lower()) for r in p.substring_dedup(spark, kept, "").collect()]
+    assert kept.columns == docs.columns
+    assert sorted(whole, key=str) == sorted([(1, a), (None, b), (2, c), (3, e), (3, "another text under the same id"), (4, "")], key=str)
+
+
 def test_nothing_else_imports_this_package():
     import pathlib
 
