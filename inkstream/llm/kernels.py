@@ -2,7 +2,8 @@
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Words get two independent 64-bit hashes
 (polynomials modulo 2**64 over the bytes, then mixed); words of over ``LONG_WORD`` bytes are hashed by BLAKE2,
-since a polynomial modulo 2**64 has known collisions between long strings. Memory is bounded by ``SPAN``.
+since a polynomial modulo 2**64 has known collisions between long strings. Memory is bounded by ``SPAN``, and the
+tables of powers, which workers keep, by ``STEP`` (four bases, 2 MB each).
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-SPAN = 1 << 20
+#: Bytes of text that are worked on at once, and bytes or words that one table of powers spans.
+SPAN, STEP = 1 << 20, 1 << 16
 LONG_WORD = 256
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _IN_WORD = np.ones(256, dtype=bool)
@@ -101,13 +103,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes:
     first = 0
     while first < len(starts):
         at = int(starts[first])
-        last = max(first + 1, int(np.searchsorted(ends, at + SPAN, side="right")))
+        last = max(first + 1, int(np.searchsorted(ends, at + STEP, side="right")))
         stop = int(ends[last - 1])
-        if stop - at <= SPAN:
+        if stop - at <= STEP:
             piece = data[at:stop].astype(np.uint64) + np.uint64(1)
             s, e = starts[first:last] - at, ends[first:last] - at
             for k, base in enumerate(_BASES[:hashes]):
-                power, inverse = _tables(base, SPAN)
+                power, inverse = _tables(base, STEP)
                 total = np.empty(len(piece) + 1, np.uint64)
                 total[0] = 0
                 np.cumsum(piece * power[: len(piece)], out=total[1:])
@@ -136,10 +138,10 @@ def sequence_hashes(words: np.ndarray, first: np.ndarray, lengths: np.ndarray, w
     at = 0
     while at < len(first):
         begin = int(first[at])
-        to = max(at + 1, int(np.searchsorted(first, begin + (SPAN >> 1))))
+        to = max(at + 1, int(np.searchsorted(first, begin + (STEP >> 1))))
         f, n = first[at:to] - begin, lengths[at:to]
         stop = int((f + n).max())
-        power, inverse = _tables(_STEPS[which], max(SPAN, stop))
+        power, inverse = _tables(_STEPS[which], max(STEP, stop))
         total = np.empty(stop + 1, np.uint64)
         total[0] = 0
         np.cumsum(words[begin : begin + stop] * power[:stop], out=total[1:])

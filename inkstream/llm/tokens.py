@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 
 from inkstream.llm import kernels
 
-#: Bytes in a batch (a longer text makes a batch of its own); slots of the worker's cache, and how many may be used.
-BATCH_BYTES, SLOTS, FULL = 1 << 20, 1 << 21, 1_300_000
+#: Bytes in a batch (a longer text makes a batch of its own); slots of the worker's cache, how many may be used, and how
+#: many ids it may hold before it starts anew.
+BATCH_BYTES, SLOTS, FULL, MOST_IDS = 1 << 20, 1 << 20, 650_000, 4_000_000
 _LEADING = re.compile(rb"(?<=[A-Za-z0-9]) (?=[A-Za-z])")
 
 
@@ -44,7 +45,8 @@ def boundary(path: str) -> str | None:
 class Memo:
     """The ids of pieces that were encoded lately: an open-addressing table over two hashes of a piece, in arrays.
 
-    When it is ``FULL`` it starts anew, so its memory is bounded: about 26 bytes a slot and the ids themselves.
+    When it is ``FULL``, or holds ``MOST_IDS`` ids, it starts anew, so its memory is bounded: about 24 bytes a slot and four
+    an id.
     """
 
     def __init__(self):
@@ -132,7 +134,7 @@ class Encoder:
         new = np.flatnonzero(slot < 0)
         if len(new):
             a, b, at = self._distinct(one, two, new)
-            if self.memo.filled + len(at) > FULL:
+            if self.memo.filled + len(at) > FULL or self.memo.used > MOST_IDS:
                 self.memo.clear()
                 a, b, at = self._distinct(one, two, np.arange(len(one)))
                 new = np.arange(len(one))
