@@ -195,7 +195,11 @@ class BytePairs:
             new = list(here)
         self.cache.update(zip(new, self.encode_many([p.encode() for p in new]), strict=True))
         get = self.cache.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        out = [b"".join(map(get, pieces)) for pieces in split]
+        for piece in new:  # long pieces rarely come again; without them the cache is bounded in bytes too
+            if len(piece) > SIDE_BY_SIDE:
+                del self.cache[piece]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that the ids stand for."""

@@ -2,10 +2,13 @@
 
 Documents become pieces of at most the capacity. Only the histogram of piece lengths (one number for each length) goes
 to the driver. There the configuration linear program (cover the histogram with the fewest patterns, a pattern being a
-multiset of lengths that fits) is solved by multiplicative weights: a weight for each length prices it, a knapsack
-dynamic program finds the pattern of highest price, and the weights of the lengths it covers fall. The fractional
-solution is rounded down to whole patterns that never cover a length twice, and best fit over the histogram places what
-is left, many equal items at a time. The plan's size depends on the capacity, not on the number of pieces.
+multiset of lengths that fits) is solved by multiplicative weights: a weight for each length prices it, and weights fall
+as lengths are covered. A knapsack dynamic program over all rooms at once prices patterns; its table gives, for each
+length, the pattern of highest price that holds it. Each round buys of these as much as no length's count forbids, until
+the cover is whole. The prices of every round also bound the optimum from below. The fractional solution is rounded down
+to whole patterns; what is left is a smaller program, which is solved and rounded again, and best fit places the last
+few items, into the room that rounding left open first. The plan's size depends on the capacity, not on the number of
+pieces.
 
 Each length's pieces are numbered (a count for each task and length, then a running sum), and a piece's number looks
 up its place in the plan. Pieces are written to the shared folder first, which fixes each task's rows.
@@ -19,6 +22,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +33,9 @@ from pyspark.sql import functions as F
 from inkstream.llm import tokens
 from inkstream.session import materialise
 
-#: Rounds of multiplicative weights; each adds one pattern at most.
-ROUNDS = 300
-#: Shares of the fractional solution that are tried as whole patterns.
-SHARES = (1.0, 0.9, 0.7, 0.5)
+#: Rounds of multiplicative weights for one program, at most; how strongly covered lengths lose weight; and how often
+#: what rounding left is solved anew.
+ROUNDS, RATE, PASSES = 50, 1.0, 5
 _SHIFT = 1 << 44
 
 Plan = list[tuple[dict[int, int], int]]
@@ -72,99 +75,153 @@ def pieces(docs: DataFrame, path: str, capacity: int, end: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, rank long")
 
 
-def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """The pattern of highest total price, as length -> count. ``lengths`` ascend."""
-    best = np.zeros(capacity + 1)
-    chosen = np.full(capacity + 1, -1)
+def knapsack(prices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each room, the highest total price of items that fit, and the length to take first (0: leave one token).
+
+    ``prices`` holds a price for each length from 0 on, ``-inf`` where there is none.
+    """
+    capacity = len(prices) - 1
+    best, chosen = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    down, values = prices[::-1].copy(), np.empty(capacity + 1)
     for room in range(1, capacity + 1):
-        n = int(np.searchsorted(lengths, room, side="right"))
-        if n:
-            values = best[room - lengths[:n]] + prices[:n]
-            k = n - 1 - int((values[::-1] >= values.max() - 1e-12).argmax())  # of equals the longest: short items fit later
-            best[room], chosen[room] = values[k], k
-        if best[room - 1] > best[room]:
-            best[room], chosen[room] = best[room - 1], -1
-    pattern, room = Counter(), capacity
-    while room > 0:
-        if chosen[room] < 0:
-            room -= 1
+        v = np.add(best[:room], down[capacity - room : capacity], out=values[:room])  # of lengths room, room - 1, ..., 1
+        k = int(v.argmax())  # of equals the longest: short items fit later
+        if v[k] > best[room - 1] + 1e-12:
+            best[room], chosen[room] = v[k], room - k
         else:
-            length = int(lengths[chosen[room]])
-            pattern[length] += 1
-            room -= length
-    return dict(pattern)
+            best[room] = best[room - 1]
+    return best, chosen
 
 
-def fractional(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """Patterns and multiplicities that cover the histogram approximately: multiplicative weights over lengths.
+def fractional(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Patterns and multiplicities that cover the histogram, and a lower bound on any cover.
 
-    A length's weight starts at its share of all tokens. Each round buys as much of the best pattern as keeps every
-    length within its own count, and lowers the weights by what was bought of each.
+    A length's price is its share of a sequence times a weight that falls with the share of its count that is covered.
+    Of every length, longest first, as much of the best pattern that holds it is bought as keeps all lengths within
+    their counts. The rest, if rounds run out, is covered by patterns of one length.
     """
     lengths = np.array(sorted(histogram), np.int64)
-    counts = np.array([histogram[x] for x in lengths.tolist()], float)
-    place = {x: i for i, x in enumerate(lengths.tolist())}
-    price0 = lengths / capacity
-    bought, covered = Counter(), np.zeros(len(lengths))
-    total = float(counts @ lengths) / capacity
-    keys: dict[tuple, dict[int, int]] = {}
+    counts = np.zeros(capacity + 1)
+    counts[lengths] = [histogram[x] for x in lengths.tolist()]
+    rest, bought, bound = counts.copy(), Counter(), 0.0
     for _ in range(rounds):
-        pattern = knapsack(lengths, price0 * np.exp(-4.0 * covered / counts), capacity)
-        if not pattern:
+        open_ = np.flatnonzero(rest > 1e-9)
+        if not len(open_):
             break
-        amount = min(min(counts[place[x]] / n for x, n in pattern.items()), max(1.0, total / 8))
-        key = tuple(sorted(pattern.items()))
-        keys[key] = pattern
-        bought[key] += amount
-        for x, n in pattern.items():
-            covered[place[x]] += amount * n
-    over = {key: max(1.0, max(covered[place[x]] / counts[place[x]] for x in pattern)) for key, pattern in keys.items()}
-    return [(keys[key], amount / over[key]) for key, amount in bought.items()]
-
-
-def best_fit(rest: dict[int, int], capacity: int) -> Plan:
-    """Best fit, longest first, over a histogram; equal items into equal sequences are placed together."""
-    rooms: dict[int, list[tuple[dict[int, int], int]]] = {}
+        prices = np.full(capacity + 1, -np.inf)
+        share = open_ / capacity
+        prices[open_] = share * (1 + 1e-9 * share) * np.exp(RATE * (rest[open_] / counts[open_] - 1))  # long items win ties
+        best, chosen = knapsack(prices)
+        bound = max(bound, float(counts[open_] @ prices[open_]) / best[capacity])
+        for length in open_[::-1].tolist():
+            if rest[length] <= 1e-9:
+                continue
+            pattern, room = {length: 1}, capacity - length
+            while room > 0:
+                if not (x := int(chosen[room])):
+                    room -= 1
+                    continue
+                pattern[x] = pattern.get(x, 0) + 1
+                room -= x
+            amount = min(rest[x] / n for x, n in pattern.items())
+            if amount >= 1:  # whole multiplicities lose nothing when they are rounded
+                amount = float(int(amount))
+            if amount > 1e-9:
+                bought[tuple(sorted(pattern.items()))] += amount
+                for x, n in pattern.items():
+                    rest[x] -= n * amount
+    for length in np.flatnonzero(rest > 1e-9).tolist():
+        many = capacity // length
+        bought[((length, many),)] += rest[length] / many
+    return [(dict(key), amount) for key, amount in bought.items()], bound
+
+
+def best_fit(rest: dict[int, int], capacity: int, given: Plan = ()) -> Plan:
+    """Best fit, longest first, over a histogram, into the room of the given patterns and into new ones; equal items into
+    equal sequences are placed together."""
+    rooms: list[list[tuple[dict[int, int], int]]] = [[] for _ in range(capacity + 1)]
+    there = bytearray(capacity + 1)  # rooms that some sequence has
+
+    def put(room: int, pattern: dict[int, int], count: int) -> None:
+        rooms[room].append((pattern, count))
+        there[room] = 1
+
+    for pattern, count in given:
+        put(capacity - sum(x * n for x, n in pattern.items()), pattern, count)
     for length in sorted(rest, reverse=True):
         n = rest[length]
         while n:
-            room = min((r for r in rooms if r >= length), default=None)
-            if room is None:
+            room = there.find(1, length)
+            if room < 0:
                 each = capacity // length
                 full, more = divmod(n, each)
                 for many, count in ((each, full), (more, 1 if more else 0)):
                     if count:
-                        rooms.setdefault(capacity - many * length, []).append(({length: many}, count))
+                        put(capacity - many * length, {length: many}, count)
                 break
             pattern, count = rooms[room].pop()
-            if not rooms[room]:
-                del rooms[room]
+            there[room] = bool(rooms[room])
             used = min(n, count)
             if used < count:
-                rooms.setdefault(room, []).append((pattern, count - used))
-            rooms.setdefault(room - length, []).append((pattern | {length: pattern.get(length, 0) + 1}, used))
+                put(room, pattern, count - used)
+            put(room - length, pattern | {length: pattern.get(length, 0) + 1}, used)
             n -= used
-    return [x for room in sorted(rooms) for x in rooms[room]]
+    return [x for made in rooms for x in made]
 
 
-def rounded(histogram: dict[int, int], found: list[tuple[dict[int, int], float]], share: float, capacity: int) -> Plan:
-    """Whole multiplicities of the full patterns, at a share of the fractional ones; best fit for what is left."""
-    rest, out = dict(histogram), []
-    for pattern, amount in found:
-        n = min(int(amount * share), *(rest[x] // k for x, k in pattern.items()))
-        if n > 0 and sum(x * k for x, k in pattern.items()) == capacity:
-            out.append((pattern, n))
-            for x, k in pattern.items():
-                rest[x] -= n * k
-    return out + best_fit({x: n for x, n in rest.items() if n}, capacity)
+@dataclass(frozen=True)
+class Solved:
+    """A plan, the fractional cover's size, the lower bound, and how many sequences come from rounded patterns.
+
+    The program's optimum lies between the bound and the smaller of ``fractional`` and ``sequences``, the plan itself being
+    a cover.
+    """
+
+    plan: Plan
+    fractional: float
+    bound: float
+    rounded: int
 
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.plan)
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> Plan:
-    """Patterns with whole multiplicities that use every item of the histogram exactly once: the shortest of a few
-    roundings of the fractional solution."""
-    histogram = {x: n for x, n in histogram.items() if n}
-    found = sorted(fractional(histogram, capacity, rounds), key=lambda x: (-max(x[0]), sorted(x[0].items()))) if histogram else []
-    return min((rounded(histogram, found, share, capacity) for share in SHARES), key=lambda p: sum(n for _, n in p))
+
+def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> Solved:
+    """Patterns with whole multiplicities that use every item of the histogram exactly once.
+
+    Of a pass, patterns count that are full up to a few hundredths of the capacity, one more each pass, and all of them in
+    the last; emptier ones go to the next program. Best fit may take over after any pass: the fewest sequences win, and of
+    equals the most rounded patterns.
+    """
+    rest = {x: n for x, n in histogram.items() if n}
+    whole = sum(x * n for x, n in rest.items())
+    size, bound, plan, ways = 0.0, float(max(-(-whole // capacity), sum(n for x, n in rest.items() if 2 * x > capacity))), [], [(rest, [])]
+    for k in range(PASSES):
+        if not rest:
+            break
+        found, low = fractional(rest, capacity, rounds)
+        if k == 0:
+            size, bound = sum(amount for _, amount in found), max(bound, low)
+        more, rest = _whole(found, rest, (100 - k) * capacity if k < PASSES - 1 else 0)
+        plan = plan + more
+        ways.append((rest, plan))
+    made = [(best_fit(rest, capacity, plan), plan) for rest, plan in ways]
+    out, kept = min(made, key=lambda w: (sum(n for _, n in w[0]), -sum(n for _, n in w[1])))
+    return Solved(out, size, bound, sum(n for _, n in kept))
+
+
+def _whole(found: list[tuple[dict[int, int], float]], rest: dict[int, int], least: int) -> tuple[Plan, dict[int, int]]:
+    """Whole multiplicities of the patterns that fill ``least`` hundredths of a token count or more, fullest first; and
+    what is left."""
+    out, rest = [], dict(rest)
+    for pattern, amount in sorted(found, key=lambda x: (-sum(a * b for a, b in x[0].items()), sorted(x[0].items(), reverse=True))):
+        n = min(int(amount + 1e-6), *(rest.get(x, 0) // m for x, m in pattern.items()))
+        if n > 0 and 100 * sum(x * m for x, m in pattern.items()) >= least:
+            out.append((pattern, n))
+            for x, m in pattern.items():
+                rest[x] -= n * m
+    return out, {x: n for x, n in rest.items() if n}
 
 
 class Places:
@@ -196,7 +253,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, rounds:
     counts = made.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
     sums = materialise(counts, "piece-counts")
     histogram = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row a length
-    places = made.sparkSession.sparkContext.broadcast(Places(plan(histogram, capacity, rounds)))
+    places = made.sparkSession.sparkContext.broadcast(Places(solve(histogram, capacity, rounds).plan))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     numbered = made.join(base, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("k"))

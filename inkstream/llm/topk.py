@@ -1,15 +1,17 @@
 """Operator 7: exact top-k search by inner product, without random access.
 
 Vectors of integers are dealt to blocks; every block of queries meets every block of candidates. In a block, each
-dimension has a list of the candidates sorted by that component; a query reads each list from the end where its own
-component makes the product largest. All lists are read sequentially, in a few steps of growing depth. What was read of a
-candidate is a partial sum; with the last product read (the most that an unread one can add) and the list's final
-product (the least) it gives an upper and a lower bound. Reading stops when the k-th best lower bound leaves few
-candidates whose upper bound reaches it; their scores are resolved exactly. Blocks' winners are merged for each query.
+dimension has a list of the candidates sorted by that component. All lists are read sequentially from both ends at the
+same pace, and every product read is added to the partial sums of the candidates it belongs to. A component that was not
+read lies between the two entries that its list would give next; by the Cauchy-Schwarz inequality, this bounds what a
+candidate's unread products add or take away. A candidate whose upper bound is below the k-th best lower bound cannot
+qualify. Reading stops when few candidates can; their scores are resolved exactly. Blocks' winners are merged for each
+query.
 
 Results: k best for each query, ties to the smaller id; all if there are fewer. Null vectors, and vectors with null or
 non-finite components, take no part; vectors of another dimension than the query's are no candidates. Repeated rows
 stay repeated, as in ``SQL``: each copy of a candidate takes a rank, and each copy of a query meets all candidates.
+Scores beyond 64 bits are compared exactly and returned as the nearest 64-bit integer.
 """
 
 from __future__ import annotations
@@ -21,65 +23,88 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Candidates and queries in a block; products stay exact below ``EXACT``; how deep lists are read, step by step.
-CANDIDATES, QUERIES, EXACT = 4096, 8192, 1 << 52
-DEPTHS = (0.125, 0.5, 0.75)
+from inkstream.session import partitions
+
+#: Candidates and queries in a block, at most; into how many steps the reading of a list is cut.
+CANDIDATES, QUERIES, STEPS = 16384, 32768, 8
 
 
 class Lists:
     """A block of candidates, and its lists sorted by each dimension.
 
-    How far a list was read is the same for all queries that read it from the same end, so the bounds of a whole block
-    of queries come from products of matrices. Where a query's component q is positive, the list is read from the top,
-    and what was not read is v at most, v being the last value read: the upper bound takes max(x, v) for every
-    candidate, the lower bound x where it was read and the least value of the list elsewhere. Negative components
-    mirror this. All numbers are integers below 2**53, so the products are exact.
+    Components are taken relative to their list's median, which moves all scores of a query alike, so that values in
+    the middle of a list, which are read last, are small. How far lists were read is the same for all queries, so a block
+    of queries shares the reading. ``read`` counts the list entries read.
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order].astype(float)
-        self.whole = vectors[order]
-        self.sorted = np.sort(self.vectors, axis=0)
-        self.most = float(np.abs(self.vectors).max(initial=0))
+        self.ids, self.vectors = ids[order], vectors[order]
+        n, dims = vectors.shape
+        self.lists = np.argsort(self.vectors, axis=0, kind="stable").T.copy()
+        self.values = np.take_along_axis(self.vectors, self.lists.T, axis=0).T
+        if n and not self._fits(self.values, self.values):
+            self.values = self.values.astype(object)
+        self.values = self.values - self.values[:, n // 2, None] if n else self.values
+        self.place = np.empty_like(self.lists)
+        np.put_along_axis(self.place, self.lists, np.arange(n)[None, :], axis=1)
+        self.read = 0
+
+    @staticmethod
+    def _fits(x: np.ndarray, y: np.ndarray, bits: int = 62) -> bool:
+        """True if inner products, and differences of components, stay below so many bits."""
+        most = lambda v: max((abs(int(e)) for e in (v.min(), v.max())), default=0) if v.size else 0
+        return 2 * most(x) * max(2 * most(y), 1) * max(1, len(x)) < 1 << bits
 
     def best(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids and scores of each query's k best, best first."""
-        if self.most * float(np.abs(queries).max(initial=0)) * max(1, queries.shape[1]) >= EXACT:
-            return [self._first(np.flatnonzero(self.ids != o), [sum(int(a) * int(b) for a, b in zip(v, q, strict=True)) for v in self.whole], k) for q, o in zip(queries, own, strict=True)]
-        out = []
-        for at in range(0, len(queries), 128):
-            out += self._some(queries[at : at + 128].astype(float), own[at : at + 128], k)
+        out, step = [], max(8, (1 << 19) // max(1, len(self.ids)))
+        for at in range(0, len(queries), step):
+            out += self._some(queries[at : at + step], own[at : at + step], k)
         return out
 
     def _some(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        n = len(self.ids)
-        rest = self.ids[None, :] != own[:, None]
-        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-        few = max(4 * k, n // 32)
-        for share in DEPTHS:
-            depth = int(n * share)
-            if depth < 1 or n <= 2 * few:
-                break
-            top, bottom, x = self.sorted[n - depth], self.sorted[depth - 1], self.vectors
-            upper = up @ np.maximum(x, top).T + down @ np.minimum(x, bottom).T
-            lower = up @ np.where(x >= top, x, self.sorted[0]).T + down @ np.where(x <= bottom, x, self.sorted[-1]).T
-            lower[~rest] = -np.inf
-            bar = np.partition(lower, n - k, axis=1)[:, n - k]
-            rest &= upper >= bar[:, None]
-            if rest.sum(axis=1).max() <= few:
+        n, dims = self.vectors.shape
+        q = queries.T
+        kind = np.int32 if self._fits(self.values, q, 30) else np.int64 if self._fits(self.values, q) else object
+        q, values = q.astype(kind), self.values.astype(kind)
+        norms = np.sqrt((q.astype(float) ** 2).sum(axis=0))
+        partial = np.zeros((n, len(queries)), kind)
+        outside = self.ids[:, None] == own[None, :]
+        rest = ~outside
+        a, b, step = 0, n, max(1, -(-n // (2 * STEPS)))
+        while a < b:
+            c, d = min(a + step, b), max(b - step, min(a + step, b))
+            for i in range(dims):
+                for x, y in ((a, c), (d, b)):
+                    partial[self.lists[i, x:y]] += values[i, x:y, None] * q[i]
+            self.read += dims * (c - a + b - d) * len(queries)
+            a, b = c, d
+            if a == b or 2 * (n - b + a) < n:
+                continue
+            wide = np.maximum(np.abs(values[:, a].astype(float)), np.abs(values[:, b - 1].astype(float)))
+            unread = ((self.place >= a) & (self.place < b)).T @ wide**2
+            slack = np.sqrt(unread)[:, None] * norms
+            slack += 1e-9 * slack + 1e-12 * max(1.0, float(np.abs(partial).max(initial=0)))
+            sums = partial.astype(float)
+            lower = np.where(outside, -np.inf, sums - slack)
+            bar = np.partition(lower, n - k, axis=0)[n - k] if n >= k else np.full(len(queries), -np.inf)
+            rest = ~outside & (sums + slack >= bar)
+            if rest.sum() * 24 <= rest.size:
                 break
         out = []
-        for q, left in zip(queries, rest, strict=True):
-            at = np.flatnonzero(left)
-            out.append(self._first(at, self.vectors[at] @ q, k))
+        wide = not self._fits(self.vectors, queries)
+        for j, (o, whole) in enumerate(zip(own, queries, strict=True)):
+            at = np.flatnonzero(rest[:, j])
+            x = self.vectors[at]
+            out.append(self._first(at, (x.astype(object) if wide else x) @ (whole.astype(object) if wide else whole), k))
         return out
 
-    def _first(self, rest: np.ndarray, scores, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _first(self, rest: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best of some candidates with their resolved scores."""
-        if isinstance(scores, list):
-            at = sorted(rest.tolist(), key=lambda i: (-scores[i], self.ids[i]))[:k]
-            return self.ids[at], np.array([max(-(1 << 63), min((1 << 63) - 1, scores[i])) for i in at], np.int64)
+        if scores.dtype == object:
+            at = sorted(range(len(rest)), key=lambda i: (-scores[i], self.ids[rest[i]]))[:k]
+            return self.ids[rest[at]], np.array([max(-(1 << 63), min((1 << 63) - 1, scores[i])) for i in at], np.int64)
         at = np.lexsort((self.ids[rest], -scores))[:k]
         return self.ids[rest[at]], scores[at].astype(np.int64)
 
@@ -101,8 +126,8 @@ def search(vectors: DataFrame, queries: Column, k: int, vec_id: str = "vec_id",
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"), queries.alias("asks")).where("vec_id IS NOT NULL").withColumn("width", F.size("vector"))
     n, asked = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
-    blocks, groups = max(1, math.ceil(n / CANDIDATES)), max(1, math.ceil(asked / QUERIES))
-    deal = lambda m: F.pmod(F.xxhash64("vec_id", "vector"), F.lit(m)).cast("int")
+    blocks, groups = max(1, math.ceil(n / CANDIDATES), min(partitions(vectors.sparkSession), n // 1024)), max(1, math.ceil(asked / QUERIES))
+    deal = lambda m: F.pmod(F.xxhash64("vec_id", "vector", F.spark_partition_id()), F.lit(m)).cast("int")  # noqa: E731  repeated rows go to many blocks
     candidates = rows.withColumn("block", deal(blocks)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("width", "block", "part", "vec_id", "vector")
     asking = rows.where("asks").withColumn("part", deal(groups)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("width", "block", "part", "vec_id", "vector")
 
