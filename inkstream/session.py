@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -15,14 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def on_one_machine(spark: SparkSession) -> bool:
+    """True where driver and tasks share one machine's folders and search path."""
+    return re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is not None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a folder of
-    the local machine is chosen, once for a session.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset and all runs on one machine (tests) a folder
+    of that machine is chosen, once for a session.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not on_one_machine(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="inkstream-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -36,24 +44,45 @@ _written: list[str] = []
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    Results may still read these tables, so they stay until ``release``.
+    Results may still read these tables, so they stay until ``discard`` or ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._inkstream_table = path
+    return out
+
 
+def written() -> list[str]:
+    """The tables that ``materialise`` wrote and nobody deleted yet, oldest first."""
+    return list(_written)
 
-def release(spark: SparkSession) -> int:
-    """Delete all tables that ``materialise`` wrote for this program; call it once their results are written."""
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of ``materialise``, by Hadoop's file systems."""
     conf = spark._jsc.hadoopConfiguration()
-    for path in _written:
+    for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
-    n = len(_written)
-    _written.clear()
-    return n
+        if path in _written:
+            _written.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that no later step reads, also after a lost executor."""
+    for df in tables:
+        if path := getattr(df, "_inkstream_table", None):
+            delete(df.sparkSession, [path])
+
+
+def release(spark: SparkSession, keep: list[str] = ()) -> int:
+    """Delete all tables that ``materialise`` wrote for this program but those in ``keep``; call it once the results that
+    read them are written. Returns their number."""
+    gone = [path for path in _written if path not in keep]
+    delete(spark, gone)
+    return len(gone)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -66,9 +95,12 @@ def package_root() -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let executors import this package: a zip of it goes out once a session, unless their path has it already."""
+    """Let executors import this package: a zip of it goes out once a session, unless all runs on this machine and its
+    path has the package already."""
     root = package_root()
-    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.path.samefile(os.getcwd(), root) or not os.path.isdir(root):
+    if not os.path.isdir(root):  # the package itself came in a zip
+        return
+    if on_one_machine(spark) and (root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.path.samefile(os.getcwd(), root)):
         return
     if spark.conf.get("spark.inkstream.shipped", None):
         return
