@@ -97,11 +97,12 @@ def test_op10_code_lengths_equal_the_tree(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2 and r[2] == "x"]
     model = langid.train(docs)
-    counts = [Counter(), Counter(), Counter()]
+    most = langid.ORDER
+    counts = [Counter() for _ in range(most + 1)]
     for _, t, _ in kept:
-        data = [0, 0, *t.encode()]
-        for i in range(2, len(data)):
-            for k in range(3):
+        data = [*[0] * most, *t.encode()]
+        for i in range(most, len(data)):
+            for k in range(most + 1):
                 counts[k][tuple(data[i - k : i + 1])] += 1
     symbols = sorted({b for _, t, _ in rows for b in t.encode()}) if len(kept) == 2 else None
     assert symbols
@@ -119,10 +120,40 @@ def test_op10_code_lengths_equal_the_tree(spark):
         return len(here) / whole * p(context, b, order - 1, size) / left
 
     text = b"bandanabra"
-    data = [0, 0, *text]
-    want = sum(-math.log2(p(data[i - 2 : i], data[i], 2, model.size)) for i in range(2, len(data)))
+    data = [*[0] * most, *text]
+    want = sum(-math.log2(p(data[i - most : i], data[i], most, model.size)) for i in range(most, len(data)))
     got = model.bits(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0][model.langs.index("x")]
     assert got == pytest.approx(want, rel=1e-5)
+    # all bytes after a context, seen or not, have probabilities that sum to one
+    for context in (b"band", b"zebr", b"\x00\x00\x00b", b"qqqq", b"xban"):
+        rows = model.table(0)._costs(np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.uint64))
+        assert np.exp2(-rows.astype(float)).sum(axis=0) == pytest.approx(np.ones(len(model.langs)), rel=1e-4)
+
+
+def test_op10_score_is_the_posterior(spark, sf, texts):
+    """The score column of the query against code lengths of the same model, one text at a time."""
+    import numpy as np
+
+    model = langid.train(table(spark, sf, "documents"))
+    got = {r["doc_id"]: r for r in queries.op10_language(spark, sf).collect()}
+    for d, t, _ in texts[:60]:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        bits = model.bits(data, np.array([0, len(data)]))[0]
+        if got[d]["lang_pred"] != "und":
+            assert got[d]["lang_pred"] == model.langs[int(bits.argmin())]
+            assert got[d]["score"] == pytest.approx(1 / sum(2.0 ** -(b - bits.min()) for b in bits), rel=1e-3)
+
+
+def test_op10_sample_is_bounded(spark, sf, monkeypatch, texts):
+    """A model that is fitted on a sample; each language keeps some of its rows and the small ones all of them."""
+    docs = table(spark, sf, "documents")
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 40_000)
+    rows = [(r["lang"], r["text"]) for r in langid.sampled(docs).collect()]
+    size = {x: sum(len(t.encode()) for k, t in rows if k == x) for x, _ in rows}
+    assert set(size) == {x for _, _, x in texts} and max(size.values()) < 120_000
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs).collect()}
+    out = [(got[d], x) for d, _, x in texts if zlib.crc32(str(d).encode()) % 4 == 2]
+    assert sum(a == b for a, b in out) >= 0.95 * len(out)
 
 
 def test_op10_learns_every_language(spark, monkeypatch):
@@ -135,7 +166,7 @@ def test_op10_learns_every_language(spark, monkeypatch):
         monkeypatch.setattr(langid, "TABLE_BYTES", size)
         model = langid.train(docs)
         assert model.langs == sorted(set(lang.values())) and len(model.groups) == (1 if size > 1 else 70)
-        got.append({r["doc_id"]: (r["lang_pred"], round(r["score"], 6)) for r in langid.predict(docs, model, ["doc_id"]).withColumnsRenamed({"__lang_pred": "lang_pred", "__score": "score"}).collect()})
+        got.append({r["doc_id"]: (r["lang_pred"], round(r["score"], 6)) for r in langid.predict(docs.select("doc_id", "text"), model).collect()})
     assert got[0] == got[1] and sum(got[0][d][0] == lang[d] for d in lang) >= 0.97 * len(lang)
 
 
