@@ -10,9 +10,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkstream.llm import jaccard, langid, packing, quality, substrings
+from inkstream.llm import columns, jaccard, langid, packing, quality, substrings
 from inkstream.llm.queries import prepare
-from inkstream.session import materialise, table
+from inkstream.session import materialise, release, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,16 +34,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     doc_id, one of each set of shingles stays (of each text, if it has no words).
     """
     prepare(spark)
-    names = [F.col(f"`{c}`") for c in docs.columns]
     made = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 62))
-    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), made))
-    found = jaccard.join(rows.select(F.col("__id").alias("doc_id"), "text")).where("doc_id = component_id")
-    kept = materialise(found.groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__rows")), "kept")
-    once = rows.join(kept.where("__rows = 1"), F.col("__id") == F.col("__kept")).select(*names)
-    again = rows.join(kept.where("__rows > 1"), F.col("__id") == F.col("__kept")).withColumn("__set", jaccard.set_hash("text"))
-    plain = [F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() not in ("array", "map", "struct", "variant")]
-    order = Window.partitionBy("__id", "__set").orderBy("text", *plain)
-    return once.union(again.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*names))
+    plain = columns.plain(docs, "doc_id", "text")
+    rows = plain.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), made))
+    found = jaccard.join(rows.select(F.col("id").alias("doc_id"), "text")).where("doc_id = component_id")
+    kept = materialise(found.groupBy(F.col("doc_id").alias("kept")).agg(F.count(F.lit(1)).alias("rows")), "kept")
+    once = rows.join(kept.where("rows = 1"), F.col("id") == F.col("kept")).select(plain.columns)
+    again = rows.join(kept.where("rows > 1"), F.col("id") == F.col("kept")).withColumn("set", F.arrow_udf(jaccard.set_hash, "string")("text"))
+    sortable = [f.name for f in plain.schema if f.dataType.typeName() not in ("array", "map", "struct", "variant")]
+    order = Window.partitionBy("id", "set").orderBy("text", *sortable)
+    return once.union(again.withColumn("n", F.row_number().over(order)).where("n = 1").select(plain.columns)).toDF(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,12 +52,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A text without such a passage stays as it is; of the others, the words that are left are joined by one space.
     """
     prepare(spark)
-    rows = substrings.dedup(docs, 35, prefix="__")
-    changed = F.col("__n_removed") > 0
-    new = {"text": F.when(changed, F.col("__kept")).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return rows.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    plain = columns.plain(docs, "doc_id", "text", *[c for c in docs.columns if c == "n_chars"])
+    changed = F.col("n_removed") > 0
+    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text"))}
+    if "n_chars" in plain.columns:
+        new["n_chars"] = F.when(changed, F.length("kept").cast(plain.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return substrings.dedup(plain, 35).select(*[new[c].alias(c) if c in new else c for c in plain.columns]).toDF(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,8 +79,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the ``documents`` of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the ``documents`` of ``sf_dir``. Tables of a stage are deleted once its result is written."""
+    docs, others = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+        release(spark, keep=[*others, written()[-1]])
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from inkstream.llm import kernels
+from inkstream.llm import columns, kernels
 
 #: Pieces of more bytes are encoded one at a time; more cached pieces than the bound empty the cache.
 SIDE_BY_SIDE, CACHED = 64, 250_000
@@ -246,6 +246,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True) -> D
                     out["ids"] = pa.array(all_ids, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(out)
 
+    docs = columns.plain(docs, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 

@@ -6,9 +6,12 @@ chunks of a few MB by a hash of their own values. A chunk asks each bucket of th
 in ascending order; the bucket sees the questions of all chunks together and answers in the same order. An answer needs
 no keys, so it may be one bit an item. The chunk is computed again and lines the answers up with its distinct items.
 
-A very frequent item reaches its bucket once from each chunk, whatever its count. Chunks and buckets depend on values
-alone, so a task that is run again after a lost executor asks and answers the same. Questions carry 80 bits of two
-hashes besides the bucket's own bits.
+Chunks and buckets grow with the square root of the input, so that a row between one chunk and one bucket keeps
+``ROW_ITEMS`` items or more whatever the input: 3 and 6 MB up to 20 GB of text, 80 MB at 10 TB. A very frequent item
+reaches its bucket once from each chunk, whatever its count. Chunks and buckets depend on values alone, so a task that is
+run again after a lost executor asks and answers the same; only rows without an id, or where repeated rows are to be dealt
+out too (``salted``), depend on the partition that they come from. Questions carry 80 bits of two hashes besides the
+bucket's own bits.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from pyspark.sql import functions as F
 from inkstream.llm import kernels
 from inkstream.session import partitions
 
-#: Bytes of text in a chunk, on average, and of questions in a bucket.
-CHUNK_BYTES, BUCKET_BYTES = 3 << 20, 6 << 20
+#: Bytes of text in a chunk, on average, and of questions in a bucket, at least; items in a row between them.
+CHUNK_BYTES, BUCKET_BYTES, ROW_ITEMS = 3 << 20, 6 << 20, 64
 CHUNK = "__chunk"
 
 
@@ -34,15 +37,25 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def chunked(docs: DataFrame, size: int) -> DataFrame:
-    """``docs`` with a column ``__chunk``, a function of the id and the text."""
-    n = max(partitions(docs.sparkSession), math.ceil(size / CHUNK_BYTES))
-    return docs.withColumn(CHUNK, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+def sizes(size: int) -> tuple[float, float]:
+    """Bytes of text in a chunk and of questions in a bucket for so many bytes of text, at an item of ten bytes for about
+    five bytes of text."""
+    side = math.sqrt(10 * ROW_ITEMS * size)
+    return max(CHUNK_BYTES, side), max(BUCKET_BYTES, side)
+
+
+def chunked(docs: DataFrame, size: int, salted: bool = False) -> DataFrame:
+    """``docs`` with a column ``__chunk``, a function of the id and the text (and of the partition, if there is no id or
+    with ``salted``)."""
+    n = max(partitions(docs.sparkSession), math.ceil(size / sizes(size)[0]))
+    place = F.spark_partition_id()
+    salt = place if salted else F.when(F.col("doc_id").isNull(), place).otherwise(F.lit(-1))
+    return docs.withColumn(CHUNK, F.pmod(F.xxhash64("doc_id", "text", salt), F.lit(n)).cast("int"))
 
 
 def bucket_bits(docs: DataFrame, size: int) -> int:
     """The number of buckets, as a power of two; at one item for about five bytes, of ten bytes each."""
-    return max(1, math.ceil(math.log2(max(partitions(docs.sparkSession), 2 * size / BUCKET_BYTES))))
+    return max(1, math.ceil(math.log2(max(partitions(docs.sparkSession), 2 * size / sizes(size)[1]))))
 
 
 def questions(chunk: int, h1: np.ndarray, h2: np.ndarray, bits: int, extra: np.ndarray | None = None) -> pa.Table:

@@ -6,14 +6,17 @@ document stands for each class. The rest is an exact search for pairs of classes
 1. The hash exchange tells, for each shingle, in how many classes it occurs, rounded to a power of two. Two sets that
    link share 0.8 of either, so a class with over a fifth of its shingles to itself has no partner and drops out.
 2. Classes are dealt to small blocks by a minimum hash of their shared shingles (twice, with two hashes; blocks of a
-   frequent minimum are split at random). In a block, a signature tree finds pairs: leaves hold token bitmaps, inner
-   nodes the OR of the bitmaps below and the range of sizes; a dual traversal from the root drops pairs of nodes whose
-   largest possible overlap is too small for their sizes. Pairs that survive are compared by their shingles, unless
-   they are in one component already. This joins most of what belongs together, at a cost linear in a group's size.
+   frequent minimum are split at random). In a block, a signature tree finds pairs: leaves hold bitmaps of the tokens
+   that occur twice or more in the block, as wide as the block's sets ask for; inner nodes, which gather sets of like size
+   and like minimum hash, hold the OR of the bitmaps below and the range of sizes; a dual traversal from the root drops
+   pairs of nodes whose largest possible overlap is too small for their sizes. Pairs that survive are compared by their
+   shingles, unless they are in one component already. This joins most of what belongs together, at a cost linear in a
+   group's size.
 3. For the rest, each class lists its rarest shingles, as many as two linked sets cannot both miss. Only shingles
-   listed by two provisional components or more matter. Their classes meet in blocks, again with signature trees (large
-   blocks are split into parts, and parts meet in pairs), and surviving pairs between different components are compared
-   by their shingles. Together with step 2, no link between different components is lost.
+   listed by two provisional components or more matter. Their classes meet, again with signature trees. The classes of
+   a frequent shingle are split by size, then at random into parts, and only parts whose sizes can link meet. Surviving
+   pairs between different components are compared by their shingles, large sets slice by slice. Together with step 2,
+   no link between different components is lost.
 
 Results: each row's number of shingles and its component, the least doc_id reachable by links, itself included. Null
 texts and texts without words have no shingles and link with nothing; with fewer than five words the whole sequence is
@@ -23,23 +26,24 @@ the one shingle. Rows with one doc_id count as one node; a null doc_id keeps a n
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from inkstream.llm import exchange, kernels
+from inkstream.llm import columns, exchange, kernels
 from inkstream.llm.components import Forest, components
-from inkstream.session import materialise
+from inkstream.session import discard, materialise, partitions
 
-#: Classes and bytes of shingles in a block of step 2, and classes in a part of a block of step 3, about; words of 64
-#: bits in a bitmap; children of a node.
-BLOCK, BLOCK_BYTES, PART, WIDTH, FANOUT = 256, 16 << 20, 1024, 16, 8
+#: Classes and bytes of shingles in a block of step 2; classes of a shingle in a part of step 3, and rows in a group of
+#: shingles there, about; shingles in a slice of a large set; children of a node; bytes of bitmaps looked at together.
+BLOCK, BLOCK_BYTES, PART, ROWS, SLICE, FANOUT, LOOK_BYTES = 256, 16 << 20, 1024, 16384, 65536, 8, 4 << 20
+#: Sizes of two sets that link differ by a factor of 1.25 at most, so their classes of size are the same or neighbours.
+GROWTH = 1.26
 _SEEDS = (0x452821E638D01377, 0xBE5466CF34E90C6C)
 
 
@@ -62,12 +66,11 @@ def sets(texts: pa.ChunkedArray, width: int) -> list[np.ndarray]:
     return out
 
 
-@F.pandas_udf(StringType())
-def set_hash(texts: pd.Series) -> pd.Series:
+def set_hash(texts: pa.Array) -> pa.Array:
     """A hash of each text's set of shingles, or of the text if it has none."""
-    found = sets(pa.chunked_array([pa.array(texts, pa.string())]), 5)
-    bodies = [s.tobytes() if len(s) else repr(t).encode() for s, t in zip(found, texts, strict=True)]
-    return pd.Series([hashlib.sha256(b).hexdigest() for b in bodies])
+    found = sets(pa.chunked_array([texts.cast(pa.string())]), 5)
+    bodies = [s.tobytes() if len(s) else repr(t).encode() for s, t in zip(found, texts.to_pylist(), strict=True)]
+    return pa.array([hashlib.sha256(b).hexdigest() for b in bodies], pa.string())
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -76,18 +79,37 @@ def needed(n: np.ndarray) -> np.ndarray:
 
 
 class SignatureTree:
-    """Bitmaps of sets in a hierarchy. ``size`` is a set's size, ``shared`` how many of its tokens the bitmap covers."""
+    """Bitmaps of sets in a hierarchy. ``size`` is a set's size, ``shared`` how many of its tokens the bitmap covers (no
+    partner has the others), ``key`` is alike for like sets. ``tests`` counts the pairs of leaves that were looked at."""
 
-    def __init__(self, bits: np.ndarray, size: np.ndarray, shared: np.ndarray):
-        self.order = np.lexsort((bits[:, 0], size))
+    def __init__(self, bits: np.ndarray, size: np.ndarray, shared: np.ndarray, key: np.ndarray):
+        self.order = np.lexsort((size, key, size_class(size)))
         bits, size, shared = bits[self.order], size[self.order], shared[self.order]
         slack = shared - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-        self.shared = shared
-        self.levels = [(bits, size, size, slack)]
+        self.levels, self.tests = [(bits, size, size, shared, slack)], 0
         while len(self.levels[-1][0]) > FANOUT:
-            bits, low, high, slack = self.levels[-1]
+            bits, low, high, shared, slack = self.levels[-1]
             at = np.arange(0, len(bits), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(bits, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(slack, at)))
+            self.levels.append((np.bitwise_or.reduceat(bits, at, axis=0), np.minimum.reduceat(low, at), *(np.maximum.reduceat(x, at) for x in (high, shared, slack))))
+
+    @classmethod
+    def of(cls, sets: list[np.ndarray], size: np.ndarray) -> SignatureTree:
+        """A tree over sets of tokens. Tokens of one set only are left out; the bitmaps are exact if there is room."""
+        n = np.array([len(s) for s in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), n)
+        tokens, inverse, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+        twice = counts > 1
+        number = (np.cumsum(twice) - 1)[inverse]
+        keep = twice[inverse]
+        owner, number = owner[keep], number[keep]
+        shared = np.bincount(owner, minlength=len(sets))
+        room = max(64, BLOCK_BYTES * 8 // max(1, len(sets)))
+        width = min(power_of_two(min(int(twice.sum()), 128 * int(shared.max(initial=0)))), 1 << (room.bit_length() - 1))
+        bits = np.zeros((len(sets), width // 64), np.uint64)
+        place = number & (width - 1)
+        np.bitwise_or.at(bits, (owner, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+        key = likeness(tokens[twice], number, owner, len(sets)) if len(sets) > FANOUT else np.zeros(len(sets), np.int64)
+        return cls(bits, size, shared, key)
 
     def pairs(self, other: SignatureTree | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of members (of this tree, or of this and the other) that may link, in parts."""
@@ -96,13 +118,15 @@ class SignatureTree:
         a, b = (self._level(top), right._level(top))
         i, j = (x.reshape(-1) for x in np.meshgrid(np.arange(len(a[0])), np.arange(len(b[0])), indexing="ij"))
         stack = [(top, i, j)]
+        step = max(1, LOOK_BYTES // max(8, a[0].shape[1] * 8))
         while stack:
             level, i, j = stack.pop()
             if other is None:
                 keep = i <= j if level else i < j
                 i, j = i[keep], j[keep]
-            for at in range(0, len(i), 1 << 15):
-                x, y = self._possible(right, level, i[at : at + (1 << 15)], j[at : at + (1 << 15)])
+            self.tests += 0 if level else len(i)
+            for at in range(0, len(i), step):
+                x, y = self._possible(right, level, i[at : at + step], j[at : at + step])
                 if not len(x):
                     continue
                 if level == 0:
@@ -127,19 +151,66 @@ class SignatureTree:
 
     def _possible(self, right: SignatureTree, level: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Those pairs of nodes whose largest possible overlap suffices."""
-        bits_a, low_a, high_a, slack_a = (v[i] for v in self._level(level))
-        bits_b, low_b, high_b, slack_b = (v[j] for v in right._level(level))
-        common = np.bitwise_count(bits_a & bits_b).sum(axis=1, dtype=np.int64)
-        most = np.minimum(np.minimum(high_a, high_b), common + np.minimum(slack_a, slack_b))
-        keep = (9 * most >= 4 * (low_a + low_b)) & (5 * high_a >= 4 * low_b) & (5 * high_b >= 4 * low_a)
-        return i[keep], j[keep]
-
-
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """A set's tokens as bits."""
-    out = np.zeros(WIDTH * 64, np.uint8)
-    out[(tokens & np.uint64(WIDTH * 64 - 1)).astype(np.int64)] = 1
-    return np.packbits(out, bitorder="little").view(np.uint64)
+        return possible(self._level(level), right._level(level), i, j)
+
+
+def possible(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs (i, j) of rows of two levels (bits, low, high, shared, slack), those that may link: first by sizes and
+    numbers of shared tokens alone, then by bitmaps."""
+    (bits_a, *left), (bits_b, *right) = a, b
+    (low_a, high_a, shared_a, slack_a), (low_b, high_b, shared_b, slack_b) = ([v[i] for v in left], [v[j] for v in right])
+    most = np.minimum(np.minimum(high_a, high_b), np.minimum(shared_a, shared_b))
+    keep = np.flatnonzero((9 * most >= 4 * (low_a + low_b)) & (5 * high_a >= 4 * low_b) & (5 * high_b >= 4 * low_a))
+    i, j, most = i[keep], j[keep], most[keep]
+    common = np.bitwise_count(bits_a[i] & bits_b[j]).sum(axis=1, dtype=np.int64)
+    most = np.minimum(most, common + np.minimum(slack_a[keep], slack_b[keep]))
+    keep = 9 * most >= 4 * (low_a[keep] + low_b[keep])
+    return i[keep], j[keep]
+
+
+def likeness(tokens: np.ndarray, number: np.ndarray, owner: np.ndarray, sets: int) -> np.ndarray:
+    """A number for each set that like sets have in common: sets with two equal minimum hashes, or a chain of such ones,
+    come together. ``number`` and ``owner`` (ascending): indexes of the sets' tokens, and whose they are."""
+    out, forest = np.arange(sets), Forest()
+    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
+    if not len(first):
+        return out
+    of = owner[first]
+    for band in range(4):
+        two = []
+        for k in (2 * band, 2 * band + 1):
+            h = kernels.mix(tokens + np.uint64(_SEEDS[0] * (k + 1) % (1 << 64)))
+            two.append(np.minimum.reduceat(h[number], first))
+        order = np.lexsort(two)
+        same = (two[0][order][1:] == two[0][order][:-1]) & (two[1][order][1:] == two[1][order][:-1])
+        for i in np.flatnonzero(same).tolist():
+            forest.join(int(of[order[i]]), int(of[order[i + 1]]))
+    return np.array([forest.root(i) for i in range(sets)])
+
+
+def size_class(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(n, 1)) / math.log(GROWTH)).astype(np.int64)
+
+
+def power_of_two(n: int) -> int:
+    """The least power of two that is ``n`` or more, 64 at least."""
+    return 1 << max(6, (max(n, 1) - 1).bit_length())
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    """A set's tokens as bits, four a token or more, between 1024 and 16384."""
+    width = min(max(1024, power_of_two(4 * len(tokens))), 16384)
+    out = np.zeros(width, np.uint8)
+    out[(tokens & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def stacked(bitmaps: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps side by side, and how many bits each has. A narrow one is repeated to the width of the widest, which keeps
+    common bits an upper bound."""
+    width = max(map(len, bitmaps)) // 8
+    own = [np.frombuffer(b, np.uint64) for b in bitmaps]
+    return np.stack([np.tile(b, width // len(b)) for b in own]), np.array([int(np.bitwise_count(b).sum()) for b in own], np.int64)
 
 
 def links(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int) -> bool:
@@ -158,11 +229,10 @@ def _tokens(body: bytes) -> np.ndarray:
 def _block(table: pa.Table) -> pa.Table:
     """Step 2: edges that join what links in one block."""
     ids, size = table.column("doc_id").to_numpy(), table.column("n").to_numpy()
-    tokens = [_tokens(x) for x in table.column("tokens").to_pylist()]
     found, forest = [], Forest()
     if len(ids) > 1:
-        tree = SignatureTree(np.stack([bitmap(t) for t in tokens]), size, np.array([len(t) for t in tokens], np.int64))
-        for x, y in tree.pairs():
+        tokens = [_tokens(x) for x in table.column("tokens").to_pylist()]
+        for x, y in SignatureTree.of(tokens, size).pairs():
             for i, j in zip(x.tolist(), y.tolist(), strict=True):
                 if forest.root(i) != forest.root(j) and links(tokens[i], tokens[j], int(size[i]), int(size[j])):
                     forest.join(i, j)
@@ -172,34 +242,80 @@ def _block(table: pa.Table) -> pa.Table:
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Step 3: pairs of one listed shingle that may link, between different provisional components."""
-    ids, size, shared = (table.column(c).to_numpy() for c in ("doc_id", "n", "shared"))
-    component, part = table.column("component").to_numpy(), table.column("part").to_numpy()
-    bits = np.stack([_tokens(x) for x in table.column("bits").to_pylist()])
-    sides = [np.flatnonzero(part == p) for p in np.unique(part)]
-    trees = [SignatureTree(bits[s], size[s], shared[s]) for s in sides]
-    one_part = bool(table.column("alone")[0].as_py())
-    if len(trees) == 1 and not one_part:
-        found = []
-    elif one_part:
-        found = [(sides[0][x], sides[0][y]) for x, y in trees[0].pairs()]
-    else:
-        found = [(sides[0][x], sides[1][y]) for x, y in trees[0].pairs(trees[1])]
-    out = []
+    """Step 3: pairs of one listed shingle that may link, between different provisional components. A table holds many
+    rare shingles, or two parts (one, where they are the same) of a frequent one."""
+    token, left = table.column("token").to_numpy(), table.column("left").to_numpy()
+    order = np.lexsort((left, token))
+    table = table.take(pa.array(order))
+    ids, size, shared, key, component = (table.column(c).to_numpy() for c in ("doc_id", "n", "shared", "key", "component"))
+    bits, ones = stacked(table.column("bits").to_pylist())
+    two = table.column("two").to_numpy(zero_copy_only=False)
+    slack, tiled = shared - ones, np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    del table
+    edges = np.append(np.flatnonzero(np.append(True, np.diff(token[order]) != 0)), len(order))
+    level = (bits, size, size, shared, slack)
+    found, few = [], []
+
+    def tree(at: np.ndarray) -> SignatureTree:  # its slack, and not that of repeated bits
+        return SignatureTree(bits[at], size[at], slack[at] + tiled[at], key[at])
+
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if two[a]:
+            sides = [np.arange(a, b)[left[order[a:b]] == k] for k in (1, 0)]
+            if len(sides[0]) and len(sides[1]):
+                found += [(sides[0][x], sides[1][y]) for x, y in tree(sides[0]).pairs(tree(sides[1]))]
+        elif b - a <= 16:
+            few.append((a, b))
+        else:
+            found += [(a + x, a + y) for x, y in tree(np.arange(a, b)).pairs()]
+    starts, ends = (np.array(x, np.int64) for x in (zip(*few, strict=True) if few else ((), ())))
+    step = max(1, LOOK_BYTES // max(8, bits.shape[1] * 8))
+    for far in range(1, 16):  # small groups: each row and the one so many places after it
+        rows = np.arange(far, len(order))
+        group = np.searchsorted(starts, rows - far, side="right") - 1
+        rows = rows[(group >= 0) & (rows < ends[np.maximum(group, 0)])] if len(starts) else rows[:0]
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            some = some[component[some - far] != component[some]]
+            found.append(possible(level, level, some - far, some))
+    out = [np.zeros((0, 2), np.int64)]
     for x, y in found:
         keep = component[x] != component[y]
         x, y = ids[x[keep]], ids[y[keep]]
         out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+    pairs = np.unique(np.concatenate(out), axis=0)
     return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many tokens two slices share."""
     for batch in batches:
-        size_a, size_b = batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist()
-        tokens_a, tokens_b = batch.column("tokens_a"), batch.column("tokens_b")
-        keep = [links(_tokens(tokens_a[i].as_py()), _tokens(tokens_b[i].as_py()), size_a[i], size_b[i]) for i in range(batch.num_rows)]
-        yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
+        out = []
+        for x, y in zip(batch.column("tokens_a"), batch.column("tokens_b"), strict=True):
+            out.append(len(np.intersect1d(_tokens(x.as_py()), _tokens(y.as_py()), assume_unique=True)))
+        yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "needed": batch.column("needed"), "common": pa.array(out, pa.int64())})
+
+
+def slices(n: Column) -> Column:
+    """Into how many slices a set of so many shingles is cut: a power of two."""
+    return F.when(n <= SLICE, F.lit(0)).otherwise(F.ceil(F.log2(n / SLICE))).cast("int")
+
+
+def _sliced(some: DataFrame, size: int) -> DataFrame:
+    """Rows (doc_id, cut, slice, tokens): a set cut into 2**cut ranges of hashes, of about ``size`` shingles; twice as many
+    besides where a larger partner may be cut so."""
+
+    def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tables:
+            for doc, n, body in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("tokens"), strict=True):
+                tokens = _tokens(body.as_py())
+                cut = 0 if n <= size else math.ceil(math.log2(n / size))
+                for c in (cut, cut + 1) if 5 * n > 4 * (size << cut) else (cut,):
+                    edges = np.append(np.searchsorted(tokens, np.arange(1 << c, dtype=np.uint64) << np.uint64(64 - c)) if c else [0], len(tokens))
+                    parts = [tokens[x:y].tobytes() for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc] * len(parts), pa.int64()), "cut": pa.array([c] * len(parts), pa.int32()), "slice": pa.array(range(len(parts)), pa.int32()), "tokens": pa.array(parts, pa.binary())})
+
+    return some.select("doc_id", "n", "tokens").mapInArrow(batches, "doc_id long, cut int, slice int, tokens binary")
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,14 +323,13 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         listed = [np.frombuffer(x, np.int64) for x in batch.column("listed").to_pylist()]
         at = pa.array(np.repeat(np.arange(len(listed)), [len(x) for x in listed]))
-        yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate([np.zeros(0, np.int64), *listed])), "doc_id": batch.column("doc_id").take(at), "component": batch.column("component").take(at)})
+        yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate([np.zeros(0, np.int64), *listed])), **{c: batch.column(c).take(at) for c in ("doc_id", "n", "component")}})
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         tokens = [_tokens(x) for x in batch.column("tokens").to_pylist()]
-        bits = pa.array([bitmap(t).tobytes() for t in tokens], pa.binary())
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": batch.column("n"), "shared": pa.array([len(t) for t in tokens], pa.int64()), "bits": bits})
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": batch.column("n"), "key": batch.column("key0"), "shared": pa.array([len(t) for t in tokens], pa.int64()), "bits": pa.array([bitmap(t) for t in tokens], pa.binary())})
 
 
 def classes(rows: DataFrame, width: int) -> DataFrame:
@@ -299,7 +414,7 @@ def _at_most_twice(h: np.ndarray) -> np.ndarray:
 
 def join(docs: DataFrame, width: int = 5) -> DataFrame:
     """Columns doc_id, n_shingles, component_id, class_id (the least doc_id with the same set) for every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = columns.plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = exchange.text_bytes(docs)
     rows = exchange.chunked(docs, size)
     every = materialise(classes(rows, width), "classes")
@@ -308,9 +423,11 @@ def join(docs: DataFrame, width: int = 5) -> DataFrame:
     some = materialise(candidates(rows, heads.select("doc_id", "chunk"), size, width), "candidates")
     found = materialise(_first_links(some), "links")
     known = materialise(components(found), "provisional") if not found.isEmpty() else found.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    more = materialise(_last_links(some, known), "more-links")
+    more = _last_links(some, known)
     if not more.isEmpty():
         known = materialise(components(found.union(more)), "final")
+        discard(found)
+    discard(some, more)
     heads = heads.select("one", "two", "n", F.col("doc_id").alias("class_id"))
     joined = every.where("n > 0").join(heads, ["one", "two", "n"], "left").join(known, F.col("class_id") == F.col("node"), "left")
     linked = joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
@@ -328,18 +445,52 @@ def _first_links(some: DataFrame) -> DataFrame:
     return dealt.select("seed", "key", "part", "doc_id", "n", "tokens").groupBy("seed", "key", "part").applyInArrow(_block, "a long, b long")
 
 
+def _met(some: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (token, group, left, two, doc_id, component) of step 3: what meets in one group.
+
+    Rare shingles are gathered by a hash. Of a frequent one, the classes of each class of size are dealt to parts at
+    random; a part meets itself, the other parts of its class of size, and those of the next one.
+    """
+    listed = some.select("doc_id", "n", "listed").join(known, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "listed", F.coalesce("component", "doc_id").alias("component"))
+    listed = materialise(listed.mapInArrow(_exploded, "token long, doc_id long, n long, component long"), "listed")
+    mixed = listed.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token", "m")
+    met = materialise(listed.join(mixed, "token").withColumn("class", F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(GROWTH))), "met")
+    discard(listed)
+    groups = max(partitions(some.sparkSession), math.ceil(met.where(F.col("m") <= PART).count() / ROWS))
+    rare = met.where(F.col("m") <= PART).select("token", F.pmod(F.xxhash64("token"), F.lit(groups)).cast("string").alias("group"), F.lit(1).alias("left"), F.lit(False).alias("two"), "doc_id", "component")
+    hot = met.where(F.col("m") > PART)
+    sizes = hot.groupBy("token", "class").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
+    after = sizes.select("token", (F.col("class") - 1).alias("class"), F.col("parts").alias("parts_after"))
+    before = sizes.select("token", (F.col("class") + 1).alias("class"), F.col("parts").alias("parts_before"))
+    hot = hot.join(sizes, ["token", "class"]).join(after, ["token", "class"], "left").join(before, ["token", "class"], "left")
+    hot = hot.withColumn("part", F.pmod(F.xxhash64("doc_id", "token"), "parts"))
+    others = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    own = F.transform(others(F.col("parts")), lambda k: F.struct(F.lit(0).alias("step"), F.least("part", k).alias("low"), F.greatest("part", k).alias("high"), (k >= F.col("part")).cast("int").alias("left")))
+    up = F.transform(others(F.col("parts_after")), lambda k: F.struct(F.lit(1).alias("step"), F.col("part").alias("low"), k.alias("high"), F.lit(1).alias("left")))
+    down = F.transform(others(F.col("parts_before")), lambda k: F.struct(F.lit(-1).alias("step"), k.alias("low"), F.col("part").alias("high"), F.lit(0).alias("left")))
+    hot = hot.select("token", "class", "doc_id", "component", F.explode(F.concat(own, up, down)).alias("g"))
+    first = F.when(F.col("g.step") < 0, F.col("class") - 1).otherwise(F.col("class"))
+    two = (F.col("g.step") != 0) | (F.col("g.low") != F.col("g.high"))
+    return rare.union(hot.select("token", F.concat_ws("/", "token", first, F.abs("g.step"), "g.low", "g.high"), "g.left", two, "doc_id", "component"))
+
+
 def _last_links(some: DataFrame, known: DataFrame) -> DataFrame:
-    """Step 3."""
-    listed = some.select("doc_id", "listed").join(known, F.col("doc_id") == F.col("node"), "left").select("doc_id", "listed", F.coalesce("component", "doc_id").alias("component"))
-    listed = materialise(listed.mapInArrow(_exploded, "token long, doc_id long, component long"), "listed")
-    mixed = listed.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
-    met = listed.join(mixed.select("token", F.ceil(F.col("m") / PART).cast("int").alias("parts")), "token")
-    signed = some.select("doc_id", "n", "tokens").mapInArrow(_signed, "doc_id long, n long, shared long, bits binary")
-    met = met.join(signed, "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", "token"), "parts").cast("int"))
-    met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("token", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "doc_id", "n", "shared", "bits", "component")
-    met = met.withColumn("alone", F.col("low") == F.col("high"))
-    pairs = met.groupBy("token", "low", "high").applyInArrow(_meet, "a long, b long").distinct()
-    sides = some.select("doc_id", "n", "tokens")
+    """Step 3: links that were found, as a table in the shared folder."""
+    n = partitions(some.sparkSession)
+    signed = some.select("doc_id", "n", "key0", "tokens").mapInArrow(_signed, "doc_id long, n long, key long, shared long, bits binary")
+    met = _met(some, known).join(signed, "doc_id").repartition(n, "group")  # by number: the work is not in the bytes
+    pairs = materialise(met.groupBy("group").applyInArrow(_meet, "a long, b long").distinct(), "pairs")
+    if pairs.isEmpty():
+        return pairs
+    sizes = some.select("doc_id", "n")
+    both = pairs.join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b")), "b")
+    both = both.withColumns({"cut": F.greatest(slices(F.col("n_a")), slices(F.col("n_b"))), "needed": F.ceil(4 * (F.col("n_a") + F.col("n_b")) / 9)})
+    both = both.select("a", "b", "needed", "cut", F.explode(F.expr("sequence(0, shiftleft(1, cut) - 1)")).alias("slice"))
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    parts = _sliced(some.join(wanted, "doc_id", "left_semi"), SLICE)
     for side in ("a", "b"):
-        pairs = pairs.join(sides.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("tokens").alias(f"tokens_{side}")), side)
-    return pairs.select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b").mapInArrow(_verified, "a long, b long")
+        both = both.join(parts.select(F.col("doc_id").alias(side), "cut", "slice", F.col("tokens").alias(f"tokens_{side}")), [side, "cut", "slice"])
+    common = both.select("a", "b", "needed", "tokens_a", "tokens_b").mapInArrow(_overlaps, "a long, b long, needed long, common long")
+    found = materialise(common.groupBy("a", "b", "needed").agg(F.sum("common").alias("common")).where("common >= needed").select("a", "b"), "more-links")
+    discard(pairs)
+    return found

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstream.llm import tokens
+from inkstream.llm import columns, tokens
 from inkstream.session import materialise
 
 #: Rounds of multiplicative weights for one program, at most; how strongly covered lengths lose weight; and how often
@@ -249,6 +249,7 @@ class Places:
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, rounds: int = ROUNDS) -> DataFrame:
     """Columns doc_id, piece, start, length, ids_crc32, sequence_id, offset; one row for each piece."""
+    docs = columns.plain(docs, "doc_id", "text").select("doc_id", "text")
     made = materialise(pieces(docs, path, capacity, end), "pieces")
     counts = made.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
     sums = materialise(counts, "piece-counts")

@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstream.llm import bpe, brown, jaccard, langid, packing, quality, substrings, tokens, topk, urls
-from inkstream.session import table
+from inkstream.session import ship, table
 
 
 def prepare(spark: SparkSession) -> None:
-    """Batches between the JVM and Python hold fewer rows than by default, since texts are long."""
+    """Batches between the JVM and Python are bounded in bytes and hold fewer rows than by default, since texts are long;
+    both settings stay with the session, as the results are worked out later. Executors get this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    ship(spark)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

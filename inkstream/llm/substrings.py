@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from inkstream.llm import exchange, kernels
+from inkstream.llm import columns, exchange, kernels
 
 
 def _windows(texts: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,16 +44,17 @@ def _windows(texts: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([none, *one]), np.concatenate([none, *two]), np.concatenate([np.zeros(0, np.int64), *at]), np.concatenate(rows)
 
 
-def dedup(docs: DataFrame, width: int = 35, digest: bool = False, prefix: str = "") -> DataFrame:
+def dedup(docs: DataFrame, width: int = 35, digest: bool = False) -> DataFrame:
     """Every row of ``docs`` with n_words, n_removed, removed (array of [first word, end) intervals) and kept.
 
-    ``kept`` is the text that is left, or with ``digest`` its SHA-256 (and ``text`` itself is left out). Columns of ``docs`` with these names are
-    replaced; ``prefix`` goes before the new names.
+    ``kept`` is the text that is left, or with ``digest`` its SHA-256 (and ``text`` itself is left out). Other columns pass
+    through whatever their names, but those with the new names are replaced.
     """
-    made = tuple(prefix + name for name in ("n_words", "n_removed", "removed", "kept"))
+    made = ("n_words", "n_removed", "removed", "kept")
+    docs = docs.select(*[columns.named(c) for c in docs.columns if c not in made])
     size = exchange.text_bytes(docs)
     bits = exchange.bucket_bits(docs, size)
-    rows = exchange.chunked(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in made]), size)
+    rows = exchange.chunked(columns.plain(docs, "doc_id", "text"), size, salted=True)
 
     own = [c for c in rows.columns if c != exchange.CHUNK and not (digest and c == "text")]
 
@@ -98,7 +99,8 @@ def dedup(docs: DataFrame, width: int = 35, digest: bool = False, prefix: str =
     kinds = (LongType(), LongType(), ArrayType(ArrayType(LongType())), StringType())
     schema = StructType([rows.schema[c] for c in own] + [StructField(n, k) for n, k in zip(made, kinds, strict=True)])
     answers = exchange.answered(rows.groupBy(exchange.CHUNK).applyInArrow(ask, exchange.QUESTION), repeated, 10, bitwise=True)
-    return rows.groupBy(exchange.CHUNK).cogroup(answers.groupBy("chunk")).applyInArrow(remove, schema)
+    out = rows.groupBy(exchange.CHUNK).cogroup(answers.groupBy("chunk")).applyInArrow(remove, schema)
+    return out.toDF(*[c for c in docs.columns if not (digest and c == "text")], *made)
 
 
 #: The query for DuckDB, with windows of 35 words as text.

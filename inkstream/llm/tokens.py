@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from inkstream.llm import kernels
+from inkstream.llm import columns, kernels
 
 #: Bytes in a batch (a longer text makes a batch of its own); slots of the worker's cache, how many may be used, and how
 #: many ids it may hold before it starts anew.
@@ -192,5 +192,6 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
                 n = encoder.lengths(data, offsets)
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_bytes": pa.array(np.diff(offsets)), "n_tokens": pa.array(n), "over_limit": pa.array(n > limit)})
 
+    docs = columns.plain(docs, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -221,6 +221,43 @@ def test_pipeline_odd_rows(spark, odd, none):
     assert sorted(r["doc_id"] or 0 for r in p.near_duplicates(spark, odd, "").collect()) == [0, 1, 2, 3, 4, 6, 7, 8, 9]
 
 
+def test_any_column_names(spark):
+    """Dotted and back-ticked names, names of working columns, and names that repeat pass through every stage."""
+    import corpus_pipeline as p
+
+    names = ["doc_id", "a.b", "text", "c`d", "__kept", "kept", "__text", "lang", "id", "set", "rows", "__chunk", "__quality_words", "c0", "c1", "row", "n_removed", "n", "twice", "twice", "n_chars", "source"]
+    words = " ".join(f"{w}{i}" for i in range(20) for w in ("alpha", "beta", "gamma"))
+    rows = [(i, *[f"{k}-{i}" if k not in ("text", "lang", "n_chars") else {"text": f"{words} number{i % 3} of it", "lang": "en", "n_chars": i}[k] for k in names[1:]]) for i in range(12)]
+    kinds = ["long" if k in ("doc_id", "n_chars") else "string" for k in names]
+    docs = spark.createDataFrame(rows, ", ".join(f"c{i} {t}" for i, t in enumerate(kinds))).toDF(*names)
+    own = {r[0]: tuple(r) for r in docs.collect()}
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, "")
+        got = [tuple(r) for r in out.collect()]
+        if name == "best-fit packing":
+            assert {r[0] for r in got} == set(own)
+            continue
+        assert out.columns == names and got
+        for r in got:
+            same = [i for i, k in enumerate(names) if k not in ("text", "n_chars") or name != "substring dedup"]
+            assert [r[i] for i in same] == [own[r[0]][i] for i in same]
+
+
+def test_op9_windows_only_where_they_are_asked(spark, sf):
+    """Hashed windows stand in the rule's branch of the filter alone, and the order puts them late."""
+    docs = table(spark, sf, "documents")
+    plan = quality.screen(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert [line.lstrip(" :+-").startswith("Filter") for line in plan.split("\n") if "xxhash64" in line] == [True]
+    for _ in range(3):
+        estimates = quality.estimate(docs, quality.Limits())
+        ordered = quality.order(estimates)
+        assert estimates["repeated_windows"][0] > estimates["too_few_words"][0] and ordered.index("repeated_windows") > ordered.index("too_few_words")
+
+
+def test_op9_costs_are_rounded():
+    assert [quality.cost(x, 100) for x in (0.0, -1.0)] == [4.0**-9] * 2 and quality.cost(0.4, 100) == quality.cost(0.5, 100) == 4.0**-4
+
+
 def test_pipeline_repeated_rows(spark):
     """One whole copy stays of rows that repeat, with and without an id; other texts of one id stay too."""
     import corpus_pipeline as p

@@ -81,9 +81,10 @@ def test_op5_whole_table(spark, sf, texts):
     assert got == brute_components([x[:2] for x in texts])
 
 
-@pytest.mark.parametrize("block,size,part", [(256, 1 << 24, 1024), (4, 1 << 24, 3), (256, 1500, 1024)])
-def test_op5_chains_and_blocks(spark, monkeypatch, block, size, part):
+@pytest.mark.parametrize("block,size,part,cut", [(256, 1 << 24, 1024, 65536), (4, 1 << 24, 3, 16), (256, 1500, 1024, 40), (2, 1 << 24, 1, 65536)])
+def test_op5_chains_and_blocks(spark, monkeypatch, block, size, part, cut):
     """Chains of copies that link only to their neighbours, in blocks so small that hot groups are split."""
+    monkeypatch.setattr(jaccard, "SLICE", cut)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", size)
     monkeypatch.setattr(jaccard, "PART", part)
@@ -107,15 +108,40 @@ def test_op5_signature_tree_loses_nothing():
     base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
     sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(20, 300), replace=False), rng.integers(0, 1 << 63, rng.integers(0, 40)).astype(np.uint64)])) for _ in range(120)]
     sizes = np.array([len(s) for s in sets])
-    tree = jaccard.SignatureTree(np.stack([jaccard.bitmap(s) for s in sets]), sizes, sizes)
-    found = {(min(a, b), max(a, b)) for x, y in tree.pairs() for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+    sizes = np.array([len(s) for s in sets])
     want = {(i, j) for i in range(120) for j in range(i + 1, 120) if jaccard.links(sets[i], sets[j], len(sets[i]), len(sets[j]))}
+    found = {(min(a, b), max(a, b)) for x, y in jaccard.SignatureTree.of(sets, sizes).pairs() for a, b in zip(x.tolist(), y.tolist(), strict=True)}
     assert want and want <= found
-    half = [jaccard.SignatureTree(np.stack([jaccard.bitmap(s) for s in some]), np.array([len(s) for s in some]), np.array([len(s) for s in some])) for some in (sets[:50], sets[50:])]
+    bits, _ = jaccard.stacked([jaccard.bitmap(s) for s in sets])
+    key = np.array([s.min() for s in sets])
+    half = [jaccard.SignatureTree(bits[some], sizes[some], sizes[some], key[some]) for some in (slice(0, 50), slice(50, 120))]
     both = {(a, b + 50) for x, y in half[0].pairs(half[1]) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
     assert {(i, j) for i, j in want if i < 50 <= j} <= both
 
 
+@pytest.mark.parametrize("n", [100, 300, 1000, 3000, 10_000])
+def test_op5_trees_prune(n):
+    """Groups of four sets that link; every group shares a twentieth with the next one, so sizes and numbers of shared
+    tokens alone prune nothing."""
+    rng = np.random.default_rng(n)
+    fresh = lambda k: rng.integers(0, 1 << 63, k).astype(np.uint64)
+    groups = [fresh(95 * n // 100) for _ in range(64)]
+    sets = []
+    for g in range(64):
+        for _ in range(4):
+            own = rng.choice(groups[g], 93 * n // 100, replace=False)
+            sets.append(np.unique(np.concatenate([own, groups[(g + 1) % 64][: n // 20], fresh(n // 50)])))
+    order = rng.permutation(256)
+    sets = [sets[i] for i in order]
+    size = np.array([len(s) for s in sets])
+    tree = jaccard.SignatureTree.of(sets, size)
+    found = {(min(a, b), max(a, b)) for x, y in tree.pairs() for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+    want = {(i, j) for i in range(256) for j in range(i + 1, 256) if order[i] // 4 == order[j] // 4 and jaccard.links(sets[i], sets[j], size[i], size[j])}
+    assert len(want) > 300 and want <= found and tree.tests < 0.05 * 256 * 255 / 2
+    apart = jaccard.SignatureTree.of([np.unique(fresh(n)) for _ in range(256)], np.full(256, n))
+    assert not list(apart.pairs()) and apart.tests == 0
+
+
 def test_op5_odd_rows(odd, none):
     rows = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(odd).collect()}
     assert rows[1] == (0, 1) and rows[2] == (0, 2) and rows[3] == (0, 3) and rows[4] == (1, 4) and rows[5] == (1, 4) and rows[None] == (1, None) and rows[8] == (1, 8)
