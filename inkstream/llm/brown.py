@@ -1,18 +1,23 @@
 """Operator 6: language-model scores by a class-based bigram model.
 
-Tokens are lower-cased words and one end token a text. Counts of all tokens of all training texts come from the hash
-exchange: each bucket sums its words' counts and answers every chunk with the counts of the chunk's own words. The
-``HEAD`` most frequent words are assigned to classes by the exchange algorithm: each word moves to the class that
-raises the likelihood of a class bigram model of the head's bigrams most, until no word moves. The head's size is a
-parameter; the other words, however many, belong to classes by frequency (1, 2-3, 4-7, ... occurrences), and words that
-training has not seen to the first of these. The end token has a class of its own, which also stands before each text.
+Tokens are lower-cased words and one end token a text. Texts are tokenised once, into chunks: each holds its distinct
+words' hashes and its tokens as indexes among them, and is written to the shared folder.
+
+1. Chunks send the training counts of their words to the buckets of the hash space, which report sums and their most
+   frequent words.
+2. The ``HEAD`` most frequent words are assigned to classes by the exchange algorithm: each word moves to the class that
+   raises the likelihood of a class bigram model of the head's bigrams most, until no word moves.
+3. Chunks send the counts of all other words again, with how often the head's classes stand before and after each. The
+   word's bucket moves it to the class where the likelihood rises most, the head's classes being fixed, and answers with
+   its count and class. So every word that occurs twice or more belongs to an exchange class by its own contexts; words
+   seen once and unseen ones share a class. The end token has its own, which also stands before each text.
 
 P(token | previous) = P(class | previous class) * P(token | class). Transitions are smoothed towards the class's own
-share (``PRIOR`` pseudo counts); emissions are relative frequencies, but in the first class every word's count is
+share (``PRIOR`` pseudo counts); emissions are relative frequencies, but in the class of rare words every word's count is
 raised by a half and one unseen word has a half. Transition and emission counts cover all training tokens.
 
 Results: a null text counts as empty and consists of the end token; rows that repeat are scored (and learned from)
-each; without training rows every token is unseen and scores stay finite.
+each; without training rows every token is unseen and scores stay finite; other columns play no part.
 """
 
 from __future__ import annotations
@@ -21,17 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.llm import exchange, kernels
-from inkstream.session import materialise
+from inkstream.llm import columns, exchange, kernels
+from inkstream.session import discard, materialise
 
-#: Words that the exchange algorithm clusters, its classes, and the pseudo counts of the transitions.
-HEAD, CLASSES, PRIOR = 1000, 48, 2.0
-BANDS = 44
-_END = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
+#: Words that the full exchange algorithm clusters, its classes (250 at most), pseudo counts of the transitions, and of
+#: contexts when other words are assigned.
+HEAD, CLASSES, PRIOR, ALPHA = 1000, 48, 2.0, 0.5
+#: The classes of the end token and of rare words; exchange classes come after them.
+END, RARE, FIRST = 0, 1, 2
+_END = (np.uint64(0x243F6A8885A308D3), np.uint16(0x7344))
 _STATS = np.dtype([("hash", "<u8"), ("n", "<i8")])
+_ANSWER = np.dtype([("n", "<i8"), ("class", "u1")])
 
 
 def held_out() -> Column:
@@ -40,57 +49,113 @@ def held_out() -> Column:
 
 
 def _tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both hashes of all tokens of a chunk, and each row's first token (and the end)."""
+    """80 bits of hashes of all tokens of some texts, and each row's first token (and the end)."""
     data, offsets = kernels.utf8(texts)
     data = kernels.lower(data)
-    one, two, rows, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    one, two, rows, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)], [np.zeros(1, np.int64)], 0
     for a, b in kernels.slices(offsets):
         part = data[offsets[a] : offsets[b]]
         starts, ends, first = kernels.spans(part, offsets[a : b + 1] - offsets[a])
         h = kernels.word_hashes(part, starts, ends)
-        for out, x, end in ((one, h[0], _END[0]), (two, h[1], _END[1])):
-            out.append(np.insert(x, first[1:], end))
+        one.append(np.insert(h[0], first[1:], _END[0]))
+        two.append(np.insert(h[1].astype(np.uint16), first[1:], _END[1]))
         rows.append(first[1:] + np.arange(1, b - a + 1) + n)
         n += len(starts) + b - a
     return np.concatenate(one), np.concatenate(two), np.concatenate(rows)
 
 
-def _count(rows: DataFrame, bits: int, head: int) -> DataFrame:
-    """Answers with each word's training count; and for each bucket a row of chunk -1 with its number of distinct
-    words, of words seen once, and of tokens, and its most frequent words."""
+class Chunk:
+    """Some documents' tokens: ``place`` are indexes among the distinct hashes, ``first`` each row's first token (and the
+    end), ``learn`` true for the tokens of training rows."""
+
+    SCHEMA = "chunk long, doc_id array<{kind}>, held array<boolean>, first binary, place binary, one binary, two binary"
+
+    def __init__(self, batch: pa.RecordBatch | pa.Table, i: int = 0):
+        get = lambda c, kind: np.frombuffer(batch.column(c)[i].as_py(), kind)
+        self.first, self.one, self.two = get("first", np.int64), get("one", np.uint64), get("two", np.uint16)
+        self.place = get("place", np.uint16 if len(self.one) <= 1 << 16 else np.uint32)
+        self.held = np.array(batch.column("held")[i].as_py(), bool)
+        self.learn = np.repeat(~self.held, np.diff(self.first))
+
+    @staticmethod
+    def of(chunk: int, batches: list[pa.RecordBatch], kind: pa.DataType) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches)
+        one, two, first = _tokens(table.column("text"))
+        a, b, _, place = kernels.distinct(one, two)
+        raw = (first, place.astype(np.uint16 if len(a) <= 1 << 16 else np.uint32), a, b)
+        lists = [pa.array([table.column(c).to_pylist()], pa.list_(k)) for c, k in (("doc_id", kind), ("held", pa.bool_()))]
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists, *(pa.array([x.tobytes()], pa.binary()) for x in raw)], names=["chunk", "doc_id", "held", "first", "place", "one", "two"])
+
+    def counts(self) -> np.ndarray:
+        """Training occurrences of each distinct word."""
+        return np.bincount(self.place[self.learn], minlength=len(self.one))
+
+    def ranks(self, heads: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """Each distinct word's rank in the head, or the head's size. ``heads[order]`` ascends."""
+        out = np.full(len(self.one), len(heads), np.int64)
+        if len(heads):
+            at = np.minimum(np.searchsorted(heads[order], self.one), len(heads) - 1)
+            hit = heads[order][at] == self.one
+            out[hit] = order[at[hit]]
+        return out
+
+
+def _chunks(docs: DataFrame, size: float) -> DataFrame:
+    """Chunks of about so many bytes of text, without a shuffle."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n, held, total = TaskContext.get().partitionId(), 0, [], 0
+        for table in tables:
+            _, offsets = kernels.utf8(table.column("text"))
+            for a, b in kernels.slices(offsets):
+                held.append(table.slice(a, b - a))
+                total += int(offsets[b] - offsets[a])
+                if total >= size:
+                    yield Chunk.of(task << 32 | n, held, table.column("doc_id").type)
+                    n, held, total = n + 1, [], 0
+        if held:
+            yield Chunk.of(task << 32 | n, held, held[0].column("doc_id").type)
+
+    return docs.select("doc_id", "text", held_out().alias("held")).mapInArrow(batches, Chunk.SCHEMA.format(kind=kind))
+
+
+def _buckets(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that ascending hashes fall into, and where each begins (and the end)."""
+    edges = np.append(np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(h))
+    full = np.flatnonzero(np.diff(edges))
+    return full, np.append(edges[full], len(h))
+
+
+def _items(*parts: np.ndarray) -> np.ndarray:
+    """Arrays side by side, as bytes; one row an item."""
+    return np.concatenate([np.ascontiguousarray(p).view(np.uint8).reshape(len(p), p.dtype.itemsize) for p in parts], axis=1)
+
 
-    def ask(key: tuple, table: pa.Table) -> pa.Table:
-        h1, h2, first = _tokens(table.column("text"))
-        learn = np.repeat(~table.column("__held_out").to_numpy().astype(bool), np.diff(first))
-        a, b, _, inverse = kernels.distinct(h1, h2)
-        n = np.bincount(inverse[learn], minlength=len(a)).astype(np.int32)
-        return exchange.questions(key[0].as_py(), a, b, bits, n)
+def _summary(chunks: DataFrame, bits: int, head: int) -> np.ndarray:
+    """Numbers of distinct words, of words seen once (the end token aside) and of tokens in training, then the most
+    frequent words. Buckets are merged 32 by 32, packed all the way."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                c = Chunk(batch, i)
+                full, edges = _buckets(c.one, bits)
+                body = _items(c.one, c.two, c.counts().astype("<i4"))
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(full.astype(np.int32)), "body": kernels.binary_array(body.reshape(-1), edges * 14)})
 
     def bucket(key: tuple, table: pa.Table) -> pa.Table:
-        items, edges = exchange.bodies(table, 14)
+        items, _ = exchange.bodies(table, 14)
         group, groups = exchange.groups(items)
-        n = np.ascontiguousarray(items[:, 10:14]).view(np.int32).reshape(-1)
-        total = np.bincount(group, n, groups).astype(np.int64)
+        total = np.bincount(group, np.ascontiguousarray(items[:, 10:14]).view("<i4").reshape(-1), groups).astype(np.int64)
         hashes = np.empty(groups, np.uint64)
-        high = np.ascontiguousarray(items[:, :8]).view(np.uint64).reshape(-1)
-        hashes[group] = np.uint64(key[0].as_py() << (64 - bits)) | (high >> np.uint64(bits))
+        hashes[group] = np.ascontiguousarray(items[:, :8]).view(np.uint64).reshape(-1)
         top = np.lexsort((hashes, -total))[: head + 1]
-        top = top[total[top] > 1]
+        top = top[(total[top] > 1) & (hashes[top] != _END[0])]
         stats = np.zeros(3 + len(top), _STATS)
-        stats["n"][:3] = (total > 0).sum(), (total == 1).sum(), total.sum()
+        stats["n"][:3] = (total > 0).sum(), ((total == 1) & (hashes != _END[0])).sum(), total.sum()
         stats["hash"][3:], stats["n"][3:] = hashes[top], total[top]
-        values = total[group].astype("<i8").view(np.uint8)
-        raw = stats.view(np.uint8)
-        body = kernels.binary_array(np.concatenate([values, raw]), np.append(edges * 8, edges[-1] * 8 + len(raw)))
-        chunks = np.append(table.column("chunk").to_numpy(), -1).astype(np.int32)
-        return pa.table({"chunk": pa.array(chunks), "bucket": pa.array(np.full(len(chunks), key[0].as_py(), np.int32)), "body": body})
-
-    asked = rows.groupBy(exchange.CHUNK).applyInArrow(ask, exchange.QUESTION)
-    return asked.groupBy("bucket").applyInArrow(bucket, exchange.ANSWER)
-
-
-def _summary(answers: DataFrame, bits: int, head: int) -> np.ndarray:
-    """All buckets' statistics in one: three sums, then the most frequent words. Merged 32 by 32, packed all the way."""
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "body": pa.array([stats.tobytes()], pa.binary())})
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(b, _STATS) for b in table.column("body").to_pylist()]
@@ -100,7 +165,7 @@ def _summary(answers: DataFrame, bits: int, head: int) -> np.ndarray:
         sums["n"] = sum(p["n"][:3] for p in parts)
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "body": pa.array([np.concatenate([sums, words]).tobytes()], pa.binary())})
 
-    stats = answers.where("chunk = -1").select("bucket", "body")
+    stats = chunks.mapInArrow(ask, "bucket int, body binary").groupBy("bucket").applyInArrow(bucket, "bucket int, body binary")
     for _ in range(-(-bits // 5)):
         stats = stats.groupBy(F.shiftright("bucket", 5).alias("part")).applyInArrow(merge, "bucket int, body binary")
     rows = stats.collect()  # one row
@@ -159,25 +224,6 @@ def exchange_classes(bigrams: np.ndarray, classes: int, sweeps: int = 20) -> np.
     return of[:-1]
 
 
-def _classes(codes: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Classes of tokens: 0 the end token, then bands of frequency, then the head's classes.
-
-    A code is a training count, or for a word of the head minus (rank + 1); the end token is minus (head + 1).
-    """
-    table = np.append(of + BANDS + 1, 0)
-    band = 1 + np.minimum(np.frexp(np.maximum(codes, 1).astype(float))[1] - 1, BANDS - 1)
-    return np.where(codes < 0, table[np.where(codes < 0, -codes - 1, 0)], band)
-
-
-def _pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of all tokens of a batch, and each row's first (and the end)."""
-    column = batch.column("codes")
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    if not len(column):
-        return np.zeros(0, np.int32), np.zeros(1, np.int64)
-    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.int32), (offsets - offsets[0]) // 4
-
-
 def _before(classes: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
     """The class before each token; ``start`` before each row's first."""
     out = np.empty_like(classes)
@@ -186,95 +232,163 @@ def _before(classes: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
-def _matrix(coded: DataFrame, to_class, size: int, start: int) -> np.ndarray:
-    """How often each class follows each, over all training texts; at most size * size sums reach the driver."""
+def _matrix(df: DataFrame, pairs, size: int) -> np.ndarray:
+    """How often each of ``size`` numbers follows each; ``pairs`` yields arrays of (before, after) from a batch. At most
+    size * size sums reach the driver."""
 
     def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
         for batch in tables:
-            codes, first = _pairs(batch)
-            for at in range(0, len(first) - 1, 256):
-                rows = first[at : at + 257]
-                classes = to_class(codes[rows[0] : rows[-1]])
-                total += np.bincount(_before(classes, rows - rows[0], start) * size + classes, minlength=size * size)
+            for before, after in pairs(batch):
+                total += np.bincount(before.astype(np.int64) * size + after, minlength=size * size)
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(full.astype(np.int32)), "n": pa.array(total[full])})
 
-    found = coded.where("NOT held_out").select("codes").mapInArrow(batches, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = df.mapInArrow(batches, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * size)
     out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
     return out.reshape(size, size)
 
 
+def context_scores(bigrams: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """What one occurrence of a context is worth to each class: the exchange criterion's slope, with the head's classes
+    fixed. Rows: the contexts before a word (all else, then the head's classes), then those after it."""
+    classes = int(of.max()) + 1 if len(of) else 1
+    context = np.append(of + 1, 0)
+    sums = np.zeros((2, classes + 1, classes + 1))
+    np.add.at(sums[0], (context[:, None], context[None, :]), bigrams)
+    sums[1] = sums[0].T
+    out = [np.log((side[:, 1:] + ALPHA) / (side[:, 1:].sum(axis=0) + ALPHA * (classes + 1))) for side in sums]
+    return np.concatenate(out)
+
+
+def _assigned(chunks: DataFrame, bits: int, heads: np.ndarray, of: np.ndarray, worth: np.ndarray) -> DataFrame:
+    """Rows (chunk, bucket, body): the count and the class of each word of a chunk, in the order of its hashes."""
+    order, sides = np.argsort(heads), len(worth) // 2
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = np.append(of + 1, 0)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                c = Chunk(batch, i)
+                rank = c.ranks(heads, order)
+                near = context[rank][c.place]
+                ask = c.learn & ((rank == len(heads)) & (c.one != _END[0]))[c.place]  # such tokens are never a row's last
+                at = np.flatnonzero(ask)
+                before = _before(near, c.first, 0)[at]
+                both = np.concatenate([c.place[at].astype(np.int64) * 2 * sides + before, c.place[at].astype(np.int64) * 2 * sides + sides + near[np.minimum(at + 1, max(len(near) - 1, 0))]])
+                cells, times = np.unique(both, return_counts=True)
+                contexts = np.bincount(cells // (2 * sides), minlength=len(c.one))
+                ends = np.append(0, np.cumsum(contexts))
+                full, edges = _buckets(c.one, bits)
+                words = _items(c.one, c.two, c.counts().astype("<i4"), contexts.astype("<u2"))
+                seen = _items((cells % (2 * sides)).astype("<u2"), times.astype("<u4"))
+                yield pa.RecordBatch.from_pydict({
+                    "bucket": pa.array(full.astype(np.int32)), "chunk": pa.array(np.full(len(full), batch.column("chunk")[i].as_py())),
+                    "body": kernels.binary_array(words.reshape(-1), edges * 16), "seen": kernels.binary_array(seen.reshape(-1), ends[edges] * 6),
+                })
+
+    def bucket(key: tuple, table: pa.Table) -> pa.Table:
+        items, edges = exchange.bodies(table, 16)
+        group, groups = exchange.groups(items)
+        raw = b"".join(table.column("seen").to_pylist())
+        seen = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+        context, times = np.ascontiguousarray(seen[:, :2]).view("<u2").reshape(-1), np.ascontiguousarray(seen[:, 2:]).view("<u4").reshape(-1)
+        owner = np.repeat(group, np.ascontiguousarray(items[:, 14:16]).view("<u2").reshape(-1))
+        by = np.argsort(owner, kind="stable")
+        owner, context, times = owner[by], context[by], times[by]
+        out = np.zeros(groups, _ANSWER)
+        out["n"] = np.bincount(group, np.ascontiguousarray(items[:, 10:14]).view("<i4").reshape(-1), groups)
+        for a in range(0, groups, 8192):
+            b = min(a + 8192, groups)
+            x, y = np.searchsorted(owner, (a, b))
+            counts = np.bincount((owner[x:y] - a) * 2 * sides + context[x:y], times[x:y], (b - a) * 2 * sides).reshape(-1, 2 * sides)
+            out["class"][a:b] = (counts @ worth).argmax(axis=1)
+        answers = kernels.binary_array(out[group].view(np.uint8), edges * _ANSWER.itemsize)
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "body": answers})
+
+    return chunks.mapInArrow(ask, "bucket int, chunk long, body binary, seen binary").groupBy("bucket").applyInArrow(bucket, "chunk long, bucket int, body binary")
+
+
 class Model:
-    """Smoothed class transitions and word emissions, as decimal logarithms."""
+    """Smoothed class transitions and class totals, as decimal logarithms."""
 
-    def __init__(self, of: np.ndarray, head_counts: np.ndarray, once: int, moves: np.ndarray):
+    def __init__(self, once: int, moves: np.ndarray):
         """``moves``: how often each class follows each; ``once``: how many words were seen once."""
         each = moves.sum(axis=0)
         share = (each + 0.5) / (each.sum() + 0.5 * len(each))
         self.transition = np.log10((moves + PRIOR * share) / (moves.sum(axis=1, keepdims=True) + PRIOR))
-        self.head = np.append(np.log10(head_counts / each[of + BANDS + 1]) if len(of) else np.zeros(0), 0.0)
-        self.first = each[1] + 0.5 * (once + 1)
-        self.bands = np.maximum(each[1 : BANDS + 1], 1)
+        self.whole = np.log10(np.maximum(each, 1))
+        self.whole[END], self.whole[RARE] = 0.0, np.log10(each[RARE] + 0.5 * (once + 1))
 
-    def emission(self, codes: np.ndarray) -> np.ndarray:
-        """log P(token | its class)."""
-        band = np.minimum(np.frexp(np.maximum(codes, 1).astype(float))[1] - 1, BANDS - 1)
-        tail = np.where(codes <= 1, np.log10((np.maximum(codes, 0) + 0.5) / self.first), np.log10(np.maximum(codes, 1) / self.bands[band]))
-        return np.where(codes < 0, self.head[np.where(codes < 0, -codes - 1, 0)], tail)
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """Classes of the tokens of a few documents, each one's first (and the end), and which documents."""
+    column = batch.column("classes")
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)
+    for a in range(0, len(column), 256):
+        b = min(a + 256, len(column))
+        yield data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], a, b
 
 
 def score(docs: DataFrame, head: int = HEAD, classes: int = CLASSES) -> DataFrame:
     """Columns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for every row."""
-    docs = docs.select("doc_id", "text")
+    if not 1 <= classes <= 250:
+        raise ValueError("classes must be between 1 and 250")
+    docs = columns.plain(docs, "doc_id", "text").select("doc_id", "text")
     size = exchange.text_bytes(docs)
     bits = exchange.bucket_bits(docs, size // 4)  # far fewer distinct words than words
-    rows = exchange.chunked(docs.withColumn("__held_out", held_out()), size)
-    answers = materialise(_count(rows, bits, head), "counts")
-    stats = _summary(answers, bits, head + 1)
+    chunks = materialise(_chunks(docs, exchange.sizes(size)[0]), "chunks")
+    stats = _summary(chunks, bits, head)
     types, once, total = (int(n) for n in stats["n"][:3])
-    top = stats[3:][stats["hash"][3:] != _END[0]][:head]
-    heads, head_counts = top["hash"].copy(), top["n"].copy()
-    order = np.argsort(heads)
-    sorted_heads, ranks = heads[order], np.arange(len(heads))[order]
-    unit = total + 0.5 * (types + 1)
-
-    def code(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
-        h1, h2, first = _tokens(table.column("text"))
-        a, _, _, inverse = kernels.distinct(h1, h2)
-        counts = exchange.lined_up(found, a, bits, "<i8")
-        base = np.log10((counts + 0.5) / unit)
-        codes = np.minimum(counts, (1 << 31) - 1).astype(np.int32)
-        if len(sorted_heads):
-            place = np.minimum(np.searchsorted(sorted_heads, a), len(sorted_heads) - 1)
-            hit = sorted_heads[place] == a
-            codes[hit] = -1 - ranks[place[hit]]
-        codes[a == _END[0]] = -1 - len(heads)
-        known = np.append(0, np.cumsum((counts > 0)[inverse]))
-        sums = np.add.reduceat(base[inverse], first[:-1]) if len(first) > 1 else np.zeros(0)
-        body = kernels.binary_array(codes[inverse].view(np.uint8), first * 4)
-        return pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("__held_out"), "n_tokens": pa.array(np.diff(first)), "n_known": pa.array(np.diff(known[first])), "base_score": pa.array(sums), "codes": body})
+    heads, ranked = stats["hash"][3:].copy(), np.argsort(stats["hash"][3:])
+    h, unit = len(heads), total + 0.5 * (types + 1)
 
+    def head_pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(batch.num_rows):
+            c = Chunk(batch, i)
+            code = c.ranks(heads, ranked)[c.place]  # the end token and the rest together
+            yield _before(code, c.first, h)[c.learn], code[c.learn]
+
+    bigrams = _matrix(chunks, head_pairs, h + 1)
+    of = exchange_classes(bigrams, classes) if h else np.zeros(0, np.int64)
+    answers = _assigned(chunks, bits, heads, of, context_scores(bigrams, of))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    coded = rows.groupBy(exchange.CHUNK).cogroup(answers.where("chunk >= 0").groupBy("chunk")).applyInArrow(code, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, codes binary")
+
+    def code(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        c = Chunk(left)
+        found = exchange.lined_up(right, c.one, bits, _ANSWER)
+        n, rank = found["n"].astype(np.int64), c.ranks(heads, ranked)
+        of_word = np.where(n > 1, FIRST + found["class"].astype(np.int64), RARE)
+        of_word[rank < h] = FIRST + of[rank[rank < h]]
+        of_word[c.one == _END[0]] = END
+        own = np.log10(np.where(of_word == RARE, n + 0.5, np.maximum(n, 1)))
+        own[of_word == END] = 0.0
+        base = np.log10((n + 0.5) / unit)
+        sums = lambda x: np.add.reduceat(x[c.place], c.first[:-1]) if len(c.first) > 1 else np.zeros(0)  # noqa: E731  each row has its end token
+        known = np.append(0, np.cumsum((n > 0)[c.place]))
+        return pa.table({
+            "doc_id": left.column("doc_id").combine_chunks().flatten(), "held_out": pa.array(c.held), "n_tokens": pa.array(np.diff(c.first)), "n_known": pa.array(np.diff(known[c.first])),
+            "base_score": pa.array(sums(base)), "own": pa.array(sums(own)), "classes": kernels.binary_array(of_word.astype(np.uint8)[c.place], c.first),
+        })
+
+    coded = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(code, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, own double, classes binary")
     coded = materialise(coded, "coded")
-    h = len(heads)
-    bigrams = _matrix(coded, lambda c: np.where(c < 0, -c - 1, h), h + 1, h)  # the end token and the rest together
-    of = exchange_classes(bigrams, classes) if h else np.zeros(0, np.int64)
-    k = 1 + BANDS + (int(of.max()) + 1 if h else 0)
-    model = Model(of, head_counts, once, _matrix(coded, lambda c: _classes(c, of), k, 0))
+    discard(chunks)
+
+    def class_pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for c, first, _, _ in _rows(batch):
+            yield _before(c, first, END), c
+
+    k = FIRST + (int(of.max()) + 1 if h else 1)
+    model = Model(once, _matrix(coded.where("NOT held_out").select("classes"), class_pairs, k))
 
     def scores(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tables:
-            codes, first = _pairs(batch)
-            out = np.zeros(batch.num_rows)
-            for at in range(0, batch.num_rows, 256):
-                some = first[at : at + 257]
-                part = codes[some[0] : some[-1]]
-                c = _classes(part, of)
-                logs = model.transition[_before(c, some - some[0], 0), c] + model.emission(part)
-                out[at : at + 256] = np.add.reduceat(logs, some[:-1] - some[0])  # each row has its end token
+            out = batch.column("own").to_numpy().copy()
+            for c, first, a, b in _rows(batch):
+                out[a:b] += np.add.reduceat(model.transition[_before(c, first, END), c] - model.whole[c], first[:-1])
             n = batch.column("n_tokens").to_numpy()
             kept = batch.select(["doc_id", "held_out", "n_tokens", "n_known", "base_score"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out), pa.array(10.0 ** np.minimum(-out / n, 300))], names=[*kept.schema.names, "score", "perplexity"])

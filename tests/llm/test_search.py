@@ -174,20 +174,78 @@ def test_op6_base_and_gain(spark, sf, texts):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_op6_sums_to_one():
-    """Transitions sum to one after each class, emissions within each class."""
-    of = np.array([0, 1, 0])
-    heads, once, bands = np.array([40, 30, 25]), 7, {1: 7, 2: 2 * 3 + 3 * 2, 3: 5}  # words seen once; 2 and 3 times; 5 times
-    k = 1 + brown.BANDS + 2
-    each = np.zeros(k)
-    each[0], each[1], each[2], each[3] = 20, bands[1], bands[2], bands[3]
-    each[brown.BANDS + 1], each[brown.BANDS + 2] = 65, 30
-    moves = np.outer(np.ones(k) / k, each)
-    model = brown.Model(of, heads, once, moves)
-    assert (10**model.transition).sum(axis=1) == pytest.approx(np.ones(k))
-    p = lambda *codes: (10 ** model.emission(np.array(codes))).sum()
-    assert p(-1, -3) == pytest.approx(1) and p(-2) == pytest.approx(1) and p(-4) == pytest.approx(1)
-    assert p(*[1] * once, 0) == pytest.approx(1) and p(2, 2, 2, 3, 3) == pytest.approx(1) and p(5) == pytest.approx(1)
+def brute_scores(rows, head, classes):
+    """The model of op6 with dictionaries and loops, but for the exchange of the head, which has its own test."""
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in rows}
+    tokens = [(d, [*split(lowered(t)), None]) for d, t in rows]
+    c = Counter(x for d, ts in tokens if not held[d] for x in ts)
+    words = [w for w in c if w is not None and c[w] > 1]
+    data, offsets = kernels.utf8(__import__("pyarrow").array(words)) if words else kernels.utf8(__import__("pyarrow").array([""]))
+    h = dict(zip(words, kernels.word_hashes(data, offsets[:-1], offsets[1:])[0].tolist(), strict=False))
+    top = sorted(words, key=lambda w: (-c[w], h[w]))[:head]
+    rank = {w: i for i, w in enumerate(top)}
+    bigrams = np.zeros((len(top) + 1, len(top) + 1))
+    for d, ts in tokens:
+        if not held[d]:
+            for x, y in zip([None, *ts], ts, strict=False):
+                bigrams[rank.get(x, len(top)), rank.get(y, len(top))] += 1
+    of = brown.exchange_classes(bigrams, classes)
+    groups = int(of.max()) + 1
+    ctx = lambda w: 1 + int(of[rank[w]]) if w in rank else 0
+    right = np.zeros((groups + 1, groups + 1))
+    for i, w in enumerate([*top, None]):
+        for j, v in enumerate([*top, None]):
+            right[ctx(w), ctx(v)] += bigrams[i, j]
+    value = defaultdict(lambda: np.zeros(groups))
+    for d, ts in tokens:
+        if not held[d]:
+            for i, w in enumerate(ts):
+                if w is not None and w not in rank and c[w] > 1:
+                    before, after = ctx(ts[i - 1]) if i else 0, ctx(ts[i + 1])
+                    for g in range(groups):
+                        value[w][g] += math.log((right[before, g + 1] + 0.5) / (right[:, g + 1].sum() + 0.5 * (groups + 1)))
+                        value[w][g] += math.log((right[g + 1, after] + 0.5) / (right[g + 1].sum() + 0.5 * (groups + 1)))
+    of_word = {w: 2 + int(of[rank[w]]) if w in rank else 2 + int(value[w].argmax()) for w in words}
+    of_word[None] = 0
+    klass = lambda w: of_word.get(w, 1)
+    moves = np.zeros((2 + groups, 2 + groups))
+    for d, ts in tokens:
+        if not held[d]:
+            for x, y in zip([None, *ts], ts, strict=False):
+                moves[klass(x), klass(y)] += 1
+    each = moves.sum(axis=0)
+    share = (each + 0.5) / (each.sum() + 0.5 * len(each))
+    once = sum(n == 1 for w, n in c.items() if w is not None)
+
+    def p(x, y):
+        move = (moves[klass(x), klass(y)] + 2 * share[klass(y)]) / (moves[klass(x)].sum() + 2)
+        own = 1 if y is None else (c[y] + 0.5) / (each[1] + 0.5 * (once + 1)) if klass(y) == 1 else c[y] / each[klass(y)]
+        return move * own
+
+    return {d: sum(math.log10(p(x, y)) for x, y in zip([None, *ts], ts, strict=False)) for d, ts in tokens}, p, (moves, each, once, c, klass)
+
+
+def test_op6_score_equals_a_brute_model(spark, texts):
+    rows = [(d, t) for d, t, _ in texts[:120]]
+    want, p, (moves, each, once, c, klass) = brute_scores(rows, 30, 6)
+    got = {r["doc_id"]: r["score"] for r in brown.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 30, 6).collect()}
+    assert set(got) == set(want) and all(got[d] == pytest.approx(want[d], rel=1e-6) for d in want)
+    seen = [*c, "never seen before"]  # probabilities after a word sum to one
+    assert sum(p("the", w) for w in seen) == pytest.approx(1, abs=2e-3)
+
+
+def test_op6_every_word_has_a_class_by_its_contexts(spark):
+    """Two kinds of words follow each other in turn; words outside the head join the kind that they behave like."""
+    rng = random.Random(3)
+    kinds = [[f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]]
+    weights = [1 / (i + 1) for i in range(40)]
+    rows = [(i, " ".join(rng.choices(kinds[j % 2], weights)[0] for j in range(60))) for i in range(400)]
+    _, _, (_, _, _, c, klass) = brute_scores(rows, 8, 2)
+    tail = [w for w in c if w is not None and c[w] > 5]
+    assert len(tail) > 60 and {klass(w) for w in tail if w[0] == "a"}.isdisjoint({klass(w) for w in tail if w[0] == "b"})
+    want = brute_scores(rows, 8, 2)[0]
+    got = {r["doc_id"]: r["score"] for r in brown.score(spark.createDataFrame(rows, "doc_id long, text string"), 8, 2).collect()}
+    assert all(got[d] == pytest.approx(want[d], rel=1e-6) for d in want)
 
 
 def test_op6_exchange_raises_likelihood():
