@@ -80,17 +80,18 @@ def needed(n: np.ndarray) -> np.ndarray:
 
 class SignatureTree:
     """Bitmaps of sets in a hierarchy. ``size`` is a set's size, ``shared`` how many of its tokens the bitmap covers (no
-    partner has the others), ``key`` is alike for like sets. ``tests`` counts the pairs of leaves that were looked at."""
+    partner has the others), ``key`` is alike for like sets; a bitmap repeats itself so many ``times``. ``tests`` counts
+    the pairs of leaves that were looked at."""
 
-    def __init__(self, bits: np.ndarray, size: np.ndarray, shared: np.ndarray, key: np.ndarray):
+    def __init__(self, bits: np.ndarray, size: np.ndarray, shared: np.ndarray, key: np.ndarray, times: np.ndarray | None = None):
         self.order = np.lexsort((size, key, size_class(size)))
-        bits, size, shared = bits[self.order], size[self.order], shared[self.order]
-        slack = shared - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-        self.levels, self.tests = [(bits, size, size, shared, slack)], 0
+        times = np.ones(len(size), np.int64) if times is None else times
+        bits, size, shared, times = bits[self.order], size[self.order], shared[self.order], times[self.order]
+        self.levels, self.tests = [leaves(bits, size, shared, times)], 0
         while len(self.levels[-1][0]) > FANOUT:
-            bits, low, high, shared, slack = self.levels[-1]
+            bits, low, times, high, shared, slack = self.levels[-1]
             at = np.arange(0, len(bits), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(bits, at, axis=0), np.minimum.reduceat(low, at), *(np.maximum.reduceat(x, at) for x in (high, shared, slack))))
+            self.levels.append((np.bitwise_or.reduceat(bits, at, axis=0), *(np.minimum.reduceat(x, at) for x in (low, times)), *(np.maximum.reduceat(x, at) for x in (high, shared, slack))))
 
     @classmethod
     def of(cls, sets: list[np.ndarray], size: np.ndarray) -> SignatureTree:
@@ -154,15 +155,20 @@ class SignatureTree:
         return possible(self._level(level), right._level(level), i, j)
 
 
+def leaves(bits: np.ndarray, size: np.ndarray, shared: np.ndarray, times: np.ndarray) -> tuple:
+    """The lowest level: bitmaps, least size, repetitions, largest size, shared tokens, and tokens without an own bit."""
+    return bits, size, times, size, shared, shared - np.bitwise_count(bits).sum(axis=1, dtype=np.int64) // times
+
+
 def possible(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs (i, j) of rows of two levels (bits, low, high, shared, slack), those that may link: first by sizes and
-    numbers of shared tokens alone, then by bitmaps."""
+    """Of pairs (i, j) of rows of two levels, those that may link: first by sizes and numbers of shared tokens alone, then
+    by bitmaps. Where both bitmaps repeat themselves, so do their common bits."""
     (bits_a, *left), (bits_b, *right) = a, b
-    (low_a, high_a, shared_a, slack_a), (low_b, high_b, shared_b, slack_b) = ([v[i] for v in left], [v[j] for v in right])
+    (low_a, times_a, high_a, shared_a, slack_a), (low_b, times_b, high_b, shared_b, slack_b) = ([v[i] for v in left], [v[j] for v in right])
     most = np.minimum(np.minimum(high_a, high_b), np.minimum(shared_a, shared_b))
     keep = np.flatnonzero((9 * most >= 4 * (low_a + low_b)) & (5 * high_a >= 4 * low_b) & (5 * high_b >= 4 * low_a))
     i, j, most = i[keep], j[keep], most[keep]
-    common = np.bitwise_count(bits_a[i] & bits_b[j]).sum(axis=1, dtype=np.int64)
+    common = np.bitwise_count(bits_a[i] & bits_b[j]).sum(axis=1, dtype=np.int64) // np.minimum(times_a[keep], times_b[keep])
     most = np.minimum(most, common + np.minimum(slack_a[keep], slack_b[keep]))
     keep = 9 * most >= 4 * (low_a[keep] + low_b[keep])
     return i[keep], j[keep]
@@ -206,11 +212,10 @@ def bitmap(tokens: np.ndarray) -> bytes:
 
 
 def stacked(bitmaps: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps side by side, and how many bits each has. A narrow one is repeated to the width of the widest, which keeps
-    common bits an upper bound."""
-    width = max(map(len, bitmaps)) // 8
-    own = [np.frombuffer(b, np.uint64) for b in bitmaps]
-    return np.stack([np.tile(b, width // len(b)) for b in own]), np.array([int(np.bitwise_count(b).sum()) for b in own], np.int64)
+    """Bitmaps side by side, each repeated to the width of the widest, and how many times."""
+    width = max(map(len, bitmaps))
+    times = np.array([width // len(b) for b in bitmaps], np.int64)
+    return np.stack([np.tile(np.frombuffer(b, np.uint64), n) for b, n in zip(bitmaps, times.tolist(), strict=True)]), times
 
 
 def links(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int) -> bool:
@@ -248,16 +253,14 @@ def _meet(table: pa.Table) -> pa.Table:
     order = np.lexsort((left, token))
     table = table.take(pa.array(order))
     ids, size, shared, key, component = (table.column(c).to_numpy() for c in ("doc_id", "n", "shared", "key", "component"))
-    bits, ones = stacked(table.column("bits").to_pylist())
+    bits, times = stacked(table.column("bits").to_pylist())
     two = table.column("two").to_numpy(zero_copy_only=False)
-    slack, tiled = shared - ones, np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
     del table
     edges = np.append(np.flatnonzero(np.append(True, np.diff(token[order]) != 0)), len(order))
-    level = (bits, size, size, shared, slack)
-    found, few = [], []
+    level, found, few = leaves(bits, size, shared, times), [], []
 
-    def tree(at: np.ndarray) -> SignatureTree:  # its slack, and not that of repeated bits
-        return SignatureTree(bits[at], size[at], slack[at] + tiled[at], key[at])
+    def tree(at: np.ndarray) -> SignatureTree:
+        return SignatureTree(bits[at], size[at], shared[at], key[at], times[at])
 
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         if two[a]:

@@ -112,9 +112,10 @@ def test_op5_signature_tree_loses_nothing():
     want = {(i, j) for i in range(120) for j in range(i + 1, 120) if jaccard.links(sets[i], sets[j], len(sets[i]), len(sets[j]))}
     found = {(min(a, b), max(a, b)) for x, y in jaccard.SignatureTree.of(sets, sizes).pairs() for a, b in zip(x.tolist(), y.tolist(), strict=True)}
     assert want and want <= found
-    bits, _ = jaccard.stacked([jaccard.bitmap(s) for s in sets])
+    bits, times = jaccard.stacked([jaccard.bitmap(s) for s in sets])
+    assert set(times.tolist()) == {1, 2}
     key = np.array([s.min() for s in sets])
-    half = [jaccard.SignatureTree(bits[some], sizes[some], sizes[some], key[some]) for some in (slice(0, 50), slice(50, 120))]
+    half = [jaccard.SignatureTree(bits[some], sizes[some], sizes[some], key[some], times[some]) for some in (slice(0, 50), slice(50, 120))]
     both = {(a, b + 50) for x, y in half[0].pairs(half[1]) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
     assert {(i, j) for i, j in want if i < 50 <= j} <= both
 
