@@ -33,6 +33,9 @@ from pyspark.sql import functions as F
 from inkstream.llm import columns, exchange, kernels
 from inkstream.session import discard, materialise
 
+#: Chunks here are so many times as large as the exchange's, as a word's questions come once a chunk; and words that a task
+#: sums up at a time.
+LARGER, MOST_WORDS = 4, 2_000_000
 #: Words that the full exchange algorithm clusters, its classes (250 at most), pseudo counts of the transitions, and of
 #: contexts when other words are assigned.
 HEAD, CLASSES, PRIOR, ALPHA = 1000, 48, 2.0, 0.5
@@ -136,18 +139,31 @@ def _summary(chunks: DataFrame, bits: int, head: int) -> np.ndarray:
     """Numbers of distinct words, of words seen once (the end token aside) and of tokens in training, then the most
     frequent words. Buckets are merged 32 by 32, packed all the way."""
 
+    def summed(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        one, two, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        a, b, _, place = kernels.distinct(one, two)
+        return a, b, np.bincount(place, n, len(a)).astype(np.int64)
+
+    def rows(one: np.ndarray, two: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        full, edges = _buckets(one, bits)
+        body = _items(one, two, n.astype("<i8"))
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(full.astype(np.int32)), "body": kernels.binary_array(body.reshape(-1), edges * 18)})
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []  # a task sums its chunks' words, but no more than so many at a time
         for batch in batches:
             for i in range(batch.num_rows):
                 c = Chunk(batch, i)
-                full, edges = _buckets(c.one, bits)
-                body = _items(c.one, c.two, c.counts().astype("<i4"))
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(full.astype(np.int32)), "body": kernels.binary_array(body.reshape(-1), edges * 14)})
+                parts = [summed([*parts, (c.one, c.two, c.counts())])]
+                if len(parts[0][0]) >= MOST_WORDS:
+                    yield rows(*parts.pop())
+        if parts:
+            yield rows(*parts[0])
 
     def bucket(key: tuple, table: pa.Table) -> pa.Table:
-        items, _ = exchange.bodies(table, 14)
+        items, _ = exchange.bodies(table, 18)
         group, groups = exchange.groups(items)
-        total = np.bincount(group, np.ascontiguousarray(items[:, 10:14]).view("<i4").reshape(-1), groups).astype(np.int64)
+        total = np.bincount(group, np.ascontiguousarray(items[:, 10:18]).view("<i8").reshape(-1), groups).astype(np.int64)
         hashes = np.empty(groups, np.uint64)
         hashes[group] = np.ascontiguousarray(items[:, :8]).view(np.uint64).reshape(-1)
         top = np.lexsort((hashes, -total))[: head + 1]
@@ -339,7 +355,7 @@ def score(docs: DataFrame, head: int = HEAD, classes: int = CLASSES) -> DataFram
     docs = columns.plain(docs, "doc_id", "text").select("doc_id", "text")
     size = exchange.text_bytes(docs)
     bits = exchange.bucket_bits(docs, size // 4)  # far fewer distinct words than words
-    chunks = materialise(_chunks(docs, exchange.sizes(size)[0]), "chunks")
+    chunks = materialise(_chunks(docs, LARGER * exchange.sizes(size)[0]), "chunks")
     stats = _summary(chunks, bits, head)
     types, once, total = (int(n) for n in stats["n"][:3])
     heads, ranked = stats["hash"][3:].copy(), np.argsort(stats["hash"][3:])
