@@ -42,6 +42,19 @@ def label_range(label: str, zone: str = ZONE) -> tuple[dt.datetime, dt.datetime]
     return monday.astimezone(dt.UTC), end.astimezone(dt.UTC) - dt.timedelta(milliseconds=1)
 
 
+def label_start(label: str | Column, zone: str = ZONE) -> Column:
+    """F61 as an expression: Monday 00:00 of a labelled week, as an instant; null for weeks beyond 1 to 53 and for a week 53
+    that the year has not."""
+    year, week = (F.nullif(F.regexp_extract(c(label), r"^(\d{4})-W(\d{1,2})$", k), F.lit("")).cast("int") for k in (1, 2))
+    monday = F.date_add(F.date_trunc("week", F.make_date(year, F.lit(1), F.lit(4))).cast("date"), (week - 1) * 7)
+    return F.when(week.between(1, 53) & (F.weekofyear(monday) == week), F.to_utc_timestamp(monday.cast("timestamp"), zone))
+
+
+def label_end(label: str | Column, zone: str = ZONE) -> Column:
+    """the last millisecond of a labelled week."""
+    return week_end(label_start(label, zone), zone)
+
+
 def previous_label(label: str | Column) -> Column:
     """the week before by number; before week 1 comes week 52 of the year before."""
     year, week = (F.regexp_extract(c(label), r"^(\d{4})-W(\d{1,2})$", k).cast("int") for k in (1, 2))

@@ -144,9 +144,26 @@ def extract_article(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([article(h or "") for h in html], columns=["text", "title", "author", "date"])
 
 
-def items(item: str, link: str, title: str | None = None, date: str | None = None, fallback: tuple[str, str, str | None, str | None] | None = None):
+_DATES = re.compile(r"\d{1,2}\s+(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{4}|\d+\s+(?:hour|day|week|month)s?\s+ago", re.I)
+
+
+def date_beside(node: Node, anchor: Node | None) -> str:
+    """a date without a selector: the text right after the item, or after its link, else a date among the item's own
+    words beside the link's."""
+    for at in (node, anchor):
+        if at is not None and at.parent is not None:
+            row = at.parent.children
+            after = row[row.index(at) + 1 :][:1]
+            if after and isinstance(after[0], str) and after[0].strip():
+                return after[0].strip()
+    rest = node.text().replace(anchor.text(), "", 1) if anchor is not None else node.text()
+    found = _DATES.search(rest)
+    return found.group(0) if found else ""
+
+
+def items(item: str, link: str, title: str | None = None, date: str | None = None, fallback: tuple[str, str, str | None, str | None] | None = None, beside: bool = False):
     """A function over (html, url) columns that lists a page's items by selectors, or by the fallback set if
-    the first finds none. Each has title, absolute url and date text."""
+    the first finds none. Each has title, absolute url and date text; ``beside`` looks for dates that no selector names."""
 
     def listed(root: Node, base: str, item: str, link: str, title: str | None, date: str | None) -> list[dict]:
         out = []
@@ -155,8 +172,10 @@ def items(item: str, link: str, title: str | None = None, date: str | None = Non
             heading = node.first(title) if title else None
             when = node.first(date) if date else None
             href = anchor.attrs.get("href") if anchor is not None else None
-            words = heading.text() if heading is not None else anchor.text() if anchor is not None else ""
-            out.append({"title": re.sub(r"\s+", " ", words).strip(), "url": urljoin(base, href) if href else None, "date_text": (when.attrs.get("datetime") or when.text()).strip() if when is not None else None})
+            words = heading.text() if heading is not None else ""
+            words = words.strip() or (anchor.text() if anchor is not None else "")
+            told = (when.attrs.get("datetime") or when.text()).strip() if when is not None else date_beside(node, anchor) or None if beside else None
+            out.append({"title": re.sub(r"\s+", " ", words).strip(), "url": urljoin(base, href) if href else None, "date_text": told})
         return out
 
     @F.pandas_udf("array<struct<title: string, url: string, date_text: string>>")

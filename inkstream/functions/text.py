@@ -34,22 +34,10 @@ def strip(x: str | Column) -> Column:
     return F.btrim(c(x), F.lit(" \t\n\r\f\x0b"))
 
 
-def bound(x: Column, use) -> Column:
-    """``use`` of a value that is worked out once, however often ``use`` refers to it."""
-    return F.transform(F.array(x), use)[0]
-
-
-def _found(low: Column, markers: list[str]) -> Column:
-    """The markers that are substrings of a lower-cased text."""
-    return F.filter(F.array(*[F.lit(m.lower()) for m in markers]), lambda m: low.contains(m))
-
-
 def contains_any(x: str | Column, markers: list[str], word_boundary: bool = False) -> Column:
     """some marker is a substring, whatever the case; ``word_boundary`` asks for whole words instead."""
-    if word_boundary:
-        return F.lower(c(x)).rlike("|".join(whole(m.lower()) for m in markers))
-    listed = F.array(*[F.lit(m.lower()) for m in markers])
-    return bound(F.lower(c(x)), lambda low: F.exists(listed, lambda m: low.contains(m)))
+    pattern = whole if word_boundary else re.escape
+    return F.lower(c(x)).rlike("|".join(pattern(m.lower()) for m in markers))
 
 
 def _short(keywords: list[str]) -> tuple[list[str], list[str]]:
@@ -60,20 +48,17 @@ def _short(keywords: list[str]) -> tuple[list[str], list[str]]:
 
 def keyword_any(x: str | Column, keywords: list[str]) -> Column:
     """some keyword occurs."""
-    return keyword_count(x, keywords) > 0
+    short, long = _short(keywords)
+    return F.lower(c(x)).rlike("|".join([*map(whole, short), *map(re.escape, long)]))
 
 
 def keyword_count(x: str | Column, keywords: list[str]) -> Column:
     """how many of the keywords occur: whole words up to three characters, else substrings."""
     short, long = _short(keywords)
-
-    def count(low: Column) -> Column:
-        out = F.size(_found(low, long)) if long else F.lit(0)
-        for k in short:
-            out = out + low.rlike(whole(k)).cast("int")
-        return out
-
-    return bound(F.lower(c(x)), count)
+    low, out = F.lower(c(x)), F.lit(0)
+    for hit in [*(low.rlike(whole(k)) for k in short), *(low.contains(k) for k in long)]:
+        out = out + hit.cast("int")
+    return out
 
 
 def truncate(x: str | Column, most: int, kept: int | None = None, suffix: str = "") -> Column:
@@ -278,3 +263,19 @@ def fenced_json(x: str | Column, schema: str, required: str) -> Column:
     x = c(x)
     bare, inner = F.from_json(x, schema), F.from_json(F.regexp_extract(x, r"(?s)```(?:json)?\s*(.*?)\s*```", 1), schema)
     return F.when(bare[required].isNotNull(), bare).when(inner[required].isNotNull(), inner)
+
+
+def first_valid(one: Column, two: Column, one_ok: Column, two_ok: Column) -> tuple[Column, Column]:
+    """Which of two staged answers counts, and that one: the first if valid, else a valid retry, else the first."""
+    retry = ~one_ok & two.isNotNull() & F.coalesce(two_ok, F.lit(False))
+    return F.when(one_ok, "first").when(retry, "retry").otherwise("first_despite_issues"), F.when(retry, two).otherwise(one)
+
+
+def summary_outcome(snippet: Column, answer: Column) -> Column:
+    """Without a snippet there is nothing to sum up; a missing answer is a failure."""
+    return F.when(F.coalesce(snippet, F.lit("")) == "", "skipped").when(answer.isNull(), "failed").otherwise("succeeded")
+
+
+def script_step(one: Column, two: Column, least: int = 2250) -> Column:
+    """What becomes of a script by its number of words: taken, written again once, or expanded."""
+    return F.when(one >= least, "first").when(two >= least, "retry").otherwise("expand")

@@ -13,18 +13,17 @@ DEFAULT = "Ecommerce_Retail_Tech"
 
 
 def scored(x: Column, keywords: dict[str, list[str]] | None = None, fallback: Column | None = None) -> Column:
-    """The keyword part of C01: a topic with two hits or more, else one with a hit, in the topics' order."""
-    keywords = keywords or KEYWORDS
-    hits = F.struct(*[text.keyword_count(x, ks).alias(t) for t, ks in keywords.items()])
-
-    def choose(n: Column) -> Column:
-        out = None
-        for least in (2, 1):
-            for t in keywords:
-                out = F.when(n[t] >= least, t) if out is None else out.when(n[t] >= least, t)
-        return out
+    """The keyword part of C01: a topic with two hits or more, else one with a hit, in the topics' order.
 
-    return F.coalesce(text.bound(hits, choose), F.lit(DEFAULT) if fallback is None else fallback)
+    Each topic's hits, two at most, and its place make one number; the greatest names the topic, so every count is worked
+    out once.
+    """
+    keywords = keywords or KEYWORDS
+    n, last = len(keywords), F.lit(DEFAULT) if fallback is None else fallback
+    marks = [F.least(text.keyword_count(x, ks), F.lit(2)) * n + (n - 1 - i) for i, ks in enumerate(keywords.values())]
+    best = F.greatest(*marks) if n > 1 else marks[0]
+    names = [F.lit(t) for t in reversed(keywords)]
+    return F.coalesce(F.element_at(F.array(*[F.lit(None).cast("string")] * n, *names, *names), best + 1), last)
 
 
 def topic(title: Column, source: Column, keywords: dict[str, list[str]] | None = None) -> Column:

@@ -63,6 +63,11 @@ def hard_controversy(x: Column, m: Markers) -> Column:
     return text.contains_any(x, m.controversy, m.word_boundary) & ~text.contains_any(x, m.policy)
 
 
+def sponsored_reject(title: str, snippet: str, body: str, markers: list[str] | None = None) -> Column:
+    """An indicator in title, snippet or body."""
+    return text.contains_any(F.concat_ws(" ", title, snippet, body), lists.SPONSORED if markers is None else markers)
+
+
 def gate(df: DataFrame, start: Column, end: Column, m: Markers) -> DataFrame:
     """Adds eligible, reasons and flags. ``duplicate_of`` holds the url of the first row of the same title."""
     df = window(df, start, end)
@@ -140,6 +145,11 @@ def shown_n(n: int) -> int:
     return n if n in (3, 4, 5, 6, 7) else 7
 
 
+def shown_count(n: Column) -> Column:
+    """P19 over a column of wishes."""
+    return F.when(n.isin(3, 4, 5, 6, 7), n).otherwise(F.lit(7))
+
+
 def missing_source(x: str) -> Column:
     """P20."""
     return F.col(x).isNull() | F.col(x).isin("", "undefined")

@@ -11,25 +11,32 @@ from inkstream.functions import text
 _EPOCH = "TIMESTAMP '1970-01-01 00:00:00'"
 
 
-def first_wins(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Of rows with one key, the first in this order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+def _with(df: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the other columns of ``found``, which has one row a key; null is a key like others."""
+    other = found.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
+    return df.join(other, same, "left").drop(*[f"__key_{k}" for k in keys])
+
+
+def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of rows with one key, the first in this order. Tasks keep one row of a key before the shuffle."""
+    return df.groupBy(*keys).agg(F.min_by(F.struct("*"), F.struct(*order)).alias("__row")).select("__row.*")
 
 
 def last_wins(df: DataFrame, keys: list[str], priority: str, pos: str) -> DataFrame:
     """Of rows with one key, the one of highest priority, at the position where the key first stood."""
-    w = Window.partitionBy(*keys)
-    df = df.withColumns({"__n": F.row_number().over(w.orderBy(F.desc(priority), F.desc(pos))), "__p": F.min(pos).over(w)})
-    return df.where("__n = 1").withColumn(pos, F.col("__p")).drop("__n", "__p")
+    best = F.max_by(F.struct("*"), F.struct(priority, pos)).alias("__row")
+    found = df.groupBy(*keys).agg(best, F.min(pos).alias("__first"))
+    return found.select(*[F.col("__first").alias(c) if c == pos else F.col("__row")[c].alias(c) for c in df.columns])
 
 
 def newest_wins(df: DataFrame, keys: list[str], date: str, pos: str) -> DataFrame:
     """The newest row of each key, a tie going to the earlier row; it takes the key's first position."""
-    w = Window.partitionBy(*keys)
-    order = w.orderBy(F.coalesce(F.col(date), F.expr(_EPOCH)).desc(), F.col(pos))
-    df = df.withColumns({"__n": F.row_number().over(order), "first_pos": F.min(pos).over(w)})
-    return df.where("__n = 1").drop("__n")
+    age = -F.unix_micros(F.coalesce(F.col(date), F.expr(_EPOCH)))
+    found = df.groupBy(*keys).agg(F.min_by(F.struct("*"), F.struct(age, pos)).alias("__row"), F.min(pos).alias("first_pos"))
+    return found.select("__row.*", "first_pos")
 
 
 def upsert(known: DataFrame, new: DataFrame, key: str, filled: list[str]) -> DataFrame:
@@ -60,10 +67,59 @@ def unknown(new: DataFrame, known: DataFrame, *keys: str) -> DataFrame:
     return new
 
 
+def repeats(df: DataFrame, keys: list[str], pos: str, name: str = "dup") -> DataFrame:
+    """Adds whether an earlier row has the same keys. The first positions are joined back: a frequent key is one row on
+    their side, and its rows may be split on the other."""
+    first = df.groupBy(*keys).agg(F.min(pos).alias("__first"))
+    return _with(df, first, keys).withColumn(name, F.col("__first") < F.col(pos)).drop("__first")
+
+
 def duplicate_of(df: DataFrame, keys: list[str], title: str, url: str, pos: str) -> DataFrame:
     """Adds the url of the first row with this title."""
-    w = Window.partitionBy(*keys, title).orderBy(pos)
-    return df.withColumn("duplicate_of", F.first(url).over(w))
+    by = [*keys, title]
+    return _with(df, df.groupBy(*by).agg(F.min_by(url, pos).alias("duplicate_of")), by)
+
+
+def merge_week(selected: DataFrame, known: DataFrame, week: DataFrame, pos: str = "pos") -> DataFrame:
+    """Selected articles that the global table has neither by url nor by title (J15: over 0.8 of the words alike, which
+    equal normalised titles are), merged into the week's table by url: new ones are added, empty snippets filled.
+
+    Tables have url, title, snippet, and the selected ones a position. Result: the week's rows with ``action``.
+    """
+    fresh = selected.join(known.select("url").distinct(), "url", "left_anti").withColumn("__norm", text.title_plain("title"))
+    titles = known.groupBy(text.title_plain("title").alias("__norm")).agg(F.max("title").alias("__title"))
+    fresh = fresh.join(titles, "__norm", "left").where(F.col("__title").isNull() | ~F.coalesce(jaccard(F.col("title"), F.col("__title")) > 0.8, F.lit(False)))
+    return upsert(week, fresh.drop("__norm", "__title"), "url", ["snippet"])
+
+
+def cached(df: DataFrame, cache: DataFrame, keys: list[str], versions: dict[str, str]) -> DataFrame:
+    """Rows with the cached columns, and ``hit`` (true where all version columns are the wanted ones; else they are
+    null). ``cache`` has one row a key."""
+    found = df.join(cache, keys, "left")
+    hit = F.lit(True)
+    for column, wanted in versions.items():
+        hit = hit & F.coalesce(F.col(column) == wanted, F.lit(False))
+    rest = [c for c in cache.columns if c not in keys and c not in versions]
+    return found.select(*df.columns, hit.alias("hit"), *[F.when(hit, F.col(c)).alias(c) for c in rest])
+
+
+def anchor_picks(anchors: DataFrame, keys: list[str]) -> DataFrame:
+    """Each group's three visual anchors, in order: the first of each type, then others with descriptions of their own.
+
+    Columns: keys, pos (articles in order), anchors (array of type and description in order). Types that no article has
+    get a default.
+    """
+    # What stands in for a missing type.
+    defaults = [("person", "professional"), ("place", "modern retail environment"), ("object", "technology device")]
+    each = anchors.select(*keys, "pos", F.posexplode("anchors").alias("i", "a")).select(*keys, "pos", "i", F.col("a.type").alias("type"), F.col("a.description").alias("description"))
+    groups = anchors.select(*keys).distinct()
+    filler = groups.select(*keys, F.explode(F.array(*[F.struct(F.lit(t).alias("type"), F.lit(d).alias("description"), F.lit(i).alias("i")) for i, (t, d) in enumerate(defaults)])).alias("x"))
+    filler = filler.select(*keys, F.lit((1 << 62)).alias("pos"), "x.i", "x.type", "x.description").join(each.select(*keys, "type").distinct(), [*keys, "type"], "left_anti")
+    first = each.unionByName(filler).groupBy(*keys, "type", "description").agg(F.min(F.struct("pos", "i")).alias("at"))
+    of_type = top_k(first, [*keys, "type"], ["at"], 1, "__n").select(*keys, "type", "description", "at", F.lit(0).alias("turn"))
+    rest = top_k(first, keys, ["at"], 6, "__n").select(*keys, "type", "description", "at", F.lit(1).alias("turn"))
+    both = of_type.unionByName(rest).groupBy(*keys, "description").agg(F.min(F.struct("turn", "at", "type")).alias("best"))
+    return top_k(both, keys, ["best.turn", "best.at"], 3, "place").select(*keys, "place", F.col("best.type").alias("type"), "description")
 
 
 def top_k(df: DataFrame, keys: list[str], order: list, k: int, name: str = "rank") -> DataFrame:
@@ -74,16 +130,18 @@ def top_k(df: DataFrame, keys: list[str], order: list, k: int, name: str = "rank
 def diverse_top(df: DataFrame, keys: list[str], source: str, order: str, n: int = 7, most: int = 3, pool: int | None = 100) -> DataFrame:
     """The first n in this order, with at most ``most`` of one source, unless too few others are left.
 
-    Closed form of the greedy walk: of m rows, those beyond a source's cap count up along the order; such a row stays
-    once more than m - n came. ``pool`` cuts each group before.
+    Closed form of the greedy walk: rows within their source's cap come first; if a group has fewer than n of them, the
+    last of its other rows fill up. So a source gives its first ``most`` rows and its last n, and windows run over keys and
+    source. ``pool`` cuts each group before.
     """
-    by = Window.partitionBy(*keys)
     if pool:
         df = top_k(df, keys, [order], pool, "__pos").drop("__pos")
-    df = df.withColumns({"__rn": F.row_number().over(Window.partitionBy(*keys, source).orderBy(order)), "__m": F.count(F.lit(1)).over(by)})
-    df = df.withColumn("__over", F.sum(F.when(F.col("__rn") > most, 1).otherwise(0)).over(by.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.where((F.col("__rn") <= most) | (F.col("__over") > F.greatest(F.col("__m") - n, F.lit(0))))
-    return top_k(df, keys, [order], n).drop("__rn", "__m", "__over")
+    sizes = df.groupBy(*keys, source).agg(F.count(F.lit(1)).alias("__size"))
+    short = sizes.groupBy(*keys).agg((F.lit(n) - F.sum(F.least("__size", F.lit(most)))).alias("__short")).where("__short > 0")
+    first = top_k(df, [*keys, source], [order], most, "__rn").drop("__rn")
+    last = top_k(df, [*keys, source], [F.desc(order)], n, "__back").join(sizes, [*keys, source]).where(F.col("__size") - F.col("__back") >= most).join(short, keys)
+    fill = top_k(last, keys, [F.desc(order)], n, "__back").where("__back <= __short").select(df.columns)
+    return top_k(first.unionByName(fill), keys, [order], n)
 
 
 def capped_top(df: DataFrame, keys: list[str], domain: str, rank: str, n: int, cap: int = 2, relaxed: int = 3) -> DataFrame:
@@ -176,8 +234,14 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.nullif(F.size(F.array_union(x, y)), F.lit(0))
 
 
+def title_classes(df: DataFrame, key: str, id_: str, title: str) -> DataFrame:
+    """One row for each title of a group: the least id stands for it; and how many rows have it."""
+    return df.groupBy(key, title).agg(F.min(id_).alias(id_), F.count(F.lit(1)).alias("members"))
+
+
 def near_titles(df: DataFrame, key: str, id_: str, title: str, least: float = 0.8) -> DataFrame:
-    """J14 as a join: pairs of one group that share over ``least`` of their words, by way of shared words.
+    """J14 as a join: pairs of one group that share over ``least`` of their words, by way of shared words. Rows with equal
+    titles should be one row each (``title_classes``).
 
     The overlap counts the first title's repeated words each. With n words of k kinds, e = n - k of them repeat others, so
     both titles share over least * n - e kinds, n being either's length and e the first's. Of the words by rarity, the

@@ -1,7 +1,7 @@
 """All queries of the library's own operators, with their DuckDB texts."""
 
-from inkstream.plans import registry, reports, tables, texts
+from inkstream.plans import registry, reports, staged, tables, texts
 
 QUERIES, ORACLE_SQL = registry.QUERIES, registry.ORACLE_SQL
 FLAGSHIP = tables.weekly_top
-MODULES = (texts, tables, reports)
+MODULES = (texts, tables, reports, staged)

@@ -13,10 +13,8 @@ _Y = f"y AS (SELECT *, min(doc_id) OVER (PARTITION BY {PLAIN.format('title')}) <
 
 
 def _yield(spark, d):
-    from pyspark.sql import Window
-
     a = articles(spark, d).select("source", "source_type", "doc_id", text.title_plain("title").alias("norm"), (text.word_count("body") >= 20).alias("parsed"))
-    return a.withColumn("dup", F.min("doc_id").over(Window.partitionBy("norm")) < F.col("doc_id"))
+    return rows.repeats(a, ["norm"], "doc_id")
 
 
 def source_yield(df):
@@ -126,8 +124,7 @@ def top_exclusions(spark, d):
     from pyspark.sql import Window
 
     a = articles(spark, d).select("topic", "doc_id", "published_invalid", text.title_plain("title").alias("norm"), text.word_count("body").alias("n"))
-    a = a.withColumn("dup", F.min("doc_id").over(Window.partitionBy("norm")) < F.col("doc_id"))
-    c = a.groupBy("topic").agg(F.count_if(F.col("n") < 20).alias("short"), F.count_if("dup").alias("dup"), F.count_if("published_invalid").alias("dates"))
+    c = rows.repeats(a, ["norm"], "doc_id").groupBy("topic").agg(F.count_if(F.col("n") < 20).alias("short"), F.count_if("dup").alias("dup"), F.count_if("published_invalid").alias("dates"))
     u = c.unpivot(["topic"], ["short", "dup", "dates"], "reason", "n").withColumn("total", F.sum("n").over(Window.partitionBy("topic")))
     return rows.top_k(u, ["topic"], [F.desc("n"), "reason"], 2, "k").drop("k")
 

@@ -164,16 +164,31 @@ def unknown_pages(spark, d):
     return rows.unknown(new, known, "url").select("doc_id", "url")
 
 
-@query(f"""WITH {ART}, n AS (SELECT *, {PLAIN.format("title")} AS norm FROM art), known AS (SELECT * FROM n WHERE doc_id % 3 = 0), new AS (SELECT * FROM n WHERE doc_id % 3 = 1 OR doc_id % 12 = 0), k1 AS (SELECT * FROM new ANTI JOIN known USING (url)), k2 AS (SELECT * FROM k1 ANTI JOIN known USING (norm))
+@query(f"""WITH {ART}, n AS (SELECT *, {PLAIN.format("title")} AS norm FROM art), known AS (SELECT * FROM n WHERE doc_id % 3 = 0), new AS (SELECT * FROM n WHERE doc_id % 3 > 0 OR doc_id % 12 = 0), k1 AS (SELECT * FROM new ANTI JOIN known USING (url)), k2 AS (SELECT * FROM k1 ANTI JOIN known USING (norm))
 SELECT doc_id, url, CASE WHEN published_invalid THEN TIMESTAMP '2024-02-15 12:00:00' ELSE published_at END AS published_at, published_invalid FROM k2""")
 def merged_discoveries(spark, d):
-    """Neither url nor normalised title is known; a missing date becomes the run's time."""
+    """J03's anti joins: neither url nor normalised title is known; a missing date becomes the run's time. Every article is
+    known or comes in, some are both."""
     a = articles(spark, d).withColumn("norm", text.title_plain("title"))
-    fresh = rows.unknown(a.where("doc_id % 3 = 1 OR doc_id % 12 = 0"), a.where("doc_id % 3 = 0"), "url", "norm")
+    fresh = rows.unknown(a.where("doc_id % 3 > 0 OR doc_id % 12 = 0"), a.where("doc_id % 3 = 0"), "url", "norm")
     run = F.lit("2024-02-15 12:00:00").cast("timestamp")
     return fresh.select("doc_id", "url", F.when(F.col("published_invalid"), run).otherwise(F.col("published_at")).alias("published_at"), "published_invalid")
 
 
+_WEEK = "known AS (SELECT * FROM art WHERE doc_id % 3 = 0), new AS (SELECT url, title, CASE WHEN doc_id % 4 = 1 THEN '' ELSE snippet END AS snippet, doc_id FROM art WHERE doc_id % 3 > 0 OR doc_id % 12 = 0), week AS (SELECT url, title, CASE WHEN doc_id % 2 = 0 THEN '' ELSE snippet END AS snippet, doc_id FROM art WHERE doc_id % 7 = 1)"
+
+
+@query(f"""WITH {ART}, {_WEEK}, t AS (SELECT DISTINCT {PLAIN.format("title")} AS norm FROM known), f AS (SELECT * FROM new ANTI JOIN known USING (url)), g AS (SELECT * FROM f WHERE {PLAIN.format("title")} NOT IN (SELECT norm FROM t WHERE norm <> ''))
+SELECT coalesce(w.url, g.url) AS url, coalesce(w.doc_id, g.doc_id) AS doc_id, CASE WHEN w.url IS NULL OR w.snippet = '' THEN coalesce(nullif(g.snippet, ''), w.snippet) ELSE w.snippet END AS snippet,
+  CASE WHEN w.url IS NULL THEN 'added' WHEN w.snippet = '' AND coalesce(g.snippet, '') <> '' THEN 'updated' ELSE 'kept' END AS action FROM week w FULL JOIN g ON w.url = g.url""")
+def merged_week(spark, d):
+    """Selected articles merged into the week's table, after the global table has been asked."""
+    a = articles(spark, d).select("url", "title", "snippet", "doc_id")
+    new = a.where("doc_id % 3 > 0 OR doc_id % 12 = 0").withColumns({"snippet": F.when(F.col("doc_id") % 4 == 1, "").otherwise(F.col("snippet")), "pos": F.col("doc_id")})
+    week = a.where("doc_id % 7 = 1").withColumn("snippet", F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("snippet")))
+    return rows.merge_week(new, a.where("doc_id % 3 = 0"), week).select("url", "doc_id", "snippet", "action")
+
+
 @query(f"WITH {ART}, r AS (SELECT url, row_number() OVER (PARTITION BY topic ORDER BY length(body) DESC, doc_id)::INT AS rank FROM art QUALIFY rank <= 40) SELECT doc_id, coalesce(rank, 999)::INT AS rank, rank IS NOT NULL AS ranked FROM art LEFT JOIN r USING (url)")
 def ranked_candidates(spark, d):
     """The first 40 of each topic by a stand-in for the scorer, and 999 for the rest."""
@@ -186,18 +201,28 @@ def ranked_candidates(spark, d):
 def full_texts(spark, d):
     """Keyed by the short hash, the enriched text before the extracted one."""
     from inkstream.functions.keys import sha_short
+    from inkstream.sources.readers import by_hash
 
-    a = articles(spark, d).withColumn("k", sha_short("url"))
-    e, x = a.where("doc_id % 3 = 0").select("k", F.concat("title", F.lit("!")).alias("e")), a.where("doc_id % 2 = 0").select("k", F.col("title").alias("x"))
-    return a.join(e, "k", "left").join(x, "k", "left").select("doc_id", F.coalesce("e", "x").alias("t"), F.when(F.col("e").isNotNull(), "enriched").when(F.col("x").isNotNull(), "extracted").otherwise("none").alias("origin"))
+    a = articles(spark, d).select("doc_id", "url", "title")
+    files = lambda x: a.where(x).select(sha_short("url").alias("hash"), "title")
+    e = by_hash(a.select("doc_id", "url"), files("doc_id % 3 = 0").select("hash", F.concat("title", F.lit("!")).alias("text"))).withColumnRenamed("text", "e").drop("hash")
+    both = by_hash(e, files("doc_id % 2 = 0").withColumnRenamed("title", "text"))
+    return both.select("doc_id", F.coalesce("e", "text").alias("t"), F.when(F.col("e").isNotNull(), "enriched").when(F.col("text").isNotNull(), "extracted").otherwise("none").alias("origin"))
 
 
-@query(f"""WITH {ART}, t AS (SELECT source, doc_id, {WORDS.format(BARE.format("title"))} AS w FROM art), p AS (SELECT a.source, a.doc_id AS a, b.doc_id AS b, len(list_filter(a.w, lambda x: list_contains(b.w, x))) / greatest(len(a.w), len(b.w)) AS overlap FROM t a JOIN t b ON a.source = b.source AND a.doc_id < b.doc_id)
-SELECT source, a, b, overlap FROM p WHERE overlap > 0.8""")
+@query(f"""WITH {ART}, c AS (SELECT lang, {BARE.format("title")} AS bare, min(doc_id) AS doc_id FROM art GROUP BY 1, 2), t AS (SELECT lang, doc_id, {WORDS.format("bare")} AS w FROM c), p AS (SELECT a.lang, a.doc_id AS a, b.doc_id AS b, len(list_filter(a.w, lambda x: list_contains(b.w, x))) / greatest(len(a.w), len(b.w)) AS overlap FROM t a JOIN t b ON a.lang = b.lang AND a.doc_id < b.doc_id)
+SELECT lang, a, b, overlap FROM p WHERE overlap > 0.8""")
 def near_title_pairs(spark, d):
-    """J14 as a join within sources, over shared rare words."""
-    t = articles(spark, d).select("source", "doc_id", text.title_bare("title").alias("bare")).where("bare <> ''")
-    return rows.near_titles(t, "source", "doc_id", "bare")
+    """J14 as a join within languages, over shared rare words, between the titles' representatives."""
+    t = articles(spark, d).select("lang", "doc_id", text.title_bare("title").alias("bare")).where("bare <> ''")
+    return rows.near_titles(rows.title_classes(t, "lang", "doc_id", "bare"), "lang", "doc_id", "bare")
+
+
+@query(f"""WITH {ART} SELECT lang, {BARE.format("title")} AS bare, min(doc_id) AS doc_id, count(*) AS members FROM art GROUP BY 1, 2""")
+def title_groups(spark, d):
+    """Which rows each representative of ``near_title_pairs`` stands for: those of its language and title."""
+    t = articles(spark, d).select("lang", "doc_id", text.title_bare("title").alias("bare"))
+    return rows.title_classes(t, "lang", "doc_id", "bare")
 
 
 @query(f"""WITH {ART}, t AS (SELECT doc_id, list_distinct({WORDS.format(PLAIN.format("title"))}) AS w FROM art) SELECT a.doc_id, len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0) AS similarity FROM t a JOIN t b ON b.doc_id = a.doc_id + 1""")
@@ -262,25 +287,56 @@ def capped_selection(spark, d):
 
 def _selection(spark, d):
     a = articles(spark, d).withColumn("len", F.length("body"))
-    a = a.select("topic", "url", "domain", "len", "doc_id", text.title_bare("title").alias("bare_title"), gates.hard_controversy(_x("title", "snippet", "body"), LOCAL).alias("hard"), text.contains_any(_x("title", "snippet", "body"), ["license"]).alias("sponsored"), (F.col("doc_id") % 3 == 0).alias("paywalled"))
+    names, _ = text.company_hits(F.col("title"), F.col("body"), F.col("snippet"), lists.LOCAL_COMPANIES[:2])
+    a = a.select("topic", "url", "domain", "len", "doc_id", text.title_bare("title").alias("bare_title"), gates.hard_controversy(_x("title", "snippet", "body"), LOCAL).alias("hard"), gates.sponsored_reject("title", "snippet", "body", ["license"]).alias("sponsored"), (F.col("doc_id") % 3 == 0).alias("paywalled"), (F.size(names) > 0).alias("company"))
     ranked = rows.top_k(a, ["topic"], [F.desc("len"), "doc_id"], 40)
-    return rows.select_ranked(ranked, "topic", 7)
+    return ranked, rows.select_ranked(ranked, "topic", 7)
+
+
+_NEAR = "(len(list_filter(c.taken, lambda t: t.title = r.bare OR len(list_filter(string_split(r.bare, ' '), lambda w: list_contains(string_split(t.title, ' '), w))) / greatest(len(string_split(r.bare, ' ')), len(string_split(t.title, ' '))) > 0.8)) > 0)"
+_USED = "len(list_filter(c.taken, lambda t: t.domain = r.domain))"
+_PICK = f"""(WITH RECURSIVE {ART.strip()}, r AS (SELECT topic, url, domain, {BARE.format("title")} AS bare, doc_id % 3 = 0 AS pay, {any_sql("title || ' ' || snippet || ' ' || body", LOCAL.controversy)} AND NOT {any_sql("title || ' ' || snippet || ' ' || body", LOCAL.policy)} AS hard,
+    {any_sql("title || ' ' || snippet || ' ' || body", ["license"])} AS spons, ({" OR ".join(f"contains(lower(title || ' ' || body || ' ' || snippet), '{m}')" for m in lists.LOCAL_COMPANIES[:2])}) AS company, row_number() OVER (PARTITION BY topic ORDER BY length(body) DESC, doc_id)::INT AS rank FROM art QUALIFY rank <= 40),
+  m AS (SELECT topic, count(*) AS m FROM r GROUP BY topic),
+  walk AS (SELECT topic, m, 2 AS cap, 0 AS i, []::STRUCT(url VARCHAR, title VARCHAR, domain VARCHAR, pay BOOLEAN, rank INT)[] AS taken, []::STRUCT(url VARCHAR, verdict VARCHAR)[] AS told FROM m
+    UNION ALL SELECT c.topic, c.m, CASE WHEN c.i = c.m THEN 3 ELSE c.cap END, CASE WHEN c.i = c.m THEN 0 ELSE c.i + 1 END, CASE WHEN c.i < c.m AND why = 'selected' THEN list_append(c.taken, {{'url': r.url, 'title': r.bare, 'domain': r.domain, 'pay': r.pay, 'rank': r.rank}}) ELSE c.taken END,
+      CASE WHEN c.i < c.m AND c.cap = 2 AND why IS NOT NULL THEN list_append(c.told, {{'url': r.url, 'verdict': why}}) ELSE c.told END
+    FROM walk c LEFT JOIN r ON r.topic = c.topic AND r.rank = c.i + 1, LATERAL (SELECT CASE WHEN len(list_filter(c.taken, lambda t: t.url = r.url)) > 0 THEN NULL WHEN r.hard THEN 'hardControversy' WHEN r.spons THEN 'sponsored' WHEN {_NEAR} THEN 'duplicate' WHEN {_USED} >= c.cap THEN 'domainCap' ELSE 'selected' END AS why)
+    WHERE len(c.taken) < 7 AND NOT (c.cap = 3 AND c.i = c.m)),
+  ended AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY topic ORDER BY cap DESC, i DESC) = 1),
+  walled AS (SELECT topic, x.url, row_number() OVER (PARTITION BY topic ORDER BY x.rank) AS k FROM (SELECT topic, unnest(taken) AS x FROM ended) WHERE x.pay),
+  excess AS (SELECT topic, list(url) AS gone, count(*) AS n FROM walled WHERE k > 1 GROUP BY topic),
+  spare AS (SELECT r.*, row_number() OVER (PARTITION BY r.topic ORDER BY r.rank) AS k FROM r JOIN ended e USING (topic) JOIN excess x USING (topic)
+    WHERE NOT (r.pay OR r.hard OR r.spons) AND len(list_filter(e.taken, lambda t: t.url = r.url AND NOT t.pay)) = 0),
+  fill AS (SELECT e.topic, e.cap, 0 AS i, x.n AS n, x.gone, e.taken, list_filter(e.taken, lambda t: NOT list_contains(x.gone, t.url)) AS kept FROM ended e JOIN excess x USING (topic)
+    UNION ALL SELECT c.topic, c.cap, c.i + 1, c.n, c.gone, CASE WHEN ok THEN list_append(c.taken, {{'url': r.url, 'title': r.bare, 'domain': r.domain, 'pay': r.pay, 'rank': r.rank}}) ELSE c.taken END,
+      CASE WHEN ok THEN list_append(c.kept, {{'url': r.url, 'title': r.bare, 'domain': r.domain, 'pay': r.pay, 'rank': r.rank}}) ELSE c.kept END
+    FROM fill c JOIN spare r ON r.topic = c.topic AND r.k = c.i + 1, LATERAL (SELECT len(c.kept) < 7 AND {_USED} < c.cap AND NOT {_NEAR} AS ok) WHERE c.i < c.n),
+  filled AS (SELECT topic, kept FROM fill QUALIFY row_number() OVER (PARTITION BY topic ORDER BY i DESC) = 1),
+  chosen AS (SELECT e.topic, coalesce(f.kept, e.taken) AS kept, e.told, e.cap FROM ended e LEFT JOIN filled f USING (topic))
+  SELECT r.topic, r.url, nullif(list_position([t.url FOR t IN c.kept], r.url), 0)::BIGINT AS place, coalesce([t.verdict FOR t IN c.told IF t.url = r.url][1], 'not_reached') AS verdict, len(c.kept) < 7 OR c.cap = 3 AS relaxed, r.pay, r.company FROM r JOIN chosen c USING (topic))"""
+
+
+@query(f"SELECT topic, url, place, verdict, relaxed FROM {_PICK}")
+def constrained_selection(spark, d):
+    """With near-duplicates and the paywall cap; the SQL walks the ranks by recursion."""
+    return _selection(spark, d)[1]
 
 
-@query()
-def constrained_selection(spark, d):
-    """With near-duplicates and the paywall cap; the tests compare it with a loop."""
-    return _selection(spark, d)
+_COUNTS = ", ".join(f"count(*) FILTER (verdict = '{r}') AS {r}" for r in ("hardControversy", "sponsored", "duplicate", "domainCap")) + ", bool_or(relaxed) AS relaxed, count(*) FILTER (place IS NOT NULL AND pay) AS paywalled, floor(coalesce(count(*) FILTER (place IS NOT NULL AND pay) * 100.0 / nullif(count(place), 0), 0) + 0.5)::BIGINT AS paywalled_pct, count(*) FILTER (place IS NOT NULL AND company) AS with_company"
 
 
-@query()
+@query(f"WITH s AS (SELECT * FROM {_PICK}) SELECT topic, count(*) AS candidates, count(place) AS selected, {_COUNTS} FROM s GROUP BY topic UNION ALL SELECT 'all', count(*), count(place), {_COUNTS} FROM s HAVING count(*) > 0")
 def selection_report(spark, d):
-    """Exclusions by reason of each topic, and over all of them."""
-    s = _selection(spark, d)
+    """Of each topic and over all, exclusions by reason, whether the cap was relaxed, the paywalled share
+    of the selected ones and how many of these name a company."""
+    ranked, s = _selection(spark, d)
+    s = s.join(ranked.select("topic", "url", "paywalled", "company"), ["topic", "url"]).withColumn("in", F.col("place").isNotNull())
     n = lambda r: F.count_if(F.col("verdict") == r).alias(r)
-    each = s.groupBy("topic").agg(F.count(F.lit(1)).alias("candidates"), F.count("place").alias("selected"), n("hardControversy"), n("sponsored"), n("duplicate"), n("domainCap"), F.bool_or("relaxed").alias("relaxed"))
-    sums = [F.sum(c).alias(c) for c in each.columns[1:-1]]
-    return each.unionByName(each.agg(F.lit("all").alias("topic"), *sums, F.bool_or("relaxed").alias("relaxed")))
+    walled = F.count_if(F.col("in") & F.col("paywalled"))
+    counts = [F.count(F.lit(1)).alias("candidates"), F.count("place").alias("selected"), n("hardControversy"), n("sponsored"), n("duplicate"), n("domainCap"), F.bool_or("relaxed").alias("relaxed")]
+    counts += [walled.alias("paywalled"), text.half_up(text.percent(walled, F.count("place"))).alias("paywalled_pct"), F.count_if(F.col("in") & F.col("company")).alias("with_company")]
+    return s.groupBy("topic").agg(*counts).unionByName(s.groupBy(F.lit("all").alias("topic")).agg(*counts))
 
 
 @query(f"WITH {ART} SELECT topic, doc_id, row_number() OVER (PARTITION BY topic ORDER BY len({WORDS.format('body')}) DESC, doc_id)::INT AS rank FROM art QUALIFY rank <= 20")
@@ -312,22 +368,27 @@ def reranked(spark, d):
     return rows.reranked(a, _ranks(spark, d), "topic", rows.top_k(a, ["topic"], ["url"], 7))
 
 
-@query(f"WITH {ART} SELECT doc_id, row_number() OVER (ORDER BY topic, url) AS by_topic, CASE WHEN row_number() OVER (ORDER BY topic, url) <= 120 THEN true ELSE false END AS kept FROM art WHERE doc_id < 100")
+@query(f"WITH {ART}, k AS (SELECT doc_id, row_number() OVER (ORDER BY topic, url) AS by_topic FROM art QUALIFY by_topic <= 120) SELECT doc_id, by_topic, by_topic IS NOT NULL AS kept FROM art LEFT JOIN k USING (doc_id)")
 def search_order(spark, d):
-    """Order by (topic, url) in binary order; the first 120 are kept. Over a fixed hundred rows, as
-    a search has."""
+    """Of all rows in order of (topic, url), binary, the first 120 are kept, with their places."""
     from pyspark.sql import Window
 
-    a = articles(spark, d).where("doc_id < 100")
-    n = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("topic", "url"))
-    return a.select("doc_id", n.cast("long").alias("by_topic"), (n <= 120).alias("kept"))
+    a = articles(spark, d).select("doc_id", "topic", "url")
+    first = a.orderBy("topic", "url").limit(120)
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("topic", "url"))  # of 120 rows
+    first = first.select("doc_id", place.cast("long").alias("by_topic"))
+    return a.select("doc_id").join(first, "doc_id", "left").withColumn("kept", F.col("by_topic").isNotNull())
 
 
-@query(f"""WITH {ART}, c AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'consultancy' WHEN 1 THEN 'platform' ELSE 'discovery' END AS kind, CASE WHEN doc_id % 2 = 0 THEN body END AS api, CASE WHEN doc_id % 5 > 0 THEN title END AS page, doc_id % 4 = 0 AS pay, snippet FROM art),
+@query(f"""WITH {ART}, c AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'consultancy' WHEN 1 THEN 'platform' ELSE 'discovery' END AS kind, CASE WHEN doc_id % 2 = 0 AND length(body) >= 200 THEN body END AS api, CASE WHEN doc_id % 5 > 0 THEN title END AS page, doc_id % 4 = 0 AS pay, snippet FROM art),
 w AS (SELECT *, CASE WHEN kind <> 'discovery' AND length(api) >= 200 THEN 'api' WHEN pay THEN 'snippet' WHEN page IS NOT NULL THEN 'page' ELSE 'none' END AS origin FROM c) SELECT doc_id, origin, md5(CASE origin WHEN 'api' THEN api WHEN 'snippet' THEN snippet WHEN 'page' THEN page END) AS digest FROM w""")
 def extraction_routes(spark, d):
-    """C06, S07."""
-    a = articles(spark, d)
+    """Services answer with an object of results, or with a bare array."""
+    from inkstream.sources.readers import api_text
+
+    item = F.array(F.struct("url", F.lit("").alias("content"), F.col("body").alias("raw_content")))
+    answer = F.when(F.col("doc_id") % 4 == 0, F.to_json(F.struct(item.alias("results")))).when(F.col("doc_id") % 2 == 0, F.to_json(item))
+    a = articles(spark, d).withColumn("api", api_text(answer))
     kind = F.when(F.col("doc_id") % 3 == 0, "consultancy").when(F.col("doc_id") % 3 == 1, "platform").otherwise("discovery")
-    origin, chosen = classify.extraction_source(kind, F.when(F.col("doc_id") % 2 == 0, F.col("body")), F.when(F.col("doc_id") % 5 > 0, F.col("title")), F.col("doc_id") % 4 == 0, F.col("snippet"))
+    origin, chosen = classify.extraction_source(kind, F.col("api"), F.when(F.col("doc_id") % 5 > 0, F.col("title")), F.col("doc_id") % 4 == 0, F.col("snippet"))
     return a.select("doc_id", origin.alias("origin"), F.md5(chosen).alias("digest"))

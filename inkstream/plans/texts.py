@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkstream.functions import dates, html, keys, lists, text
+from inkstream.operators.rows import top_k
 from inkstream.plans.registry import ART, BARE, PLAIN, WORDS, any_sql, articles, count_sql, query
 from inkstream.session import table
 
@@ -19,12 +20,13 @@ def hashes(spark, d):
     return a.select("doc_id", keys.short_hash("url").alias("short_hash"), keys.md5_short("url").alias("md5_short"), keys.sha_short("url").alias("sha_short"), cover.alias("cover_key"))
 
 
-@query(f"""WITH {ART}, r AS (SELECT source, url, title, strftime(published_at, '%Y-%m-%d') AS date, CASE WHEN length(snippet) > 350 THEN left(snippet, 347) || '...' ELSE snippet END AS snippet FROM art WHERE doc_id % 10 = 0)
+@query(f"""WITH {ART}, r AS (SELECT source, url, title, strftime(published_at, '%Y-%m-%d') AS date, CASE WHEN length(snippet) > 350 THEN left(snippet, 347) || '...' ELSE snippet END AS snippet FROM art QUALIFY row_number() OVER (PARTITION BY source ORDER BY url) <= 100)
 SELECT source, left(md5(list({{'url': url, 'title': title, 'date': date, 'snippet': snippet}} ORDER BY url)::JSON::VARCHAR), 12) AS candidates, left(md5(list(url ORDER BY url)::JSON::VARCHAR), 12) AS urls,
   sha256('2024-W02|' || array_to_string(list(title ORDER BY title), '|') || '|base') AS cover FROM r GROUP BY source""")
 def fingerprints(spark, d):
-    """F04, F05, F06 over each source's articles of every tenth id."""
-    a = articles(spark, d).where("doc_id % 10 = 0").withColumn("date", F.date_format("published_at", "yyyy-MM-dd"))
+    """Of each source's candidates, which are its first hundred articles by url."""
+    a = articles(spark, d).select("source", "url", "title", "snippet", F.date_format("published_at", "yyyy-MM-dd").alias("date"))
+    a = top_k(a, ["source"], ["url"], 100)
     return a.groupBy("source").agg(keys.candidates_fingerprint("url", "title", "date", "snippet").alias("candidates"), keys.urls_fingerprint("url").alias("urls"), keys.cover_key(F.lit("2024-W02"), F.collect_list("title"), F.lit("base")).alias("cover"))
 
 
@@ -66,15 +68,17 @@ def titles(spark, d):
     )
 
 
-@query(f"""WITH {ART}, t AS (SELECT *, title || ' ' || snippet AS x FROM art) SELECT doc_id, {any_sql("x", lists.LOW_SIGNAL)} AS low_signal, {any_sql("x", lists.LOCAL_SPONSORED)} AS sponsored,
+@query(f"""WITH {ART}, t AS (SELECT *, title || ' ' || snippet AS x FROM art) SELECT doc_id, {any_sql("x", lists.LOW_SIGNAL)} AS low_signal, {any_sql("x", lists.LOCAL_SPONSORED)} AS sponsored, {any_sql("x || ' ' || body", lists.LOCAL_SPONSORED)} AS sponsored_reject,
   {count_sql("x", lists.AI_KEYWORDS)} AS ai_hits, {count_sql("x", lists.LOCAL_TOPICS["AI_and_Strategy"])} AS local_hits, ({" OR ".join(f"regexp_matches(lower(x), '{chr(92)}b{m}{chr(92)}b')" for m in ("tion", "the"))}) AS whole_word,
   coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE title END, ''), url) AS first_filled FROM t""")
 def markers(spark, d):
-    """F22, F23, F24, F30, P04, P05."""
+    """F22, F23, F24, F30; P04 over title and snippet, P05 with the body too."""
+    from inkstream.operators import gates
+
     a = articles(spark, d)
     x = F.concat_ws(" ", "title", "snippet")
     some = F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("title"))
-    return a.select("doc_id", text.contains_any(x, lists.LOW_SIGNAL).alias("low_signal"), text.contains_any(x, lists.LOCAL_SPONSORED).alias("sponsored"), text.keyword_count(x, lists.AI_KEYWORDS).alias("ai_hits"), text.keyword_count(x, lists.LOCAL_TOPICS["AI_and_Strategy"]).alias("local_hits"), text.contains_any(x, ["tion", "the"], True).alias("whole_word"), text.first_filled(some, "url").alias("first_filled"))
+    return a.select("doc_id", text.contains_any(x, lists.LOW_SIGNAL).alias("low_signal"), text.contains_any(x, lists.LOCAL_SPONSORED).alias("sponsored"), gates.sponsored_reject("title", "snippet", "body", lists.LOCAL_SPONSORED).alias("sponsored_reject"), text.keyword_count(x, lists.AI_KEYWORDS).alias("ai_hits"), text.keyword_count(x, lists.LOCAL_TOPICS["AI_and_Strategy"]).alias("local_hits"), text.contains_any(x, ["tion", "the"], True).alias("whole_word"), text.first_filled(some, "url").alias("first_filled"))
 
 
 @query(rf"""WITH {ART}, s AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN body END AS summary, CASE WHEN doc_id % 5 > 0 THEN title END AS why FROM art),
@@ -97,10 +101,7 @@ f AS (SELECT source, word, min((doc_id, i)) AS first FROM w WHERE length(word) >
 SELECT source, word, row_number() OVER (PARTITION BY source ORDER BY first)::INT AS place FROM f QUALIFY place <= 12""")
 def title_keywords(spark, d):
     """A source's first twelve distinct title words."""
-    from inkstream.operators.rows import top_k
-
-    tokens = F.split(F.regexp_replace(F.lower("title"), r"[^\w\s]", " "), r"\s+")
-    w = articles(spark, d).select("source", "doc_id", F.posexplode(tokens).alias("i", "word")).where((F.length("word") > 3) & ~F.col("word").isin(lists.STOP_WORDS))
+    w = articles(spark, d).select("source", "doc_id", F.posexplode(text.title_words("title")).alias("i", "word"))
     return top_k(w.groupBy("source", "word").agg(F.min(F.struct("doc_id", "i")).alias("first")), ["source"], ["first"], 12, "place").select("source", "word", "place")
 
 
@@ -131,22 +132,26 @@ def intros(spark, d):
     return articles(spark, d).select("doc_id", text.sentences("snippet").alias("intro"), text.first_words("title", 22).alias("summary"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {ART}, s AS (SELECT doc_id, CASE WHEN len(p) = 0 THEN [body] ELSE p END AS parts FROM (SELECT doc_id, body, regexp_extract_all(body, '[^.!?]+[.!?]+') AS p FROM art)),
+fold AS (SELECT doc_id, parts, 0 AS i, []::VARCHAR[] AS done, '' AS now FROM s
+  UNION ALL SELECT doc_id, parts, i + 1, CASE WHEN length(now) + length(parts[i + 1]) > 400 AND now <> '' THEN list_append(done, trim(now)) ELSE done END,
+    CASE WHEN length(now) + length(parts[i + 1]) > 400 AND now <> '' THEN parts[i + 1] ELSE now || parts[i + 1] END FROM fold WHERE i < len(parts)),
+c AS (SELECT doc_id, CASE WHEN trim(now) <> '' THEN list_append(done, trim(now)) ELSE done END AS chunks FROM fold WHERE i = len(parts))
+SELECT doc_id, len(chunks)::INT AS n, md5(array_to_string(chunks, chr(1))) AS digest, CASE WHEN len(chunks) = 0 THEN 0 WHEN len(chunks) > 1 AND length(chunks[1]) < 1000 THEN 2 ELSE 1 END::INT AS n_intro, CASE WHEN len(chunks) > 0 THEN len(chunks) - 1 END::INT AS outro FROM c""")
 def audio_chunks(spark, d):
-    """a fold over sentences; the tests compare it with a loop."""
+    """a fold over sentences."""
     a = articles(spark, d).select("doc_id", text.chunks("body", 400).alias("chunks"))
-    return a.select("doc_id", F.size("chunks").alias("n"), F.md5(F.to_json("chunks")).alias("digest"), F.size(text.intro_chunks(F.col("chunks"))).alias("n_intro"), text.outro_chunks(F.col("chunks"))[0].alias("outro"))
+    return a.select("doc_id", F.size("chunks").alias("n"), F.md5(F.array_join("chunks", "\x01")).alias("digest"), F.size(text.intro_chunks(F.col("chunks"))).alias("n_intro"), text.outro_chunks(F.col("chunks"))[0].alias("outro"))
 
 
-@query(f"WITH {ART} SELECT topic, any_value(CASE topic {' '.join(f'''WHEN '{k}' THEN '{v}' ''' for k, v in lists.TOPIC_NAMES.items())} END) AS name, topic AS key, string_agg(source, ', ' ORDER BY source, doc_id) FILTER (doc_id < 100) AS sources FROM art GROUP BY topic")
+@query(f"WITH {ART} SELECT topic, any_value(CASE topic {' '.join(f'''WHEN '{k}' THEN '{v}' ''' for k, v in lists.TOPIC_NAMES.items())} END) AS name, topic AS key, string_agg(DISTINCT source, ', ' ORDER BY source) AS sources FROM art GROUP BY topic")
 def topic_names(spark, d):
-    """F42, F44."""
-    a = articles(spark, d).withColumn("name", text.topic_name("topic")).withColumn("key", text.topic_key("name"))
-    listed = F.array_sort(F.collect_list(F.when(F.col("doc_id") < 100, F.struct("source", "doc_id"))))
-    return a.groupBy("topic", "name", "key").agg(F.array_join(F.transform(listed, lambda x: x["source"]), ", ").alias("sources"))
+    """each topic's sources as one string."""
+    a = articles(spark, d).select("topic", "source").distinct().withColumn("name", text.topic_name("topic")).withColumn("key", text.topic_key("name"))
+    return a.groupBy("topic", "name", "key").agg(F.array_join(F.array_sort(F.collect_list("source")), ", ").alias("sources"))
 
 
-@query()
+@query(f"""WITH {ART} SELECT doc_id, '{{"category": "Artificial Intelligence News", "topics": {{"Fashion & Luxury": ["' || source || '", "Artificial Intelligence News"]}}}}' AS migrated FROM art""")
 def migrated_names(spark, d):
     """deep renames in JSON texts, by a pandas function."""
     raw = articles(spark, d).select("doc_id", F.to_json(F.struct(F.lit("AI & Strategy").alias("category"), F.create_map(F.lit("Luxury & Consumer"), F.array("source", F.lit("AI & Strategy"))).alias("topics"))).alias("raw"))
@@ -178,10 +183,14 @@ def local_weeks(spark, d):
 @query("""WITH l AS (SELECT DISTINCT strftime(ts + to_days((event_id % 900)::INT), '%G-W%V') AS label FROM events), p AS (SELECT label, left(label, 4)::INT AS y, right(label, 2)::INT AS w FROM l)
 SELECT label, CASE WHEN w > 1 THEN y::VARCHAR || '-W' || lpad((w - 1)::VARCHAR, 2, '0') ELSE (y - 1)::VARCHAR || '-W52' END AS previous, 'Week ' || w || ', ' || y AS shown, lag(label) OVER (ORDER BY y, w) AS prev_week, lead(label) OVER (ORDER BY y, w) AS next_week FROM p""")
 def week_navigation(spark, d):
-    """Labels in order, with their neighbours."""
+    """Labels among the parts of paths, in order, with their neighbours."""
     from pyspark.sql import Window
 
-    e = table(spark, d, "events").select(dates.week_label(F.expr("ts + make_interval(0, 0, 0, cast(event_id % 900 AS int))"), "UTC").alias("label")).distinct().where(F.col("label").rlike(r"^\d{4}-W\d{1,2}$"))
+    from inkstream.sources.readers import week_folders
+
+    label = dates.week_label(F.expr("ts + make_interval(0, 0, 0, cast(event_id % 900 AS int))"), "UTC")
+    files = table(spark, d, "events").select(F.explode(F.array(F.concat(F.lit("weeks/"), label, F.lit("/digest.json")), F.lit("weeks/notes/digest.json"))).alias("path")).distinct()
+    e = week_folders(files).select(F.col("week").alias("label"))
     e = e.withColumns({"y": F.substring("label", 1, 4).cast("int"), "w": F.substring("label", 7, 2).cast("int")})
     order = Window.partitionBy(F.lit(1)).orderBy("y", "w")  # one row a week: a few thousand in all
     return e.select("label", dates.previous_label("label").alias("previous"), dates.shown_label("label").alias("shown"), F.lag("label").over(order).alias("prev_week"), F.lead("label").over(order).alias("next_week"))
@@ -251,7 +260,17 @@ def model_json(spark, d):
     return docs.select("doc_id", "source", raw.alias("raw")).select("doc_id", got["category"].alias("category"), got["score"].alias("score"), F.to_json(F.struct(F.col("doc_id").alias("id"), "source")).alias("json"))
 
 
-@query()
+_DECODED = "replace(replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+
+
+def _plain_sql(x: str) -> str:
+    """The text of a piece of markup: comments, scripts and tags dropped, entities decoded."""
+    return _DECODED.format(rf"regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->|<script>.*?</script>|<style>.*?</style>', '', 'g'), '<[^>]*>', '', 'g')")
+
+
+@query(rf"""WITH p AS (SELECT page_id, {_plain_sql("regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1)")} AS a, {_plain_sql("regexp_extract(html, '(?s)<body>(.*?)(?:</body>|$)', 1)")} AS b, {_DECODED.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS t FROM pages),
+c AS (SELECT page_id, trim(regexp_replace(CASE WHEN length(a) > 500 THEN a ELSE b END, '\s+', ' ', 'g')) AS x, trim(t, ' ' || chr(9) || chr(10) || chr(13)) AS title FROM p)
+SELECT page_id, md5(x) AS text_md5, length(x)::INT AS n_chars, title, NULL::VARCHAR AS author, NULL::VARCHAR AS date FROM c""")
 def page_articles(spark, d):
     """Text, title, author and date of every page, by a parser."""
     a = html.extract_article("html")
@@ -259,10 +278,10 @@ def page_articles(spark, d):
     return p.select("page_id", F.md5("a.text").alias("text_md5"), F.length("a.text").alias("n_chars"), "a.title", "a.author", "a.date")
 
 
-@query()
+@query(rf"""WITH n AS (SELECT page_id, url, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav FROM pages), l AS (SELECT page_id, url, unnest(regexp_extract_all(nav, '<li><a href="([^"]*)">', 1)) AS href, unnest(regexp_extract_all(nav, '<li><a href="[^"]*">([^<]*)</a>', 1)) AS t FROM n)
+SELECT page_id, trim(regexp_replace({_DECODED.format("t")}, '\s+', ' ', 'g')) AS title, regexp_extract(url, '^[a-z]+://[^/?#]+') || {_DECODED.format("href")} AS url, NULL::VARCHAR AS date_text FROM l""")
 def page_links(spark, d):
     """Items by selectors, with absolute urls; a fallback set for pages where the first finds none."""
     find = html.items(".teaser", "a", "h2", "time", fallback=("nav li", "a", None, None))
     p = table(spark, d, "pages").select("page_id", F.explode(find("html", "url")).alias("i"))
     return p.select("page_id", "i.title", "i.url", "i.date_text")
-

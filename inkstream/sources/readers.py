@@ -10,11 +10,11 @@ from inkstream import schemas
 from inkstream.functions import dates, text
 
 
-def json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array (or one object) a file; a missing path is an empty table; bad files keep their text in
-    ``_corrupt_record``."""
+def json_table(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """A JSON array (or one object) a file, or with ``lines`` a line, so that large files can be split; a missing
+    path is an empty table; bad files keep their text in ``_corrupt_record``."""
     try:
-        return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+        return spark.read.schema(schema).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -30,7 +30,7 @@ def walk(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
 def week_folders(files: DataFrame) -> DataFrame:
     """The distinct week labels among the parts of paths, newest first."""
     label = F.filter(F.split("path", "/"), lambda p: F.regexp_replace(p, r"\.json$", "").rlike(r"^\d{4}-W\d{1,2}$"))
-    weeks = files.select(F.regexp_replace(F.element_at(label, -1), r"\.json$", "").alias("week")).where("week IS NOT NULL").distinct()
+    weeks = files.select(F.regexp_replace(F.try_element_at(label, F.lit(-1)), r"\.json$", "").alias("week")).where("week IS NOT NULL").distinct()
     part = lambda k: F.split("week", "-W")[k].cast("int")
     return weeks.orderBy(part(0).desc(), part(1).desc())
 
@@ -53,8 +53,6 @@ def feed_items(payloads: DataFrame) -> DataFrame:
 def search_results(staged: DataFrame, per_query: int, total: int, per_topic: bool = False) -> DataFrame:
     """Staged answers of a search service (topic_pos, query_pos, pos, topic, url, title, snippet, ...):
     the first of each url, at most ``per_query`` of a query, ``total`` in topic order (or of each topic)."""
-    from pyspark.sql import Window
-
     from inkstream.functions.keys import host, without_www
     from inkstream.operators.rows import first_wins, top_k
 
@@ -64,7 +62,7 @@ def search_results(staged: DataFrame, per_query: int, total: int, per_topic: boo
     if per_topic:
         kept = top_k(first, ["topic_pos"], order[1:], total, "__k").drop("__k")
     else:
-        kept = first.withColumn("__k", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))).where(F.col("__k") <= total).drop("__k")
+        kept = first.orderBy(*order).limit(total)
     return kept.withColumns({"snippet": F.substring("snippet", 1, 300), "domain": without_www(host("url"))})
 
 
@@ -91,9 +89,10 @@ def by_hash(rows: DataFrame, files: DataFrame, url: str = "url") -> DataFrame:
     return rows.withColumn("hash", sha_short(url)).join(files.select("hash", "text"), "hash", "left")
 
 
-def fetched(staged: DataFrame, cache: DataFrame) -> DataFrame:
-    """Staged fetches (url, status, body) that the cache lacks; status 0 stands for a network error."""
+def fetched(staged: DataFrame, cache: DataFrame, markers: list[str] | None = None) -> DataFrame:
+    """Staged fetches (url, status, body) that the cache lacks, whatever came of them before; status 0
+    stands for a network error."""
     from inkstream.operators.gates import paywall_status
 
     new = staged.join(cache.select("url"), "url", "left_anti")
-    return new.withColumns({"paywall": paywall_status(F.col("status"), F.col("body")), "failed": (F.col("status") == 0) | F.col("body").isNull()})
+    return new.withColumns({"paywall": paywall_status(F.col("status"), F.col("body"), markers), "failed": (F.col("status") == 0) | F.col("body").isNull()})

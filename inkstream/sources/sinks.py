@@ -45,3 +45,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     """True if a path is there, by Hadoop's file systems."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder; none if it is not there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

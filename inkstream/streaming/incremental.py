@@ -2,36 +2,68 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkstream.operators.rows import upsert
-from inkstream.sources.sinks import exists
+from inkstream.sources.sinks import exists, listed, remove
+
+#: A table's rows are dealt by key to so many buckets; a batch rewrites those that it touches.
+BUCKETS = 64
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[dict[int, str], int]:
+    """The folder of each bucket in the newest complete version, and the version's number (0: none yet)."""
+    done = [int(name[1:]) for name in listed(spark, f"{path}/versions") if exists(spark, f"{path}/versions/{name}/_SUCCESS")]
+    if not done:
+        return {}, 0
+    rows = spark.read.parquet(f"{path}/versions/v{max(done)}").collect()  # one row a bucket
+    return {r["bucket"]: r["folder"] for r in rows}, max(done)
+
+
+def _read(spark: SparkSession, schema: str, folders: list[str]) -> DataFrame:
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
 def versioned(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, int]:
     """The newest complete version of a table below ``path``, and its number (0: none yet)."""
-    n = 0
-    while exists(spark, f"{path}/v{n + 1}/_SUCCESS"):
-        n += 1
-    return (spark.read.schema(schema).parquet(f"{path}/v{n}") if n else spark.createDataFrame([], schema)), n
+    folders, n = _manifest(spark, path)
+    return _read(spark, schema, sorted(folders.values())), n
 
 
 def apply_batch(new: DataFrame, path: str, schema: str, key: str = "url", filled: tuple[str, ...] = ("snippet",)) -> dict[str, int]:
-    """One batch merged into the table as its next version; counts of added, updated and kept rows.
+    """One batch merged into the table as its next version; counts of added, updated and kept rows of the buckets
+    that it touches.
 
-    The table before stays whole until the next version is complete, so a batch that fails leaves nothing half done.
-    A batch that comes again changes nothing: its keys are known by then.
+    Only buckets with keys of the batch are read and written; a version is a small table of the buckets' folders. The
+    version before stays whole until the next one is complete, so a batch that fails leaves nothing half done; folders
+    that neither of the two names are removed. A batch that comes again changes nothing: its keys are known by then.
     """
     spark = new.sparkSession
-    known, n = versioned(spark, path, schema)
-    merged = upsert(known, new, key, list(filled))
-    merged.write.mode("overwrite").parquet(f"{path}/v{n + 1}")
-    done = spark.read.parquet(f"{path}/v{n + 1}")
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    folders, n = _manifest(spark, path)
+    touched = sorted(r[0] for r in new.select(bucket).distinct().collect())  # BUCKETS at most
+    known = _read(spark, schema, [folders[b] for b in touched if b in folders])
+    data = f"{path}/data/{uuid.uuid4().hex}"
+    merged = upsert(known, new, key, list(filled)).withColumn("bucket", bucket)
+    merged.write.partitionBy("bucket").parquet(data)
+    now = folders | {b: f"{data}/bucket={b}" for b in touched if exists(spark, f"{data}/bucket={b}")}
+    spark.createDataFrame(sorted(now.items()), "bucket int, folder string").coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/v{n + 1}")
+    remove(spark, [f for b, f in _folders_of(spark, path, n - 1).items() if f not in {*folders.values(), *now.values()}])
+    done = _read(spark, schema, [now[b] for b in touched if b in now])
     return {r["action"]: r["count"] for r in done.groupBy("action").count().collect()}
 
 
+def _folders_of(spark: SparkSession, path: str, n: int) -> dict[int, str]:
+    """The folders of one version, if it is there."""
+    if n < 1 or not exists(spark, f"{path}/versions/v{n}/_SUCCESS"):
+        return {}
+    return {r["bucket"]: r["folder"] for r in spark.read.parquet(f"{path}/versions/v{n}").collect()}
+
+
 def upsert_stream(stream: DataFrame, path: str, schema: str, checkpoint: str, **options):
     """T01 as a stream: every micro-batch is merged by ``apply_batch``; an extension of the batch form."""
 

@@ -86,6 +86,54 @@ def test_newest_wins_twice_changes_nothing(spark):
     assert rows.newest_wins(once.drop("first_pos"), ["k"], "at", "pos").count() == 2
 
 
+def test_row_operators_against_loops(spark):
+    """Random groups with ties, nulls and repeated keys: first, last and newest row, repeats, the first of a title."""
+    rng = random.Random(11)
+    data = [(rng.choice(["a", "b", None]), rng.choice(["x", "y", "z", None]), i, rng.randint(0, 1), rng.choice([None, *(dt.datetime(2024, 1, d) for d in (1, 2, 3))])) for i in range(200)]
+    df = spark.createDataFrame(data, "k string, t string, pos int, prio int, at timestamp")
+    by = {}
+    for r in data:
+        by.setdefault(r[:2], []).append(r)
+    zero = dt.datetime(1970, 1, 1)
+    assert {tuple(r) for r in rows.first_wins(df, ["k", "t"], ["pos"]).collect()} == {g[0] for g in by.values()}
+    last = {(*max(g, key=lambda r: (r[3], r[2]))[:2], g[0][2], *max(g, key=lambda r: (r[3], r[2]))[3:]) for g in by.values()}
+    assert {tuple(r) for r in rows.last_wins(df, ["k", "t"], "prio", "pos").collect()} == last
+    newest = {(*max(g, key=lambda r: (r[4] or zero, -r[2])), g[0][2]) for g in by.values()}
+    assert {tuple(r) for r in rows.newest_wins(df, ["k", "t"], "at", "pos").collect()} == newest
+    assert {(r["pos"], r["dup"]) for r in rows.repeats(df, ["t"], "pos").collect()} == {(r[2], min(x[2] for x in data if x[1] == r[1]) < r[2]) for r in data}
+    urls = df.withColumn("url", F.col("pos").cast("string"))
+    assert {(r["pos"], r["duplicate_of"]) for r in rows.duplicate_of(urls, ["k"], "t", "url", "pos").collect()} == {(r[2], str(by[r[:2]][0][2])) for r in data}
+
+
+def test_diverse_top_without_a_pool(spark):
+    """Large groups, so that a source's first and last rows are needed."""
+    rng = random.Random(8)
+    data, want = [], {}
+    for g in range(30):
+        m, kinds = rng.randint(1, 60), rng.randint(1, 3)
+        group = [(g, f"s{rng.randint(1, kinds)}", f"u{i:03}") for i in range(m)]
+        data += group
+        chosen, used = [], {}
+        for i, (_, s, u) in enumerate(group):
+            if len(chosen) < 9 and (used.get(s, 0) < 2 or 9 - len(chosen) >= m - i):
+                chosen.append(u)
+                used[s] = used.get(s, 0) + 1
+        want[g] = chosen
+    got = {}
+    for r in rows.diverse_top(spark.createDataFrame(data, "g int, source string, url string"), ["g"], "source", "url", 9, 2, None).orderBy("g", "rank").collect():
+        got.setdefault(r["g"], []).append(r["url"])
+    assert got == want
+
+
+def test_keywords_and_dates_beside(spark):
+    x = spark.createDataFrame([("Gold.gem AI model", "a"), ("paid plain", "b"), (None, "c")], "t string, k string")
+    got = [tuple(r) for r in x.select(text.contains_any("t", ["d.g"]).alias("a"), text.contains_any("t", ["ai"], True).alias("b"), text.keyword_count("t", ["ai", "gem", "model", "zzzz"]).alias("n"), text.keyword_any("t", ["ai"]).alias("k")).collect()]
+    assert got == [(True, True, 3, True), (False, False, 0, False), (None, None, None, None)]
+    page = html.parse("<div><h2><a href='/1'>One</a></h2>12 March 2024</div><li><a href='/2'>Two</a> by us, 3 days ago</li><li>no link</li>")
+    beside = [html.date_beside(n, n.first("a")) for n in [*page.select("h2"), *page.select("li")]]
+    assert beside == ["12 March 2024", "by us, 3 days ago", ""]
+
+
 def test_chunks_equal_the_fold(spark):
     rng = random.Random(7)
     texts = ["".join(rng.choice(["ab ", "c", ". ", "! ", "word "]) for _ in range(rng.randint(0, 120))) for _ in range(80)] + ["", "no end", "..."]
@@ -198,8 +246,13 @@ def test_incremental(spark, tmp_path):
     one = spark.createDataFrame([("a", "", 0), ("b", "x", 1), ("a", "later", 2)], "url string, snippet string, pos int")
     assert incremental.apply_batch(one, path, schema) == {"added": 2}
     two = spark.createDataFrame([("a", "now", 0), ("c", "y", 1)], "url string, snippet string, pos int")
-    assert incremental.apply_batch(two, path, schema) == {"added": 1, "updated": 1, "kept": 1}
-    assert incremental.apply_batch(two, path, schema) == {"kept": 3}
+    assert incremental.apply_batch(two, path, schema) == {"added": 1, "updated": 1}  # b's bucket is not touched
+    assert incremental.apply_batch(two, path, schema) == {"kept": 2}
+    assert incremental.versioned(spark, path, schema)[0].count() == 3 and incremental.versioned(spark, path, schema)[1] == 3
+    import os
+
+    rows = {f for r in spark.read.parquet(f"{path}/versions/v3").collect() for f in [r["folder"]]}
+    assert len(rows) == 3 and len(os.listdir(f"{path}/data")) == 3  # one bucket each; folders of version 1 that nobody names are gone
     src = tmp_path / "in"
     two.withColumn("url", F.concat("url", F.lit("2"))).write.parquet(str(src))
     stream = spark.readStream.schema("url string, snippet string, pos int").parquet(str(src))
