@@ -23,12 +23,12 @@ FINISH = 100_000
 
 
 class Forest:
-    """Union-find over arbitrary integers; the root of a set is its least member."""
+    """Union-find over integers or strings; the root of a set is its least member."""
 
     def __init__(self):
-        self.up: dict[int, int] = {}
+        self.up: dict = {}
 
-    def root(self, x: int) -> int:
+    def root(self, x):
         up, path = self.up, []
         while (y := up.get(x, x)) != x:
             path.append(x)
@@ -37,7 +37,7 @@ class Forest:
             up[p] = x
         return x
 
-    def join(self, a: int, b: int) -> bool:
+    def join(self, a, b) -> bool:
         """True if the two were apart."""
         a, b = self.root(a), self.root(b)
         if a == b:
@@ -57,22 +57,26 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forest = Forest()
-    nodes: set[int] = set()
+    nodes: set = set()
     for batch in batches:
         for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
             forest.join(x, y)
             nodes.update((x, y))
-    listed = sorted(nodes)
-    yield pa.RecordBatch.from_pydict({"node": pa.array(listed, pa.int64()), "to": pa.array([forest.root(x) for x in listed], pa.int64())})
+        kind = batch.schema.field("a").type
+    if nodes:
+        listed = sorted(nodes)
+        yield pa.RecordBatch.from_pydict({"node": pa.array(listed, kind), "to": pa.array([forest.root(x) for x in listed], kind)})
 
 
 def components(edges: DataFrame, finish: int = FINISH) -> DataFrame:
-    """Columns node, component (its set's least node) for every node of the edges (long columns a, b; no nulls).
+    """Columns node, component (its set's least node) for every node of the edges (columns a, b of one type, long or
+    string; no nulls).
 
     Loops and repeated edges do no harm; without edges the result is empty.
     """
     spark = edges.sparkSession
-    rest = materialise(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_forest, "a long, b long"), "edges")
+    kind = edges.schema["a"].dataType.simpleString()
+    rest = materialise(edges.select("a", "b").where("a <> b").mapInArrow(_forest, f"a {kind}, b {kind}"), "edges")
     moved: DataFrame | None = None  # node -> the node that now stands for it
     for k in range(200):
         left = rest.count()
@@ -86,7 +90,7 @@ def components(edges: DataFrame, finish: int = FINISH) -> DataFrame:
         ends = ends.join(step, ends["b"] == step["node"]).select("a", F.col("to").alias("b")).where("a <> b")
         rest = materialise(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"edges-{k}")
         moved = step if moved is None else materialise(_then(moved, step), f"moved-{k}")
-    last = rest.repartition(1).mapInArrow(_finish, "node long, to long") if left else spark.createDataFrame([], "node long, to long")
+    last = rest.repartition(1).mapInArrow(_finish, f"node {kind}, to {kind}") if left else spark.createDataFrame([], f"node {kind}, to {kind}")
     if moved is None:
         return last.select("node", F.col("to").alias("component"))
     roots = _then(moved, last)

@@ -1,7 +1,9 @@
 """Operator 8: URL filters with redirect equivalence.
 
-A URL is judged by the longest rule that fits its host and path. URLs that no rule fits take the judgement of their
-aliases: the pages that a canonical link or a redirect ties together, directly or through others, form a component; a
+A URL is judged by the longest rule that fits its host and path. A few rules become one CASE; more of them, however
+many, are a table, which distinct hosts and paths are joined with by the texts of the rules that could fit them. URLs that
+no rule fits take the judgement of their aliases: the pages that a canonical link or a redirect ties together, directly or
+through others, form a component, of the URLs' own texts; a
 component with a blocked member and no allowed one blocks its members without a rule. An allow rule goes before: it
 holds for its own URL whatever the aliases are, and it lifts what a component would pass on.
 
@@ -16,14 +18,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkstream.llm import columns
 from inkstream.llm.components import components
-from inkstream.session import materialise
+from inkstream.session import discard, materialise
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
-#: Rules that one CASE holds, at most.
-MOST_RULES = 1000
-_P = "__url_"
+#: Rules that one CASE holds, at most; more are looked up by a join.
+INLINE_RULES = 100
 
 
 @dataclass(frozen=True)
@@ -58,8 +60,6 @@ def _text(url: str | Column) -> Column:
 
 def ordered(rules: list[Rule]) -> list[Rule]:
     """Longest first; of equally long ones, allow first."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules")
     return sorted(rules, key=lambda r: (-len(r.text), r.verdict, r.text))
 
 
@@ -68,8 +68,8 @@ def fits(rule: Rule, host: Column, path: Column) -> Column:
 
 
 def node(url: Column) -> Column:
-    """The resource that a URL names: host, path and query, without scheme and fragment; as a 64-bit hash."""
-    return F.xxhash64(host(url), path(url), F.regexp_extract(url, _PARTS, 3))
+    """The resource that a URL names: host, path and query, without scheme and fragment."""
+    return F.concat(host(url), path(url), F.regexp_extract(url, _PARTS, 3))
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -80,29 +80,51 @@ def links(pages: DataFrame) -> DataFrame:
     rows = pages.where(F.col("url").contains("://") & F.col("html").isNotNull()).where(F.col("html").rlike("(?i)canonical|refresh"))
     rows = rows.select("url", F.explode(F.filter(found, lambda x: x != "")).alias("to"))
     origin, folder = F.regexp_extract("url", r"(?s)^.*?://[^/?#]*", 0), F.regexp_extract("url", r"(?s)^.*?://[^/?#]*([^?#]*/)?", 0)
-    to = F.col("to")
+    to = F.replace("to", F.lit("&amp;"), F.lit("&"))
     target = F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(F.regexp_extract("url", "(?s)^.*?:", 0), to)).when(to.startswith("/"), F.concat(origin, to)).when(folder == origin, F.concat(origin, F.lit("/"), to)).otherwise(F.concat(folder, to))
     return rows.select("url", target.alias("target"))
 
 
-def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Columns page_id, host, path, rule (null if none fits), verdict; one row for each row of ``pages``."""
-    rows = pages.select("page_id", "url", host("url").alias("host"), path("url").alias("path"))
-    rule = verdict = None
-    for r in ordered(rules):
-        fit = fits(r, F.col("host"), F.col("path"))
-        rule = (F if rule is None else rule).when(fit, r.text)
-        verdict = (F if verdict is None else verdict).when(fit, r.verdict)
-    rows = rows.withColumns({"rule": F.lit(None).cast("string") if rule is None else rule, "verdict": F.lit(None).cast("string") if verdict is None else verdict})
-    edges = materialise(links(pages).select(node(F.col("url")).alias("a"), node(F.col("target")).alias("b")).where("a <> b").distinct(), "links")
+def ruled(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``rows`` (with host and path) with the rule that fits best and its verdict; null if none does."""
+    none = F.lit(None).cast("string")
+    if not rules:
+        return rows.withColumns({"rule": none, "verdict": none})
+    if len(rules) <= INLINE_RULES:
+        rule = verdict = F
+        for r in ordered(rules):
+            fit = fits(r, F.col("host"), F.col("path"))
+            rule, verdict = rule.when(fit, r.text), verdict.when(fit, r.verdict)
+        return rows.withColumns({"rule": rule, "verdict": verdict})
+    spark = rows.sparkSession
+    table = spark.createDataFrame([(r.text, r.verdict) for r in rules], "rule string, verdict string").groupBy("rule").agg(F.min("verdict").alias("verdict"))
+    shapes = sorted({(r.host.count(".") + 1, len(r.path)) for r in rules})  # how many labels and characters a rule can have
+    tries = F.array(*[F.struct(F.lit(a).alias("labels"), F.lit(b).alias("chars")) for a, b in shapes])
+    pairs = rows.select("host", "path").distinct().select("host", "path", F.explode(tries).alias("t"))
+    pairs = pairs.where((F.length("path") >= F.col("t.chars")) & (F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1 >= F.col("t.labels")))
+    pairs = pairs.select("host", "path", F.concat(F.expr("substring_index(host, '.', -t.labels)"), F.expr("substring(path, 1, t.chars)")).alias("rule"))
+    best = pairs.join(table, "rule").groupBy("host", "path").agg(F.min_by(F.struct("rule", "verdict"), F.struct(-F.length("rule"), "verdict", "rule")).alias("best"))
+    return rows.join(best, ["host", "path"], "left").select(*rows.columns, "best.rule", "best.verdict")
+
+
+def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None) -> DataFrame:
+    """Columns page_id, host, path, rule (null if none fits), verdict; one row for each row of ``pages``.
+
+    ``redirects`` may add edges that no page shows, such as HTTP redirects: columns url, target.
+    """
+    pages = columns.plain(pages, "page_id", "url", "html")
+    rows = ruled(pages.select("page_id", "url", host("url").alias("host"), path("url").alias("path")), rules)
+    edges = links(pages) if redirects is None else links(pages).union(redirects.select("url", "target").where(F.col("url").contains("://") & F.col("target").contains("://")))
+    edges = materialise(edges.select(node(F.col("url")).alias("a"), node(F.col("target")).alias("b")).where("a <> b").distinct(), "links")
     if edges.isEmpty():
+        discard(edges)
         return rows.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
     sets = materialise(components(edges), "aliases")
     member = rows.where(F.col("url").contains("://")).select(node(F.col("url")).alias("node"), "verdict")
     marked = sets.join(member.where("verdict IS NOT NULL"), "node").groupBy("component").agg(F.bool_or(F.col("verdict") == "block").alias("blocked"), F.bool_or(F.col("verdict") == "allow").alias("allowed"))
-    passed = sets.join(marked.where("blocked AND NOT allowed"), "component").select("node", F.lit("block").alias(f"{_P}passed"))
+    passed = sets.join(marked.where("blocked AND NOT allowed"), "component").select("node", F.lit("block").alias("passed"))
     rows = rows.withColumn("node", F.when(F.col("verdict").isNull() & F.col("url").contains("://"), node(F.col("url"))))
-    return rows.join(passed, "node", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", f"{_P}passed", F.lit("allow")).alias("verdict"))
+    return rows.join(passed, "node", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", "passed", F.lit("allow")).alias("verdict"))
 
 
 #: The rules of the query.
@@ -133,7 +155,7 @@ targets AS (
     regexp_extract(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1),
     regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*url\s*=\s*["'']?([^"''\s>]+)', 1)], lambda x: x <> '')) AS target
   FROM keyed WHERE html IS NOT NULL),
-edges AS (SELECT node AS a, regexp_replace(regexp_replace(target, '(?s)#.*$', ''), '(?s)^.*?://', '') AS b FROM targets WHERE target LIKE '%://%'),
+edges AS (SELECT node AS a, regexp_replace(regexp_replace(replace(target, '&amp;', '&'), '(?s)#.*$', ''), '(?s)^.*?://', '') AS b FROM targets WHERE target LIKE '%://%'),
 ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach AS (SELECT a, b FROM ways UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a),
 passed AS (

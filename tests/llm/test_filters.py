@@ -35,8 +35,28 @@ def test_op8_aliases(spark):
         (10, None, "allow"), (11, "www.example.com/en/", "allow"), (12, "example.com/en/", "block"), (13, None, "allow"), (14, None, "block"), (14, None, "block"), (15, "net/fr/", "block"), (16, None, "allow"),
     ]  # fmt: skip  # 10 shares a component with an allowed page, which lifts the block
     assert urls.judge(pages.limit(0), urls.RULES).count() == 0 and urls.judge(pages, []).where("verdict <> 'allow' OR rule IS NOT NULL").count() == 0
-    with pytest.raises(ValueError):
-        urls.ordered([urls.Rule("allow", f"{i}.com/") for i in range(urls.MOST_RULES + 1)])
+    more = spark.createDataFrame([("http://d.org/p/r", "https://b.net/fr/1?"), ("bad", "http://x.y/")], "url string, target string")
+    assert {r["page_id"]: r["verdict"] for r in urls.judge(pages, urls.RULES, more).collect()}[7] == "allow"  # another query
+    more = spark.createDataFrame([("http://d.org/p/r", "https://b.net/fr/1#x")], "url string, target string")
+    assert {r["page_id"]: r["verdict"] for r in urls.judge(pages, urls.RULES, more).collect()}[6] == "block"  # an alias of 7
+
+
+@pytest.mark.parametrize("inline", [0, 100])
+def test_op8_many_rules(spark, monkeypatch, inline):
+    """Rules in a CASE and rules in a table, against a loop."""
+    monkeypatch.setattr(urls, "INLINE_RULES", inline)
+    rng = random.Random(4)
+    hosts = ["com", "a.com", "b.a.com", "net", "x.net"]
+    rules = [urls.Rule(rng.choice(["allow", "block"]), f"{rng.choice(hosts)}/{rng.choice(['', 'p', 'p/', 'p/q', 'zz'])}") for _ in range(60)]
+    rows = [(i, f"http://{rng.choice(['', 'w.', 'b.', 'b.a.'])}{rng.choice(hosts)}{rng.choice(['', '/', '/p', '/p/', '/p/q?x', '/zz/1', '/y'])}") for i in range(300)]
+    want = {}
+    for i, u in rows:
+        h, _, p = u.split("://")[1].split("?")[0].partition("/")
+        p = "/" + p if "/" in u.split("://")[1] else ""
+        fit = [r for r in urls.ordered(rules) if (h == r.host or h.endswith("." + r.host)) and p.startswith(r.path)]
+        want[i] = (fit[0].text, fit[0].verdict) if fit else (None, "allow")
+    pages = spark.createDataFrame([(*r, None) for r in rows], "page_id long, url string, html string")
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(pages, rules).collect()} == want
 
 
 def test_op9_oracle(same):

@@ -158,6 +158,9 @@ def test_components(spark, finish):
         forest.join(a, b)
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(3), finish).collect()}
     assert got == {x: forest.root(x) for e in edges if e[0] != e[1] for x in e}
+    names = [(f"n{a:03}", f"n{b:03}") for a, b in edges]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(names, "a string, b string"), finish).collect()}
+    assert got == {f"n{x:03}": f"n{forest.root(x):03}" for e in edges if e[0] != e[1] for x in e}
 
 
 def test_op6_base_and_gain(spark, sf, texts):
