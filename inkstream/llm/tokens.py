@@ -24,7 +24,7 @@ from inkstream.llm import columns, kernels
 
 #: Bytes in a batch (a longer text makes a batch of its own); slots of the worker's cache, how many may be used, and how
 #: many ids it may hold before it starts anew.
-BATCH_BYTES, SLOTS, FULL, MOST_IDS = 1 << 20, 1 << 20, 650_000, 4_000_000
+BATCH_BYTES, SLOTS, FULL, MOST_IDS = 1 << 20, 1 << 21, 1_300_000, 8_000_000
 _LEADING = re.compile(rb"(?<=[A-Za-z0-9]) (?=[A-Za-z])")
 
 
