@@ -106,20 +106,24 @@ def cached(df: DataFrame, cache: DataFrame, keys: list[str], versions: dict[str,
 def anchor_picks(anchors: DataFrame, keys: list[str]) -> DataFrame:
     """Each group's three visual anchors, in order: the first of each type, then others with descriptions of their own.
 
-    Columns: keys, pos (articles in order), anchors (array of type and description in order). Types that no article has
-    get a default.
+    Columns: keys, pos (articles in order), anchors (array of type and description). Types that no article has get a
+    default. A group's anchors are as many as there are fixed ones at most, since equal ones count once.
     """
     # What stands in for a missing type.
     defaults = [("person", "professional"), ("place", "modern retail environment"), ("object", "technology device")]
-    each = anchors.select(*keys, "pos", F.posexplode("anchors").alias("i", "a")).select(*keys, "pos", "i", F.col("a.type").alias("type"), F.col("a.description").alias("description"))
-    groups = anchors.select(*keys).distinct()
-    filler = groups.select(*keys, F.explode(F.array(*[F.struct(F.lit(t).alias("type"), F.lit(d).alias("description"), F.lit(i).alias("i")) for i, (t, d) in enumerate(defaults)])).alias("x"))
-    filler = filler.select(*keys, F.lit((1 << 62)).alias("pos"), "x.i", "x.type", "x.description").join(each.select(*keys, "type").distinct(), [*keys, "type"], "left_anti")
-    first = each.unionByName(filler).groupBy(*keys, "type", "description").agg(F.min(F.struct("pos", "i")).alias("at"))
-    of_type = top_k(first, [*keys, "type"], ["at"], 1, "__n").select(*keys, "type", "description", "at", F.lit(0).alias("turn"))
-    rest = top_k(first, keys, ["at"], 6, "__n").select(*keys, "type", "description", "at", F.lit(1).alias("turn"))
-    both = of_type.unionByName(rest).groupBy(*keys, "description").agg(F.min(F.struct("turn", "at", "type")).alias("best"))
-    return top_k(both, keys, ["best.turn", "best.at"], 3, "place").select(*keys, "place", F.col("best.type").alias("type"), "description")
+    each = anchors.select(*keys, "pos", F.posexplode_outer("anchors").alias("i", "a"))
+    once = each.groupBy(*keys, "a").agg(F.min(F.struct("pos", "i")).alias("at"))
+    ordered = once.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("a").isNotNull(), F.struct("at", "a")))).alias("own"))
+    own = F.transform("own", lambda x: x["a"])
+    pair = lambda t, d: F.struct(F.lit(t).alias("type"), F.lit(d).alias("description"))
+    spare = F.filter(F.array(*[pair(t, d) for t, d in defaults]), lambda d: ~F.exists("own", lambda x: x["type"] == d["type"]))
+    same = lambda acc, x, field: F.exists(acc, lambda y: y[field] == x[field])
+    add = lambda acc, x, also: F.when((F.size(acc) < 3) & ~same(acc, x, "description") & also, F.array_append(acc, x)).otherwise(acc)
+    none = F.array().cast("array<struct<type: string, description: string>>")
+    rows = ordered.select(*keys, own.alias("own")).select(*keys, F.concat("own", spare).alias("all"))
+    rows = rows.withColumn("first", F.aggregate("all", none, lambda acc, x: add(acc, x, ~same(acc, x, "type"))))
+    rows = rows.withColumn("three", F.aggregate("all", F.col("first"), lambda acc, x: add(acc, x, F.lit(True))))
+    return rows.select(*keys, F.posexplode("three").alias("place", "x")).select(*keys, (F.col("place") + 1).alias("place"), "x.type", "x.description")
 
 
 def top_k(df: DataFrame, keys: list[str], order: list, k: int, name: str = "rank") -> DataFrame:

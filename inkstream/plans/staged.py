@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from inkstream import schemas
 from inkstream.functions import dates, html, keys, lists, text
 from inkstream.operators import gates, rows
-from inkstream.plans.registry import ART, WORDS, articles, query
+from inkstream.plans.registry import ART, WORDS, any_sql, articles, query
 from inkstream.session import materialise, shared_dir, table
 from inkstream.sources import readers, sinks
 from inkstream.streaming import incremental
@@ -229,12 +229,30 @@ g AS (FROM f UNION ALL SELECT c.cover, 9223372036854775807, d.type, d.descriptio
 o AS (SELECT *, row_number() OVER (PARTITION BY cover, type ORDER BY pos, i) > 1 AS later FROM g), u AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY cover, description ORDER BY later, pos, i) = 1)
 SELECT cover, row_number() OVER (PARTITION BY cover ORDER BY later, pos, i)::INT AS place, type, description FROM u QUALIFY place <= 3""")
 def anchor_choices(spark, d):
-    """Three visual anchors for each cover, from the anchors (F36) of its articles."""
+    """Three visual anchors for each cover, from the anchors (F36) of its articles."""
     more = F.expr(_MORE)
     a = articles(spark, d).select(F.floor(F.col("doc_id") / 3).alias("cover"), F.col("doc_id").alias("pos"), text.anchors(F.concat(F.concat_ws(" ", "title", "snippet"), more)).alias("anchors"))
     return rows.anchor_picks(a, ["cover"])
 
 
+_SENTENCE = "trim(string_split_regex(snippet, '[.!?]')[1], ' ' || chr(9) || chr(10) || chr(13))"
+_CLOSED = "CASE WHEN regexp_matches(trim(title), '[.!?]$') THEN trim(title) ELSE trim(title) || '.' END"
+_RETAIL = any_sql("title", ["retail", "commerce", "luxury", "ecommerce", "shopping", "customer"])
+
+
+@query(f"""WITH {ART}, s AS (SELECT doc_id // 3 AS cover, doc_id, title, coalesce(CASE WHEN length({_SENTENCE}) > 20 AND length({_SENTENCE}) < 200 THEN {_SENTENCE} END, regexp_replace(title, '[.!?]', '', 'g') || '.') AS happening,
+  CASE WHEN title = '' THEN 'This development affects retail and ecommerce strategies.' WHEN {_RETAIL} THEN {_CLOSED} ELSE {_CLOSED} || ' This impacts retail and ecommerce operations.' END AS matters FROM art),
+n AS (SELECT *, row_number() OVER (PARTITION BY cover ORDER BY doc_id) AS k FROM s)
+SELECT cover, string_agg('Article ' || k || ': ' || title, chr(10) ORDER BY k) AS articles, string_agg('- ' || happening || ' ' || matters, chr(10) ORDER BY k) AS narrative FROM n GROUP BY cover""")
+def cover_stories(spark, d):
+    """The parts of a cover's prompt that come from its articles: their list, and a line of narrative (F33, F34) each."""
+    a = articles(spark, d).select(F.floor(F.col("doc_id") / 3).alias("cover"), "doc_id", "title", text.whats_happening(F.lit(None).cast("string"), "snippet", "title").alias("happening"), text.why_it_matters("title").alias("matters"))
+    a = rows.top_k(a, ["cover"], ["doc_id"], 4, "k")  # a cover has four stories at most
+    line = F.struct("k", F.concat(F.lit("Article "), F.col("k").cast("string"), F.lit(": "), "title").alias("article"), F.concat(F.lit("- "), "happening", F.lit(" "), "matters").alias("story"))
+    g = a.groupBy("cover").agg(F.array_sort(F.collect_list(line)).alias("l"))
+    return g.select("cover", F.array_join(F.transform("l", lambda x: x["article"]), "\n").alias("articles"), F.array_join(F.transform("l", lambda x: x["story"]), "\n").alias("narrative"))
+
+
 @query(f"""WITH {ART}, h AS (SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN 'Sat' END AS t, CASE doc_id % 4 WHEN 0 THEN '12 March 2024' WHEN 1 THEN '3 days ago' WHEN 2 THEN 'soon' ELSE '' END AS x FROM art)
 SELECT doc_id, 'https://s.example.com/' || doc_id AS url, 'Item ' || doc_id AS title, CASE WHEN doc_id % 4 = 2 AND doc_id % 2 = 0 THEN 'soon' ELSE nullif(x, '') END AS date_text FROM h WHERE doc_id % 3 < 2""")
 def item_dates_beside(spark, d):

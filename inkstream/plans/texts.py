@@ -128,7 +128,7 @@ def themes(spark, d):
 @query(rf"""WITH {ART}, s AS (SELECT doc_id, list_filter(string_split_regex(snippet, '[.!?]+'), lambda s: length(trim(s, ' ' || chr(9) || chr(10) || chr(13))) > 0)[1:3] AS s, string_split_regex(title, '\s+') AS w, title FROM art)
 SELECT doc_id, array_to_string([trim(x, ' ' || chr(9) || chr(10) || chr(13)) FOR x IN s], '. ') || '.' AS intro, CASE WHEN len(w) > 22 THEN array_to_string(w[1:22], ' ') ELSE title END AS summary FROM s""")
 def intros(spark, d):
-    """F37 (summary length), F38."""
+    """F37 (summary length), F38, X07: a staged intro is cut to its first sentences."""
     return articles(spark, d).select("doc_id", text.sentences("snippet").alias("intro"), text.first_words("title", 22).alias("summary"))
 
 

@@ -125,6 +125,24 @@ def test_diverse_top_without_a_pool(spark):
     assert got == want
 
 
+def test_anchor_picks(spark):
+    """The first of each type, a filled third place, defaults, and a group without anchors."""
+    data = [("a", 1, [("person", "p1"), ("person", "p2")]), ("a", 2, [("person", "p1"), ("place", "l1")]), ("b", 1, [("object", "o1")]), ("b", 2, None), ("c", 1, [])]
+    df = spark.createDataFrame(data, "k string, pos int, anchors array<struct<type: string, description: string>>")
+    got = {}
+    for r in rows.anchor_picks(df, ["k"]).orderBy("k", "place").collect():
+        got.setdefault(r["k"], []).append(r["description"])
+    assert got == {"a": ["p1", "l1", "technology device"], "b": ["o1", "professional", "modern retail environment"], "c": ["professional", "modern retail environment", "technology device"]}
+
+
+def test_merge_week(spark):
+    """Known by url, known by title, new, and a row of the week without a snippet."""
+    t = lambda *r: spark.createDataFrame(list(r), "url string, title string, snippet string")
+    new = t(("u1", "One", "s"), ("u2", " KNOWN  title", "s"), ("u3", "Three", ""), ("u4", "Four", "late")).withColumn("pos", F.monotonically_increasing_id())
+    got = {r["url"]: (r["snippet"], r["action"]) for r in rows.merge_week(new, t(("u1", "x", "s"), ("k", "Known title", "s")), t(("u4", "Four", None), ("u5", "Five", "old"))).collect()}
+    assert got == {"u3": (None, "added"), "u4": ("late", "updated"), "u5": ("old", "kept")}
+
+
 def test_keywords_and_dates_beside(spark):
     x = spark.createDataFrame([("Gold.gem AI model", "a"), ("paid plain", "b"), (None, "c")], "t string, k string")
     got = [tuple(r) for r in x.select(text.contains_any("t", ["d.g"]).alias("a"), text.contains_any("t", ["ai"], True).alias("b"), text.keyword_count("t", ["ai", "gem", "model", "zzzz"]).alias("n"), text.keyword_any("t", ["ai"]).alias("k")).collect()]
