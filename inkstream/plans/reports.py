@@ -152,9 +152,16 @@ _ADDED = ", ".join("('{}', '{}')".format(t, q) for t, qs in lists.ADDED_QUERIES.
 @query(f"""WITH {ART}, b AS (SELECT topic, 'base ' || title AS q FROM art QUALIFY row_number() OVER (PARTITION BY topic ORDER BY doc_id) <= 12), d AS (SELECT topic, 'delta ' || title AS q FROM art QUALIFY row_number() OVER (PARTITION BY topic ORDER BY doc_id DESC) <= 3), a(topic, q) AS (VALUES {_ADDED}),
 u AS (FROM b UNION ALL FROM d UNION ALL FROM a) SELECT topic, count(*) AS n, left(sha256(string_agg(q, '|' ORDER BY q)), 16) AS hash FROM u GROUP BY topic""")
 def query_sets(spark, d):
-    """Each topic's 12 base, 3 delta, 2 consultancy and 2 platform queries, and their hash."""
+    """Each topic's 12 base queries, read from a file of configuration, 3 delta, 2 consultancy and 2
+    platform queries, and their hash."""
+    from inkstream.session import folder
+    from inkstream.sources.readers import base_queries
+
     a = articles(spark, d).select("topic", "title", "doc_id")
     base = rows.top_k(a, ["topic"], ["doc_id"], 12).select("topic", F.concat(F.lit("base "), "title").alias("q"))
+    path, config = folder(spark, "queries"), base.groupBy("topic").agg(F.collect_list("q").alias("q"))
+    config.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("topic", "q")))).alias("value")).write.text(path)
+    base = base_queries(spark, path).select(F.col("label").alias("topic"), F.col("query").alias("q"))
     delta = rows.top_k(a, ["topic"], [F.desc("doc_id")], 3).select("topic", F.concat(F.lit("delta "), "title").alias("q"))
     added = spark.createDataFrame([(t, q) for t, qs in lists.ADDED_QUERIES.items() for q in qs], "topic string, q string")
     u = base.unionByName(delta).unionByName(added)

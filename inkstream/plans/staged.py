@@ -8,18 +8,11 @@ from inkstream import schemas
 from inkstream.functions import dates, html, keys, lists, text
 from inkstream.operators import gates, rows
 from inkstream.plans.registry import ART, WORDS, any_sql, articles, query
-from inkstream.session import materialise, shared_dir, table
+from inkstream.session import folder, materialise, table
 from inkstream.sources import readers, sinks
 from inkstream.streaming import incremental
 
 
-def _folder(spark, name: str) -> str:
-    """A new folder among the shared tables."""
-    import uuid
-
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 _FEED = """f AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 500 WHEN 1 THEN 404 ELSE 200 END AS status, CASE WHEN page_id % 4 < 3 THEN url END AS link, CASE WHEN page_id % 5 > 0 THEN page_id || ' news' ELSE '' END AS title, CASE WHEN page_id % 9 > 0 THEN TIMESTAMP '2024-01-08 09:00:00' END AS published_at FROM pages)"""
 
 
@@ -92,7 +85,7 @@ def json_articles(spark, d):
     """Articles as JSON arrays of a hundred each, read by their schema and written as a new version."""
     a = articles(spark, d).select(F.floor(F.col("doc_id") / 100).alias("part"), F.col("doc_id").cast("string").alias("id"), "url", "title", "source", "published_at")
     arrays = a.groupBy("part").agg(F.to_json(F.collect_list(F.struct("id", "url", "title", "source", "published_at"))).alias("value"))
-    path = _folder(spark, "json")
+    path = folder(spark, "json")
     arrays.select("value").write.text(path)
     read = readers.json_table(spark, path, schemas.ARTICLE, lines=True).unionByName(readers.json_table(spark, path + "-none", schemas.ARTICLE))
     version = sinks.save_table(read.select("id", "url", "title", "source", "published_at"), path + "-table", 1)
@@ -103,7 +96,7 @@ def json_articles(spark, d):
 def stored_files(spark, d):
     """JSON files below a folder with one file or more a week: labels among their paths, and their times."""
     week = dates.week_label(F.col("ts"), "UTC")
-    path = _folder(spark, "files")
+    path = folder(spark, "files")
     table(spark, d, "events").select(week.alias("label"), F.lit("{}").alias("value")).distinct().withColumn("week", F.concat(F.lit("w"), "label")).repartition("week").write.partitionBy("week").json(path)
     files = readers.walk(spark, path).withColumn("path", F.replace("path", F.lit("week=w"), F.lit("")))
     timed = files.agg(F.count_distinct(F.element_at(F.split("path", "/"), -2)).alias("n"), F.min(F.col("modified").isNotNull()).alias("timed"))
@@ -115,7 +108,7 @@ def stored_files(spark, d):
 def week_tables(spark, d):
     """A week that is written again replaces that week alone."""
     e = table(spark, d, "events").groupBy(dates.week_label(F.col("ts"), "UTC").alias("week_label")).agg(F.count(F.lit(1)).alias("n"))
-    e, path = materialise(e, "weeks"), _folder(spark, "week-tables")
+    e, path = materialise(e, "weeks"), folder(spark, "week-tables")
     sinks.save_week(e, path)
     last = e.orderBy(F.desc("week_label")).limit(1)
     sinks.save_week(last.withColumn("n", -F.col("n")), path)
@@ -127,7 +120,7 @@ def digest_documents(spark, d):
     """One nested document of totals, written as JSON, read by its schema, its cover patched."""
     by = articles(spark, d).groupBy("topic").agg(F.count(F.lit(1)).cast("int").alias("n"))
     totals = F.struct(F.sum("n").cast("int").alias("total"), F.map_from_entries(F.collect_list(F.struct("topic", "n"))).alias("byTopic"))
-    path = _folder(spark, "digest")
+    path = folder(spark, "digest")
     sinks.save_report(by.agg(F.lit("2024-W02").alias("weekLabel"), F.lit("").alias("coverImageUrl"), totals.alias("totals")), path)
     doc = sinks.patched(readers.json_table(spark, path, schemas.DIGEST), coverImageUrl="covers/2024-W02.png")
     return doc.select(F.col("weekLabel").alias("week"), F.col("coverImageUrl").alias("cover"), F.col("totals.total").alias("total"), F.explode("totals.byTopic").alias("topic", "n"))
@@ -137,7 +130,7 @@ def digest_documents(spark, d):
 def resumed_work(spark, d):
     """A stage that is built once, and what a run that was cut off still has to do."""
     docs = table(spark, d, "documents").select("doc_id", keys.sha_short(F.col("doc_id").cast("string")).alias("hash"))
-    path = _folder(spark, "stage")
+    path = folder(spark, "stage")
     done = [incremental.stage(spark, path, lambda: docs.where("doc_id % 3 = 0")) for _ in range(2)][-1]
     return incremental.remaining(docs, done)
 
@@ -146,7 +139,7 @@ def resumed_work(spark, d):
 def upserted_in_batches(spark, d):
     """Two batches merged into a stored table; the second fills empty snippets and adds the rest."""
     docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("url"), F.col("doc_id").alias("pos"))
-    path, schema = _folder(spark, "upserts"), "url string, snippet string, action string"
+    path, schema = folder(spark, "upserts"), "url string, snippet string, action string"
     first = docs.where("doc_id % 3 < 2").select("url", F.when((F.col("doc_id") % 6 == 0), "").otherwise("first").alias("snippet"), "pos")
     second = docs.where("doc_id % 3 <> 1").select("url", F.when(F.col("doc_id") % 3 == 0, "filled").otherwise("late").alias("snippet"), "pos")
     for batch in (first, second):

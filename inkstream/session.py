@@ -47,7 +47,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     Results may still read these tables, so they stay until ``discard`` or ``release``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     _written.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -55,6 +55,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared one, for files that a step writes by itself."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def written() -> list[str]:
     """The tables that ``materialise`` wrote and nobody deleted yet, oldest first."""
     return list(_written)
