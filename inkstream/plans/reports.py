@@ -110,7 +110,7 @@ def failure_reasons(spark, d):
 
 @query("""WITH l AS (SELECT doc_id % 4 AS topic, CASE WHEN doc_id % 5 = 0 THEN 'hit' WHEN quality = 1 THEN 'model' ELSE 'fallback' END AS o FROM labels) SELECT topic, count(*) AS total, count(*) FILTER (o = 'hit') AS hits, count(*) FILTER (o <> 'hit') AS misses, count(*) FILTER (o = 'model') AS model_ok, count(*) FILTER (o = 'fallback') AS fallbacks, format('{:.1f}', count(*) / 4.0 + 1e-9) AS per_call FROM l GROUP BY topic""")
 def call_counters(spark, d):
-    """A17, A18, A19, X05."""
+    """A17, A18."""
     o = F.when(F.col("doc_id") % 5 == 0, "hit").when(F.col("quality") == 1, "model").otherwise("fallback")
     g = table(spark, d, "labels").select((F.col("doc_id") % 4).alias("topic"), o.alias("o")).groupBy("topic")
     n = lambda c: F.count_if(c)
