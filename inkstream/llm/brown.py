@@ -35,7 +35,7 @@ from inkstream.session import discard, materialise
 
 #: Chunks here are so many times as large as the exchange's, as a word's questions come once a chunk; and words that a task
 #: sums up at a time.
-LARGER, MOST_WORDS = 4, 2_000_000
+LARGER, MOST_WORDS = 4, 1_000_000
 #: Words that the full exchange algorithm clusters, its classes (250 at most), pseudo counts of the transitions, and of
 #: contexts when other words are assigned.
 HEAD, CLASSES, PRIOR, ALPHA = 1000, 48, 2.0, 0.5
@@ -283,17 +283,21 @@ def _assigned(chunks: DataFrame, bits: int, heads: np.ndarray, of: np.ndarray, w
     order, sides = np.argsort(heads), len(worth) // 2
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = np.append(of + 1, 0)
+        context = np.append(of + 1, 0).astype(np.uint16)
         for batch in batches:
             for i in range(batch.num_rows):
                 c = Chunk(batch, i)
                 rank = c.ranks(heads, order)
                 near = context[rank][c.place]
-                ask = c.learn & ((rank == len(heads)) & (c.one != _END[0]))[c.place]  # such tokens are never a row's last
-                at = np.flatnonzero(ask)
-                before = _before(near, c.first, 0)[at]
-                both = np.concatenate([c.place[at].astype(np.int64) * 2 * sides + before, c.place[at].astype(np.int64) * 2 * sides + sides + near[np.minimum(at + 1, max(len(near) - 1, 0))]])
-                cells, times = np.unique(both, return_counts=True)
+                before = _before(near, c.first, 0)
+                other = c.learn & ((rank == len(heads)) & (c.one != _END[0]))[c.place]  # such tokens are never a row's last
+                parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+                for a in range(0, len(other), 1 << 18):
+                    at = np.flatnonzero(other[a : a + (1 << 18)]) + a
+                    word = c.place[at].astype(np.int64) * (2 * sides)
+                    parts.append(np.unique(np.concatenate([word + before[at], word + sides + near[np.minimum(at + 1, len(near) - 1)]]), return_counts=True))
+                cells, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                times = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(cells)).astype(np.int64)
                 contexts = np.bincount(cells // (2 * sides), minlength=len(c.one))
                 ends = np.append(0, np.cumsum(contexts))
                 full, edges = _buckets(c.one, bits)

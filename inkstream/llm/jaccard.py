@@ -457,8 +457,9 @@ def _met(some: DataFrame, known: DataFrame) -> DataFrame:
     listed = some.select("doc_id", "n", "listed").join(known, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "listed", F.coalesce("component", "doc_id").alias("component"))
     listed = materialise(listed.mapInArrow(_exploded, "token long, doc_id long, n long, component long"), "listed")
     mixed = listed.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token", "m")
+    mixed = materialise(mixed, "mixed")  # apart from the join, whose frequent shingles can then be split
     met = materialise(listed.join(mixed, "token").withColumn("class", F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(GROWTH))), "met")
-    discard(listed)
+    discard(listed, mixed)
     groups = max(partitions(some.sparkSession), math.ceil(met.where(F.col("m") <= PART).count() / ROWS))
     rare = met.where(F.col("m") <= PART).select("token", F.pmod(F.xxhash64("token"), F.lit(groups)).cast("string").alias("group"), F.lit(1).alias("left"), F.lit(False).alias("two"), "doc_id", "component")
     hot = met.where(F.col("m") > PART)
