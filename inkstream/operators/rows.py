@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstream.functions import text
+from inkstream.session import materialise
 
 _EPOCH = "TIMESTAMP '1970-01-01 00:00:00'"
 
@@ -261,11 +262,14 @@ def near_titles(df: DataFrame, key: str, id_: str, title: str, least: float = 0.
     order = Window.partitionBy(key, "id").orderBy("df", "word")
     each = each.join(seen, [key, "word"]).withColumn("r", F.row_number().over(order))
     each = each.withColumns({"e": F.col("n") - F.col("kinds"), "late": F.col("r") - F.col("kinds") + F.floor(F.col("n") * least).cast("int")})
-    side = lambda x: each.select(key, "word", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "e", "late", "bits0", "bits64")])
+    each = materialise(each.select(key, "id", "word", "n", "e", "late", "bits0", "bits64"), "title-words")
+    side = lambda x, x_where: each.where(x_where).select(key, "word", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "e", "late", "bits0", "bits64")])
     gone = sum(F.bit_count(F.col(f"{c}_a").bitwiseAND(F.bitwise_not(F.col(f"{c}_b")))) for c in ("bits0", "bits64"))
     spare = F.col("n_a") - F.floor(F.greatest("n_a", "n_b") * least)
-    near = (F.col("id_a") < F.col("id_b")) & (F.col("late_a") <= F.col("e_a")) & (F.col("late_b") <= F.col("e_a")) & (gone < spare)
-    pairs = side("a").join(side("b"), [key, "word"]).where(near).select(key, F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    near = (F.col("id_a") < F.col("id_b")) & (F.col("late_b") <= F.col("e_a")) & (gone < spare)
+    # words beyond the second title's own bound matter only to first titles that repeat words
+    met = [side("a", "late <= e").join(side("b", "late <= 0"), [key, "word"]), side("a", "late <= e AND e > 0").join(side("b", "late > 0"), [key, "word"])]
+    pairs = met[0].union(met[1]).where(near).select(key, F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     full = rows.select("id", "w")
     pairs = pairs.join(full.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(full.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
     shared = F.size(F.filter("wa", lambda x: F.array_contains("wb", x)))
