@@ -157,7 +157,7 @@ def test_the_program_is_solved():
             covered[x] += k * amount
     assert all(covered[x] >= n - 1e-6 for x, n in h.items())
     assert bound <= found.bound <= found.fractional <= 1.01 * found.bound
-    assert found.sequences <= found.bound * 1.002 and found.rounded >= 0.9 * found.sequences and took < 5
+    assert found.sequences <= found.bound * 1.002 and found.rounded >= 0.9 * found.sequences and took < 15  # about 3 s on an idle core
 
 
 def test_op1_cache_drops_long_pieces():
