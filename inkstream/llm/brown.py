@@ -35,7 +35,7 @@ from inkstream.session import discard, materialise
 
 #: Chunks here are so many times as large as the exchange's, as a word's questions come once a chunk; and words that a task
 #: sums up at a time.
-LARGER, MOST_WORDS = 4, 1_000_000
+LARGER, MOST_WORDS = 2, 1_000_000
 #: Words that the full exchange algorithm clusters, its classes (250 at most), pseudo counts of the transitions, and of
 #: contexts when other words are assigned.
 HEAD, CLASSES, PRIOR, ALPHA = 1000, 48, 2.0, 0.5
@@ -69,14 +69,20 @@ def _tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 class Chunk:
     """Some documents' tokens: ``place`` are indexes among the distinct hashes, ``first`` each row's first token (and the
-    end), ``learn`` true for the tokens of training rows."""
+    end), ``learn`` true for the tokens of training rows.
 
-    SCHEMA = "chunk long, doc_id array<{kind}>, held array<boolean>, first binary, place binary, one binary, two binary"
+    In a table, places are ranks by frequency, their low bytes first and then their high ones, which are mostly zero and
+    shrink when they are written; ``ranked`` leads back to the order of hashes.
+    """
+
+    SCHEMA = "chunk long, doc_id array<{kind}>, held array<boolean>, first binary, place binary, ranked binary, one binary, two binary"
 
     def __init__(self, batch: pa.RecordBatch | pa.Table, i: int = 0):
         get = lambda c, kind: np.frombuffer(batch.column(c)[i].as_py(), kind)
         self.first, self.one, self.two = get("first", np.int64), get("one", np.uint64), get("two", np.uint16)
-        self.place = get("place", np.uint16 if len(self.one) <= 1 << 16 else np.uint32)
+        kind = np.dtype(np.uint16 if len(self.one) <= 1 << 16 else np.uint32)
+        planes = get("place", np.uint8).reshape(kind.itemsize, -1)
+        self.place = get("ranked", kind)[np.ascontiguousarray(planes.T).view(kind).reshape(-1)]
         self.held = np.array(batch.column("held")[i].as_py(), bool)
         self.learn = np.repeat(~self.held, np.diff(self.first))
 
@@ -84,10 +90,15 @@ class Chunk:
     def of(chunk: int, batches: list[pa.RecordBatch], kind: pa.DataType) -> pa.RecordBatch:
         table = pa.Table.from_batches(batches)
         one, two, first = _tokens(table.column("text"))
-        a, b, _, place = kernels.distinct(one, two)
-        raw = (first, place.astype(np.uint16 if len(a) <= 1 << 16 else np.uint32), a, b)
+        a, b, n, place = kernels.distinct(one, two)
+        small = np.uint16 if len(a) <= 1 << 16 else np.uint32
+        ranked = np.argsort(-n, kind="stable").astype(small)
+        rank = np.empty(len(a), small)
+        rank[ranked] = np.arange(len(a), dtype=small)
+        planes = np.ascontiguousarray(rank[place].view(np.uint8).reshape(len(place), -1).T) if len(place) else place
+        raw = (first, planes, ranked, a, b)
         lists = [pa.array([table.column(c).to_pylist()], pa.list_(k)) for c, k in (("doc_id", kind), ("held", pa.bool_()))]
-        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists, *(pa.array([x.tobytes()], pa.binary()) for x in raw)], names=["chunk", "doc_id", "held", "first", "place", "one", "two"])
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists, *(pa.array([x.tobytes()], pa.binary()) for x in raw)], names=["chunk", "doc_id", "held", "first", "place", "ranked", "one", "two"])
 
     def counts(self) -> np.ndarray:
         """Training occurrences of each distinct word."""
@@ -281,6 +292,7 @@ def context_scores(bigrams: np.ndarray, of: np.ndarray) -> np.ndarray:
 def _assigned(chunks: DataFrame, bits: int, heads: np.ndarray, of: np.ndarray, worth: np.ndarray) -> DataFrame:
     """Rows (chunk, bucket, body): the count and the class of each word of a chunk, in the order of its hashes."""
     order, sides = np.argsort(heads), len(worth) // 2
+    narrow = np.dtype("u1" if len(worth) <= 256 else "<u2")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = np.append(of + 1, 0).astype(np.uint16)
@@ -302,18 +314,22 @@ def _assigned(chunks: DataFrame, bits: int, heads: np.ndarray, of: np.ndarray, w
                 ends = np.append(0, np.cumsum(contexts))
                 full, edges = _buckets(c.one, bits)
                 words = _items(c.one, c.two, c.counts().astype("<i4"), contexts.astype("<u2"))
-                seen = _items((cells % (2 * sides)).astype("<u2"), times.astype("<u4"))
+                seen = _items((cells % (2 * sides)).astype(narrow), np.minimum(times, 255).astype(np.uint8))
+                more = np.flatnonzero(times > 254)  # the few large numbers stand apart, in the order of their marks
+                large = times[more].astype("<u4").view(np.uint8)
+                far = np.searchsorted(more, ends[edges])
                 yield pa.RecordBatch.from_pydict({
                     "bucket": pa.array(full.astype(np.int32)), "chunk": pa.array(np.full(len(full), batch.column("chunk")[i].as_py())),
-                    "body": kernels.binary_array(words.reshape(-1), edges * 16), "seen": kernels.binary_array(seen.reshape(-1), ends[edges] * 6),
+                    "body": kernels.binary_array(words.reshape(-1), edges * 16), "seen": kernels.binary_array(seen.reshape(-1), ends[edges] * seen.shape[1]), "large": kernels.binary_array(large, far * 4),
                 })
 
     def bucket(key: tuple, table: pa.Table) -> pa.Table:
         items, edges = exchange.bodies(table, 16)
         group, groups = exchange.groups(items)
         raw = b"".join(table.column("seen").to_pylist())
-        seen = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-        context, times = np.ascontiguousarray(seen[:, :2]).view("<u2").reshape(-1), np.ascontiguousarray(seen[:, 2:]).view("<u4").reshape(-1)
+        seen = np.frombuffer(raw, np.uint8).reshape(-1, narrow.itemsize + 1)
+        context, times = np.ascontiguousarray(seen[:, :-1]).view(narrow).reshape(-1).astype(np.int64), seen[:, -1].astype(np.int64)
+        times[times == 255] = np.frombuffer(b"".join(table.column("large").to_pylist()), "<u4")
         owner = np.repeat(group, np.ascontiguousarray(items[:, 14:16]).view("<u2").reshape(-1))
         by = np.argsort(owner, kind="stable")
         owner, context, times = owner[by], context[by], times[by]
@@ -327,7 +343,7 @@ def _assigned(chunks: DataFrame, bits: int, heads: np.ndarray, of: np.ndarray, w
         answers = kernels.binary_array(out[group].view(np.uint8), edges * _ANSWER.itemsize)
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "body": answers})
 
-    return chunks.mapInArrow(ask, "bucket int, chunk long, body binary, seen binary").groupBy("bucket").applyInArrow(bucket, "chunk long, bucket int, body binary")
+    return chunks.mapInArrow(ask, "bucket int, chunk long, body binary, seen binary, large binary").groupBy("bucket").applyInArrow(bucket, "chunk long, bucket int, body binary")
 
 
 class Model:
