@@ -243,7 +243,7 @@ def test_op6_every_word_has_a_class_by_its_contexts(spark):
     rng = random.Random(3)
     kinds = [[f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]]
     weights = [1 / (i + 1) for i in range(40)]
-    rows = [(i, " ".join(rng.choices(kinds[j % 2], weights)[0] for j in range(60))) for i in range(400)]
+    rows = [(i, " ".join(rng.choices(kinds[j % 2], weights)[0] for j in range(60))) for i in range(700)]
     _, _, (_, _, _, c, klass) = brute_scores(rows, 8, 2)
     tail = [w for w in c if w is not None and c[w] > 5]
     assert len(tail) > 60 and {klass(w) for w in tail if w[0] == "a"}.isdisjoint({klass(w) for w in tail if w[0] == "b"})
