@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors.
 
     Results may still read these tables, so they stay until ``discard`` or ``release``.
@@ -49,7 +49,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = folder(spark, name)
     _written.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._inkstream_table = path
     return out
