@@ -35,7 +35,7 @@ from inkstream.session import discard, materialise
 
 #: Chunks here are so many times as large as the exchange's, as a word's questions come once a chunk; and words that a task
 #: sums up at a time.
-LARGER, MOST_WORDS = 2, 1_000_000
+LARGER, MOST_WORDS = 4, 1_000_000
 #: Words that the full exchange algorithm clusters, its classes (250 at most), pseudo counts of the transitions, and of
 #: contexts when other words are assigned.
 HEAD, CLASSES, PRIOR, ALPHA = 1000, 48, 2.0, 0.5
@@ -79,7 +79,8 @@ class Chunk:
 
     def __init__(self, batch: pa.RecordBatch | pa.Table, i: int = 0):
         get = lambda c, kind: np.frombuffer(batch.column(c)[i].as_py(), kind)
-        self.first, self.one, self.two = get("first", np.int64), get("one", np.uint64), get("two", np.uint16)
+        self.first, self.one = get("first", np.int64), get("one", np.uint64)
+        self.two = get("two", np.uint16) if "two" in batch.schema.names else None
         kind = np.dtype(np.uint16 if len(self.one) <= 1 << 16 else np.uint32)
         planes = get("place", np.uint8).reshape(kind.itemsize, -1)
         self.place = get("ranked", kind)[np.ascontiguousarray(planes.T).view(kind).reshape(-1)]
@@ -375,7 +376,7 @@ def score(docs: DataFrame, head: int = HEAD, classes: int = CLASSES) -> DataFram
     docs = columns.plain(docs, "doc_id", "text").select("doc_id", "text")
     size = exchange.text_bytes(docs)
     bits = exchange.bucket_bits(docs, size // 4)  # far fewer distinct words than words
-    chunks = materialise(_chunks(docs, LARGER * exchange.sizes(size)[0]), "chunks")
+    chunks = materialise(_chunks(docs, LARGER * exchange.sizes(size)[0]), "chunks", "zstd")
     stats = _summary(chunks, bits, head)
     types, once, total = (int(n) for n in stats["n"][:3])
     heads, ranked = stats["hash"][3:].copy(), np.argsort(stats["hash"][3:])
@@ -409,8 +410,8 @@ def score(docs: DataFrame, head: int = HEAD, classes: int = CLASSES) -> DataFram
             "base_score": pa.array(sums(base)), "own": pa.array(sums(own)), "classes": kernels.binary_array(of_word.astype(np.uint8)[c.place], c.first),
         })
 
-    coded = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(code, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, own double, classes binary")
-    coded = materialise(coded, "coded")
+    coded = chunks.drop("two").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(code, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, own double, classes binary")
+    coded = materialise(coded, "coded", "zstd")
     discard(chunks)
 
     def class_pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
