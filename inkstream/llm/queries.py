@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.llm import bpe, brown, jaccard, langid, packing, quality, substrings, tokens, topk, urls
+from inkstream.llm import bpe, brown, clusters, contamination, jaccard, langid, merkle, packing, quality, substrings, tokens, topk, urls
 from inkstream.session import ship, table
 
 
@@ -66,5 +66,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_substrings, op4_packing, op5_jaccard_join, op6_language_model, op7_top_k, op8_url_filters, op9_quality, op10_language)}
-ORACLE_SQL: dict[str, str] = {"op3_substrings": substrings.SQL, "op7_top_k": topk.SQL, "op8_url_filters": urls.SQL, "op9_quality": quality.SQL}
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    found = contamination.decontaminate(docs, benchmark, 10, keep_text=False)
+    digest = F.sha2(F.concat_ws(",", "items"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"), 40, 5)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    return merkle.manifest(documents(spark, sf_dir), fields, tampered=tampered, changed=changed, proofs=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_substrings, op4_packing, op5_jaccard_join, op6_language_model, op7_top_k, op8_url_filters, op9_quality, op10_language, op11_decontamination, op12_clusters, op13_merkle)}
+ORACLE_SQL: dict[str, str] = {"op3_substrings": substrings.SQL, "op7_top_k": topk.SQL, "op8_url_filters": urls.SQL, "op9_quality": quality.SQL, "op11_decontamination": contamination.SQL, "op12_clusters": clusters.SQL, "op13_merkle": merkle.SQL}
