@@ -20,7 +20,9 @@ document stands for each class. The rest is an exact search for pairs of classes
 
 Results: each row's number of shingles and its component, the least doc_id reachable by links, itself included. Null
 texts and texts without words have no shingles and link with nothing; with fewer than five words the whole sequence is
-the one shingle. Rows with one doc_id count as one node; a null doc_id keeps a null component.
+the one shingle. A class is a node of its own with a number of its own, whatever its ids. Rows with one doc_id count as
+one document: ``join`` links all classes that share an id, whatever their texts, and ``groups`` does not. A null doc_id
+keeps a null component and links with nothing.
 """
 
 from __future__ import annotations
@@ -66,11 +68,14 @@ def sets(texts: pa.ChunkedArray, width: int) -> list[np.ndarray]:
     return out
 
 
-def set_hash(texts: pa.Array) -> pa.Array:
-    """A hash of each text's set of shingles, or of the text if it has none."""
-    found = sets(pa.chunked_array([texts.cast(pa.string())]), 5)
-    bodies = [s.tobytes() if len(s) else repr(t).encode() for s, t in zip(found, texts.to_pylist(), strict=True)]
-    return pa.array([hashlib.sha256(b).hexdigest() for b in bodies], pa.string())
+def set_hashes(found: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """Two 64-bit hashes of each set; equal sets are told by both and their size."""
+    return tuple(pa.array(np.array([int(kernels.mix(s ^ np.uint64(seed)).sum(dtype=np.uint64)) for s in found], np.uint64).view(np.int64)) for seed in _SEEDS)
+
+
+def hashed(texts: pa.Array) -> pa.Array:
+    """(one, two) of each text's set, as ``groups`` gives them; for an Arrow function."""
+    return pa.StructArray.from_arrays(set_hashes(sets(pa.chunked_array([texts.cast(pa.string())]), 5)), names=["one", "two"])
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -340,31 +345,35 @@ def classes(rows: DataFrame, width: int) -> DataFrame:
 
     def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tables:
-            n, one, two = [], [], []
-            for s in sets(batch.column("text"), width):
-                n.append(len(s))
-                one.append(int(kernels.mix(s ^ np.uint64(_SEEDS[0])).sum(dtype=np.uint64)))
-                two.append(int(kernels.mix(s ^ np.uint64(_SEEDS[1])).sum(dtype=np.uint64)))
-            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "chunk": batch.column(exchange.CHUNK), "n": pa.array(n, pa.int64()), "one": signed(one), "two": signed(two)})
+            found = sets(batch.column("text"), width)
+            one, two = set_hashes(found)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "chunk": batch.column(exchange.CHUNK), "n": pa.array([len(s) for s in found], pa.int64()), "one": one, "two": two})
 
     return rows.mapInArrow(batches, "doc_id long, chunk int, n long, one long, two long")
 
 
 def candidates(rows: DataFrame, heads: DataFrame, size: int, width: int) -> DataFrame:
     """Step 1: classes that may have a partner, with the tokens that other classes have too, the listed ones, and the
-    keys of step 2."""
-    bits = exchange.bucket_bits(rows, size // 2)
-    chosen = heads.groupBy("chunk").agg(F.collect_list("doc_id").alias("ids")).select("chunk", F.lit(-1).alias("bucket"), F.lit(b"").alias("body"), "ids")
+    keys of step 2. From here on ``doc_id`` is the class's node.
 
-    def own(table: pa.Table, ids: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The classes of this chunk: one row of each chosen id."""
-        wanted, at = set(ids), []
-        for i, x in enumerate(table.column("doc_id").to_pylist()):
-            if x in wanted:
-                at.append(i)
-        part = table.take(pa.array(at, pa.int64()))
-        return part.column("doc_id").to_numpy(), sets(part.column("text"), width)
+    ``heads``: node, and doc_id, chunk, one and two of the row that stands for the class. Of rows with its id only those
+    with its set count, so that what a chunk holds besides plays no part.
+    """
+    bits = exchange.bucket_bits(rows, size // 2)
+    chosen = heads.groupBy("chunk").agg(F.collect_list(F.struct("doc_id", "one", "two", "node")).alias("ids")).select("chunk", F.lit(-1).alias("bucket"), F.lit(b"").alias("body"), "ids")
+
+    def own(table: pa.Table, heads: list[dict]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The nodes and sets of this chunk's heads."""
+        wanted = {(h["doc_id"], h["one"], h["two"]): h["node"] for h in heads}
+        ids = {h["doc_id"] for h in heads}
+        part = table.take(pa.array([i for i, x in enumerate(table.column("doc_id").to_pylist()) if x in ids], pa.int64()))
+        found = sets(part.column("text"), width)
+        nodes, kept = [], []
+        for key, s in zip(zip(part.column("doc_id").to_pylist(), *(h.to_pylist() for h in set_hashes(found)), strict=True), found, strict=True):
+            if (node := wanted.pop(key, None)) is not None:  # repeated rows count once
+                nodes.append(node)
+                kept.append(s)
+        return np.array(nodes, np.int64), kept
 
     def ask(key: tuple, table: pa.Table, chosen: pa.Table) -> pa.Table:
         ids = [x for row in chosen.column("ids").to_pylist() for x in row]
@@ -415,26 +424,50 @@ def _at_most_twice(h: np.ndarray) -> np.ndarray:
     return h[keep]
 
 
-def join(docs: DataFrame, width: int = 5) -> DataFrame:
-    """Columns doc_id, n_shingles, component_id, class_id (the least doc_id with the same set) for every row."""
+def groups(docs: DataFrame, width: int = 5, by_id: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Every row's doc_id, n, one and two; and a row a class: one, two, n, class_id (the least doc_id with this set) and
+    ``group``, the same for all classes that links join, directly or not.
+
+    With ``by_id`` classes that share a doc_id are joined too. Classes hold rows with words and an id.
+    """
     docs = columns.plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = exchange.text_bytes(docs)
     rows = exchange.chunked(docs, size)
     every = materialise(classes(rows, width), "classes")
-    heads = every.where("n > 0 AND doc_id IS NOT NULL").groupBy("one", "two", "n").agg(F.min(F.struct("doc_id", "chunk")).alias("head"))
-    heads = materialise(heads.select("one", "two", "n", "head.doc_id", "head.chunk"), "heads")
-    some = materialise(candidates(rows, heads.select("doc_id", "chunk"), size, width), "candidates")
+    named = every.where("n > 0 AND doc_id IS NOT NULL")
+    heads = named.groupBy("one", "two", "n").agg(F.min(F.struct("doc_id", "chunk")).alias("head"))
+    heads = materialise(heads.select("one", "two", "n", "head.doc_id", "head.chunk", F.monotonically_increasing_id().alias("node")), "heads")
+    some = materialise(candidates(rows, heads.select("doc_id", "chunk", "one", "two", "node"), size, width), "candidates")
     found = materialise(_first_links(some), "links")
     known = materialise(components(found), "provisional") if not found.isEmpty() else found.select(F.col("a").alias("node"), F.col("b").alias("component"))
     more = _last_links(some, known)
+    if by_id:
+        more = materialise(more.union(_shared_ids(named.join(heads.select("one", "two", "n", "node"), ["one", "two", "n"]).select("doc_id", "node"))), "all-links")
     if not more.isEmpty():
         known = materialise(components(found.union(more)), "final")
         discard(found)
     discard(some, more)
-    heads = heads.select("one", "two", "n", F.col("doc_id").alias("class_id"))
-    joined = every.where("n > 0").join(heads, ["one", "two", "n"], "left").join(known, F.col("class_id") == F.col("node"), "left")
-    linked = joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
-    return linked.union(every.where("n = 0").select("doc_id", "n", "doc_id", "doc_id"))
+    each = heads.join(known, "node", "left")
+    return every, each.select("one", "two", "n", F.col("doc_id").alias("class_id"), F.coalesce("component", "node").alias("group"))
+
+
+def _shared_ids(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes that have one doc_id."""
+    several = nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a <> most").select("doc_id", "a")
+    return nodes.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
+def join(docs: DataFrame, width: int = 5) -> DataFrame:
+    """Columns doc_id, n_shingles, component_id, class_id (the least doc_id with the same set) for every row."""
+    every, found = groups(docs, width, by_id=True)
+    least = found.groupBy("group").agg(F.min("class_id").alias("component_id"))
+    found = materialise(found.join(least, "group").select("one", "two", "n", "class_id", "component_id"), "components")
+    named = every.where("n > 0 AND doc_id IS NOT NULL").join(found, ["one", "two", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")
+    blank = every.where("n = 0 AND doc_id IS NOT NULL").select("doc_id", "n")
+    elsewhere = named.join(blank.select("doc_id").distinct(), "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    blank = blank.join(elsewhere, "doc_id", "left").select("doc_id", "n", F.coalesce("component_id", "doc_id"), "doc_id")
+    none = F.lit(None).cast("long")
+    return named.union(blank).union(every.where("doc_id IS NULL").select("doc_id", "n", none, none))
 
 
 def _first_links(some: DataFrame) -> DataFrame:

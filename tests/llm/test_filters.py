@@ -318,3 +318,36 @@ def test_nothing_else_imports_this_package():
     for f in root.joinpath("inkstream").rglob("*.py"):
         if "llm" not in f.parts:
             assert "inkstream.llm" not in f.read_text()
+
+
+@pytest.mark.parametrize("partitions", [1, 16])
+def test_near_duplicates_of_repeated_ids(spark, partitions):
+    """Of each group of texts that link one row stays, the one with the least id; ids that repeat lose no text."""
+    from inkstream.llm.components import Forest
+    from tests.llm.test_search import linked_rows, repeated_ids
+
+    import corpus_pipeline as p
+
+    rows = [r for r in repeated_ids(7 + partitions, 400) if r[0] is not None]
+    sets, links = linked_rows(rows)
+    forest = Forest()
+    for i, j in links:
+        forest.join(i, j)
+    groups = {}
+    for i, (d, t) in enumerate(rows):
+        groups.setdefault(forest.root(i) if sets[i] else ("blank", d, t), []).append(i)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        docs = spark.createDataFrame([(d, t, "en") for d, t in rows], "doc_id long, text string, lang string")
+        got = [(r["doc_id"], r["text"]) for r in p.near_duplicates(spark, docs, "").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    place = {}
+    for g, members in groups.items():
+        for i in members:
+            place.setdefault(rows[i], g)
+    assert len(got) == len(groups) and {place[r] for r in got} == set(groups)
+    assert all(r[0] == min(rows[i][0] for i in groups[place[r]]) for r in got)
+    three = spark.createDataFrame([(3, "a " * 40 + "x"), (5, "a " * 40 + "x"), (5, " ".join(f"b{i}" for i in range(40)))], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in p.near_duplicates(spark, three, "").collect()) == [3, 5]

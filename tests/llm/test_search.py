@@ -103,6 +103,56 @@ def test_op5_chains_and_blocks(spark, monkeypatch, block, size, part, cut):
     assert got == brute_components(rows)
 
 
+def repeated_ids(seed, n=1000):
+    """Rows whose ids repeat, with equal, near and unrelated texts; some null ids, blank texts and rows that repeat."""
+    rng = random.Random(seed)
+    bases = [[f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(30, 60))] for _ in range(n // 5)]
+    rows = []
+    for _ in range(n):
+        words = list(rng.choice(bases))
+        if rng.random() < 0.5:
+            words[rng.randrange(len(words))] = f"n{rng.randint(0, 10**6)}"
+        text = " ".join(words) if rng.random() < 0.95 else rng.choice((None, "", " ", "short one"))
+        rows.append((None if rng.random() < 0.02 else rng.randint(0, n * 3 // 4), text))
+    rows += rng.sample(rows, 20) + [(3, " ".join(bases[0])), (5, " ".join(bases[0])), (5, " ".join(bases[1]))]
+    rng.shuffle(rows)
+    return rows
+
+
+def linked_rows(rows):
+    """Indexes of rows that link by their texts, each pair once."""
+    sets, where, out = [], defaultdict(list), []
+    for i, (_, t) in enumerate(rows):
+        w = split(lowered(t))
+        sets.append(frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+        for x in sets[-1]:
+            where[x].append(i)
+    for i, s in enumerate(sets):
+        for j, n in Counter(j for x in s for j in where[x] if j < i).items():
+            if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
+                out.append((i, j))
+    return sets, out
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 64])
+def test_op5_repeated_ids(spark, partitions):
+    """Components do not depend on how rows are dealt: rows with one id are one node, whatever their texts."""
+    rows = repeated_ids(partitions)
+    sets, links = linked_rows(rows)
+    forest = components.Forest()
+    for i, j in links:
+        if rows[i][0] is not None and rows[j][0] is not None:
+            forest.join(rows[i][0], rows[j][0])
+    want = sorted((d is None, d or 0, len(s), -1 if d is None else forest.root(d)) for (d, _), s in zip(rows, sets, strict=True))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], -1 if r["component_id"] is None else r["component_id"]) for r in got) == want
+
+
 def test_op5_signature_tree_loses_nothing():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
