@@ -7,7 +7,7 @@ the next one's documents. All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstream.llm import columns, jaccard, langid, packing, quality, substrings
@@ -30,20 +30,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that link by their 5-word shingles, the one with the least doc_id.
 
-    Rows without a doc_id take part under a number made from their text, beyond ids below 2**62. Of rows that repeat one
-    doc_id, one of each set of shingles stays (of each text, if it has no words).
+    Texts count, not ids: rows that repeat one doc_id with texts that do not link all stay, and of rows with one doc_id and
+    one set of shingles (or one text, if it has no words) one stays. Rows without a doc_id take part under a number made
+    from their text.
     """
     prepare(spark)
     made = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 62))
     plain = columns.plain(docs, "doc_id", "text")
     rows = plain.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), made))
-    found = jaccard.join(rows.select(F.col("id").alias("doc_id"), "text")).where("doc_id = component_id")
-    kept = materialise(found.groupBy(F.col("doc_id").alias("kept")).agg(F.count(F.lit(1)).alias("rows")), "kept")
+    every, classes = jaccard.groups(rows.select(F.col("id").alias("doc_id"), "text"))
+    first = classes.groupBy("group").agg(F.min(F.struct(F.col("class_id").alias("kept"), "one", "two")).alias("x")).select("x.*")
+    blank = every.where("n = 0").select(F.col("doc_id").alias("kept"), "one", "two").distinct()
+    counts = every.groupBy(F.col("doc_id").alias("kept")).agg(F.count(F.lit(1)).alias("rows"))
+    kept = materialise(first.union(blank).join(counts, "kept"), "kept")
     once = rows.join(kept.where("rows = 1"), F.col("id") == F.col("kept")).select(plain.columns)
-    again = rows.join(kept.where("rows > 1"), F.col("id") == F.col("kept")).withColumn("set", F.arrow_udf(jaccard.set_hash, "string")("text"))
+    again = rows.join(kept.where("rows > 1").select("kept").distinct(), F.col("id") == F.col("kept"), "left_semi")
+    again = again.withColumn("set", F.arrow_udf(jaccard.hashed, "struct<one: bigint, two: bigint>")("text"))
+    again = again.join(kept.where("rows > 1"), (F.col("id") == F.col("kept")) & (F.col("set.one") == F.col("one")) & (F.col("set.two") == F.col("two")))
     sortable = [f.name for f in plain.schema if f.dataType.typeName() not in ("array", "map", "struct", "variant")]
-    order = Window.partitionBy("id", "set").orderBy("text", *sortable)
-    return once.union(again.withColumn("n", F.row_number().over(order)).where("n = 1").select(plain.columns)).toDF(*docs.columns)
+    blank_text = F.when((F.col("one") == 0) & (F.col("two") == 0), F.col("text"))  # a set without shingles
+    first = F.min_by(F.struct(*plain.columns), F.struct("text", *sortable)).alias("row")  # tasks keep one of equal rows before the shuffle
+    return once.union(again.groupBy("id", "one", "two", blank_text.alias("blank")).agg(first).select("row.*")).toDF(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
