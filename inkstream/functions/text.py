@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkstream.functions import lists
+from inkstream.functions import automaton, lists
 
 
 def c(x: str | Column) -> Column:
@@ -237,14 +237,13 @@ def half_up(x: Column) -> Column:
 
 
 def company_hits(title: Column, text: Column, snippet: Column, companies: list[str]) -> tuple[Column, Column]:
-    """names that occur, and their boost: 6 in the title, else 4 in the text, else 2 in the snippet; 10 at most."""
-    names, boost = [], F.lit(0)
-    t, x, s = F.lower(title), F.lower(text), F.lower(F.coalesce(snippet, F.lit("")))
-    for name in companies:
-        each = F.when(t.contains(name), 6).when(x.contains(name), 4).when(s.contains(name), 2).otherwise(0)
-        names.append(F.when(each > 0, F.lit(name)))
-        boost = boost + each
-    return F.array_compact(F.array(*names)), F.least(boost, F.lit(10))
+    """names that occur, and their boost: 6 in the title, else 4 in the text, else 2 in the snippet; 10 at most.
+
+    One pass over each of the three, for any number of names.
+    """
+    found = automaton.named_in([title, text, snippet], companies)
+    boost = F.aggregate(found, F.lit(0), lambda sum_, x: sum_ + 6 - 2 * x["field"])
+    return F.transform(found, lambda x: x["name"]), F.least(boost, F.lit(10))
 
 
 def confidence(x: str | Column, default: float = 0.8) -> Column:

@@ -5,57 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.functions import lists, text
+from inkstream.functions import automaton, lists, text
 
 #: Topic -> keywords, in the order in which topics win.
 KEYWORDS = {"Jewellery_Industry": lists.JEWELLERY_KEYWORDS, "Luxury_and_Consumer": lists.LUXURY_KEYWORDS, "Ecommerce_Retail_Tech": lists.ECOMMERCE_KEYWORDS, "AI_and_Strategy": lists.AI_KEYWORDS}
 DEFAULT = "Ecommerce_Retail_Tech"
 
 
-def scored(x: Column, keywords: dict[str, list[str]] | None = None, fallback: Column | None = None) -> Column:
+def scored(hits: automaton.Hits, topics: list[str], fallback: Column | None = None) -> Column:
     """The keyword part of C01: a topic with two hits or more, else one with a hit, in the topics' order.
 
-    Each topic's hits, two at most, and its place make one number; the greatest names the topic, so every count is worked
-    out once.
+    ``hits`` counts each topic's list under its name. A topic's hits, two at most, and its place make one number; the
+    greatest names the topic.
     """
-    keywords = keywords or KEYWORDS
-    n, last = len(keywords), F.lit(DEFAULT) if fallback is None else fallback
-    marks = [F.least(text.keyword_count(x, ks), F.lit(2)) * n + (n - 1 - i) for i, ks in enumerate(keywords.values())]
+    n, last = len(topics), F.lit(DEFAULT) if fallback is None else fallback
+    marks = [F.least(hits.count(t), F.lit(2)) * n + (n - 1 - i) for i, t in enumerate(topics)]
     best = F.greatest(*marks) if n > 1 else marks[0]
-    names = [F.lit(t) for t in reversed(keywords)]
+    names = [F.lit(t) for t in reversed(topics)]
     return F.coalesce(F.element_at(F.array(*[F.lit(None).cast("string")] * n, *names, *names), best + 1), last)
 
 
 def topic(title: Column, source: Column, keywords: dict[str, list[str]] | None = None) -> Column:
-    """By the source's name, else by keywords in title and source, else by specific terms."""
-    x, s = F.lower(F.concat_ws(" ", title, source)), F.coalesce(source, F.lit(""))
-    from_shop = F.when(text.keyword_any(x, lists.STRONG_AI), "AI_and_Strategy").otherwise(DEFAULT)
-    rest = F.when(text.keyword_any(x, lists.SPECIFIC_LUXURY), "Luxury_and_Consumer").otherwise(DEFAULT)
+    """By the source's name, else by keywords in title and source, else by specific terms.
+
+    All lists are looked for in one pass.
+    """
+    keywords, s = keywords or KEYWORDS, F.coalesce(source, F.lit(""))
+    hits = automaton.Hits(F.concat_ws(" ", title, source), keywords | {"strong": lists.STRONG_AI, "specific": lists.SPECIFIC_LUXURY})
+    from_shop = F.when(hits.any("strong"), "AI_and_Strategy").otherwise(DEFAULT)
+    rest = F.when(hits.any("specific"), "Luxury_and_Consumer").otherwise(DEFAULT)
     return (
         F.when(text.contains_any(s, lists.JEWELLERY_SOURCES), "Jewellery_Industry")
         .when(text.contains_any(s, lists.ECOMMERCE_SOURCES), from_shop)
         .when(text.contains_any(s, lists.LUXURY_SOURCES), "Luxury_and_Consumer")
         .when(text.contains_any(s, lists.AI_SOURCES), "AI_and_Strategy")
-        .otherwise(scored(x, keywords, rest))
+        .otherwise(scored(hits, list(keywords), rest))
     )
 
 
 def discovery_topic(x: Column, terms: dict[str, list[str]] | None = None) -> Column:
     """The first topic with a term in the text."""
-    out = None
-    for t, markers in (terms or lists.DISCOVERY_TERMS).items():
-        hit = text.contains_any(x, markers)
-        out = F.when(hit, t) if out is None else out.when(hit, t)
-    return out.otherwise(DEFAULT)
+    terms = terms or lists.DISCOVERY_TERMS
+    hits = automaton.Hits(x, terms, automaton.ANYWHERE)
+    return F.coalesce(*[F.when(hits.any(t), t) for t in terms], F.lit(DEFAULT))
 
 
-def support(x: Column, chosen: Column, keywords: dict[str, list[str]] | None = None) -> Column:
+def support(hits: automaton.Hits, chosen: Column, topics: list[str] | None = None) -> Column:
     """hits among the chosen topic's short list."""
-    out = None
-    for t, ks in (keywords or lists.SUPPORT).items():
-        n = text.keyword_count(x, ks)
-        out = F.when(chosen == t, n) if out is None else out.when(chosen == t, n)
-    return out.otherwise(F.lit(0))
+    return F.coalesce(*[F.when(chosen == t, hits.count(t)) for t in topics or lists.SUPPORT], F.lit(0))
 
 
 def hybrid(df: DataFrame, version: str, rule: Column, hits: Column, least: float = 0.55) -> DataFrame:

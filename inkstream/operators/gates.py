@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.functions import lists, text
+from inkstream.functions import automaton, lists, text
 from inkstream.functions.keys import pattern_any
 
 
@@ -52,15 +52,23 @@ class Markers:
     word_boundary: bool = False
 
 
-def controversy(x: Column, m: Markers) -> Column:
+    def hits(self, x: Column) -> automaton.Hits:
+        """All four lists in one pass over a text; the word boundary is the sponsored and controversy lists' alone."""
+        edges = automaton.WHOLE if self.word_boundary else automaton.ANYWHERE
+        own = {"sponsored": (self.sponsored, edges), "controversy": (self.controversy, edges)}
+        return automaton.Hits(x, own | {"policy": (self.policy, automaton.ANYWHERE), "context": (self.context, automaton.ANYWHERE)})
+
+
+def controversy(x: Column | automaton.Hits, m: Markers) -> Column:
     """P06: "none", "suspected" (in a retail context) or "controversial"; a policy term clears the text."""
-    found = text.contains_any(x, m.controversy, m.word_boundary)
-    return F.when(~found | text.contains_any(x, m.policy), "none").when(text.contains_any(x, m.context), "suspected").otherwise("controversial")
+    hits = m.hits(x) if isinstance(x, Column) else x
+    return F.when(~hits.any("controversy") | hits.any("policy"), "none").when(hits.any("context"), "suspected").otherwise("controversial")
 
 
-def hard_controversy(x: Column, m: Markers) -> Column:
+def hard_controversy(x: Column | automaton.Hits, m: Markers) -> Column:
     """A marker and no policy term."""
-    return text.contains_any(x, m.controversy, m.word_boundary) & ~text.contains_any(x, m.policy)
+    hits = m.hits(x) if isinstance(x, Column) else x
+    return hits.any("controversy") & ~hits.any("policy")
 
 
 def sponsored_reject(title: str, snippet: str, body: str, markers: list[str] | None = None) -> Column:
@@ -72,7 +80,8 @@ def gate(df: DataFrame, start: Column, end: Column, m: Markers) -> DataFrame:
     """Adds eligible, reasons and flags. ``duplicate_of`` holds the url of the first row of the same title."""
     df = window(df, start, end)
     body = F.concat_ws(" ", "title", F.coalesce("snippet", F.lit("")))
-    df = df.withColumns({"sponsored": text.contains_any(body, m.sponsored, m.word_boundary), "controversy": controversy(body, m)})
+    hits = m.hits(body)
+    df = df.withColumns({"sponsored": hits.any("sponsored"), "controversy": controversy(hits, m)})
     inside, dup = F.col("reject").isNull(), F.coalesce(F.col("duplicate_of") != F.col("url"), F.lit(False))
     hard = F.col("controversy") == "controversial"
     reasons = F.array_compact(F.array(F.when(~inside, F.col("reject")), F.when(inside & F.col("sponsored"), "sponsored"), F.when(inside & dup, "duplicate"), F.when(inside & ~dup & hard, "controversial"), F.when(inside & ~dup & (F.col("controversy") == "suspected"), "suspected")))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from inkstream.functions import text
-from inkstream.session import materialise
+from inkstream.session import materialise, partitions
 
 _EPOCH = "TIMESTAMP '1970-01-01 00:00:00'"
 
@@ -160,7 +167,8 @@ def similar_titles(a: str, b: str) -> bool:
     if a == b:
         return True
     x, y = a.split(" "), b.split(" ")
-    return sum(w in y for w in x) / max(len(x), len(y)) > 0.8
+    other = set(y)
+    return sum(w in other for w in x) / max(len(x), len(y)) > 0.8
 
 
 def select_ranked(df: DataFrame, key: str, n: int, most_paywalled: int = 1, keep_best: bool = True) -> DataFrame:
@@ -244,33 +252,103 @@ def title_classes(df: DataFrame, key: str, id_: str, title: str) -> DataFrame:
     return df.groupBy(key, title).agg(F.min(id_).alias(id_), F.count(F.lit(1)).alias("members"))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each title, a row a distinct word code, with how often it stands there."""
+    for batch in batches:
+        codes = batch.column("codes").to_pylist()
+        found = [np.unique(np.array(c, np.int64), return_counts=True) for c in codes]
+        at = pa.array(np.repeat(np.arange(len(codes)), [len(f[0]) for f in found]))
+        word, weight = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("key", "id", "n")), pa.array(word), pa.array(weight.astype(np.int32))], names=["key", "id", "n", "word", "weight"])
+
+
+def _size_class(n: Column) -> Column:
+    """Classes of sizes (from 1 up) that grow by a quarter each; ascending with the size."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.25)) + 1e-9).cast("int")
+
+
+def _probes(least: float):
+    """Of each title (words by rarity, with weights), the words by which it may meet another as the first title."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            took, words, needs, lefts = [], [], [], []
+            for i, (n, codes, weights) in enumerate(zip(batch.column("n").to_pylist(), batch.column("words").to_pylist(), batch.column("weights").to_pylist(), strict=True)):
+                bar, left, after = least * n - 1e-6, n, Counter(weights)
+                sizes = sorted(after, reverse=True)
+                for code, weight in zip(codes, weights, strict=True):
+                    if left <= bar:
+                        break
+                    after[weight] -= 1
+                    got, kinds = weight, 1
+                    for size in sizes:  # the heaviest words behind this one, until they reach the bar together
+                        if got > bar:
+                            break
+                        more = min(after[size], max(0, math.floor((bar - got) / size) + 1))
+                        got, kinds = got + more * size, kinds + more
+                    if got > bar:
+                        took.append(i)
+                        words.append(code)
+                        needs.append(kinds)
+                        lefts.append(left)
+                    left -= weight
+            at = pa.array(took, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("key", "id", "n")), pa.array(words, pa.int64()), pa.array(needs, pa.int32()), pa.array(lefts, pa.int32())], names=["key", "id", "n", "word", "needs", "left"])
+
+    return rows
+
+
+def title_candidates(df: DataFrame, key: str, id_: str, title: str, least: float = 0.8) -> DataFrame:
+    """Pairs (key, a, b) that may share over ``least`` of their words: a weighted prefix filter for multisets.
+
+    A title's words stand by rarity in their group, each weighted by how often the title has it. The rarest word that two
+    titles share is such that the first title's words from there on weigh over least * n, n being either's length: only
+    the first words of its rarity order, a fifth of its weight, are looked up. From there the second title must have as
+    many kinds left as the first needs, heaviest first, to reach that weight; and it has fewer left than its length, which
+    is below n / least. Kinds left fall into classes that grow by a quarter; the join is on word and class, so a frequent
+    word, behind which no title has many kinds left, meets few.
+    """
+    rows = df.select(F.col(key).alias("key"), F.col(id_).alias("id"), text.words(F.col(title)).alias("w"))
+    rows = rows.select("key", "id", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("codes")).where("n > 0")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    head = f"key {kinds['key']}, id {kinds['id']}, n int"
+    each = rows.mapInArrow(_counted, f"{head}, word long, weight int")
+    seen = each.groupBy("key", "word").agg(F.count(F.lit(1)).alias("df"))
+    each = _with(each, seen, ["key", "word"])
+    dealt = each.repartition(partitions(df.sparkSession), "key", "id")  # by number: the work is not in the bytes
+    titles = dealt.groupBy("key", "id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "word", "weight"))).alias("x"))
+    titles = materialise(titles.select("key", "id", "n", F.col("x.word").alias("words"), F.col("x.weight").alias("weights")), "titles")
+    first = titles.mapInArrow(_probes(least), f"{head}, word long, needs int, left int")
+    most = F.ceil(F.col("n") / least).cast("int")
+    first = first.withColumn("class", F.explode(F.sequence(_size_class(F.col("needs")), _size_class(F.greatest(most, "needs")))))
+    second = titles.select("key", "id", "n", F.size("words").alias("k"), F.posexplode("words").alias("place", "word")).withColumn("kinds", F.col("k") - F.col("place"))
+    second = second.withColumn("class", _size_class(F.col("kinds")))
+    a, b = first.alias("a"), second.alias("b")
+    same = F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.class") == F.col("b.class"))
+    fits = (F.col("a.id") < F.col("b.id")) & (F.col("kinds") >= F.col("needs")) & (F.col("left") > F.col("b.n") * least - 1e-6)
+    return a.join(b, same & fits).select(F.col("a.key").alias(key), F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
 def near_titles(df: DataFrame, key: str, id_: str, title: str, least: float = 0.8) -> DataFrame:
-    """J14 as a join: pairs of one group that share over ``least`` of their words, by way of shared words. Rows with equal
-    titles should be one row each (``title_classes``).
+    """J14 as a join: pairs of one group that share over ``least`` of their words. Rows with equal titles should be one row
+    each (``title_classes``), so that ids are distinct.
 
-    The overlap counts the first title's repeated words each. With n words of k kinds, e = n - k of them repeat others, so
-    both titles share over least * n - e kinds, n being either's length and e the first's. Of the words by rarity, the
-    rarest shared one stands within the first k - floor(least * n) + e of either; only such words are joined on. Bitmaps of
-    the titles' words drop most pairs in the join: a bit of the first that the second has not is a word not shared.
+    The overlap counts the first title's repeated words each. ``title_candidates`` finds the pairs; their words are
+    compared here, in time that grows with their number.
     """
-    rows = df.select(key, F.col(id_).alias("id"), text.words(F.col(title)).alias("w"))
-    codes = F.transform(F.array_distinct("w"), lambda x: F.xxhash64(x))
-    kinds = rows.select(key, "id", F.size("w").alias("n"), codes.alias("codes"))
-    bits = [F.expr(f"aggregate(codes, 0L, (s, x) -> s | if((x & 64) = {half}, shiftleft(1L, cast(x & 63 AS int)), 0L))").alias(f"bits{half}") for half in (0, 64)]
-    each = kinds.select(key, "id", "n", F.size("codes").alias("kinds"), *bits, F.explode("codes").alias("word"))
-    seen = each.groupBy(key, "word").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy(key, "id").orderBy("df", "word")
-    each = each.join(seen, [key, "word"]).withColumn("r", F.row_number().over(order))
-    each = each.withColumns({"e": F.col("n") - F.col("kinds"), "late": F.col("r") - F.col("kinds") + F.floor(F.col("n") * least).cast("int")})
-    each = materialise(each.select(key, "id", "word", "n", "e", "late", "bits0", "bits64"), "title-words")
-    side = lambda x, x_where: each.where(x_where).select(key, "word", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "e", "late", "bits0", "bits64")])
-    gone = sum(F.bit_count(F.col(f"{c}_a").bitwiseAND(F.bitwise_not(F.col(f"{c}_b")))) for c in ("bits0", "bits64"))
-    spare = F.col("n_a") - F.floor(F.greatest("n_a", "n_b") * least)
-    near = (F.col("id_a") < F.col("id_b")) & (F.col("late_b") <= F.col("e_a")) & (gone < spare)
-    # words beyond the second title's own bound matter only to first titles that repeat words
-    met = [side("a", "late <= e").join(side("b", "late <= 0"), [key, "word"]), side("a", "late <= e AND e > 0").join(side("b", "late > 0"), [key, "word"])]
-    pairs = met[0].union(met[1]).where(near).select(key, F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    full = rows.select("id", "w")
-    pairs = pairs.join(full.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(full.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
-    shared = F.size(F.filter("wa", lambda x: F.array_contains("wb", x)))
-    return pairs.withColumn("overlap", shared / F.greatest(F.size("wa"), F.size("wb"))).where(F.col("overlap") > least).select(key, "a", "b", "overlap")
+    dealt = df.select(key, id_, title).repartition(partitions(df.sparkSession), id_)  # by number: the work is not in the bytes
+    df = materialise(dealt, "given-titles")  # read several times below
+    words = df.select(F.col(id_).alias("id"), text.words(F.col(title)).alias("w"))
+    pairs = title_candidates(df, key, id_, title, least)
+    pairs = pairs.join(words.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [(x, set(y), max(len(x), len(y))) for x, y in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist(), strict=True)]
+            overlap = np.array([sum(w in y for w in x) / n for x, y, n in both], float)
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, "a", "b")), pa.array(overlap)], names=[key, "a", "b", "overlap"])
+            yield out.filter(pa.array(overlap > least))
+
+    schema = StructType([pairs.schema[key], pairs.schema["a"], pairs.schema["b"], StructField("overlap", DoubleType())])
+    pairs = pairs.select(key, "a", "b", "wa", "wb").repartition(partitions(df.sparkSession), "a", "b")
+    return pairs.mapInArrow(compare, schema)

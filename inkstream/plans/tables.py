@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkstream.functions import lists, text
-from inkstream.operators import classify, gates, rows
+from inkstream.functions import automaton, lists, text
+from inkstream.operators import classify, gates, matching, rows
 from inkstream.plans.registry import ART, BARE, END, PLAIN, START, WORDS, any_sql, articles, count_sql, query, scored_sql
 from inkstream.session import table
 
@@ -24,7 +24,7 @@ SELECT found AS topic, row_number() OVER (PARTITION BY found ORDER BY url)::INT
 def weekly_top(spark, d):
     """Flagship: articles, normalised titles (F20), topics (C01's scores), newest of each title (D03), diverse top seven."""
     a = articles(spark, d)
-    a = a.withColumns({"found": classify.scored(F.lower(_x("title", "source")), lists.LOCAL_TOPICS), "norm": text.title_plain("title")}).select("doc_id", "title", "source", "url", "published_at", "found", "norm")
+    a = a.withColumns({"found": classify.scored(automaton.Hits(_x("title", "source"), lists.LOCAL_TOPICS), list(lists.LOCAL_TOPICS)), "norm": text.title_plain("title")}).select("doc_id", "title", "source", "url", "published_at", "found", "norm")
     top = rows.diverse_top(rows.newest_wins(a, ["found", "norm"], "published_at", "doc_id"), ["found"], "source", "url")
     return top.select(F.col("found").alias("topic"), "rank", "doc_id", "title", "source", "url")
 
@@ -59,8 +59,9 @@ def hybrid_topics(spark, d):
     a = a.join(cache, "url", "left").join(model, "doc_id", "left").withColumn("model_topic", F.when(F.col("model_confidence").isNotNull(), F.col("topic")))
     a = a.withColumn("hint", F.when(F.col("doc_id") % 2 == 0, "Fashion & Luxury"))
     x = F.lower(_x("title", "source"))
-    rule = classify.scored(x, lists.LOCAL_TOPICS)
-    done = classify.hybrid(a, "v2", rule, classify.support(x, rule, lists.LOCAL_TOPICS))
+    hits = automaton.Hits(x, lists.LOCAL_TOPICS)
+    rule = classify.scored(hits, list(lists.LOCAL_TOPICS))
+    done = classify.hybrid(a, "v2", rule, classify.support(hits, rule, list(lists.LOCAL_TOPICS)))
     return done.select("doc_id", "origin", "topic", "confidence")
 
 
@@ -236,9 +237,16 @@ def title_similarity(spark, d):
 @query("WITH s AS (SELECT DISTINCT source FROM documents) SELECT s.source, t.name FROM s JOIN (VALUES ('src1'), ('src12'), ('the src3 site')) t(name) ON contains(lower(s.source), lower(t.name)) OR contains(lower(t.name), lower(s.source))")
 def source_matches(spark, d):
     """Names that contain each other, against a fixed short list."""
-    names = ["src1", "src12", "the src3 site"]
-    s = table(spark, d, "documents").select("source").distinct().withColumn("name", F.explode(F.array(*[F.lit(n) for n in names])))
-    return s.where(F.lower("source").contains(F.lower("name")) | F.lower("name").contains(F.lower("source")))
+    names = spark.createDataFrame([("src1",), ("src12",), ("the src3 site",)], "name string")
+    return matching.name_matches(table(spark, d, "documents").select("source"), names).toDF("source", "name")
+
+
+@query(rf"""WITH {ART}, t AS (SELECT DISTINCT split_part(title, ' ', 1) AS word FROM art), h AS (SELECT DISTINCT regexp_extract(url, '://(?:www\.|m\.)?([^./?#]+)', 1) AS site FROM pages)
+SELECT word, site FROM t JOIN h ON word <> '' AND site <> '' AND (contains(lower(word), lower(site)) OR contains(lower(site), lower(word)))""")
+def site_words(spark, d):
+    """J16 between two growing tables: the first words of titles and the names of sites."""
+    words = articles(spark, d).select(F.split_part("title", F.lit(" "), F.lit(1)))
+    return matching.name_matches(words, table(spark, d, "pages").select(F.regexp_extract("url", r"://(?:www\.|m\.)?([^./?#]+)", 1))).toDF("word", "site")
 
 
 @query(f"WITH {ART} SELECT domain, title, doc_id FROM art QUALIFY row_number() OVER (PARTITION BY {PLAIN.format('title')} ORDER BY topic, doc_id) = 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkstream.functions import dates, html, keys, lists, text
+from inkstream.functions import automaton, dates, html, keys, lists, text
 from inkstream.operators.rows import top_k
 from inkstream.plans.registry import ART, BARE, PLAIN, WORDS, any_sql, articles, count_sql, query
 from inkstream.session import table
@@ -76,9 +76,11 @@ def markers(spark, d):
     from inkstream.operators import gates
 
     a = articles(spark, d)
-    x = F.concat_ws(" ", "title", "snippet")
+    ai, anywhere = lists.LOCAL_TOPICS["AI_and_Strategy"], automaton.ANYWHERE
+    hits = automaton.Hits(F.concat_ws(" ", "title", "snippet"), {"low": (lists.LOW_SIGNAL, anywhere), "sponsored": (lists.LOCAL_SPONSORED, anywhere), "ai": lists.AI_KEYWORDS, "local": ai, "whole": (["tion", "the"], automaton.WHOLE)})
     some = F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("title"))
-    return a.select("doc_id", text.contains_any(x, lists.LOW_SIGNAL).alias("low_signal"), text.contains_any(x, lists.LOCAL_SPONSORED).alias("sponsored"), gates.sponsored_reject("title", "snippet", "body", lists.LOCAL_SPONSORED).alias("sponsored_reject"), text.keyword_count(x, lists.AI_KEYWORDS).alias("ai_hits"), text.keyword_count(x, lists.LOCAL_TOPICS["AI_and_Strategy"]).alias("local_hits"), text.contains_any(x, ["tion", "the"], True).alias("whole_word"), text.first_filled(some, "url").alias("first_filled"))
+    reject = gates.sponsored_reject("title", "snippet", "body", lists.LOCAL_SPONSORED).alias("sponsored_reject")
+    return a.select("doc_id", hits.any("low").alias("low_signal"), hits.any("sponsored").alias("sponsored"), reject, hits.count("ai").alias("ai_hits"), hits.count("local").alias("local_hits"), hits.any("whole").alias("whole_word"), text.first_filled(some, "url").alias("first_filled"))
 
 
 @query(rf"""WITH {ART}, s AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN body END AS summary, CASE WHEN doc_id % 5 > 0 THEN title END AS why FROM art),

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +80,33 @@ def test_near_titles_with_repeated_words(spark):
     assert ("g", 0, 1) in want and got == want
 
 
+def test_near_titles_of_many_words(spark):
+    """Titles of 500 words, most of them repeated: few pairs are compared, none is lost; nulls and blanks pair with nothing."""
+    rng = random.Random(3)
+    vocabulary = [f"w{int(rng.paretovariate(0.7)) % 4000}" for _ in range(60_000)]
+    titles = []
+    for i in range(160):
+        words = rng.sample(vocabulary, rng.choice((480, 500, 520)))
+        titles.append((i, words))
+        if i % 8 == 0:  # a copy with a few words changed
+            titles.append((1000 + i, [w if rng.random() > 0.08 else f"x{rng.randint(0, 9)}" for w in words]))
+        if i % 20 == 0:  # far fewer words, but those that the first one repeats
+            common = [w for w, n in Counter(words).most_common(60)]
+            titles.append((2000 + i, common))
+    titles += [(3000, ["w0"] * 400 + ["w1"]), (3001, ["w0"]), (3002, ["w1", "w0"])]
+    want = {}
+    sets = {j: set(y) for j, y in titles}
+    length = {j: len(y) for j, y in titles}
+    for i, x in titles:
+        for j in sets:
+            if i < j and (v := sum(w in sets[j] for w in x) / max(len(x), length[j])) > 0.8:
+                want[(i, j)] = v
+    df = spark.createDataFrame([("g", i, " ".join(w)) for i, w in titles] + [("g", 4000, None), ("g", 4001, " "), (None, 4002, "w0")], "g string, id long, title string")
+    got = {(r["a"], r["b"]): r["overlap"] for r in rows.near_titles(df, "g", "id", "title").collect()}
+    assert len(want) >= 20 and (3000, 3001) in want and got == want
+    assert rows.title_candidates(df, "g", "id", "title").count() <= 10 * len(want)
+
+
 def test_newest_wins_twice_changes_nothing(spark):
     df = spark.createDataFrame([("a", None, 1), ("a", dt.datetime(2024, 1, 2), 2), ("a", dt.datetime(2024, 1, 2), 3), ("b", None, 4)], "k string, at timestamp, pos int")
     once = rows.newest_wins(df, ["k"], "at", "pos")
