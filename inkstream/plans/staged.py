@@ -9,7 +9,7 @@ from inkstream.functions import dates, html, keys, lists, text
 from inkstream.operators import gates, rows
 from inkstream.plans.registry import ART, WORDS, any_sql, articles, query
 from inkstream.session import folder, materialise, table
-from inkstream.sources import readers, sinks
+from inkstream.sources import readers, sinks, web
 from inkstream.streaming import incremental
 
 
@@ -259,3 +259,106 @@ def item_dates_beside(spark, d):
     find = html.items("h2", "a", beside=True)
     a = articles(spark, d).select("doc_id", page.alias("html"), F.lit("https://s.example.com/x").alias("base"))
     return a.select("doc_id", F.explode(find("html", "base")).alias("i")).where("i.url IS NOT NULL").select("doc_id", "i.url", "i.title", "i.date_text")
+
+
+_SERVED = """s AS (SELECT url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), 'www\\.', '') AS host, html, page_id,
+  CASE WHEN page_id % 13 = 0 THEN 0 WHEN page_id % 7 = 0 THEN 0 WHEN page_id % 11 = 0 THEN 403 WHEN page_id % 5 = 0 THEN 500 ELSE 200 END AS status FROM pages)"""
+
+
+def _served(spark, d):
+    """The pages as a source: some do not answer, some too late, some refuse."""
+    i = F.col("page_id")
+    status = F.when(i % 7 == 0, 0).when(i % 11 == 0, 403).when(i % 5 == 0, 500).otherwise(200)
+    requests = table(spark, d, "pages").select("url", "page_id", status.alias("status"), F.col("html").alias("body"), F.when(i % 13 == 0, 60_000).otherwise(5).alias("delay_ms"))
+    path = folder(spark, "frontier")
+    return web.pages(spark, path, web.frontier(requests, path), "staged", deadline=1.0)
+
+
+@query(f"""WITH {_SERVED} SELECT url, host, status, CASE WHEN status = 200 THEN md5(html) END AS body, CASE WHEN page_id % 13 = 0 THEN 'timeout' WHEN status = 0 THEN 'network: ConnectionError' WHEN status <> 200 THEN 'http_' || status END AS error FROM s""")
+def served_pages(spark, d):
+    """Pages by way of the fetching source; two at once, a deadline each, errors as rows."""
+    return _served(spark, d).select("url", "host", "status", F.md5("body").alias("body"), "error")
+
+
+@query(f"""WITH {_SERVED}, h AS (SELECT min(host) AS host FROM s) SELECT s.url, s.host, status FROM s JOIN h USING (host) WHERE contains(lower(html), 'the') AND status = 200""")
+def site_search(spark, d):
+    """A query's ``site:`` operator becomes a filter on the host that the source itself applies."""
+    first = table(spark, d, "pages").agg(F.min(keys.without_www(keys.host("url"))).alias("host")).first()["host"]
+    asked = spark.range(1).select(F.concat(F.lit("the site:"), F.lit(first)).alias("q")).select(keys.site_of("q").alias("site"), keys.without_site("q").alias("term")).first()
+    found = _served(spark, d).where(F.col("host") == asked["site"])
+    return found.where(F.lower("body").contains(asked["term"])).select("url", "host", "status")
+
+
+@query("SELECT doc_id::VARCHAR AS url, 's' || doc_id AS snippet, true AS unchanged FROM documents")
+def upserted_stream(spark, d):
+    """T01 as a stream: two generations of each row arrive in micro-batches, the first of them without some snippets; then
+    the stream is replayed from its start, which changes nothing."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("url"), F.concat(F.lit("s"), "doc_id").alias("snippet"), F.col("doc_id").alias("pos"))
+    first = docs.withColumn("snippet", F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("snippet")))
+    arrived, path, schema = folder(spark, "arrived"), folder(spark, "streamed"), "url string, snippet string, action string"
+    first.union(docs).drop("doc_id").repartition(4).write.parquet(arrived)
+    versions = []
+    for run in ("one", "two"):
+        stream = spark.readStream.schema("url string, snippet string, pos long").option("maxFilesPerTrigger", 1).parquet(arrived)
+        incremental.upsert_stream(stream, path, schema, f"{folder(spark, 'offsets')}-{run}").awaitTermination()
+        versions.append(incremental.versioned(spark, path, schema)[1])
+    return incremental.versioned(spark, path, schema)[0].select("url", "snippet", F.lit(versions[0] == versions[1]).alias("unchanged"))
+
+
+@query("""WITH s AS (SELECT unnest([1, 2, 3]) AS step), t AS (SELECT step, coalesce(lang, '-') AS lang, CASE WHEN step = 3 AND doc_id = (SELECT min(doc_id) FROM documents) THEN n_chars + 1 ELSE n_chars END AS n FROM documents, s)
+SELECT step, step <> 2 AS built, lang, count(*) AS n, sum(n)::BIGINT AS chars FROM t GROUP BY step, lang""")
+def rebuilt_stage(spark, d):
+    """A stage over documents is built, found again for the same rows in another order, and built anew after one
+    row has changed."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("-")).alias("lang"), "n_chars")
+    least = docs.agg(F.min("doc_id")).first()[0]
+    changed = docs.withColumn("n_chars", F.col("n_chars") + (F.col("doc_id") == F.lit(least)).cast("long"))
+    path, out = folder(spark, "memo"), None
+    for step, rows in enumerate((docs, docs.repartition(7, "n_chars"), changed), 1):
+        built = []
+
+        def build(rows=rows, built=built):
+            built.append(True)
+            return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+        made = incremental.stage(spark, path, build, [rows])
+        one = materialise(made.select(F.lit(step).alias("step"), F.lit(bool(built)).alias("built"), "lang", "n", "chars"), "step")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("SELECT doc_id, left(sha256(doc_id::VARCHAR), 16) AS hash, CASE WHEN sha256(doc_id::VARCHAR) < '9' THEN 'first' ELSE 'second' END AS run FROM documents")
+def ledgered_work(spark, d):
+    """Work by ranges of the hash; the first run is stopped in the tenth of sixteen, the second does the rest."""
+    docs = table(spark, d, "documents").select("doc_id", keys.sha_short(F.col("doc_id").cast("string")).alias("hash"))
+    path, digit = folder(spark, "ledger"), F.conv(F.substring("hash", 1, 1), 16, 10)
+
+    def work(run, most):
+        left = iter(range(most))
+
+        def do(rows):
+            if next(left, None) is None:
+                raise InterruptedError
+            return rows.withColumn("run", F.lit(run))
+
+        return incremental.by_ranges(docs, path, do, "hash", 16, digit)
+
+    try:
+        work("first", 9)
+    except InterruptedError:
+        pass
+    return incremental.finish(work("second", 16), path, folder(spark, "ledgered"))
+
+
+@query("""WITH s AS (SELECT source, lang, count(*) AS n, sum((n_chars > 1000)::INT)::BIGINT AS long FROM documents GROUP BY ALL), t AS (SELECT source, sum(n)::BIGINT AS candidates, sum(long)::BIGINT AS excluded, bool_or(long > 2) AS relaxed, count(*) AS topics FROM s GROUP BY source)
+SELECT source, length(source) % 2 = 0 AS nested, candidates, excluded, relaxed, CASE WHEN length(source) % 2 = 0 THEN topics ELSE 0 END AS topics FROM t""")
+def report_shapes(spark, d):
+    """Selection reports of both shapes, flat and ``{aggregated, by_topic}``, in one variant column."""
+    docs = table(spark, d, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("n_chars") > 1000).cast("long")).alias("long"))
+    body = lambda n, long, relaxed: F.struct(n.alias("candidate_count"), F.struct(long.alias("domainCap")).alias("exclusion_counts"), F.struct(relaxed.alias("domainCapRelaxed")).alias("fallback_used"))
+    topics = F.map_from_entries(F.collect_list(F.struct(F.coalesce("lang", F.lit("-")), body(F.col("n"), F.col("long"), F.col("long") > 2))))
+    own = docs.groupBy("source").agg(body(F.sum("n"), F.sum("long"), F.bool_or(F.col("long") > 2)).alias("whole"), topics.alias("by_topic"))
+    flat, nested = F.to_json("whole"), F.to_json(F.struct(F.col("whole").alias("aggregated"), "by_topic"))
+    files = own.select("source", F.when(F.length("source") % 2 == 0, nested).otherwise(flat).alias("json"))
+    r = readers.selection_report(readers.variant(files, "json"))
+    return r.select("source", "nested", "candidates", "excluded", "relaxed", "topics")

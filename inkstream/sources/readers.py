@@ -96,3 +96,23 @@ def fetched(staged: DataFrame, cache: DataFrame, markers: list[str] | None = Non
 
     new = staged.join(cache.select("url"), "url", "left_anti")
     return new.withColumns({"paywall": paywall_status(F.col("status"), F.col("body"), markers), "failed": (F.col("status") == 0) | F.col("body").isNull()})
+
+
+def variant(rows: DataFrame, json: str) -> DataFrame:
+    """A column of JSON documents of any shapes as ``doc``, a variant; null where it is no JSON."""
+    return rows.withColumn("doc", F.try_parse_json(json)).drop(json)
+
+
+def selection_report(rows: DataFrame, doc: str = "doc") -> DataFrame:
+    """Selection reports of the old, flat shape and of the new one, ``{aggregated, by_topic}``, as the same columns:
+    nested, candidates, ranked, selected, excluded (all reasons together), relaxed, topics (their number, 0 in the old
+    shape). What a document lacks is 0 or false; a row without a document stays."""
+    v = F.col(doc)
+    part = lambda path, kind: F.coalesce(F.try_variant_get(v, f"$.aggregated.{path}", kind), F.try_variant_get(v, f"$.{path}", kind))
+    count = lambda path: F.coalesce(part(path, "long"), F.lit(0).cast("long"))
+    reasons = sum((count(f"exclusion_counts.{r}") for r in ("domainCap", "duplicate", "hardControversy", "sponsored")), F.lit(0).cast("long"))
+    topics = F.try_variant_get(v, "$.by_topic", "map<string, variant>")
+    return rows.withColumns({
+        "nested": F.coalesce(F.try_variant_get(v, "$.aggregated", "variant").isNotNull(), F.lit(False)), "candidates": count("candidate_count"), "ranked": count("ranked_top_k_count"), "selected": count("selected_count"),
+        "excluded": reasons, "relaxed": F.coalesce(part("fallback_used.domainCapRelaxed", "boolean"), F.lit(False)), "topics": F.coalesce(F.cardinality(topics), F.lit(0)).cast("long"),
+    })
