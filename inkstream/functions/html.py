@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -13,8 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_DROPPED = {"script", "style", "noscript", "iframe", "embed", "object"}
+from inkstream.functions.selectors import DROPPED, VOID, Automaton, Element, Page
+
 # Where the text, the author and the date of a page are looked for, in this order.
 CONTENT = ["article", "[role=main]", "main", ".article-body", ".post-content", ".entry-content", ".content", "body"]
 AUTHOR = ["[rel=author]", ".author", "[itemprop=author]", "meta[name=author]"]
@@ -40,7 +41,7 @@ class Node:
             node = stack.pop()
             if isinstance(node, str):
                 out.append(node)
-            elif node.tag not in _DROPPED:
+            elif node.tag not in DROPPED:
                 stack.extend(reversed(node.children))
         return "".join(out)
 
@@ -87,7 +88,7 @@ class _Builder(HTMLParser):
     def handle_starttag(self, tag, attrs):
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
-        if tag not in _VOID:
+        if tag not in VOID:
             self.at = node
 
     def handle_startendtag(self, tag, attrs):
@@ -111,31 +112,36 @@ def parse(html: str) -> Node:
     return builder.root
 
 
+_ARTICLE = Automaton([*CONTENT, *AUTHOR, *DATE, "title", "h1", "body"])
+_TITLE = len(CONTENT) + len(AUTHOR) + len(DATE)
+
+
 def article(html: str) -> tuple[str, str, str | None, str | None]:
     """text, title, author and date of a page."""
-    root = parse(html)
-    content = ""
-    for selector in CONTENT:
-        if (node := root.first(selector)) is not None:
-            content = node.text()
+    page = Page.of(html, _ARTICLE, frozenset([_TITLE]))
+    first, content = page.top.first, ""
+    for k in range(len(CONTENT)):
+        if (e := first(k)) is not None:
+            content = e.text()
             if len(content) > 500:
                 break
     if len(content) < 500:
-        body = root.first("body")
-        content = body.text() if body is not None else root.text()
-    titles = "".join(n.text() for n in root.select("title")).strip()
-    if not titles and (h1 := root.first("h1")) is not None:
+        body = first(_TITLE + 2)
+        content = body.text() if body is not None else "".join(p for p, dropped in page.pieces if not dropped)
+    titles = "".join(e.text() for e in page.top.found.get(_TITLE, ())).strip()
+    if not titles and (h1 := first(_TITLE + 1)) is not None:
         titles = h1.text().strip()
 
-    def value(selectors: list[str], *attrs: str, text_first: bool) -> str | None:
-        for s in selectors:
-            if (node := root.first(s)) is not None:
-                options = [node.attrs.get(a) for a in attrs]
-                if found := next((o for o in ([node.text(), *options] if text_first else [*options, node.text()]) if o), None):
+    def value(selectors: range, *attrs: str, text_first: bool) -> str | None:
+        for k in selectors:
+            if (e := first(k)) is not None:
+                options = [e.attrs.get(a) for a in attrs]
+                if found := next((o for o in ([e.text(), *options] if text_first else [*options, e.text()]) if o), None):
                     return found
         return None
 
-    return re.sub(r"\s+", " ", content).strip(), titles, value(AUTHOR, "content", text_first=True), value(DATE, "datetime", "content", text_first=False)
+    authors = range(len(CONTENT), len(CONTENT) + len(AUTHOR))
+    return re.sub(r"\s+", " ", content).strip(), titles, value(authors, "content", text_first=True), value(range(authors.stop, _TITLE), "datetime", "content", text_first=False)
 
 
 @F.pandas_udf(StructType([StructField(n, StringType()) for n in ("text", "title", "author", "date")]))
@@ -161,31 +167,46 @@ def date_beside(node: Node, anchor: Node | None) -> str:
     return found.group(0) if found else ""
 
 
-def items(item: str, link: str, title: str | None = None, date: str | None = None, fallback: tuple[str, str, str | None, str | None] | None = None, beside: bool = False):
-    """A function over (html, url) columns that lists a page's items by selectors, or by the fallback set if
-    the first finds none. Each has title, absolute url and date text; ``beside`` looks for dates that no selector names."""
+def _beside(item: Element, anchor: Element | None) -> str:
+    """``date_beside`` for elements of one pass."""
+    for e in (item, anchor):
+        if e is not None and e.after:
+            return e.after
+    found = _DATES.search(item.text().replace(anchor.text(), "", 1) if anchor is not None else item.text())
+    return found.group(0) if found else ""
+
 
-    def listed(root: Node, base: str, item: str, link: str, title: str | None, date: str | None) -> list[dict]:
+def listed(html: str, base: str, ways: list[tuple[str, str, str | None, str | None]], beside: bool) -> list[dict]:
+    """The items of a page by the first way (item, link, title, date) that finds some; all ways go along in one pass."""
+    outer, inner = _compiled(tuple(ways))
+    page = Page.of(html, outer, frozenset(range(len(ways))), dict(enumerate(inner)))
+    for k in range(len(ways)):
         out = []
-        for node in root.select(item):
-            anchor = node if node.tag == "a" else node.first(link)
-            heading = node.first(title) if title else None
-            when = node.first(date) if date else None
+        for n, item in enumerate(page.top.found.get(k, ())):
+            link, heading, when = (page.scopes[k, n].first(x) for x in range(3))
+            anchor = item if item.tag == "a" else link
             href = anchor.attrs.get("href") if anchor is not None else None
-            words = heading.text() if heading is not None else ""
-            words = words.strip() or (anchor.text() if anchor is not None else "")
-            told = (when.attrs.get("datetime") or when.text()).strip() if when is not None else date_beside(node, anchor) or None if beside else None
+            words = (heading.text() if heading is not None else "").strip() or (anchor.text() if anchor is not None else "")
+            told = (when.attrs.get("datetime") or when.text()).strip() if when is not None else _beside(item, anchor) or None if beside else None
             out.append({"title": re.sub(r"\s+", " ", words).strip(), "url": urljoin(base, href) if href else None, "date_text": told})
-        return out
+        if out:
+            return out
+    return []
+
+
+@lru_cache(maxsize=64)
+def _compiled(ways: tuple) -> tuple[Automaton, list[Automaton]]:
+    return Automaton(item for item, *_ in ways), [Automaton(rest) for _, *rest in ways]
+
+
+def items(item: str, link: str, title: str | None = None, date: str | None = None, fallback: tuple[str, str, str | None, str | None] | None = None, beside: bool = False):
+    """A function over (html, url) columns that lists a page's items by selectors, or by the fallback set if
+    the first finds none. Each has title, absolute url and date text; ``beside`` looks for dates that no selector names."""
+    ways = [(item, link, title, date), *([fallback] if fallback else [])]
 
     @F.pandas_udf("array<struct<title: string, url: string, date_text: string>>")
     def found(html: pd.Series, url: pd.Series) -> pd.Series:
-        out = []
-        for h, u in zip(html, url, strict=True):
-            root = parse(h or "")
-            got = listed(root, u or "", item, link, title, date)
-            out.append(got or (listed(root, u or "", *fallback) if fallback else []))
-        return pd.Series(out)
+        return pd.Series([listed(h or "", u or "", ways, beside) for h, u in zip(html, url, strict=True)])
 
     return found
 
