@@ -168,15 +168,21 @@ def query_sets(spark, d):
     return u.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("q")), "|"), 256), 1, 16).alias("hash"))
 
 
-@query("SELECT tier, name, row_number() OVER (ORDER BY tier, name)::INT AS place FROM (VALUES " + ", ".join("('{}', '{}')".format(t, n.replace("'", "''")) for t, ns in lists.COMPANIES.items() for n in ns) + ") v(tier, name)")
-def company_list(spark, d):
-    """The flattened list of names with their tiers."""
-    from pyspark.sql import Window
+_NAMES = ", ".join("('{}', '{}')".format(t, n.replace("'", "''")) for t, ns in (lists.COMPANIES | {"local": lists.LOCAL_COMPANIES}).items() for n in ns)
 
+
+@query(f"""WITH {ART}, v(tier, name) AS (VALUES {_NAMES}), h AS (SELECT v.tier, v.name, doc_id, CASE WHEN contains(lower(title), name) THEN 6 ELSE 4 END AS points FROM art JOIN v ON contains(lower(title), name) OR contains(lower(body), name))
+SELECT tier, name, count(*) AS articles, sum(points)::BIGINT AS points, min(doc_id) AS first_doc FROM h GROUP BY tier, name""")
+def company_list(spark, d):
+    """The flattened list of names with their tiers, and a few that occur here, as the articles have them."""
+    from inkstream.functions import automaton
     from inkstream.operators.classify import company_tier
 
-    v = spark.createDataFrame([(n,) for ns in lists.COMPANIES.values() for n in ns], "name string").withColumn("tier", company_tier(F.col("name")))
-    return v.select("tier", "name", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("tier", "name")).alias("place"))
+    names = [n for ns in (*lists.COMPANIES.values(), lists.LOCAL_COMPANIES) for n in ns]
+    found = articles(spark, d).select("doc_id", F.explode(automaton.named_in([F.col("title"), F.col("body")], names)).alias("x"))
+    tier = F.coalesce(company_tier(F.col("x.name")), F.lit("local"))
+    each = found.select(tier.alias("tier"), "x.name", "doc_id", (6 - 2 * F.col("x.field")).cast("long").alias("points"))
+    return each.groupBy("tier", "name").agg(F.count(F.lit(1)).alias("articles"), F.sum("points").alias("points"), F.min("doc_id").alias("first_doc"))
 
 
 @query(f"""WITH {ART}, {_Y}, s AS (SELECT source, count(*) AS f, count(*) FILTER (parsed AND NOT dup) AS n FROM y GROUP BY source) SELECT rpad(left(source, 12), 12, ' ') || lpad(f::VARCHAR, 8, ' ') || lpad(format('{{:.1f}}', n * 100.0 / f) || '%', 9, ' ') AS line FROM s""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkstream import schemas
 from inkstream.functions import dates, html, keys, lists, text
-from inkstream.operators import gates, rows
+from inkstream.operators import answers, gates, rows
 from inkstream.plans.registry import ART, WORDS, any_sql, articles, query
 from inkstream.session import folder, materialise, table
 from inkstream.sources import readers, sinks, web
@@ -362,3 +362,52 @@ def report_shapes(spark, d):
     files = own.select("source", F.when(F.length("source") % 2 == 0, nested).otherwise(flat).alias("json"))
     r = readers.selection_report(readers.variant(files, "json"))
     return r.select("source", "nested", "candidates", "excluded", "relaxed", "topics")
+
+
+@query("""WITH s AS (SELECT *, doc_id % 9 AS k, (n_chars % 100) / 100.0 AS c FROM documents), f AS (SELECT doc_id, k, CASE k WHEN 7 THEN 0.5 WHEN 6 THEN greatest(0, c - 0.15) WHEN 8 THEN greatest(0, c - 0.15) ELSE c END AS conf,
+  CASE WHEN k = 0 THEN 'no_answer' WHEN k = 1 THEN 'no_json' WHEN k = 2 THEN 'no_prompt' WHEN k = 3 THEN 'no_anchors' WHEN k = 4 AND doc_id % 2 = 0 THEN 'no_technique' END AS bad FROM s),
+g AS (SELECT *, coalesce(bad, CASE WHEN conf < 0.55 THEN 'low_confidence' END) AS fault FROM f)
+SELECT doc_id, CASE WHEN fault IS NOT NULL THEN 'fallback' WHEN k = 4 THEN 'retry' ELSE 'first' END AS origin, fault, CASE WHEN fault IS NULL THEN round(conf, 9)::DOUBLE END AS confidence, CASE WHEN fault IS NULL THEN 'scene ' || doc_id END AS prompt, CASE WHEN fault IS NULL THEN CASE WHEN k = 5 THEN 'own' ELSE 'text,logos' END END AS negative FROM g""")
+def scene_answers(spark, d):
+    """Staged scenes of all shapes: without JSON, prompt, anchors or technique, fenced, vague, and second tries."""
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 9
+    c = F.format_string("%.2f", (F.col("n_chars") % 100) / 100.0)
+
+    def answer(prompt=True, anchors='{"person": "a baker"}', technique='["contrast"]', note="a baker weighs gold on kitchen scales", confidence=None, negative=""):
+        head = [F.lit('{"finalImagePrompt": "scene '), i, F.lit('", ')] if prompt else [F.lit("{")]
+        return F.concat(*head, F.lit(f'"visualAnchors": {anchors}, "boringnessBreaker": {{"selected": {technique}, "executionNote": "{note}"}}{negative}, "confidence": '), c if confidence is None else confidence, F.lit("}"))
+
+    fenced = F.concat(F.lit("```json\n"), answer(negative=', "negativePrompt": ["own"]'), F.lit("\n```"))
+    ways = [F.lit(None).cast("string"), F.lit("sorry"), answer(prompt=False), answer(anchors='"none"'), answer(technique="[]"), fenced, answer(note="a funny picture of it all"), answer(confidence=F.lit('"high"')), answer(note="short")]
+    one = None
+    for n, way in enumerate(ways):
+        one = F.when(k == n, way) if one is None else one.when(k == n, way)
+    two = F.when(F.col("doc_id") % 2 == 0, answer(technique="null")).otherwise(answer())
+    rows_ = table(spark, d, "documents").select("doc_id", one.alias("one"), two.alias("two"))
+    return answers.scenes(rows_, "one", "two", ["text", "logos"]).select("doc_id", "origin", "fault", F.round("confidence", 9).alias("confidence"), "prompt", F.array_join("negative", ",").alias("negative"))
+
+
+@query("""WITH s AS (SELECT doc_id, doc_id % 5 AS k FROM documents) SELECT doc_id, CASE k WHEN 0 THEN 'no_json' WHEN 1 THEN 'not_exactly_3' WHEN 2 THEN 'blank' WHEN 3 THEN 'blank' END AS fault, CASE WHEN k = 4 THEN 'q' || doc_id || '|b|c' END AS queries FROM s""")
+def delta_answers(spark, d):
+    """Staged answers that must hold exactly three queries, none of them blank."""
+    k, q = F.col("doc_id") % 5, F.concat(F.lit('"q'), F.col("doc_id").cast("string"), F.lit('"'))
+    answer = lambda rest: F.concat(F.lit('{"deltaQueries": ['), q, F.lit(rest + "]}"))
+    one = F.when(k == 0, "no").when(k == 1, answer(', "b"')).when(k == 2, answer(', " ", "c"')).when(k == 3, answer(', 7, "c"')).otherwise(answer(', "b", "c"'))
+    queries, fault = answers.delta_queries(one)
+    return table(spark, d, "documents").select("doc_id", fault.alias("fault"), F.array_join(queries, "|").alias("queries"))
+
+
+_PLACES = "Stories:\n{articles}\n\nIn the picture: {anchors}.\n\nWhat happens:\n{narrative}\n"
+
+
+@query(f"""WITH {ART}, s AS (SELECT doc_id // 3 AS cover, doc_id, title, coalesce(CASE WHEN length({_SENTENCE}) > 20 AND length({_SENTENCE}) < 200 THEN {_SENTENCE} END, regexp_replace(title, '[.!?]', '', 'g') || '.') AS happening,
+  CASE WHEN title = '' THEN 'This development affects retail and ecommerce strategies.' WHEN {_RETAIL} THEN {_CLOSED} ELSE {_CLOSED} || ' This impacts retail and ecommerce operations.' END AS matters FROM art),
+n AS (SELECT *, row_number() OVER (PARTITION BY cover ORDER BY doc_id) AS k FROM s)
+SELECT cover, 'Stories:' || chr(10) || string_agg('Article ' || k || ': ' || title, chr(10) ORDER BY k) || chr(10) || chr(10) || 'In the picture: professional, modern retail environment, technology device.' || chr(10) || chr(10) || 'What happens:' || chr(10) || string_agg('- ' || happening || ' ' || matters, chr(10) ORDER BY k) || chr(10) AS prompt FROM n GROUP BY cover""")
+def cover_prompts(spark, d):
+    """A cover's whole prompt: a template, its articles, three anchors (the fixed ones here) and the narrative."""
+    stories = cover_stories(spark, d)
+    none = F.array().cast("array<struct<type: string, description: string>>")
+    picks = rows.anchor_picks(stories.select("cover", F.lit(0).alias("pos"), none.alias("anchors")), ["cover"])
+    anchors = picks.groupBy("cover").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "description"))), lambda x: x["description"]), ", ").alias("anchors"))
+    return stories.join(anchors, "cover").select("cover", answers.composed(_PLACES, articles=F.col("articles"), anchors=F.col("anchors"), narrative=F.col("narrative")).alias("prompt"))

@@ -21,10 +21,17 @@ def json_table(spark: SparkSession, path: str, schema: str, lines: bool = False)
         return spark.createDataFrame([], schema)
 
 
+def modified(time: str | Column) -> Column:
+    """A file's time, else now; 1970 stands for a time that is not known."""
+    t = text.c(time)
+    return F.when(t > F.timestamp_seconds(F.lit(0)), t).otherwise(F.current_timestamp())
+
+
 def walk(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
-    """File names, times and sizes below a folder; contents are not read."""
+    """File names, times and sizes below a folder; contents are not read. A file whose store knows no time counts
+    as changed now."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), modified("modificationTime").alias("modified"), F.col("length").alias("bytes"))
 
 
 def week_folders(files: DataFrame) -> DataFrame:
