@@ -54,6 +54,8 @@ def pack(rows: np.ndarray) -> list[bytes]:
 
 def unpack(cells: list[bytes], dims: int) -> np.ndarray:
     """Rows of 64-bit integers."""
+    if not dims:
+        return np.zeros((len(cells), 0), np.int64)
     out = np.empty((len(cells), dims), np.int64)
     sizes = np.array([len(c) for c in cells])
     for width in np.unique(sizes).tolist():

@@ -78,20 +78,28 @@ def n_dup_lines(text: str = "text") -> Column:
 def n_repeat_words() -> Column:
     """Words in 3-word windows found twice or more.
 
-    Texts whose hashed windows are all distinct have none. For the others, windows are sorted by hash and then by their
-    words, so equal windows (compared word by word) stand side by side. The windows are made here, once, so a text
-    that an earlier rule rejects has none.
+    Texts whose hashed windows are all distinct have none. Of the others, places are sorted by hash, and only those whose
+    hash stands beside an equal one take their words along; these are sorted by hash and words, so equal windows
+    (compared word by word) stand side by side. The windows are made here, once, so a text that an earlier rule rejects
+    has none.
     """
     w = f"{_W}words"
     windows = f"CASE WHEN size({w}) >= 3 THEN transform(sequence(0, size({w}) - 3), i -> xxhash64({w}[i], {w}[i + 1], {w}[i + 2])) ELSE cast(array() AS array<bigint>) END"
+    beside = "at.h <=> get(byhash, j - 1).h OR at.h <=> get(byhash, j + 1).h"
+    twice = f"transform(array(sort_array(transform(hashed, (x, i) -> named_struct('h', x, 'i', i)))), byhash -> filter(byhash, (at, j) -> {beside}))[0]"
     same = " AND ".join(f"at.{c} <=> {{0}}.{c}" for c in "habc")
     marked = f"""transform(sorted, (at, j) -> CASE WHEN ({same.format("get(sorted, j - 1)")}) OR ({same.format("get(sorted, j + 1)")}) THEN at.i END)"""
-    rows = f"sort_array(transform(hashed, (x, i) -> named_struct('h', x, 'a', {w}[i], 'b', {w}[i + 1], 'c', {w}[i + 2], 'i', i)))"
+    rows = f"sort_array(transform({twice}, x -> named_struct('h', x.h, 'a', {w}[x.i], 'b', {w}[x.i + 1], 'c', {w}[x.i + 2], 'i', x.i)))"
     places = f"transform(array({rows}), sorted -> sort_array(array_compact({marked})))[0]"
     covered = f"transform(array({places}), at -> aggregate(transform(at, (x, j) -> least(3, coalesce(get(at, j + 1), x + 3) - x)), 0, (a, b) -> a + b))[0]"
     return F.expr(f"transform(array({windows}), hashed -> CASE WHEN size(array_distinct(hashed)) = size(hashed) THEN 0L ELSE cast({covered} AS bigint) END)[0]")
 
 
+def features() -> dict[str, Column]:
+    """The base features, by name."""
+    return {"n_words": n_words(), "word_chars": word_chars(), "n_symbols": n_symbols(), "n_dup_lines": n_dup_lines(), "n_repeat_words": n_repeat_words()}
+
+
 def rules(limits: Limits, text: str = "text", known: bool = False) -> dict[str, Column]:
     """The rejecting condition of each rule. ``known``: the base features are columns already."""
     get = (lambda name, _: F.col(name)) if known else (lambda _, expression: expression)
@@ -108,13 +116,15 @@ def rules(limits: Limits, text: str = "text", known: bool = False) -> dict[str,
     }
 
 
-def estimate(docs: DataFrame, limits: Limits, text: str = "text") -> dict[str, tuple[float, float]]:
+def estimate(docs: DataFrame, limits: Limits, text: str = "text", known: bool = False) -> dict[str, tuple[float, float]]:
     """Each rule's cost in seconds a row and the share it rejects, on a small sample written to the shared folder.
 
     A job evaluates a rule ``TURNS`` times on every row of the sample, whose words are there already; what the same job
-    takes without a rule is subtracted. Costs are rounded to powers of four, so that the order does not follow noise.
+    takes without a rule is subtracted. Costs are rounded to powers of four, so that the order does not follow noise. With
+    ``known`` the base features are there already too, as where ``measure`` evaluates its rules.
     """
-    sample = materialise(staged(docs.select(F.col(text).alias("text")).sample(False, SAMPLE_SHARE, 1).limit(SAMPLE_ROWS)), "quality-sample")
+    rows = staged(docs.select(F.col(text).alias("text")).sample(False, SAMPLE_SHARE, 1).limit(SAMPLE_ROWS))
+    sample = materialise(rows.withColumns(features()) if known else rows, "quality-sample")
     turns = sample.coalesce(1).withColumn(f"{_W}turn", F.explode(F.sequence(F.lit(1), F.lit(TURNS))))
 
     def timed(condition: Column) -> tuple[float, int, int]:
@@ -129,7 +139,7 @@ def estimate(docs: DataFrame, limits: Limits, text: str = "text") -> dict[str, t
     timed(F.size(f"{_W}words") < 0)  # the first job reads the sample and starts up
     base, n, _ = timed((F.size(f"{_W}words") < 0) | (F.length("text") < 0))
     found = {}
-    for name, condition in rules(limits).items():
+    for name, condition in rules(limits, known=known).items():
         took, n, rejected = timed(condition)
         found[name] = (cost(took - base, n), rejected / n if n else 0.0)
     discard(sample)
@@ -168,11 +178,10 @@ def measure(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     base_failed (too few words or repeated windows), kept, and rejected_by (null if kept)."""
     limits = limits or Limits()
     docs = columns.plain(docs, "doc_id", "text").select("doc_id", "text")
-    ordered = order(estimate(docs, limits))
+    ordered = order(estimate(docs, limits, known=True))
     rows = staged(docs)
-    features = {"n_words": n_words(), "word_chars": word_chars(), "n_symbols": n_symbols(), "n_dup_lines": n_dup_lines(), "n_repeat_words": n_repeat_words()}
     here = F.col(f"{_W}row") >= 0  # always; it keeps a caller's filters above the shared words
-    rows = rows.select("doc_id", "text", *[F.when(here, x).alias(name) for name, x in features.items()])
+    rows = rows.select("doc_id", "text", *[F.when(here, x).alias(name) for name, x in features().items()])
     base = rules(limits, known=True)
     rows = rows.withColumn("base_failed", base["too_few_words"] | base["repeated_windows"]).withColumn("rejected_by", verdict(limits, ordered, known=True))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"), "rejected_by")
