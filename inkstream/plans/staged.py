@@ -300,7 +300,7 @@ def upserted_stream(spark, d):
     versions = []
     for run in ("one", "two"):
         stream = spark.readStream.schema("url string, snippet string, pos long").option("maxFilesPerTrigger", 1).parquet(arrived)
-        incremental.upsert_stream(stream, path, schema, f"{folder(spark, 'offsets')}-{run}").awaitTermination()
+        incremental.upsert_stream(stream, path, schema, folder(spark, f"offsets-{run}")).awaitTermination()
         versions.append(incremental.versioned(spark, path, schema)[1])
     return incremental.versioned(spark, path, schema)[0].select("url", "snippet", F.lit(versions[0] == versions[1]).alias("unchanged"))
 

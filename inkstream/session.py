@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections import UserList
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,7 +40,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-_written: list[str] = []
+class _Written(UserList):
+    """The folders of one thread's work, so that what runs beside it is not touched by ``release``."""
+
+    def __init__(self):
+        self.own = threading.local()
+
+    @property
+    def data(self) -> list[str]:
+        return self.own.__dict__.setdefault("paths", [])
+
+    def __getitem__(self, i):
+        return self.data[i]
+
+
+_written = _Written()
 
 
 def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
@@ -48,7 +64,6 @@ def materialise(df: DataFrame, name: str, compression: str | None = None) -> Dat
     """
     spark = df.sparkSession
     path = folder(spark, name)
-    _written.append(path)
     df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._inkstream_table = path
@@ -56,17 +71,19 @@ def materialise(df: DataFrame, name: str, compression: str | None = None) -> Dat
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """The path of a new folder in the shared one, for files that a step writes by itself."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """The path of a new folder in the shared one, for files that a step writes by itself; ``release`` deletes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def written() -> list[str]:
-    """The tables that ``materialise`` wrote and nobody deleted yet, oldest first."""
+    """The folders that this thread's work got and nobody deleted yet, oldest first."""
     return list(_written)
 
 
 def delete(spark: SparkSession, paths: list[str]) -> None:
-    """Delete tables of ``materialise``, by Hadoop's file systems."""
+    """Delete folders, by Hadoop's file systems."""
     conf = spark._jsc.hadoopConfiguration()
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -83,8 +100,8 @@ def discard(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession, keep: list[str] = ()) -> int:
-    """Delete all tables that ``materialise`` wrote for this program but those in ``keep``; call it once the results that
-    read them are written. Returns their number."""
+    """Delete all folders that this thread's work got, tables of ``materialise`` and others, but those in ``keep``; call it
+    once the results that read them are written. Returns their number."""
     gone = [path for path in _written if path not in keep]
     delete(spark, gone)
     return len(gone)
