@@ -359,7 +359,8 @@ def candidates(rows: DataFrame, heads: DataFrame, size: int, width: int) -> Data
     ``heads``: node, and doc_id, chunk, one and two of the row that stands for the class. Of rows with its id only those
     with its set count, so that what a chunk holds besides plays no part.
     """
-    bits = exchange.bucket_bits(rows, size // 2)
+    hops = exchange.hops(rows, size // 2)
+    bits = hops.bits
     chosen = heads.groupBy("chunk").agg(F.collect_list(F.struct("doc_id", "one", "two", "node")).alias("ids")).select("chunk", F.lit(-1).alias("bucket"), F.lit(b"").alias("body"), "ids")
 
     def own(table: pa.Table, heads: list[dict]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -410,7 +411,7 @@ def candidates(rows: DataFrame, heads: DataFrame, size: int, width: int) -> Data
         return pa.table({c: pa.array(v, pa.binary() if c in binary else pa.int64()) for c, v in out.items()})
 
     asked = rows.groupBy(exchange.CHUNK).cogroup(chosen.groupBy("chunk")).applyInArrow(ask, exchange.QUESTION)
-    answers = exchange.answered(asked, counted, 5)
+    answers = exchange.answered(asked, counted, 5, hops.more)
     right = answers.unionByName(chosen, allowMissingColumns=True)
     return rows.groupBy(exchange.CHUNK).cogroup(right.groupBy("chunk")).applyInArrow(choose, "doc_id long, n long, tokens binary, listed binary, key0 long, key1 long")
 

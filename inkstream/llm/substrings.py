@@ -52,7 +52,8 @@ def dedup(docs: DataFrame, width: int = 35, digest: bool = False) -> DataFrame:
     made = ("n_words", "n_removed", "removed", "kept")
     docs = docs.select(*[columns.named(c) for c in docs.columns if c not in made])
     size = exchange.text_bytes(docs)
-    bits = exchange.bucket_bits(docs, size)
+    hops = exchange.hops(docs, size)
+    bits = hops.bits
     rows = exchange.chunked(columns.plain(docs, "doc_id", "text"), size, salted=True)
 
     own = [c for c in rows.columns if c != exchange.CHUNK and not (digest and c == "text")]
@@ -97,7 +98,7 @@ def dedup(docs: DataFrame, width: int = 35, digest: bool = False) -> DataFrame:
 
     kinds = (LongType(), LongType(), ArrayType(ArrayType(LongType())), StringType())
     schema = StructType([rows.schema[c] for c in own] + [StructField(n, k) for n, k in zip(made, kinds, strict=True)])
-    answers = exchange.answered(rows.groupBy(exchange.CHUNK).applyInArrow(ask, exchange.QUESTION), repeated, 10, bitwise=True)
+    answers = exchange.answered(rows.groupBy(exchange.CHUNK).applyInArrow(ask, exchange.QUESTION), repeated, 10, hops.more, bitwise=True)
     out = rows.groupBy(exchange.CHUNK).cogroup(answers.groupBy("chunk")).applyInArrow(remove, schema)
     return out.toDF(*[c for c in docs.columns if not (digest and c == "text")], *made)
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkstream.llm import brown, components, jaccard, kernels, queries, substrings, topk
+from inkstream.llm import brown, components, exchange, jaccard, kernels, queries, substrings, topk
 
 
 def split(t):
@@ -134,6 +134,54 @@ def linked_rows(rows):
     return sets, out
 
 
+@pytest.fixture
+def two_hops(monkeypatch):
+    """Chunks and buckets of some hundred bytes, so that questions of a small table take both hops."""
+    monkeypatch.setattr(exchange, "CHUNK_BYTES", 400)
+    monkeypatch.setattr(exchange, "BUCKET_BYTES", 300)
+    monkeypatch.setattr(exchange, "FAN_BITS", 2)
+
+
+def test_op3_two_hops(spark, two_hops):
+    rng = random.Random(8)
+    rows = [" ".join(rng.choice("abcd") + rng.choice("xy") for _ in range(rng.randint(0, 40))) for _ in range(150)] + ["p q r s t u v w"] * 30 + [None, ""]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    size = exchange.text_bytes(df)
+    assert exchange.hops(df, size).more >= 3 and size / exchange.CHUNK_BYTES > 2 << exchange.FAN_BITS
+    got = [tuple(r) for r in substrings.dedup(df, 4).orderBy("doc_id").select("n_words", "n_removed", "kept").collect()]
+    assert got == brute_removed(rows, 4)
+
+
+def test_op5_two_hops(spark, two_hops):
+    rng = random.Random(10)
+    rows = []
+    for _ in range(12):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(20, 40))]
+        for _ in range(rng.randint(2, 9)):
+            rows.append(" ".join(words))
+            words = [*words]
+            words[rng.randrange(len(words))] = f"n{rng.randint(0, 10**6)}"
+    rows += ["Same Text", "same text", "common words that all of these share", "common words that all of these share too", None, ""] * 3
+    rows = list(enumerate(rows))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
+def test_exchange_sizes_do_not_grow(spark):
+    """Whatever the input, a chunk and a bucket stay the same, no row gets shorter than some hundred bytes, and what a task
+    holds (about nine bytes for a byte of a chunk, as measured) stays far below 500 MB."""
+    df = spark.range(1)
+    for size in (10**9, 10**11, 10**13, 10**14):
+        bits, more = exchange.hops(df, size)
+        chunks, buckets, asked = size / exchange.CHUNK_BYTES, 1 << (bits + more), 2 * size
+        cells = max(1, chunks / (1 << exchange.FAN_BITS)) * (1 << bits)
+        assert asked / buckets <= exchange.BUCKET_BYTES * 1.01 and 9 * exchange.CHUNK_BYTES < 100 << 20
+        assert asked / (chunks * (1 << bits)) >= 500
+        if more:
+            assert asked / (cells * (1 << more)) >= 500 and asked / cells <= 16 << 20
+            assert 2 * cells / (1 << bits) * 10 <= exchange.BUCKET_BYTES  # what an item of all chunks sends to its bucket
+
+
 @pytest.mark.parametrize("partitions", [1, 4, 64])
 def test_op5_repeated_ids(spark, partitions):
     """Components do not depend on how rows are dealt: rows with one id are one node, whatever their texts."""
