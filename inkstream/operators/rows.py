@@ -252,6 +252,13 @@ def title_classes(df: DataFrame, key: str, id_: str, title: str) -> DataFrame:
     return df.groupBy(key, title).agg(F.min(id_).alias(id_), F.count(F.lit(1)).alias("members"))
 
 
+def title_members(df: DataFrame, key: str, id_: str, title: str) -> DataFrame:
+    """Which representative of ``title_classes`` stands for each row: key, id and ``stands_for``. A frequent title is one row
+    on the joined side, and its rows may be split on the other."""
+    rows = df.select(key, id_, title)
+    return _with(rows, rows.groupBy(key, title).agg(F.min(id_).alias("stands_for")), [key, title]).drop(title)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each title, a row a distinct word code, with how often it stands there."""
     for batch in batches:
@@ -329,26 +336,49 @@ def title_candidates(df: DataFrame, key: str, id_: str, title: str, least: float
     return a.join(b, same & fits).select(F.col("a.key").alias(key), F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
+#: Titles of one leader in a block, and pairs in a bucket of block pairs, about.
+TITLES, PAIRS = 256, 16384
+
+
+def _met_in_blocks(pairs: DataFrame, ids: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) with a ``bucket`` each; and rows (part, id), the same buckets, each title once in a bucket, however many of its pairs
+    meet there.
+
+    A title's leader is its first partner by id, or itself: copies of one text have few leaders. A leader's titles are
+    dealt to blocks, pairs of blocks to buckets. So a group of n copies, which has n * n / 2 pairs, sends each title to
+    about n / ``TITLES`` buckets.
+    """
+    first = pairs.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader"))
+    members = first.union(pairs.select("a", "a")).groupBy("id").agg(F.min("leader").alias("leader"))
+    members = materialise(members, "leaders")
+    parts = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / TITLES).alias("parts")).where("parts > 1")
+    blocks = members.join(parts, "leader", "left").select("id", F.xxhash64("leader", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))).alias("block"))
+    buckets = max(partitions(pairs.sparkSession), math.ceil(pairs.count() / PAIRS))
+    for side in ("a", "b"):
+        pairs = pairs.join(blocks.select(F.col("id").alias(side), F.col("block").alias(f"block_{side}")), side)
+    placed = materialise(pairs.withColumn("bucket", F.pmod(F.xxhash64("block_a", "block_b"), F.lit(buckets)).cast("int")).drop("block_a", "block_b"), "placed")
+    return placed, placed.select(F.col("bucket").alias("part"), F.col("a").alias(ids)).union(placed.select("bucket", "b")).distinct()
+
+
 def near_titles(df: DataFrame, key: str, id_: str, title: str, least: float = 0.8) -> DataFrame:
     """J14 as a join: pairs of one group that share over ``least`` of their words. Rows with equal titles should be one row
     each (``title_classes``), so that ids are distinct.
 
-    The overlap counts the first title's repeated words each. ``title_candidates`` finds the pairs; their words are
-    compared here, in time that grows with their number.
+    The overlap counts the first title's repeated words each. ``title_candidates`` finds the pairs; their titles meet in
+    blocks, where each stands once for many pairs, and are compared in time that grows with their number of words.
     """
-    dealt = df.select(key, id_, title).repartition(partitions(df.sparkSession), id_)  # by number: the work is not in the bytes
-    df = materialise(dealt, "given-titles")  # read several times below
-    words = df.select(F.col(id_).alias("id"), text.words(F.col(title)).alias("w"))
-    pairs = title_candidates(df, key, id_, title, least)
-    pairs = pairs.join(words.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = [(x, set(y), max(len(x), len(y))) for x, y in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist(), strict=True)]
-            overlap = np.array([sum(w in y for w in x) / n for x, y, n in both], float)
-            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, "a", "b")), pa.array(overlap)], names=[key, "a", "b", "overlap"])
-            yield out.filter(pa.array(overlap > least))
-
-    schema = StructType([pairs.schema[key], pairs.schema["a"], pairs.schema["b"], StructField("overlap", DoubleType())])
-    pairs = pairs.select(key, "a", "b", "wa", "wb").repartition(partitions(df.sparkSession), "a", "b")
-    return pairs.mapInArrow(compare, schema)
+    dealt = df.select(F.col(id_).alias("__id"), F.concat_ws(" ", text.words(F.col(title))).alias("__words"), F.col(key).alias("__key"))
+    given = materialise(dealt.repartition(partitions(df.sparkSession), "__id"), "given-titles")  # by number: the work is not in the bytes
+    pairs = materialise(title_candidates(given, "__key", "__id", "__words", least), "candidates")
+    placed, wanted = _met_in_blocks(pairs, "__id")
+    titles = wanted.join(given.select("__id", "__words"), "__id").select("part", "__id", "__words")
+
+    def compare(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        words = {i: w.split(" ") for i, w in zip(right.column("__id").to_pylist(), right.column("__words").to_pylist(), strict=True)}
+        kinds = {i: set(w) for i, w in words.items()}
+        overlap = [sum(w in kinds[b] for w in words[a]) / max(len(words[a]), len(words[b])) for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True)]
+        out = left.select(["__key", "a", "b"]).append_column("overlap", pa.array(overlap, pa.float64()))
+        return out.filter(pa.array([x > least for x in overlap], pa.bool_()))
+
+    schema = StructType([placed.schema[c] for c in ("__key", "a", "b")] + [StructField("overlap", DoubleType())])
+    return placed.groupBy("bucket").cogroup(titles.groupBy("part")).applyInArrow(compare, schema).toDF(key, "a", "b", "overlap")

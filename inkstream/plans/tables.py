@@ -226,6 +226,13 @@ def title_groups(spark, d):
     return rows.title_classes(t, "lang", "doc_id", "bare")
 
 
+@query(f"""WITH {ART} SELECT lang, doc_id, min(doc_id) OVER (PARTITION BY lang, {BARE.format("title")}) AS stands_for FROM art""")
+def title_members(spark, d):
+    """Each row's representative, so that ``near_title_pairs`` tells of rows by their ids."""
+    t = articles(spark, d).select("lang", "doc_id", text.title_bare("title").alias("bare"))
+    return rows.title_members(t, "lang", "doc_id", "bare")
+
+
 @query(f"""WITH {ART}, t AS (SELECT doc_id, list_distinct({WORDS.format(PLAIN.format("title"))}) AS w FROM art) SELECT a.doc_id, len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0) AS similarity FROM t a JOIN t b ON b.doc_id = a.doc_id + 1""")
 def title_similarity(spark, d):
     """Each title against the next document's."""
