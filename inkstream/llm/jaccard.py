@@ -27,7 +27,6 @@ keeps a null component and links with nothing.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
