@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkstream.functions.text import c
 
 ZONE = "Europe/Copenhagen"
+# Names of months in dates.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 
 

@@ -123,12 +123,17 @@ def whats_happening(summary: str | Column, snippet: str | Column, title: str | C
     return F.coalesce(first_sentence(summary), first_sentence(snippet), F.concat(F.regexp_replace(c(title), "[.!?]", ""), F.lit(".")))
 
 
+# Terms of retail, the sentence without a reason, and what is added to a reason without such a term.
+RETAIL_TERMS = ["retail", "commerce", "luxury", "ecommerce", "shopping", "customer"]
+NO_REASON, IN_RETAIL = "This development affects retail and ecommerce strategies.", " This impacts retail and ecommerce operations."
+
+
 def why_it_matters(why: str | Column) -> Column:
     """F34."""
     w = F.trim(c(why))
     w = F.when(w.rlike("[.!?]$"), w).otherwise(F.concat(w, F.lit(".")))
-    told = contains_any(w, ["retail", "commerce", "luxury", "ecommerce", "shopping", "customer"])
-    return F.when(F.coalesce(c(why), F.lit("")) == "", F.lit("This development affects retail and ecommerce strategies.")).when(told, w).otherwise(F.concat(w, F.lit(" This impacts retail and ecommerce operations.")))
+    told = contains_any(w, RETAIL_TERMS)
+    return F.when(F.coalesce(c(why), F.lit("")) == "", F.lit(NO_REASON)).when(told, w).otherwise(F.concat(w, F.lit(IN_RETAIL)))
 
 
 def title_words(x: str | Column) -> Column:
