@@ -35,8 +35,9 @@ from inkstream.session import discard, materialise
 
 #: Bytes of windows and item ids in a group, about; groups searched in one stage; bytes of text searched at once.
 GROUP_BYTES, PASSES, SLICE = 16 << 20, 4, 4 << 20
-#: Text positions of a lane; window bytes that shifts look at, at most; pairs of position and window compared at once.
-LANE, LOOK, PAIRS = 1024, 128, 1 << 18
+#: Text positions of a lane; window bytes that shifts look at, at most; pairs of position and window compared at once;
+#: windows of an item in a batch.
+LANE, LOOK, PAIRS, SOME = 1024, 128, 1 << 18, 1 << 14
 MADE = ("n_words", "n_hit", "spans", "items")
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
@@ -194,8 +195,8 @@ def _windows(width: int):
                 for i in range(b - a):
                     here = places[row[i] : row[i + 1]].tolist()
                     n = min(width, len(here) - 1)
-                    if n > 0:
-                        found = sorted({raw[here[j] : here[j + n] + 1] for j in range(len(here) - n)})
+                    for j in range(0, len(here) - n, SOME) if n > 0 else ():
+                        found = sorted({raw[here[k] : here[k + n] + 1] for k in range(j, min(j + SOME, len(here) - n))})
                         yield pa.RecordBatch.from_pydict({"window": pa.array(found, pa.binary()), "words": pa.array([n] * len(found), pa.int32()), "item": pa.array([names[a + i]] * len(found), pa.string())})
 
     return rows
