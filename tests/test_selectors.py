@@ -98,3 +98,9 @@ def test_given_pages(spark, sf):
 
     for r in table(spark, sf, "pages").collect():
         assert html.article(r["html"]) == tree_article(r["html"])
+
+
+def test_references_without_a_semicolon_stay():
+    page = "<title>a &amp;&amp</title><body><h1>x &lt &amp;lt; &#65 &#65; &copy; &a</h1><a href='/?b=1&copy=2&amp;c'>&lt;</a></body>"
+    assert html.article(page)[:2] == ("x &lt &lt; &#65 A © &a<", "a &&amp")
+    assert html.parse(page).first("h1").text() == "x &lt &lt; &#65 A © &a" and html.parse(page).first("a").attrs == {"href": "/?b=1&copy=2&c"}
