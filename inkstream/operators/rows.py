@@ -33,6 +33,16 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct("*"), F.struct(*order)).alias("__row")).select("__row.*")
 
 
+def folded(df: DataFrame, keys: list[str], order: list[str], filled: list[str]) -> DataFrame:
+    """Of rows with one key, the first in this order, its empty ``filled`` columns taking the first later value: what
+    ``upsert`` makes of rows that come one after the other. Rows of one place go by their values."""
+    rest = [c for c in df.columns if c not in [*keys, *order]]
+    place = F.struct(*order, *rest)
+    fills = [F.min(F.when(F.col(c) != "", F.struct(*order, c)))[c].alias(f"__{c}") for c in filled]
+    found = df.groupBy(*keys).agg(F.min_by(F.struct("*"), place).alias("__row"), *fills)
+    return found.select(*[F.coalesce(f"__{c}", F.col("__row")[c]).alias(c) if c in filled else F.col("__row")[c].alias(c) for c in df.columns])
+
+
 def last_wins(df: DataFrame, keys: list[str], priority: str, pos: str) -> DataFrame:
     """Of rows with one key, the one of highest priority, at the position where the key first stood."""
     best = F.max_by(F.struct("*"), F.struct(priority, pos)).alias("__row")

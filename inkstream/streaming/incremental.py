@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StructType
 
-from inkstream.operators.rows import first_wins, upsert
+from inkstream.operators.rows import first_wins, folded, upsert
 from inkstream.session import discard, materialise
 from inkstream.sources.sinks import exists, listed, remove
 
@@ -97,7 +97,7 @@ def _targets(bucket: Bucket, rows: int, capacity: int) -> list[Bucket]:
 
 
 def apply_batch(
-    new: DataFrame, path: str, schema: str, key: str = "url", filled: tuple[str, ...] = ("snippet",), stream: str | None = None, batch: int = 0, capacity: int | None = None
+    new: DataFrame, path: str, schema: str, key: str = "url", filled: tuple[str, ...] = ("snippet",), stream: str | None = None, batch: int = 0, fold: bool = False, capacity: int | None = None
 ) -> dict[str, int]:
     """One batch merged into the table as its next version; counts of added, updated and kept rows of the buckets
     that it touches.
@@ -106,13 +106,14 @@ def apply_batch(
     a batch rewrites is bounded by what it touches, however large the table is. A version is a small table of the buckets'
     folders; the version before stays whole until the next one is complete, so a batch that fails leaves nothing half
     done. With ``stream`` the number of the batch is part of the version: one that is not above the stream's last changes
-    nothing, so a batch that is replayed is merged once. Two writers at a time meet at the version's folder, and one fails.
+    nothing, so a batch that is replayed is merged once. A batch's first row of a key counts; with ``fold`` its later ones
+    fill what that leaves empty, as if each were a batch. Two writers at a time meet at the version's folder, and one fails.
     """
     spark, capacity = new.sparkSession, capacity or CAPACITY
     now = directory(spark, path)
     if stream is not None and batch <= now.streams.get(stream, -1):
         return {}
-    new = materialise(first_wins(new, [key], ["pos"]), "batch")
+    new = materialise(folded(new, [key], ["pos"], list(filled)) if fold else first_wins(new, [key], ["pos"]), "batch")
     sizes = {(r["depth"], r["prefix"]): r["n"] for r in _placed(new.select(key), key, now.buckets).groupBy("depth", "prefix").agg(F.count(F.lit(1)).alias("n")).collect()}
     known = _read(spark, schema, [f for b in sizes if (f := now.buckets[b][0])])
     targets = [t for b, n in sizes.items() for t in _targets(b, now.buckets[b][1] + n, capacity)]
@@ -138,10 +139,11 @@ def apply_batch(
 
 
 def upsert_stream(stream: DataFrame, path: str, schema: str, checkpoint: str, name: str = "upserts", **options):
-    """T01 as a stream: every micro-batch is merged by ``apply_batch`` and fenced by its number under the stream's name."""
+    """T01 as a stream: every micro-batch is merged by ``apply_batch`` and fenced by its number under the stream's name. Rows
+    of one key fill each other within a micro-batch as they do across two, so it does not matter where the stream is cut."""
 
     def merge(rows: DataFrame, number: int) -> None:
-        apply_batch(rows, path, schema, stream=name, batch=number, **options)
+        apply_batch(rows, path, schema, stream=name, batch=number, fold=True, **options)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
 

@@ -54,6 +54,20 @@ def test_replayed_batches_change_nothing(spark, tmp_path):
     assert incremental.directory(spark, path).streams == {"s": 1, "other": 5} and incremental.versioned(spark, path, SCHEMA)[0].count() == 3
 
 
+def test_a_stream_may_be_cut_anywhere(spark, tmp_path):
+    """A row and the one that fills it give the same table from one micro-batch, in either order, or from several."""
+    kind = "url string, snippet string, pos long"
+    generations = [("a", "", 0), ("a", "1", 0), ("b", None, 1), ("b", "2", 2), ("b", "3", 3), ("c", "4", 5), ("c", "5", 6), ("d", "", 7)]
+    for name, files in {"one": [generations], "back": [generations[::-1]], "each": [[x] for x in generations]}.items():
+        source = str(tmp_path / name / "in")
+        for rows in files:
+            spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(source)
+        incremental.upsert_stream(stream, str(tmp_path / name / "t"), SCHEMA, str(tmp_path / name / "offsets")).awaitTermination()
+        got = {r["url"]: r["snippet"] or None for r in incremental.versioned(spark, str(tmp_path / name / "t"), SCHEMA)[0].collect()}
+        assert got == {"a": "1", "b": "2", "c": "4", "d": None}, name
+
+
 def test_a_failed_batch_leaves_the_version_before(spark, tmp_path):
     path = str(tmp_path / "t")
     incremental.apply_batch(batch(spark, [("a", "1")]), path, SCHEMA)
