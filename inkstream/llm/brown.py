@@ -376,7 +376,7 @@ def score(docs: DataFrame, head: int = HEAD, classes: int = CLASSES) -> DataFram
     docs = columns.plain(docs, "doc_id", "text").select("doc_id", "text")
     size = exchange.text_bytes(docs)
     bits = exchange.bucket_bits(docs, size // 4)  # far fewer distinct words than words
-    chunks = materialise(_chunks(docs, LARGER * exchange.sizes(size)[0]), "chunks", "zstd")
+    chunks = materialise(_chunks(docs, LARGER * exchange.sizes(size)[0]), "chunks", "zstd", wide=True)
     stats = _summary(chunks, bits, head)
     types, once, total = (int(n) for n in stats["n"][:3])
     heads, ranked = stats["hash"][3:].copy(), np.argsort(stats["hash"][3:])

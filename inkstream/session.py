@@ -57,14 +57,16 @@ class _Written(UserList):
 _written = _Written()
 
 
-def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str | None = None, wide: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    Results may still read these tables, so they stay until ``discard`` or ``release``.
+    ``wide`` rows are of some MB each and stand in row groups by themselves: Parquet looks at the size of a group only once
+    it has a hundred rows, and its reader holds a group's rows at once. Results may still read these tables, so they stay until ``discard`` or ``release``.
     """
     spark = df.sparkSession
     path = folder(spark, name)
-    df.write.parquet(path, compression=compression)
+    alone = {"parquet.block.row.count.limit": "1", "parquet.enable.dictionary": "false"} if wide else {}
+    df.write.options(**alone).parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._inkstream_table = path
     return out

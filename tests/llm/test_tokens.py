@@ -164,3 +164,25 @@ def test_op1_cache_drops_long_pieces():
     vocabulary = bpe.load(RANKS, P.PATTERN)
     vocabulary.encode(["x" * 500 + " short"])
     assert max(map(len, vocabulary.cache)) <= bpe.SIDE_BY_SIDE
+
+
+def test_wide_rows_stand_alone(spark, monkeypatch):
+    """Chunks of op6: a row group each, so neither writer nor reader holds more than one at a time."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from inkstream.llm import brown
+
+    seen = []
+
+    def discard(*tables):
+        for t in tables:
+            files = [pq.ParquetFile(f).metadata for f in glob.glob(t._inkstream_table.removeprefix("file://") + "/*.parquet")]
+            seen.extend((f.num_rows, f.num_row_groups) for f in files if f.num_rows)
+
+    monkeypatch.setattr(brown, "LARGER", 1e-4)
+    monkeypatch.setattr(brown, "discard", discard)
+    docs = spark.createDataFrame([(i, "a b c d e " * 100) for i in range(40)], "doc_id long, text string").coalesce(1)
+    assert brown.score(docs).count() == 40
+    assert seen == [(seen[0][0], seen[0][0])] and seen[0][0] > 1
