@@ -183,6 +183,6 @@ def test_wide_rows_stand_alone(spark, monkeypatch):
 
     monkeypatch.setattr(brown, "LARGER", 1e-4)
     monkeypatch.setattr(brown, "discard", discard)
-    docs = spark.createDataFrame([(i, "a b c d e " * 100) for i in range(40)], "doc_id long, text string").coalesce(1)
+    docs = spark.createDataFrame([(i, "a b c d e " * 10_000) for i in range(40)], "doc_id long, text string").coalesce(1)
     assert brown.score(docs).count() == 40
     assert seen == [(seen[0][0], seen[0][0])] and seen[0][0] > 1
