@@ -284,15 +284,43 @@ def _size_class(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.25)) + 1e-9).cast("int")
 
 
+#: Marks of a title (bits of two numbers), and how many of them are told with their words' weight.
+MARKS, HEAVY = 128, 12
+
+
+def _marks(words: Column, high: bool) -> Column:
+    """The lower or upper 64 of a title's ``MARKS``: each of its words sets the one that its code's low bits tell."""
+    mine = F.filter(words, lambda x: (x.bitwiseAND(F.lit(64)) != 0) == high)
+    return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def _weighed(codes: list[int], weights: list[int]) -> tuple[list[int], int, int]:
+    """The heaviest marks of a title (weight and mark in one number), and the bits of its others."""
+    sums = np.bincount(np.array(codes, np.int64) & (MARKS - 1), weights, MARKS).astype(np.int64)
+    top = np.argsort(-sums, kind="stable")[:HEAVY]
+    top = top[sums[top] > 0]
+    rest = sums > 0
+    rest[top] = False
+    return (np.minimum(sums[top], 1 << 23) << 7 | top).tolist(), *np.packbits(rest, bitorder="little").view("<i8").tolist()
+
+
+def _lacking(a: str, b: str) -> Column:
+    """How much of the first title's weight stands at marks that the second has not, at least."""
+    low, high = F.col(f"{b}.low"), F.col(f"{b}.high")
+    bit = lambda x: F.call_function("shiftright", F.when(x.bitwiseAND(F.lit(64)) == 0, low).otherwise(high), x.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1).cast("long"))
+    heavy = F.aggregate(F.col(f"{a}.heavy"), F.lit(0), lambda acc, x: acc + F.when(bit(x) == 0, F.shiftright(x, 7)).otherwise(F.lit(0)))
+    return heavy + sum(F.bit_count(F.col(f"{a}.{r}").bitwiseAND(F.bitwise_not(m))) for r, m in (("low", low), ("high", high)))
+
+
 def _probes(least: float):
     """Of each title (words by rarity, with weights), the words by which it may meet another as the first title."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            took, words, needs, lefts = [], [], [], []
+            took, words, needs, lefts, marks = [], [], [], [], []
             for i, (n, codes, weights) in enumerate(zip(batch.column("n").to_pylist(), batch.column("words").to_pylist(), batch.column("weights").to_pylist(), strict=True)):
                 bar, left, after = least * n - 1e-6, n, Counter(weights)
-                sizes = sorted(after, reverse=True)
+                sizes, mine = sorted(after, reverse=True), _weighed(codes, weights)
                 for code, weight in zip(codes, weights, strict=True):
                     if left <= bar:
                         break
@@ -305,12 +333,14 @@ def _probes(least: float):
                         got, kinds = got + more * size, kinds + more
                     if got > bar:
                         took.append(i)
+                        marks.append(mine)
                         words.append(code)
                         needs.append(kinds)
                         lefts.append(left)
                     left -= weight
-            at = pa.array(took, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("key", "id", "n")), pa.array(words, pa.int64()), pa.array(needs, pa.int32()), pa.array(lefts, pa.int32())], names=["key", "id", "n", "word", "needs", "left"])
+            at = [pa.array([m[k] for m in marks], t) for k, t in enumerate((pa.list_(pa.int32()), pa.int64(), pa.int64()))]
+            own = (batch.column(c).take(pa.array(took, pa.int64())) for c in ("key", "id", "n"))
+            yield pa.RecordBatch.from_arrays([*own, *at, pa.array(words, pa.int64()), pa.array(needs, pa.int32()), pa.array(lefts, pa.int32())], names=["key", "id", "n", "heavy", "low", "high", "word", "needs", "left"])
 
     return rows
 
@@ -323,7 +353,9 @@ def title_candidates(df: DataFrame, key: str, id_: str, title: str, least: float
     the first words of its rarity order, a fifth of its weight, are looked up. From there the second title must have as
     many kinds left as the first needs, heaviest first, to reach that weight; and it has fewer left than its length, which
     is below n / least. Kinds left fall into classes that grow by a quarter; the join is on word and class, so a frequent
-    word, behind which no title has many kinds left, meets few.
+    word, behind which no title has many kinds left, meets few. Titles bring marks of their words along, the first one with the
+    weights of its heaviest: what stands at marks that the second lacks is not shared, so most pairs that fail leave the join
+    never.
     """
     rows = df.select(F.col(key).alias("key"), F.col(id_).alias("id"), text.words(F.col(title)).alias("w"))
     rows = rows.select("key", "id", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("codes")).where("n > 0")
@@ -334,15 +366,16 @@ def title_candidates(df: DataFrame, key: str, id_: str, title: str, least: float
     each = _with(each, seen, ["key", "word"])
     dealt = each.repartition(partitions(df.sparkSession), "key", "id")  # by number: the work is not in the bytes
     titles = dealt.groupBy("key", "id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "word", "weight"))).alias("x"))
-    titles = materialise(titles.select("key", "id", "n", F.col("x.word").alias("words"), F.col("x.weight").alias("weights")), "titles")
-    first = titles.mapInArrow(_probes(least), f"{head}, word long, needs int, left int")
+    titles = materialise(titles.select("key", "id", "n", F.col("x.word").alias("words"), F.col("x.weight").alias("weights"), _marks(F.col("x.word"), False).alias("low"), _marks(F.col("x.word"), True).alias("high")), "titles")
+    first = titles.mapInArrow(_probes(least), f"{head}, heavy array<int>, low long, high long, word long, needs int, left int")
     most = F.ceil(F.col("n") / least).cast("int")
     first = first.withColumn("class", F.explode(F.sequence(_size_class(F.col("needs")), _size_class(F.greatest(most, "needs")))))
-    second = titles.select("key", "id", "n", F.size("words").alias("k"), F.posexplode("words").alias("place", "word")).withColumn("kinds", F.col("k") - F.col("place"))
+    second = titles.select("key", "id", "n", "low", "high", F.size("words").alias("k"), F.posexplode("words").alias("place", "word")).withColumn("kinds", F.col("k") - F.col("place"))
     second = second.withColumn("class", _size_class(F.col("kinds")))
     a, b = first.alias("a"), second.alias("b")
     same = F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.class") == F.col("b.class"))
     fits = (F.col("a.id") < F.col("b.id")) & (F.col("kinds") >= F.col("needs")) & (F.col("left") > F.col("b.n") * least - 1e-6)
+    fits = fits & (F.col("a.n") - _lacking("a", "b") > F.greatest("a.n", "b.n") * least - 1e-6)
     return a.join(b, same & fits).select(F.col("a.key").alias(key), F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 

@@ -80,6 +80,19 @@ def test_near_titles_with_repeated_words(spark):
     assert ("g", 0, 1) in want and got == want
 
 
+def test_titles_that_share_rare_words_alone_are_no_candidates(spark, monkeypatch):
+    """Marks tell most of them before they leave the join; without marks they all do."""
+    rng = random.Random(5)
+    common = [f"c{k}" for k in range(30)]
+    titles = [(i, [f"p{i % 10}", *rng.sample(common, 9)]) for i in range(40)]
+    titles += [(100 + i, w[:-1] + ["z"]) for i, w in titles[:5]]
+    df = spark.createDataFrame([("g", i, " ".join(w)) for i, w in titles], "g string, id long, title string")
+    want = {(i, j) for i, x in titles for j, y in titles if i < j and sum(w in y for w in x) / 10 > 0.8}
+    found = {(r["a"], r["b"]) for r in rows.title_candidates(df, "g", "id", "title").collect()}
+    monkeypatch.setattr(rows, "_lacking", lambda a, b: F.lit(0))
+    assert len(want) >= 5 and want <= found and len(found) <= 2 * len(want) and rows.title_candidates(df, "g", "id", "title").count() >= 30
+
+
 def test_near_titles_of_many_words(spark):
     """Titles of 500 words, most of them repeated: few pairs are compared, none is lost; nulls and blanks pair with nothing."""
     rng = random.Random(3)
